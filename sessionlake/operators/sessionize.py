@@ -158,6 +158,8 @@ def segments(
         flush_t = F.coalesce(F.col("_next_t"), F.col("_horizon"))
     m = int(config.min_session_duration)
     ev = ev.withColumn("end_t", end_t).withColumn("flush_t", flush_t.cast("long"))
+    # origin of the flush grid (first opener of the key, at least one interval)
+    ev = ev.withColumn("grid_t1", F.greatest(F.col("_first_t"), interval))
     kept = F.col("flush_t").isNotNull() & (
         F.lit(m == 0) | ((F.col("flush_t") - F.col("start")) > F.lit(m))
     )
@@ -174,10 +176,14 @@ def run_islands(kept_segments: DataFrame) -> DataFrame:
     w = stream_window()
     change = (~F.col("state").eqNullSafe(F.lag("state").over(w))).cast("int")
     changed = kept_segments.withColumn("_chg", F.coalesce(change, F.lit(1)))
-    return changed.withColumn("session_seq", F.sum("_chg").over(_upto()).cast("int")).drop("_chg")
+    return (
+        changed.withColumn("session_seq", F.sum("_chg").over(_upto()).cast("int"))
+        .withColumn("_run_start", F.col("_chg") == 1)
+        .drop("_chg")
+    )
 
 
-def merge_runs(islands: DataFrame) -> DataFrame:
+def merge_runs(islands: DataFrame, with_counts: bool = False) -> DataFrame:
     """One session per run: first start, last flush, the run's state.
 
     The grouping keys start with ``stream_key``, so the aggregate reuses the
@@ -189,7 +195,11 @@ def merge_runs(islands: DataFrame) -> DataFrame:
         F.col("state.is_active").alias("is_active"),
         F.col("state.app_id").alias("app_id"),
         F.col("state.workspace").alias("workspace"),
-    ).agg(F.min("start").alias("start"), F.max("flush_t").alias("end"))
+    ).agg(
+        F.min("start").alias("start"),
+        F.max("flush_t").alias("end"),
+        *([F.count(F.lit(1)).alias("segments")] if with_counts else []),
+    )
 
 
 SESSION_COLUMNS = ["stream_key", "session_seq", "start", "end", "is_active", "app_id", "workspace"]
