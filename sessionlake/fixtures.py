@@ -36,8 +36,8 @@ def _k() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
 
-def session_events(events: DataFrame) -> DataFrame:
-    """events -> (stream_key, seq, ts_us, t, kind, app_id, workspace)."""
+def session_events(events: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """events -> (stream_key, seq, ts_us, t, kind, app_id, workspace [, extra columns])."""
     et = F.col("event_type")
     k = F.col("_k")
     focus_type = et.isin("click", "view", "purchase")
@@ -55,6 +55,7 @@ def session_events(events: DataFrame) -> DataFrame:
             ts_micros(events, "ts").alias("ts_us"),
             et,
             _k().alias("_k"),
+            *extra,
         )
         .select(
             "stream_key",
@@ -64,6 +65,8 @@ def session_events(events: DataFrame) -> DataFrame:
             kind.alias("kind"),
             F.when(focus_type, F.concat(et, F.lit("_"), (k % 3).cast("string"))).alias("app_id"),
             F.when((et == "signup") & (k % 2 == 1), (k % 4)).cast("int").alias("workspace"),
+            *extra,
+            *(["_k"] if extra else []),
         )
     )
     return out
@@ -136,3 +139,48 @@ def compositor_events(events: DataFrame) -> DataFrame:
         windows.alias("windows"),
         workspaces.alias("workspaces"),
     )
+
+
+# Envelope lines made from events. Fixed rule on ``value`` so a few rows become
+# pings, handshakes, ticks and bad lines; every row becomes exactly one line.
+OVERSIZE_PAD = 70000  # characters, over the 64 KiB message limit
+# (padded from a column so the optimizer cannot fold it into a 70 KB literal)
+
+
+def envelopes(events: DataFrame) -> DataFrame:
+    """events -> (stream_key, source, seq, ts, line); source = one of two producers per user."""
+    df = session_events(events, extra=("ts", "value"))
+    v = F.col("value")
+    kind = F.col("kind")
+    event_line = (
+        F.when(
+            kind == "focus",
+            F.when(
+                F.col("app_id").isNull(), F.lit('{"Event":{"ActiveWindowChanged":null}}')
+            ).otherwise(F.concat(F.lit('{"Event":{"ActiveWindowChanged":"'), F.col("app_id"), F.lit('"}}'))),
+        )
+        .when(kind == "workspace", F.concat(F.lit('{"Event":{"WorkspaceChanged":'), F.col("workspace").cast("string"), F.lit("}}")))
+        .when(kind == "idle_on", F.lit('{"Event":{"Idle":true}}'))
+        .otherwise(F.lit('{"Event":{"Idle":false}}'))
+    )
+    line = (
+        F.when(v < 0.5, F.lit('"Ping"'))
+        .when(
+            v < 1.0,
+            F.concat(
+                F.lit('{"Handshake":{"protocol_version":'),
+                (F.col("_k") % 3).cast("string"),
+                F.lit(',"backend_name":"niri"}}'),
+            ),
+        )
+        .when(v < 1.2, F.lit("{bad"))
+        .when(v < 1.4, F.lit('{"Event":{"Nope":1}}'))
+        .when(
+            v < 1.5,
+            F.concat(F.lit('{"Event":{"ActiveWindowChanged":"'), F.lpad(F.col("kind"), OVERSIZE_PAD, "x"), F.lit('"}}')),
+        )
+        .when(v < 1.7, F.lit('{"Event":"Tick"}'))
+        .otherwise(event_line)
+    )
+    source = F.concat(F.lit("u"), F.col("stream_key").cast("string"), F.lit("-b"), (F.col("seq") % 2).cast("string"))
+    return df.select("stream_key", source.alias("source"), "seq", "ts", line.alias("line"))

@@ -613,3 +613,243 @@ def check_sessions(spark, sf):
         F.col("state.workspace").alias("workspace"),
     )
     return U.check_sessions(cand)
+
+
+# ---------------------------------------------------------------- F1 time parsing
+
+from sessionlake.fixtures import compositor_events, envelopes, read_table  # noqa: E402
+from sessionlake.functions.scalar import epoch_to_ntz  # noqa: E402
+from sessionlake.functions.timeparse import DATE_FORMATS, TIME_FORMATS, parse_time_column  # noqa: E402
+from sessionlake.sources import compositor as C  # noqa: E402
+from sessionlake.sources import envelopes as EN  # noqa: E402
+from sessionlake.sources import store as ST  # noqa: E402
+
+PARSE_TODAY = "2024-01-31"
+PARSE_TODAY_EPOCH = 1706659200  # PARSE_TODAY 00:00 UTC
+_N_FORMATS = 2 + len(DATE_FORMATS) * len(TIME_FORMATS) + len(DATE_FORMATS) + len(TIME_FORMATS)
+_SEPARATORS = [" ", "T", "_", "+"]
+
+
+def _time_texts(df: DataFrame) -> DataFrame:
+    """Render each event's second in one of the accepted formats (format id = seq mod count)."""
+    off = REPORT_OFFSET
+    local = epoch_to_ntz(F.col("t") + F.lit(off))
+    fid = F.pmod(F.col("seq"), F.lit(_N_FORMATS)).cast("int")
+    rfc = F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:00"))
+    text = F.when(fid == 0, F.col("t").cast("string")).when(fid == 1, rfc)
+    i = 2
+    for d in DATE_FORMATS:
+        for tf in TIME_FORMATS:
+            sep = _SEPARATORS[i % 4]
+            text = text.when(fid == i, F.date_format(local, f"{d}'{sep}'{tf}") if sep != " " else F.date_format(local, f"{d} {tf}"))
+            i += 1
+    for d in DATE_FORMATS:
+        text = text.when(fid == i, F.date_format(local, d))
+        i += 1
+    for tf in TIME_FORMATS:
+        text = text.when(fid == i, F.date_format(local, tf))
+        i += 1
+    return df.select("stream_key", "seq", fid.alias("fmt_id"), text.alias("text"))
+
+
+def _expected_time_sql() -> str:
+    off = REPORT_OFFSET
+    cases = ["WHEN 0 THEN t", "WHEN 1 THEN t"]
+    i = 2
+    for _d in DATE_FORMATS:
+        for tf in TIME_FORMATS:
+            exact = "ss" in tf
+            cases.append(f"WHEN {i} THEN {'t' if exact else 't - (t % 60)'}")
+            i += 1
+    for _d in DATE_FORMATS:
+        cases.append(f"WHEN {i} THEN ((t + {off}) // 86400) * 86400 - {off}")
+        i += 1
+    for tf in TIME_FORMATS:
+        tod = f"((t + {off}) % 86400)"
+        tod = tod if "ss" in tf else f"({tod} - {tod} % 60)"
+        cases.append(f"WHEN {i} THEN {PARSE_TODAY_EPOCH} - {off} + {tod}")
+        i += 1
+    return (
+        "WITH "
+        + O.mapped_events_cte()
+        + f"\nSELECT stream_key, seq, CAST(seq % {_N_FORMATS} AS INTEGER) AS fmt_id,"
+        + f" CAST(CASE seq % {_N_FORMATS} {' '.join(cases)} END AS BIGINT) AS parsed FROM se"
+    )
+
+
+@register("parse_time_column", _expected_time_sql())
+def parse_time_column_q(spark, sf):
+    texts = _time_texts(_events(spark, sf))
+    return texts.select(
+        "stream_key", "seq", "fmt_id", parse_time_column("text", REPORT_OFFSET, PARSE_TODAY).alias("parsed")
+    )
+
+
+# ---------------------------------------------------------------- S6-S8 envelopes
+
+_ENV_SQL = (
+    "WITH "
+    + O.mapped_events_cte().replace(
+        "CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type",
+        "CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, event_type, value",
+    ).replace("  FROM se_raw\n)", "  , value, k FROM se_raw\n)")
+    + """,
+env AS (
+  SELECT stream_key, 'u' || CAST(stream_key AS VARCHAR) || '-b' || CAST(seq % 2 AS VARCHAR) AS source, seq, ts_us,
+    CASE WHEN value < 0.5 THEN 'Ping' WHEN value < 1.0 THEN 'Handshake'
+         WHEN value < 1.5 THEN NULL ELSE 'Event' END AS msg_type,
+    CASE WHEN value < 1.5 THEN NULL WHEN value < 1.7 THEN 'tick' ELSE kind END AS kind,
+    CASE WHEN value >= 1.7 AND kind = 'focus' THEN app_id END AS app_id,
+    CASE WHEN value >= 1.7 AND kind = 'workspace' THEN workspace END AS workspace,
+    CASE WHEN value >= 0.5 AND value < 1.0 THEN k % 3 END AS protocol_version,
+    CASE WHEN value >= 0.5 AND value < 1.0 THEN 'niri' END AS backend_name,
+    CASE WHEN value >= 1.0 AND value < 1.2 THEN 'malformed json'
+         WHEN value >= 1.2 AND value < 1.4 THEN 'unknown message'
+         WHEN value >= 1.4 AND value < 1.5 THEN 'message too large' END AS reject
+  FROM se
+)"""
+)
+_ENV_COLS = "stream_key, source, seq, msg_type, kind, app_id, workspace, protocol_version, backend_name"
+
+
+def _parsed(spark, sf) -> DataFrame:
+    return EN.parse_envelopes(envelopes(read_table(spark, sf, "events")))
+
+
+@register("parse_envelopes", _ENV_SQL + f"\nSELECT {_ENV_COLS} FROM env WHERE reject IS NULL")
+def parse_envelopes(spark, sf):
+    good, _bad = EN.split_quarantine(_parsed(spark, sf))
+    return good.select(*[c.strip() for c in _ENV_COLS.split(",")])
+
+
+@register("quarantine", _ENV_SQL + "\nSELECT stream_key, source, seq, reject FROM env WHERE reject IS NOT NULL")
+def quarantine(spark, sf):
+    _good, bad = EN.split_quarantine(_parsed(spark, sf))
+    return bad.select("stream_key", "source", "seq", "reject")
+
+
+@register(
+    "accept_sources",
+    _ENV_SQL
+    + """,
+hs AS (SELECT source, arg_max(protocol_version, CAST(ts_us AS HUGEINT) * 1000000000 + seq) AS pv
+       FROM env WHERE reject IS NULL AND msg_type = 'Handshake' GROUP BY source)
+SELECT stream_key, source, seq, msg_type, kind FROM env
+WHERE reject IS NULL AND source IN (SELECT source FROM hs WHERE pv <= 1)""",
+)
+def accept_sources(spark, sf):
+    good, _bad = EN.split_quarantine(_parsed(spark, sf))
+    return EN.accept_sources(good, enforce=True).select("stream_key", "source", "seq", "msg_type", "kind")
+
+
+# ---------------------------------------------------------------- S9 / J3 compositor
+
+
+@register(
+    "normalize_compositor",
+    """WITH raw AS (
+  SELECT user_id AS stream_key, event_id AS seq, epoch_us(ts) AS ts_us, event_type,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
+ce AS (SELECT *, 'app_' || CAST(seq % 5 AS VARCHAR) AS app, CAST(k % 20 AS BIGINT) AS win,
+              row_number() OVER (PARTITION BY stream_key ORDER BY ts_us, seq) AS n FROM raw),
+upd AS (
+  SELECT stream_key, win AS window_id, n * 10 AS ord, TRUE AS alive,
+         CASE WHEN k % 10 <> 0 THEN app END AS app_id FROM ce WHERE event_type = 'click'
+  UNION ALL SELECT stream_key, win, n * 10, FALSE, NULL FROM ce WHERE event_type = 'purchase' AND k % 3 = 0
+  UNION ALL SELECT stream_key, win, n * 10, TRUE, app FROM ce WHERE event_type = 'error'
+  UNION ALL SELECT stream_key, CAST((k + 1) % 20 AS BIGINT), n * 10 + 1, TRUE, app FROM ce WHERE event_type = 'error'
+),
+look AS (SELECT stream_key, seq, ts_us, win AS window_id, n * 10 AS ord FROM ce WHERE event_type = 'view'),
+hit AS (SELECT l.stream_key, l.seq, l.ts_us, u.alive, u.app_id
+        FROM look l ASOF JOIN upd u
+          ON l.stream_key = u.stream_key AND l.window_id = u.window_id AND l.ord >= u.ord)
+SELECT stream_key, seq, 0 AS pos, ts_us, 'focus' AS kind, app_id, CAST(NULL AS INTEGER) AS workspace
+FROM hit WHERE alive
+UNION ALL SELECT stream_key, seq, 0, ts_us, 'focus', app, NULL FROM ce WHERE event_type = 'error'
+UNION ALL SELECT stream_key, seq, 0, ts_us, 'focus', NULL, NULL FROM ce WHERE event_type = 'purchase' AND k % 3 = 1
+UNION ALL SELECT stream_key, seq, 0, ts_us, 'workspace', NULL, CAST(k % 4 AS INTEGER)
+  FROM ce WHERE event_type = 'purchase' AND k % 3 = 2 AND k % 2 = 0
+UNION ALL SELECT stream_key, seq, 0, ts_us, 'workspace', NULL, CAST(k % 4 AS INTEGER)
+  FROM ce WHERE event_type = 'signup'""",
+)
+def normalize_compositor(spark, sf):
+    core, _rejects = C.normalize_compositor(compositor_events(read_table(spark, sf, "events")))
+    return core
+
+
+# ---------------------------------------------------------------- S1-S5 storage
+
+_STORED_SQL = f'SELECT {SESSION_COLS_SQL}, CAST(start // 86400 AS BIGINT) AS day FROM sessions'
+
+
+def _new_table(spark, name: str) -> str:
+    from sessionlake.config import storage_root
+
+    return storage_root(spark, name)
+
+
+@register("create_and_read_sessions", _with_sessions(_STORED_SQL))
+def create_and_read_sessions(spark, sf):
+    path = _new_table(spark, "sessions")
+    ST.create_sessions(spark, path)
+    ST.create_sessions(spark, path)  # idempotent
+    ST.append_sessions(_sessions(spark, sf), path)
+    return ST.read_sessions(spark, path)
+
+
+@register("append_sessions", _with_sessions(_STORED_SQL))
+def append_sessions(spark, sf):
+    """Two appends (active, then idle sessions) read back as one table."""
+    path = _new_table(spark, "sessions")
+    ST.create_sessions(spark, path)
+    s = _sessions(spark, sf)
+    ST.append_sessions(A.active_only(s), path)
+    ST.append_sessions(A.idle_only(s), path)
+    return ST.read_sessions(spark, path)
+
+
+UPDATE_SHIFT = 60  # seconds added to the end of the replaced session
+
+
+@register(
+    "upsert_last",
+    _with_sessions(
+        f"""SELECT stream_key, session_seq, start,
+                   "end" + CASE WHEN session_seq = max(session_seq) OVER (PARTITION BY stream_key)
+                                THEN {UPDATE_SHIFT} ELSE 0 END AS "end", is_active, app_id, workspace
+            FROM sessions"""
+    ),
+)
+def upsert_last(spark, sf):
+    """Each stream's newest session replaced by a copy whose end is one minute later."""
+    s = _sessions(spark, sf)
+    updates = Q.last_per_stream(s).select(
+        "stream_key", "start", (F.col("end") + F.lit(UPDATE_SHIFT)).alias("end"), "is_active", "app_id", "workspace"
+    )
+    return ST.update_last(s, updates)
+
+
+@register(
+    "update_by_key",
+    _with_sessions(
+        """SELECT stream_key, session_seq, start, "end", is_active,
+                  CASE WHEN session_seq = 2 AND is_active THEN app_id || '*' ELSE app_id END AS app_id,
+                  CASE WHEN session_seq = 2 AND NOT is_active THEN 0 ELSE workspace END AS workspace
+           FROM sessions"""
+    ),
+)
+def update_by_key(spark, sf):
+    """Every stream's second session edited; copies under unknown keys change nothing."""
+    s = _sessions(spark, sf)
+    edits = s.filter(F.col("session_seq") == 2).select(
+        *ST.KEY,
+        "start",
+        "end",
+        "is_active",
+        F.when(F.col("is_active"), F.concat(F.col("app_id"), F.lit("*"))).otherwise(F.col("app_id")).alias("app_id"),
+        F.when(~F.col("is_active"), F.lit(0)).otherwise(F.col("workspace")).cast("int").alias("workspace"),
+    )
+    unknown = s.select(
+        "stream_key", (F.col("session_seq") + F.lit(1_000_000)).alias("session_seq"), *ST.DATA_COLUMNS
+    )
+    return ST.update_by_key(s, edits.unionByName(unknown))

@@ -69,6 +69,8 @@ ENVELOPES = T.StructType(
     ]
 )
 
+ENVELOPES_KEYED = T.StructType([T.StructField("stream_key", T.LongType(), False)] + ENVELOPES.fields)
+
 WINDOW_REC = T.StructType(
     [
         T.StructField("id", T.LongType(), True),
