@@ -853,3 +853,77 @@ def update_by_key(spark, sf):
         "stream_key", (F.col("session_seq") + F.lit(1_000_000)).alias("session_seq"), *ST.DATA_COLUMNS
     )
     return ST.update_by_key(s, edits.unionByName(unknown))
+
+
+# ---------------------------------------------------------------- X2 logged mode
+
+from sessionlake.streaming import logged as LG  # noqa: E402
+
+_LOG_COLS = ["stream_key", "seq", "ts_us", "t", "kind", "app_id", "workspace"]
+
+
+@register("sessionize_logged", _with_sessions(f"SELECT {SESSION_COLS_SQL} FROM sessions", mode="logged"))
+def sessionize_logged(spark, sf):
+    """The event log plus one explicit tick row per stream per hour, ticks due every 6 h."""
+    ev = _events(spark, sf).select(*_LOG_COLS)
+    log = ev.unionByName(LG.hourly_ticks(ev, H))
+    return LG.sessionize_logged(log, CFG)
+
+
+# ---------------------------------------------------------------- X3 streaming
+
+from pyspark.sql import types as T  # noqa: E402
+
+from sessionlake.streaming import stream as SX  # noqa: E402
+
+STREAM_CHUNK = 5 * 86400  # one input file per producer per 5 days of event time
+_STREAM_INPUT = T.StructType(
+    [
+        T.StructField("stream_key", T.LongType()),
+        T.StructField("seq", T.LongType()),
+        T.StructField("ts_us", T.LongType()),
+        T.StructField("t", T.LongType()),
+        T.StructField("kind", T.StringType()),
+        T.StructField("app_id", T.StringType()),
+        T.StructField("workspace", T.IntegerType()),
+    ]
+)
+
+
+def _write_stream_input(spark, sf, root: str, producers: int = 2) -> list[str]:
+    """Land the event log as files of two producers (split by seq), in event-time order.
+
+    Each 5-day chunk is one file per producer, written oldest first, so the file
+    source replays them in time order; a sentinel row past the horizon ends each
+    producer's input so the watermark can close the last seconds.
+    """
+    ev = _events(spark, sf).select(*_LOG_COLS).withColumn("_chunk", F.floor(F.col("t") / STREAM_CHUNK))
+    lo, hi = ev.agg(F.min("_chunk"), F.max("_chunk")).first()
+    dirs = [f"{root}/producer={p}" for p in range(producers)]
+    for chunk in range(int(lo), int(hi) + 1):
+        part = ev.filter(F.col("_chunk") == chunk).drop("_chunk")
+        for p, d in enumerate(dirs):
+            part.filter(F.pmod(F.col("seq"), F.lit(producers)) == p).coalesce(1).write.mode("append").parquet(d)
+    end_s = H + 2 * 86400
+    sentinel = spark.createDataFrame(
+        [(SX.SENTINEL_KEY, 0, end_s * 1_000_000, end_s, "end", None, None)], _STREAM_INPUT
+    )
+    for d in dirs:
+        sentinel.coalesce(1).write.mode("append").parquet(d)
+    return dirs
+
+
+@register("sessionize_stream", _with_sessions(f"SELECT {SESSION_COLS_SQL} FROM sessions"))
+def sessionize_stream(spark, sf):
+    """X3 + X7 + X8: two producer streams -> keyed state -> upsert log -> compacted sessions."""
+    from sessionlake.config import storage_root
+
+    root = storage_root(spark, "stream")
+    dirs = _write_stream_input(spark, sf, f"{root}/input")
+    streams = [
+        spark.readStream.schema(_STREAM_INPUT).option("maxFilesPerTrigger", 1).parquet(d) for d in dirs
+    ]
+    merged = EN.merge_sources(*streams)
+    upserts = SX.sessionize_stream(merged, CFG, horizon=H, watermark_delay="1 day")
+    SX.run_to_completion(spark, upserts, f"{root}/upserts", f"{root}/checkpoint")
+    return SX.read_compacted(spark, f"{root}/upserts")

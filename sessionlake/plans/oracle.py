@@ -52,7 +52,14 @@ def machine_ctes(interval: int, min_dur: int, horizon: int, hidden=(), mode: str
     hid = _sql_list(hidden)
     boundary = mode == "boundary"
     # flush time x of a step (NULL = no flush)
-    if boundary:
+    logged = mode == "logged"
+    if logged:
+        event_flush = f"""CASE WHEN x.kind = 'idle_on' AND x.has_cur AND x.c_act THEN x.t
+              WHEN x.kind = 'tick' AND x.has_cur AND x.t - x.lf >= {I} THEN x.t
+              WHEN x.kind = 'flush' AND x.has_cur THEN x.t END"""
+        tick_flush = "CAST(NULL AS BIGINT)"
+        first_tick = "CAST(NULL AS BIGINT)"
+    elif boundary:
         event_flush = """CASE WHEN x.has_cur AND (
                  (x.kind = 'focus' AND NOT x.hidden)
               OR (x.kind = 'idle_on' AND x.c_act)
@@ -101,7 +108,8 @@ st AS (
     CASE WHEN y.saves_old THEN y.c_act ELSE y.o_act END,
     CASE WHEN y.saves_old THEN y.c_app ELSE y.o_app END,
     CASE WHEN y.saves_old THEN y.c_ws ELSE y.o_ws END,
-    CASE WHEN y.ph = 1 AND y.fx IS NOT NULL THEN y.fx ELSE y.lf END,
+    CASE WHEN y.ph = 1 AND y.fx IS NOT NULL THEN y.fx
+         WHEN y.ph = 0 AND y.kind = 'tick' AND y.fx IS NOT NULL THEN y.fx ELSE y.lf END,
     -- saved sessions: flush at fx
     y.sseq + CASE WHEN y.ok AND NOT y.same THEN 1 ELSE 0 END,
     CASE WHEN y.ok AND NOT y.same THEN y.c_start ELSE y.s_start END,
@@ -161,10 +169,28 @@ st AS (
 )"""
 
 
+def ticked_events_cte(horizon: int, every: int = 3600) -> str:
+    """CTE ``se`` with explicit tick rows added: every ``every`` s from the first full
+    period after a stream's first event through the horizon (logged mode input)."""
+    base = mapped_events_cte().replace("\nse AS (", "\nse_ev AS (")
+    return (
+        base
+        + f""",
+se AS (
+  SELECT stream_key, seq, ts_us, t, kind, app_id, workspace FROM se_ev
+  UNION ALL
+  SELECT stream_key, CAST(4611686018427387904 AS BIGINT) AS seq, g * 1000000 + 999999 AS ts_us, g AS t,
+         'tick' AS kind, CAST(NULL AS VARCHAR) AS app_id, CAST(NULL AS INTEGER) AS workspace
+  FROM (SELECT stream_key, unnest(generate_series(t0 - (t0 % {every}) + {every}, {int(horizon)}, {every})) AS g
+        FROM (SELECT stream_key, min(t) AS t0 FROM se_ev GROUP BY stream_key))
+)"""
+    )
+
+
 def sessions_ctes(interval: int, min_dur: int, horizon: int, hidden=(), mode: str = "interval") -> str:
     """All CTEs up to ``sessions`` (stream_key, session_seq, start, end, state)."""
     return (
-        mapped_events_cte()
+        (ticked_events_cte(horizon) if mode == "logged" else mapped_events_cte())
         + ","
         + machine_ctes(interval, min_dur, horizon, hidden, mode)
         + """,
