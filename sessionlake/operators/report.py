@@ -69,63 +69,52 @@ def time_report(
     from_: int | None = None,
     to: int | None = None,
 ) -> DataFrame:
-    """Time per state plus the two totals, in one aggregation pass.
+    """Time per state plus the two totals, in one pass over the sessions.
 
-    One ``GROUPING SETS`` aggregate gives the per-state rows
-    (stream_key, is_active, app_id, workspace) and the per-activity totals
-    (stream_key, is_active); ``grouping_id`` tells them apart. Rows:
-    ``kind = 'state'`` with ``label`` (state display text), ``position`` (O5 order
-    within the stream: by time or by label, ascending or descending, label as
-    tie breaker); ``kind = 'total'`` with label ``Total screen time`` or
-    ``Idle time`` (0 when there is none).
+    The per-state sums group by ``(stream_key, is_active, app_id, workspace)``;
+    sessions coming out of the sessionizer are already hash-partitioned by
+    ``stream_key``, so this aggregate adds no shuffle. The totals (A1, A3) are
+    window sums over the few state rows of each stream, and the two total rows
+    are emitted next to the stream's first state row by one ``explode`` - no
+    second aggregate, no union, nothing computed twice. Rows:
+    ``kind = 'state'`` with ``label`` (state display text) and ``position`` (O5
+    order within the stream: by time or by label, ascending or descending,
+    label as tie breaker); ``kind = 'total'`` with label ``Total screen time``
+    or ``Idle time`` (0 when there is none) and NULL position.
     """
     df = sessions
     if from_ is not None or to is not None:
         from sessionlake.operators.query import filter_range
 
         df = filter_range(df, from_, to)
-    dur = (F.col("end") - F.col("start")).alias("_d")
-    agg = (
-        df.select("stream_key", "is_active", "app_id", "workspace", dur)
-        .groupingSets(
-            [["stream_key", "is_active", "app_id", "workspace"], ["stream_key", "is_active"]],
-            "stream_key",
-            "is_active",
-            "app_id",
-            "workspace",
-        )
-        .agg(F.sum("_d").cast("long").alias("seconds"), F.grouping_id().alias("_gid"))
-    )
-    states = agg.filter(F.col("_gid") == 0).select(
-        "stream_key",
-        F.lit("state").alias("kind"),
-        state_label().alias("label"),
-        "seconds",
+    states = df.groupBy("stream_key", "is_active", "app_id", "workspace").agg(
+        F.sum(F.col("end") - F.col("start")).cast("long").alias("seconds")
     )
+    states = states.select("stream_key", "is_active", state_label().alias("label"), "seconds")
     key = F.col("seconds") if by_time else F.col("label")
     order = [key.asc() if ascending else key.desc(), F.col("label").asc() if ascending else F.col("label").desc()]
     w = Window.partitionBy("stream_key").orderBy(*order)
-    states = states.withColumn("position", F.row_number().over(w).cast("long"))
-    totals_raw = agg.filter(F.col("_gid") != 0)
-    # every stream gets both totals, 0 when it has no session of that kind
-    totals = totals_raw.groupBy("stream_key").agg(
-        F.coalesce(F.sum(F.when(F.col("is_active"), F.col("seconds"))), F.lit(0)).cast("long").alias("active"),
-        F.coalesce(F.sum(F.when(~F.col("is_active"), F.col("seconds"))), F.lit(0)).cast("long").alias("idle"),
-    )
-    totals = totals.select(
+    whole = Window.partitionBy("stream_key")
+    ranked = states.select(
         "stream_key",
-        F.inline(
-            F.array(
-                F.struct(F.lit("Total screen time").alias("label"), F.col("active").alias("seconds")),
-                F.struct(F.lit("Idle time").alias("label"), F.col("idle").alias("seconds")),
-            )
-        ),
-    ).select(
-        "stream_key",
-        F.lit("total").alias("kind"),
         "label",
         "seconds",
-        F.lit(None).cast("long").alias("position"),
+        F.row_number().over(w).cast("long").alias("position"),
+        F.coalesce(F.sum(F.when(F.col("is_active"), F.col("seconds"))).over(whole), F.lit(0)).cast("long").alias("_act"),
+        F.coalesce(F.sum(F.when(~F.col("is_active"), F.col("seconds"))).over(whole), F.lit(0)).cast("long").alias("_idle"),
     )
-    out = states.unionByName(totals)
-    return out.withColumn("duration_text", human_duration("seconds"))
+    row = lambda kind, label, secs, pos: F.struct(
+        F.lit(kind).alias("kind"), label.alias("label"), secs.alias("seconds"), pos.alias("position")
+    )
+    null_pos = F.lit(None).cast("long")
+    mine = row("state", F.col("label"), F.col("seconds"), F.col("position"))
+    rows = F.when(
+        F.col("position") == 1,
+        F.array(
+            mine,
+            row("total", F.lit("Total screen time"), F.col("_act"), null_pos),
+            row("total", F.lit("Idle time"), F.col("_idle"), null_pos),
+        ),
+    ).otherwise(F.array(mine))
+    out = ranked.select("stream_key", F.inline(rows))
+    return out.select("stream_key", "kind", "label", "seconds", "position", human_duration("seconds").alias("duration_text"))
