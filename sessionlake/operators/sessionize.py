@@ -83,68 +83,61 @@ def fill_workspace(events: DataFrame) -> DataFrame:
     return events.withColumn("ws", ws.over(_upto()).cast("int"))
 
 
-def event_states(events: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
-    """P8 + W2: state before and after every non-workspace event.
-
-    Output keeps the input columns plus ``ws``, ``before`` and ``after`` (structs
-    of is_active, app_id, workspace; NULL = no current session yet).
-    """
-    ev = fill_workspace(drop_hidden(prepare_events(events), config.hidden_applications))
-    ev = ev.filter(F.col("kind") != "workspace")
+def own_state() -> Column:
+    """The state a row sets (focus: its app on the current workspace ``ws``, or
+    idle when focus is lost; idle_on: idle); NULL for rows that set none."""
     kind = F.col("kind")
-    is_focus = kind == "focus"
-    is_idle_on = kind == "idle_on"
-    own = F.when(
-        is_focus,
+    return F.when(
+        kind == "focus",
         F.when(F.col("app_id").isNotNull(), state(F.lit(True), F.col("app_id"), F.col("ws"))).otherwise(
             idle_state()
         ),
-    ).when(is_idle_on, idle_state())
-    ev = ev.withColumn("_own", own)
-    ev = ev.withColumn("_drv", F.last("_own", ignorenulls=True).over(_prior()))
-    saved = F.when(is_idle_on & F.coalesce(F.col("_drv.is_active"), F.lit(False)), F.col("_drv"))
-    ev = ev.withColumn("_old", F.last(saved, ignorenulls=True).over(_prior()))
-    after = (
-        F.when(is_focus | is_idle_on, F.col("_own"))
+    ).when(kind == "idle_on", idle_state())
+
+
+def saved_state() -> Column:
+    """The state an idle_on row saves for a later return (``_drv`` when active)."""
+    return F.when(
+        (F.col("kind") == "idle_on") & F.coalesce(F.col("_drv.is_active"), F.lit(False)), F.col("_drv")
+    )
+
+
+def after_state() -> Column:
+    """State after a row from its own state, the last set state (``_drv``) and the saved one (``_old``)."""
+    kind = F.col("kind")
+    return (
+        F.when((kind == "focus") | (kind == "idle_on"), F.col("_own"))
         .when(F.col("_drv").isNull(), F.lit(None))
         .when(F.col("_drv.is_active"), F.col("_drv"))
         .otherwise(F.coalesce(F.col("_old"), idle_state()))
     )
-    ev = ev.withColumn("after", after)
+
+
+def _event_states_plain(events: DataFrame, config: SessionConfig) -> DataFrame:
+    """P8 + W2 on the plain plan (all of a stream in one window partition).
+
+    Output keeps the input columns plus ``ws``, ``before`` and ``after`` (structs
+    of is_active, app_id, workspace; NULL = no current session yet).
+    """
+    ev = fill_workspace(drop_hidden(prepare_events(events), config.hidden_applications))
+    ev = ev.filter(F.col("kind") != "workspace")
+    ev = ev.withColumn("_own", own_state())
+    ev = ev.withColumn("_drv", F.last("_own", ignorenulls=True).over(_prior()))
+    ev = ev.withColumn("_old", F.last(saved_state(), ignorenulls=True).over(_prior()))
+    ev = ev.withColumn("after", after_state())
     ev = ev.withColumn("before", F.lag("after").over(stream_window()))
     return ev.withColumnRenamed("_old", "old_state").drop("_own", "_drv")
 
 
-def _is_opener() -> Column:
+def is_opener() -> Column:
     return F.col("after").isNotNull() & (
         (F.col("kind") == "focus") | ~F.col("after").eqNullSafe(F.col("before"))
     )
 
 
-def segments(
-    events: DataFrame, config: SessionConfig = SessionConfig(), horizon: int | None = None
-) -> DataFrame:
-    """One row per segment (opener) with its start, end bound and last flush.
-
-    Columns: stream_key, seq, start, end_t (next opener or horizon + 1),
-    next_kind, state, flush_t (NULL = never flushed), kept (passes P3).
-    """
-    ev = event_states(events, config).filter(_is_opener())
-    w = stream_window()
-    ev = ev.select(
-        KEY,
-        "seq",
-        "ts_us",
-        F.col("t").alias("start"),
-        F.col("after").alias("state"),
-        F.lead("t").over(w).alias("_next_t"),
-        F.lead("kind").over(w).alias("next_kind"),
-        F.first("t").over(_upto()).alias("_first_t"),
-        # horizon default: the key's last event second
-        (F.lit(horizon) if horizon is not None else F.max("t").over(Window.partitionBy(KEY))).alias(
-            "_horizon"
-        ),
-    )
+def finish_segments(ev: DataFrame, config: SessionConfig) -> DataFrame:
+    """Flush time and P3 for opener rows carrying ``start``, ``state``, ``_next_t``,
+    ``next_kind``, ``_first_t`` (first opener of the key) and ``_horizon``."""
     interval = F.lit(int(config.flush_interval))
     end_t = F.coalesce(F.col("_next_t"), F.col("_horizon") + 1)
     if config.flush == "interval":
@@ -166,13 +159,34 @@ def segments(
     return ev.withColumn("kept", kept).drop("_next_t", "_first_t", "_horizon")
 
 
+def _segments_plain(events: DataFrame, config: SessionConfig, horizon: int | None) -> DataFrame:
+    """W3 on the plain plan."""
+    ev = _event_states_plain(events, config).filter(is_opener())
+    w = stream_window()
+    ev = ev.select(
+        KEY,
+        "seq",
+        "ts_us",
+        F.col("t").alias("start"),
+        F.col("after").alias("state"),
+        F.lead("t").over(w).alias("_next_t"),
+        F.lead("kind").over(w).alias("next_kind"),
+        F.first("t").over(_upto()).alias("_first_t"),
+        # horizon default: the key's last event second
+        (F.lit(horizon) if horizon is not None else F.max("t").over(Window.partitionBy(KEY))).alias(
+            "_horizon"
+        ),
+    )
+    return finish_segments(ev, config)
+
+
 def min_duration(segs: DataFrame) -> DataFrame:
     """Keep only segments whose last flush passed the duration filter."""
     return segs.filter(F.col("kept"))
 
 
-def run_islands(kept_segments: DataFrame) -> DataFrame:
-    """Number runs of equal state among kept segments (1-based per key)."""
+def _run_islands_plain(kept_segments: DataFrame) -> DataFrame:
+    """W4 on the plain plan: number runs of equal state among kept segments (1-based per key)."""
     w = stream_window()
     change = (~F.col("state").eqNullSafe(F.lag("state").over(w))).cast("int")
     changed = kept_segments.withColumn("_chg", F.coalesce(change, F.lit(1)))
@@ -204,10 +218,108 @@ def merge_runs(islands: DataFrame, with_counts: bool = False) -> DataFrame:
 
 SESSION_COLUMNS = ["stream_key", "session_seq", "start", "end", "is_active", "app_id", "workspace"]
 
+# ---------------------------------------------------------------- public entry points
+# Every entry point splits hot streams (more than ``hot_key_rows`` rows) from the
+# rest: ordinary streams take the plain one-shuffle plan, hot streams the chunked
+# plan of ``operators.skew``; results are unioned. ``hot_key_rows=None`` turns the
+# split off.
+
+HOT_KEY_ROWS = 5_000_000  # a stream with more rows than this takes the chunked plan
+ROWS_PER_CHUNK = 1_000_000  # target rows per time chunk of a hot stream
+
+
+def _skew():
+    from sessionlake.operators import skew
+
+    return skew
+
+
+def _split(events, config, hot_key_rows, rows_per_chunk):
+    """(ordinary rows, hot rows) - or (all rows, None) when no stream is hot.
+
+    The check is one small aggregate job; without hot streams the plan is
+    exactly the plain one.
+    """
+    return _skew().split_hot(prepare_events(events), config, hot_key_rows, rows_per_chunk)
+
+
+def event_states(
+    events: DataFrame,
+    config: SessionConfig = SessionConfig(),
+    hot_key_rows: int | None = HOT_KEY_ROWS,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """P8 + W2: state before and after every non-workspace event.
+
+    Output keeps the input columns plus ``ws``, ``before``, ``after`` (structs of
+    is_active, app_id, workspace; NULL = no current session yet) and ``old_state``.
+    """
+    if hot_key_rows is None:
+        return _event_states_plain(events, config)
+    cold, hot = _split(events, config, hot_key_rows, rows_per_chunk)
+    plain = _event_states_plain(cold, config)
+    if hot is None:
+        return plain
+    chunked = _skew().chunked_event_states(hot, config).select(*plain.columns)
+    return plain.unionByName(chunked)
+
+
+def segments(
+    events: DataFrame,
+    config: SessionConfig = SessionConfig(),
+    horizon: int | None = None,
+    hot_key_rows: int | None = HOT_KEY_ROWS,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+) -> DataFrame:
+    """One row per segment (opener) with its start, end bound and last flush.
+
+    Columns: stream_key, seq, ts_us, start, state, next_kind, end_t (next opener
+    or horizon + 1), flush_t (NULL = never flushed), grid_t1, kept (passes P3),
+    chunk (NULL for streams on the plain plan).
+    """
+    if hot_key_rows is None:
+        return _segments_plain(events, config, horizon)
+    cold, hot = _split(events, config, hot_key_rows, rows_per_chunk)
+    if hot is None:
+        return _segments_plain(cold, config, horizon)
+    plain = _segments_plain(cold, config, horizon).withColumn("chunk", F.lit(None).cast("long"))
+    chunked = _skew().chunked_segments(hot, config, horizon).select(*plain.columns)
+    return plain.unionByName(chunked)
+
+
+def run_islands(kept_segments: DataFrame) -> DataFrame:
+    """Number runs of equal state among kept segments (1-based per key).
+
+    Rows of hot streams (``chunk`` set) are numbered with the chunked prefix sum.
+    """
+    if "chunk" not in kept_segments.columns:
+        return _run_islands_plain(kept_segments)
+    plain = _run_islands_plain(kept_segments.filter(F.col("chunk").isNull()))
+    chunked = _skew().chunked_islands(kept_segments.filter(F.col("chunk").isNotNull()))
+    return plain.unionByName(chunked.select(*plain.columns))
+
 
 def sessionize(
-    events: DataFrame, config: SessionConfig = SessionConfig(), horizon: int | None = None
+    events: DataFrame,
+    config: SessionConfig = SessionConfig(),
+    horizon: int | None = None,
+    hot_key_rows: int | None = HOT_KEY_ROWS,
+    rows_per_chunk: int = ROWS_PER_CHUNK,
 ) -> DataFrame:
-    """Event log -> sessions (stream_key, session_seq, start, end, state columns)."""
-    segs = min_duration(segments(events, config, horizon))
-    return merge_runs(run_islands(segs)).select(*SESSION_COLUMNS)
+    """Event log -> sessions (stream_key, session_seq, start, end, state columns).
+
+    Ordinary streams: one shuffle on ``stream_key``, one sort, all windows, and a
+    final aggregate that reuses the partitioning. Hot streams: the chunked plan.
+    """
+    def plain(ev):
+        segs = min_duration(_segments_plain(ev, config, horizon))
+        return merge_runs(_run_islands_plain(segs)).select(*SESSION_COLUMNS)
+
+    if hot_key_rows is None:
+        return plain(events)
+    cold, hot = _split(events, config, hot_key_rows, rows_per_chunk)
+    if hot is None:
+        return plain(cold)
+    hot_segs = min_duration(_skew().chunked_segments(hot, config, horizon))
+    hot_sessions = merge_runs(_skew().chunked_islands(hot_segs)).select(*SESSION_COLUMNS)
+    return plain(cold).unionByName(hot_sessions)

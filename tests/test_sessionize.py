@@ -97,3 +97,48 @@ def test_hidden_focus_is_ignored(spark):
     out = sessionize(df, SessionConfig(1, 0, ("hid",)), 30).orderBy("session_seq").collect()
     # the hidden app's time is credited to a, up to the last tick before b
     assert [(r.start, r.end, r.app_id) for r in out] == [(1, 19, "a"), (20, 30, "b")]
+
+
+@pytest.mark.parametrize("interval,min_dur,rows_per_chunk", [(1, 0, 3), (5, 5, 7), (15, 10, 2)])
+def test_hot_stream_plan_equals_plain_plan(spark, interval, min_dur, rows_per_chunk):
+    """Streams above the hot threshold go through the chunked prefix scans; same sessions."""
+    rng = random.Random(7 + interval + rows_per_chunk)
+    data, expected = [], {}
+    for key in range(60):
+        rows = random_script(rng, rng.randint(1, 60))
+        data += event_rows(rows, key)
+        expected[key] = machine_sessions(rows, interval, min_dur, ("hid",), 2500)
+    df = spark.createDataFrame(data, EVENT_SCHEMA)
+    cfg = SessionConfig(interval, min_dur, ("hid",))
+    out = sessionize(df, cfg, 2500, hot_key_rows=10, rows_per_chunk=rows_per_chunk).collect()
+    got = {}
+    for r in sorted(out, key=lambda r: (r.stream_key, r.session_seq)):
+        got.setdefault(r.stream_key, []).append((r.start, r.end, (r.is_active, r.app_id, r.workspace)))
+    for key in range(60):
+        assert got.get(key, []) == expected[key], key
+
+
+def test_hot_stream_intermediates_equal_plain(spark):
+    """event_states, segments and run islands agree between the two plans."""
+    from sessionlake.operators import sessionize as X
+
+    rng = random.Random(99)
+    data = []
+    for key in range(30):
+        data += event_rows(random_script(rng, rng.randint(5, 80)), key)
+    df = spark.createDataFrame(data, EVENT_SCHEMA)
+    cfg = SessionConfig(5, 3, ("hid",))
+
+    def rows(frame, cols):
+        return sorted(tuple(r) for r in frame.select(*cols).collect())
+
+    st_cols = ["stream_key", "seq", "ws", "before", "after", "old_state"]
+    assert rows(X.event_states(df, cfg, hot_key_rows=None), st_cols) == rows(
+        X.event_states(df, cfg, hot_key_rows=20, rows_per_chunk=4), st_cols
+    )
+    seg_cols = ["stream_key", "seq", "start", "end_t", "next_kind", "flush_t", "grid_t1", "kept", "state"]
+    plain = X.segments(df, cfg, 3000, hot_key_rows=None)
+    hot = X.segments(df, cfg, 3000, hot_key_rows=20, rows_per_chunk=4)
+    assert rows(plain, seg_cols) == rows(hot, seg_cols)
+    isl = ["stream_key", "seq", "session_seq", "_run_start"]
+    assert rows(X.run_islands(X.min_duration(plain)), isl) == rows(X.run_islands(X.min_duration(hot)), isl)
