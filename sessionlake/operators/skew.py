@@ -134,7 +134,8 @@ def split_hot(
     hot_rows = tagged.filter(F.col("_chunk_s").isNotNull()).withColumn(
         "chunk", F.floor((F.col("t") - F.col("_t0")) / F.col("_chunk_s")).cast("long")
     ).drop("_t0", "_chunk_s")
-    return cold, cut(hot_rows.repartition(*KC))
+    # partitioned by (stream_key, chunk) once; checkpoints keep that partitioning
+    return cold, hot_rows.repartition(*KC)
 
 
 def cut(df: DataFrame) -> DataFrame:
