@@ -167,6 +167,12 @@ def sessionize_boundary(spark, sf):
     return _sessions(spark, sf, CFG_BOUNDARY)
 
 
+@register("sessionize_hot_split", _with_sessions(f"SELECT {SESSION_COLS_SQL} FROM sessions"))
+def sessionize_hot_split(spark, sf):
+    """X1 with thresholds so low that most streams take the chunked hot-stream plan."""
+    return X.sessionize(_events(spark, sf), CFG, H, hot_key_rows=40, rows_per_chunk=12)
+
+
 @register(
     "fill_workspace",
     _with_machine("SELECT stream_key, seq, kind, ws FROM steps WHERE ph = 0", extra=_EVENT_STEPS),
