@@ -72,9 +72,16 @@ def _order_if(value: Column) -> Column:
     return F.when(value.isNotNull(), F.struct("ts_us", "seq"))
 
 
-def with_last_before(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Add ``name`` = last non-null ``value`` over all earlier chunks of the stream."""
-    df = cut(df)
+def with_last_before(df: DataFrame, value: str, name: str, materialize: bool = True) -> DataFrame:
+    """Add ``name`` = last non-null ``value`` over all earlier chunks of the stream.
+
+    ``materialize`` checkpoints the input first. A level without it reads its
+    input twice from the previous level's checkpoint (window passes that need
+    no shuffle and no sort, and the carry broadcast is reused), so cutting every
+    second level halves the checkpoint writes and keeps the plan two copies wide.
+    """
+    if materialize:
+        df = cut(df)
     v = F.col(value)
     summary = df.groupBy(*KC).agg(F.max_by(v, _order_if(v)).alias("_v"))
     carry = summary.select(*KC, F.last("_v", ignorenulls=True).over(_chunks_before()).alias(name))
@@ -125,17 +132,29 @@ def split_hot(
     hot_key_rows: int = DEFAULT_HOT_KEY_ROWS,
     rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK,
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows of ordinary streams, rows of hot streams with ``chunk``, ``_t_first``, ``_tmax``)."""
-    hot = hot_streams(events, config, hot_key_rows, rows_per_chunk)
-    if hot.isEmpty():
+    """(rows of ordinary streams, rows of hot streams with ``chunk``, ``_t_first``, ``_tmax``).
+
+    The hot-stream table is computed once (one scan of the pruned columns and a
+    partial aggregate) and kept: the emptiness check and the broadcast that tags
+    the rows read it from there instead of aggregating the events again. It is
+    small by construction; a lost block is recomputed from its lineage.
+    """
+    hot = hot_streams(events, config, hot_key_rows, rows_per_chunk).persist()
+    if hot.count() == 0:
+        hot.unpersist()
         return events, None
     tagged = events.join(F.broadcast(hot), KEY, "left")
     cold = tagged.filter(F.col("_chunk_s").isNull()).drop("_t0", "_tmax", "_t_first", "_chunk_s")
     hot_rows = tagged.filter(F.col("_chunk_s").isNotNull()).withColumn(
         "chunk", F.floor((F.col("t") - F.col("_t0")) / F.col("_chunk_s")).cast("long")
     ).drop("_t0", "_chunk_s")
-    # partitioned by (stream_key, chunk) once; checkpoints keep that partitioning
-    return cold, hot_rows.repartition(*KC)
+    # partitioned by (stream_key, chunk) once; checkpoints keep that partitioning.
+    # More partitions than chunks would only be empty ones.
+    n_chunks = hot.select(
+        F.sum(F.floor((F.col("_tmax") - F.col("_t0")) / F.col("_chunk_s")) + 1).alias("n")
+    ).first()["n"]
+    shuffle_parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cold, hot_rows.repartition(max(1, min(int(n_chunks), shuffle_parts)), *KC)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -144,11 +163,25 @@ def cut(df: DataFrame) -> DataFrame:
     Each carry level reads its input twice (per-chunk summary and join back);
     without a cut the plan would double at every level. Reliable checkpoints
     live in ``spark.checkpoint.dir`` and survive executor loss.
+
+    A checkpoint records the partitioning and sort order of the plan that wrote
+    it only when that plan is not adaptive (an adaptive plan may still coalesce
+    its partitions, so it reports none). The chunked plan depends on both: the
+    windows and per-chunk aggregates after a cut then read it in place, with no
+    exchange and no sort. So the writing job runs with AQE off; the setting is
+    restored right after.
     """
     from sessionlake.config import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 # ---------------------------------------------------------------- chunked plan
@@ -166,7 +199,7 @@ def chunked_event_states(hot: DataFrame, config: SessionConfig) -> DataFrame:
     # Last set state
     ev = ev.withColumn("_own", own_state())
     ev = ev.withColumn("_drv_l", F.last("_own", ignorenulls=True).over(_cprior()))
-    ev = with_last_before(ev, "_own", "_drv_in")
+    ev = with_last_before(ev, "_own", "_drv_in", materialize=False)
     ev = ev.withColumn("_drv", F.coalesce("_drv_l", "_drv_in")).drop("_drv_l", "_drv_in")
     # Saved (old) state
     ev = ev.withColumn("_sv", saved_state())
@@ -177,7 +210,7 @@ def chunked_event_states(hot: DataFrame, config: SessionConfig) -> DataFrame:
     # so the last non-null "after" of earlier chunks is the previous row's
     ev = ev.withColumn("after", after_state())
     ev = ev.withColumn("_bef_l", F.lag("after").over(_cw()))
-    ev = with_last_before(ev, "after", "_after_in")
+    ev = with_last_before(ev, "after", "_after_in", materialize=False)
     ev = ev.withColumn("before", F.coalesce("_bef_l", "_after_in")).drop("_bef_l", "_after_in")
     return ev.withColumnRenamed("_old", "old_state").drop("_own", "_drv")
 
@@ -205,9 +238,13 @@ def chunked_segments(hot: DataFrame, config: SessionConfig, horizon: int | None)
 
 
 def chunked_islands(kept: DataFrame) -> DataFrame:
-    """W4 for hot kept segments: ``session_seq`` as a prefix sum over chunks."""
+    """W4 for hot kept segments: ``session_seq`` as a prefix sum over chunks.
+
+    No checkpoint here: the input is two window passes over the checkpoint that
+    ``with_first_after`` wrote, so the summary and the rows re-read that one.
+    """
     w = _cw()
-    df = cut(kept.withColumn("_first_in_chunk", F.row_number().over(w) == 1))
+    df = kept.withColumn("_first_in_chunk", F.row_number().over(w) == 1)
     df = df.withColumn("_chg_l", (~F.col("state").eqNullSafe(F.lag("state").over(w))).cast("int"))
     order = F.struct("ts_us", "seq")
     summary = df.groupBy(*KC).agg(
