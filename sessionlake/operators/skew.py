@@ -7,9 +7,11 @@ This module splits such streams into time chunks and still computes exactly
 the same result.
 
 1. ``hot_streams``: rows, first and last second per stream (a partial
-   aggregate); streams above ``hot_key_rows`` are hot. The table has at most
-   ``total_rows / hot_key_rows`` rows - that is its size bound, so it is
-   broadcast to tag the events (no shuffle of the events for tagging).
+   aggregate over two columns); streams above ``hot_key_rows`` are hot. The
+   table has at most ``total_rows / hot_key_rows`` rows - that is its size
+   bound, so it is broadcast to tag the events (no shuffle of the events for
+   tagging). Only when it is not empty, ``first_setters`` adds each hot
+   stream's first state-setting second.
 2. A hot stream is cut into chunks of about ``rows_per_chunk`` rows by event
    time; windows run per ``(stream_key, chunk)`` - one shuffle on that pair.
 3. Every "last value strictly before" of the plain plan becomes
@@ -102,28 +104,37 @@ def with_first_after(df: DataFrame, value: str, name: str) -> DataFrame:
 
 def hot_streams(
     events: DataFrame,
-    config: SessionConfig,
     hot_key_rows: int = DEFAULT_HOT_KEY_ROWS,
     rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK,
 ) -> DataFrame:
     """Streams with more than ``hot_key_rows`` rows and their chunk width in seconds.
 
-    Also carries the stream's first setter second (its first opener: the grid
-    origin) and last second (default horizon).
+    Reads only ``stream_key`` and the time (the scan prunes every other column),
+    and aggregates map-side first, so on the common input without hot streams
+    the check costs a narrow scan and a small shuffle.
     """
-    kind = F.col("kind")
-    hidden = list(config.hidden_applications)
-    is_hidden = F.col("app_id").isin(hidden) if hidden else F.lit(False)
-    setter = (kind == "idle_on") | ((kind == "focus") & ~F.coalesce(is_hidden, F.lit(False)))
     stats = events.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("t").alias("_t0"),
         F.max("t").alias("_tmax"),
-        F.min(F.when(setter, F.col("t"))).alias("_t_first"),
     )
     hot = stats.filter(F.col("_n") > F.lit(int(hot_key_rows)))
     width = F.ceil((F.col("_tmax") - F.col("_t0") + 1) * F.lit(int(rows_per_chunk)) / F.col("_n"))
-    return hot.select(KEY, "_t0", "_tmax", "_t_first", F.greatest(width, F.lit(1)).cast("long").alias("_chunk_s"))
+    return hot.select(KEY, "_t0", "_tmax", F.greatest(width, F.lit(1)).cast("long").alias("_chunk_s"))
+
+
+def first_setters(events: DataFrame, hot: DataFrame, config: SessionConfig) -> DataFrame:
+    """The first setter second of each hot stream (its first opener: the grid origin).
+
+    Runs only when hot streams exist; the semi join against the bounded
+    hot-stream table is a broadcast, the aggregate is partial first.
+    """
+    kind = F.col("kind")
+    hidden = list(config.hidden_applications)
+    is_hidden = F.col("app_id").isin(hidden) if hidden else F.lit(False)
+    setter = (kind == "idle_on") | ((kind == "focus") & ~F.coalesce(is_hidden, F.lit(False)))
+    rows = events.join(F.broadcast(hot.select(KEY)), KEY, "left_semi").filter(setter)
+    return rows.groupBy(KEY).agg(F.min("t").alias("_t_first"))
 
 
 def split_hot(
@@ -134,15 +145,19 @@ def split_hot(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary streams, rows of hot streams with ``chunk``, ``_t_first``, ``_tmax``).
 
-    The hot-stream table is computed once (one scan of the pruned columns and a
-    partial aggregate) and kept: the emptiness check and the broadcast that tags
-    the rows read it from there instead of aggregating the events again. It is
-    small by construction; a lost block is recomputed from its lineage.
+    The hot-stream table is computed once and kept: the emptiness check and the
+    broadcast that tags the rows read it from there instead of aggregating the
+    events again. It is small by construction; a lost block is recomputed from
+    its lineage.
     """
-    hot = hot_streams(events, config, hot_key_rows, rows_per_chunk).persist()
+    hot = hot_streams(events, hot_key_rows, rows_per_chunk).persist()
     if hot.count() == 0:
         hot.unpersist()
         return events, None
+    with_first = hot.join(first_setters(events, hot, config), KEY, "left").persist()
+    with_first.count()
+    hot.unpersist()
+    hot = with_first
     tagged = events.join(F.broadcast(hot), KEY, "left")
     cold = tagged.filter(F.col("_chunk_s").isNull()).drop("_t0", "_tmax", "_t_first", "_chunk_s")
     hot_rows = tagged.filter(F.col("_chunk_s").isNotNull()).withColumn(
