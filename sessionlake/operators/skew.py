@@ -77,10 +77,13 @@ def _order_if(value: Column) -> Column:
 def with_last_before(df: DataFrame, value: str, name: str, materialize: bool = True) -> DataFrame:
     """Add ``name`` = last non-null ``value`` over all earlier chunks of the stream.
 
-    ``materialize`` checkpoints the input first. A level without it reads its
-    input twice from the previous level's checkpoint (window passes that need
-    no shuffle and no sort, and the carry broadcast is reused), so cutting every
-    second level halves the checkpoint writes and keeps the plan two copies wide.
+    ``materialize`` checkpoints the input first. A level without it evaluates
+    the previous level twice (once for its summary, once for the rows): four
+    reads of the last checkpoint with window passes that need no shuffle and no
+    sort. Spark does not reuse the repeated broadcast here (the self join gives
+    the copy new attribute ids), so uncut levels are never chained: cutting every
+    second level keeps the plan two copies wide and trades one checkpoint write
+    for two extra reads.
     """
     if materialize:
         df = cut(df)
