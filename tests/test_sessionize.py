@@ -142,3 +142,55 @@ def test_hot_stream_intermediates_equal_plain(spark):
     assert rows(plain, seg_cols) == rows(hot, seg_cols)
     isl = ["stream_key", "seq", "session_seq", "_run_start"]
     assert rows(X.run_islands(X.min_duration(plain)), isl) == rows(X.run_islands(X.min_duration(hot)), isl)
+
+
+def test_hot_check_reads_key_and_time_only(spark):
+    """The hot-stream check runs on every input: its scan must prune to two columns."""
+    from conftest import SF_SMALL
+    from sessionlake.fixtures import load_session_events
+    from sessionlake.operators import skew
+    from sessionlake.operators.sessionize import prepare_events
+
+    plan = skew.hot_streams(prepare_events(load_session_events(spark, SF_SMALL)))._jdf.queryExecution()
+    scans = [line for line in plan.executedPlan().toString().splitlines() if "ReadSchema" in line]
+    assert len(scans) == 1
+    assert scans[0].split("ReadSchema: ")[1].strip() == "struct<ts:timestamp_ntz,user_id:bigint>"
+
+
+def test_chunked_plan_reads_checkpoints_in_place(spark):
+    """After the one shuffle on (stream_key, chunk), hot rows are never shuffled or re-sorted:
+    checkpoints keep partitioning and order, and the only other exchanges move chunk summaries."""
+    import re
+
+    from sessionlake.operators import skew
+
+    rng = random.Random(5)
+    data = []
+    for key in range(6):
+        data += event_rows(random_script(rng, 80), key)
+    df = spark.createDataFrame(data, EVENT_SCHEMA)
+    cfg = SessionConfig(5, 3, ("hid",))
+    cuts = []
+
+    def check(frame):
+        cut_df = orig_cut(frame)
+        plan = cut_df.groupBy(*skew.KC).count()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan, plan
+        window = cut_df.withColumn("_x", F.row_number().over(skew._cw()))
+        plan = window._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Sort [" not in plan, plan
+        cuts.append(1)
+        return cut_df
+
+    orig_cut = skew.cut
+    skew.cut = check
+    try:
+        sessionize(df, cfg, 3000, hot_key_rows=10, rows_per_chunk=15).collect()
+    finally:
+        skew.cut = orig_cut
+    assert len(cuts) == 3
+    plan = sessionize(df, cfg, 3000, hot_key_rows=10, rows_per_chunk=15)._jdf.queryExecution().executedPlan()
+    shuffles = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.toString())
+    # exchanges of the final job: the plain streams (stream_key), the per-chunk summaries
+    # (stream_key) and the per-session aggregate - none on (stream_key, chunk)
+    assert shuffles and not [s for s in shuffles if re.search(r"\bchunk#", s)], shuffles
