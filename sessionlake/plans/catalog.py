@@ -783,6 +783,15 @@ def normalize_compositor(spark, sf):
     return core
 
 
+@register("normalize_compositor_hot_split", ORACLE["normalize_compositor"])
+def normalize_compositor_hot_split(spark, sf):
+    """S9/J3 with thresholds so low that most windows take the chunked as-of lookup."""
+    core, _rejects = C.normalize_compositor(
+        compositor_events(read_table(spark, sf, "events")), hot_key_rows=3, rows_per_chunk=2
+    )
+    return core
+
+
 # ---------------------------------------------------------------- S1-S5 storage
 
 _STORED_SQL = f'SELECT {SESSION_COLS_SQL}, CAST(start // 86400 AS BIGINT) AS day FROM sessions'

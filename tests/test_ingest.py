@@ -98,3 +98,15 @@ def test_workspaces(spark):
     got = sorted((r.seq, r.kind, r.app_id, r.workspace) for r in core.collect())
     assert got == [(0, "workspace", None, 0), (2, "workspace", None, 3), (3, "focus", "b", None)]
     assert [r.seq for r in rejects.collect()] == [4]
+
+
+def test_hot_window_split_equals_plain(spark):
+    """J3 on the fixture: windows above the hot threshold take the chunked as-of lookup; same rows."""
+    from conftest import SF_SMALL
+    from sessionlake.fixtures import compositor_events, read_table
+
+    ev = compositor_events(read_table(spark, SF_SMALL, "events"))
+    plain, _ = C.normalize_compositor(ev, hot_key_rows=None)
+    split, _ = C.normalize_compositor(ev, hot_key_rows=2, rows_per_chunk=2)
+    assert sorted(plain.collect()) == sorted(split.collect())
+    assert plain.count() > 0
