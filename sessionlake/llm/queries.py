@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import html_text, piece_codec
+from sessionlake.llm import html_text, lang_centroids, piece_codec, toxic_neighbours
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_centroids.identify(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_neighbours.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -27,6 +35,8 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_language": op4_language,
+    "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
 }
