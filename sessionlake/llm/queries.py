@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import html_text, lang_centroids, piece_codec, toxic_neighbours
+from sessionlake.llm import html_text, lang_centroids, near_dedup, piece_codec, toxic_neighbours
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_centroids.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_neighbours.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_language": op4_language,
+    "op5_near_dedup": op5_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
