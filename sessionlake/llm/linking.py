@@ -124,25 +124,29 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
 
 
 def shared_nodes(rows: DataFrame) -> DataFrame:
-    """(node, id): the rows of nodes with two ids or more. One shuffle, no memory of a whole node."""
+    """(node, id): the distinct rows of nodes with two ids or more. One shuffle, no memory of a whole node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[int, int] | None = None  # the last row, if it is not out yet
-        key = None  # the node of the last row
+        node0 = id0 = None  # the last row seen
+        held = False  # it is not out yet, as it began its node
         for batch in batches:
-            if not batch.num_rows:
-                continue
             node, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            new = np.ones(len(node), bool)
+            new[1:] = (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])
+            if len(node) and node0 is not None:
+                new[0] = (node[0], ids[0]) != (node0, id0)
+            node, ids = node[new], ids[new]
+            if not len(node):
+                continue
             same = np.zeros(len(node), bool)
             same[1:] = node[1:] == node[:-1]
-            same[0] = key is not None and key == node[0]
+            same[0] = node0 is not None and node[0] == node0
             keep = same.copy()
             keep[:-1] |= same[1:]
             out_n, out_i = node[keep], ids[keep]
-            if same[0] and before is not None:
-                out_n, out_i = np.insert(out_n, 0, before[0]), np.insert(out_i, 0, before[1])
-            before = None if keep[-1] else (node[-1], ids[-1])
-            key = node[-1]
+            if same[0] and held:
+                out_n, out_i = np.insert(out_n, 0, node0), np.insert(out_i, 0, id0)
+            node0, id0, held = node[-1], ids[-1], not keep[-1]
             yield pa.RecordBatch.from_arrays([pa.array(out_n), pa.array(out_i)], names=["node", "id"])
 
     sorted_rows = rows.select("node", "id").repartition("node").sortWithinPartitions("node", "id")

@@ -114,7 +114,7 @@ def test_runs_stay_whole():
 def test_shared_nodes(spark):
     rng = random.Random(2)
     rows = [(rng.randint(0, 300), i) for i in range(400)] + [(7, 1000 + i) for i in range(100)]
-    got = sorted(tuple(r) for r in linking.shared_nodes(spark.createDataFrame(rows, "node long, id long")).collect())
+    got = sorted(tuple(r) for r in linking.shared_nodes(spark.createDataFrame(rows + rows[:150] + rows[-3:], "node long, id long")).collect())
     n = {}
     for k, _ in rows:
         n[k] = n.get(k, 0) + 1
