@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import html_text, lang_centroids, line_dedup, near_dedup, piece_codec, pivot_search, toxic_neighbours
+from sessionlake.llm import decontaminate, html_text, lang_centroids, line_dedup, near_dedup, piece_codec, pivot_search, toxic_neighbours
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_pivot_search": op3_pivot_search,
@@ -73,6 +77,7 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 #: Only operators that SQL can express over whole tables.
