@@ -39,6 +39,8 @@ UNCOVERED, ENOUGH_SHARE = 0.3, 0.85
 #: Byte lengths of the word beginnings that are terms beside the words themselves.
 BEGINNINGS = (4, 5)
 NEIGHBOURS, BLOCK = 15, 64
+#: A score from which a text is predicted to have the label.
+THRESHOLD = 0.7
 #: Weight of the base rate among the votes, and of nearness in a vote.
 PRIOR, NEAR_POWER = 0.25, 2.0
 
@@ -232,22 +234,41 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) ->
     return index
 
 
-def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, rest: int = 1, threshold: float = 0.7) -> DataFrame:
-    """Per document: key, held_out, score, predicted, evidence (keys of the nearest examples)."""
+def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, modulus: int, rest: int) -> Index:
+    """The index of the labelled documents that aren't held out."""
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias(label))
-    index = fit(docs, known.filter(~held_out(key, modulus, rest)), key, text, label)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most about FIT_ROWS short vectors
+    return fit(docs, known.filter(~held_out(key, modulus, rest)), key, text, label)
+
+
+def score_batch(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+    """Scores from 0 to 1, and the keys of the nearest examples."""
+    s, why = np.full(len(texts), index.no_term), [[]] * len(texts)
+    for i, t, w in index.vectors(texts):
+        docs_, sims = index.nearest(t, w)
+        s[i], why[i] = index.score(docs_, sims), index.key[docs_].tolist()
+    return np.clip(s, 0, 1), why
+
+
+def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, rest: int = 1, threshold: float = THRESHOLD) -> DataFrame:
+    """Per document: key, held_out, score, predicted, evidence (keys of the nearest examples)."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label, modulus, rest))  # at most about FIT_ROWS short vectors
     rows = docs.select(key, held_out(key, modulus, rest).alias("held_out"), text)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            s, why = np.full(batch.num_rows, index.no_term), [[]] * batch.num_rows
-            for i, t, w in index.vectors(batch.column(2)):
-                docs_, sims = index.nearest(t, w)
-                s[i], why[i] = index.score(docs_, sims), index.key[docs_].tolist()
-            s = np.clip(s, 0, 1)
+            s, why = score_batch(shared.value, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, pa.list_(pa.int64()))], names=[key, "held_out", "score", "predicted", "evidence"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int, evidence array<bigint>")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, rest: int = 1, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, that score under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label, modulus, rest))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_batch(shared.value, batch.column(text))[0] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
