@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import decontaminate, html_text, lang_centroids, line_dedup, near_dedup, piece_codec, pivot_search, toxic_neighbours
+from sessionlake.llm import decontaminate, html_text, lang_centroids, line_dedup, near_dedup, piece_codec, pivot_search, substring_dedup, toxic_neighbours
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_neighbours.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op3_pivot_search": op3_pivot_search,
     "op4_language": op4_language,
     "op5_near_dedup": op5_near_dedup,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
