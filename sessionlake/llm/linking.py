@@ -4,13 +4,13 @@ An item is an id with a *signature payload* (binary, turned into minwise values
 and a *set payload* (binary, turned into a sorted set of 64-bit hashes inside tasks). A node is
 a group of ids that may be similar. `resolve` finds the links between the members of all nodes:
 
-- small nodes are compared exhaustively by their signatures;
-- the members of a large node are first compared with a few pivots, and confirmed links are
-  merged into components. Pairs inside one component need no more work. If few members are
-  left outside the node's largest component, these are compared with all members; else the
-  node branches again. What is still large after the last level is compared in blocks;
-- candidate pairs are confirmed on the full sets, those of each node's best spanning forest
-  first; other candidates only if their ends are still in different components.
+- in a small node all members are compared by their signatures, in a large one all with a few
+  pivots. The best spanning forest of the candidates is confirmed on the full sets, and
+  confirmed links are merged into components: pairs inside one need no more work;
+- a large node of one component is done. One with few members outside its largest
+  component waits for the end; others branch to smaller nodes, which are treated alike;
+- at the end all nodes that were small or waited (or were still large after the last level) are
+  compared again: every candidate whose ends are still in different components is confirmed.
 
 So groups of thousands of copies cost work in proportion to their size, no two members of
 different components are skipped, and only ids and single sets ever travel.
@@ -23,20 +23,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.config import storage_root
 from sessionlake.llm.text import U64, mix
 
 #: Members of a node that are compared exhaustively, and pivots of a larger one.
-SMALL, PIVOTS = 48, 4
+SMALL, PIVOTS = 256, 8
 #: Levels of branching before large nodes are compared in blocks.
 LEVELS = 8
 #: Rows of two numbers that may be broadcast (their size is checked by counting them).
 BROADCAST_ROWS = 1_000_000
-#: Candidate rows per Arrow batch that hold two sets.
-SET_ROWS = 256
+#: Edges that one task contracts.
+PART_EDGES = 500_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -83,12 +83,15 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for each id of an edge (a, b), the smallest id that it is connected with.
 
-    Union-find in two steps: parts of the edges are contracted to stars where they lie, then
-    the large-star and small-star rounds join them until nothing changes.
+    Union-find in two steps: parts of at most about `PART_EDGES` edges are contracted to stars
+    where they lie, then large-star and small-star rounds join them until nothing changes
+    (a single part needs none).
     """
-    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").mapInArrow(_forest, "a bigint, b bigint").distinct(), "edges")
+    e = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+    parts = -(-e.count() // PART_EDGES)
+    e = stored(e.coalesce(max(1, parts)).mapInArrow(_forest, "a bigint, b bigint"), "forests")
     seen = None
-    while True:
+    while parts > 1:
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now.n == 0 or (now.n, now.h) == seen:
             break
@@ -168,12 +171,15 @@ class Items:
     percent: int  # 100 * intersection >= percent * union makes a link
 
 
-def _pairs_batch(a: list, b: list, first: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(first, pa.bool_())], names=["a", "b", "first"])
+PAIRS = "a bigint, b bigint"
 
 
-def _compare_small(read: Callable, cut: int) -> Callable:
-    """Candidate pairs (a, b, first) of nodes; ``first``: in the node's best spanning forest."""
+def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def _compare_small(read: Callable, cut: int, forest: bool) -> Callable:
+    """Candidate pairs (a, b) of different components in each node; only a best spanning ``forest``, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs_of(batches, "node"):
@@ -181,34 +187,39 @@ def _compare_small(read: Callable, cut: int) -> Callable:
             node, ids, comp = (table.column(c).to_numpy() for c in ("node", "id", "comp"))
             sig = read(table.column("sig").combine_chunks())
             cuts = np.flatnonzero(np.diff(node)) + 1
-            a, b, first = [], [], []
             for i, j in zip(np.append(0, cuts), np.append(cuts, len(node)), strict=True):
-                s = sig[i:j]
-                x, y = np.triu_indices(j - i, 1)
-                equal = (s[x] == s[y]).sum(axis=1)
-                ok = np.flatnonzero((equal >= cut) & (comp[i:j][x] != comp[i:j][y]))
-                ok = ok[np.argsort(-equal[ok], kind="stable")]
-                root = list(range(j - i))
-                for k in ok:
-                    p, q = int(x[k]), int(y[k])
-                    while root[p] != p:
-                        root[p] = root[root[p]]
-                        p = root[p]
-                    while root[q] != q:
-                        root[q] = root[root[q]]
-                        q = root[q]
-                    root[max(p, q)] = min(p, q)
-                    u, v = int(ids[i + x[k]]), int(ids[i + y[k]])
-                    a.append(max(u, v))
-                    b.append(min(u, v))
-                    first.append(p != q)
-            yield _pairs_batch(a, b, first)
+                s, c = sig[i:j], comp[i:j]
+                x, y, equal = [], [], []
+                for k in range(j - i - 1):
+                    n = (s[k + 1 :] == s[k]).sum(axis=1)
+                    ok = np.flatnonzero((n >= cut) & (c[k + 1 :] != c[k]))
+                    x.append(np.full(len(ok), k))
+                    y.append(ok + k + 1)
+                    equal.append(n[ok])
+                x, y, equal = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y, equal))
+                if forest:
+                    root = {int(v): int(v) for v in c}
+                    keep = []
+                    for k in np.argsort(-equal, kind="stable"):
+                        p, q = int(c[x[k]]), int(c[y[k]])
+                        while root[p] != p:
+                            root[p] = root[root[p]]
+                            p = root[p]
+                        while root[q] != q:
+                            root[q] = root[root[q]]
+                            q = root[q]
+                        if p != q:
+                            root[max(p, q)] = min(p, q)
+                            keep.append(k)
+                    x, y = x[keep], y[keep]
+                if len(x):
+                    yield _pairs_batch([(int(ids[i + u]), int(ids[i + v])) for u, v in zip(x, y, strict=True)])
 
     return run
 
 
-def _compare_probes(read: Callable, cut: int, best_only: bool) -> Callable:
-    """Candidates between a member and its node's probes: the best one first, the rest unless ``best_only``."""
+def _compare_probes(read: Callable, cut: int, best: bool) -> Callable:
+    """Candidates between a member and the ``probes`` of its node in other components; only the ``best``, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,18 +229,15 @@ def _compare_probes(read: Callable, cut: int, best_only: bool) -> Callable:
             ids, comp = np.asarray(batch.column("id")), np.asarray(batch.column("comp"))
             flat, offs = lists.flatten(), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
             pid, pcomp, psig = np.asarray(flat.field("id")), np.asarray(flat.field("comp")), read(flat.field("sig"))
-            a, b, first = [], [], []
+            out = []
             for r in range(batch.num_rows):
                 i, j = offs[r], offs[r + 1]
                 equal = (psig[i:j] == sig[r]).sum(axis=1)
-                ok = np.flatnonzero((equal >= cut) & (pcomp[i:j] != comp[r]) & (pid[i:j] != ids[r]))
-                ok = ok[np.argsort(-equal[ok], kind="stable")]
-                for n, k in enumerate(ok[:1] if best_only else ok):
-                    u, v = int(ids[r]), int(pid[i + k])
-                    a.append(max(u, v))
-                    b.append(min(u, v))
-                    first.append(n == 0)
-            yield _pairs_batch(a, b, first)
+                ok = np.flatnonzero((equal >= cut) & (pcomp[i:j] != comp[r]))
+                if best and len(ok):
+                    ok = ok[np.argmax(equal[ok])][None]
+                out += [(int(ids[r]), int(pid[i + k])) for k in ok]
+            yield _pairs_batch(out)
 
     return run
 
@@ -238,7 +246,7 @@ def confirm(pairs: DataFrame, items: Items) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, stored."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = stored(items.sets(ids, ids.count()), "sets")
+    sets = items.sets(ids, ids.count())
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("data").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("data").alias("y")), "b")
     read, percent = items.read_set, items.percent
 
@@ -257,7 +265,22 @@ def confirm(pairs: DataFrame, items: Items) -> DataFrame:
                     b.append(batch.column(1)[r].as_py())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return stored(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "links")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(run, PAIRS), "links")
+
+
+def labelled(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """The rows with comp: the component of their id, or the id."""
+    if comp is None:
+        return rows.withColumn("comp", F.col("id"))
+    return rows.join(comp.select("id", F.col("component").alias("_c")), "id", "left").withColumn("comp", F.coalesce("_c", "id")).drop("_c")
+
+
+def by_component(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(node, main, outside): each node's largest component and the members outside it, of nodes with several; their number."""
+    parts = rows.groupBy("node", "comp").agg(F.count("*").alias("k"))
+    top = parts.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
+    top = stored(top.select("node", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.k")).alias("outside")), "tops")
+    return top, top.count()
 
 
 def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -266,73 +289,61 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
     ``branch`` (rows of large nodes with sig, level) gives their children, as rows (node, id).
     The links connect every component; not every link inside a component is among them.
     """
-    spark = nodes.sparkSession
-    links = spark.createDataFrame([], "a bigint, b bigint")
+    links = nodes.sparkSession.createDataFrame([], PAIRS)
     comp: DataFrame | None = None
-    rest: list[DataFrame] = []
+    small_nodes: list[DataFrame] = []
+    waiting: list[DataFrame] = []
     nodes = stored(nodes, "nodes")
     for level in range(LEVELS + 1):
         # the same members met in several nodes need one comparison
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
         sizes = stored(sizes.groupBy("n", "h").agg(F.min("node").alias("node")).select("node", "n"), "sizes")
-        few = sizes.agg(F.count("*").alias("nodes"), F.sum("n").alias("n"), F.sum((F.col("n") > SMALL).cast("int")).alias("large")).first()
-        if not few.nodes:
+        size = sizes.agg(F.count("*").alias("nodes"), F.sum((F.col("n") > SMALL).cast("int")).alias("large")).first()
+        if not size.nodes:
             break
-        members = nodes.join(small_side(sizes, few.nodes), "node")
-        members = members.withColumn("comp", F.col("id")) if comp is None else members.join(comp.withColumnRenamed("component", "c"), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
-        members = stored(members.join(items.signatures, "id").select("node", "n", "id", "comp", "sig"), "members")
-
-        small = members.filter(F.col("n") <= SMALL).repartition("node").sortWithinPartitions("node", "id")
-        found = small.select("node", "id", "comp", "sig").mapInArrow(_compare_small(items.read_signatures, items.cut), "a bigint, b bigint, first boolean")
-        children = None
-        if few.large:
-            large = members.filter(F.col("n") > SMALL)
-            parts = large.groupBy("node", "comp").agg(F.count("*").alias("k"))
-            parts = stored(parts, "parts")
-            top = parts.groupBy("node").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n"), F.count("*").alias("comps")).filter("comps > 1")
-            top = stored(top.select("node", F.col("top.comp").alias("main"), (F.col("n") - F.col("top.k")).alias("outside")), "tops")
-            open_nodes = top.count()
-            if open_nodes:
-                large = large.join(small_side(top, open_nodes), "node")
-                last = level == LEVELS
-                near = F.col("outside") <= SMALL
-                probe = F.struct("id", "comp", "sig")
-                # members outside the largest component, in blocks, against all members
-                outside = large.filter((near | F.lit(last)) & (F.col("comp") != F.col("main")))
-                block = F.when(near, F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("outside") / SMALL)))
-                probes = outside.withColumn("block", block).groupBy("node", "block").agg(F.collect_list(probe).alias("probes"))
-                all_of = large.filter(near | F.lit(last)).select("node", "id", "comp", "sig").join(probes, "node")
-                found = found.unionByName(all_of.select("id", "comp", "sig", "probes").mapInArrow(_compare_probes(items.read_signatures, items.cut, False), "a bigint, b bigint, first boolean"))
-                if not last:
-                    # pivots of the others: one of each residue of a hash
-                    others = large.filter(~near)
-                    turn = F.xxhash64("id", F.lit(level))
-                    pivots = others.groupBy("node", F.pmod(turn, F.lit(PIVOTS)).alias("turn")).agg(F.min(F.struct(turn.alias("t"), F.col("id"), F.col("comp"), F.col("sig"))).alias("p"))
-                    pivots = pivots.groupBy("node").agg(F.collect_list(F.struct("p.id", "p.comp", "p.sig")).alias("probes"))
-                    to_pivots = others.select("node", "id", "comp", "sig").join(pivots, "node")
-                    found = found.unionByName(to_pivots.select("id", "comp", "sig", "probes").mapInArrow(_compare_probes(items.read_signatures, items.cut, True), "a bigint, b bigint, first boolean"))
-                    children = branch(others.select("node", "id", "sig"), level + 1)
-        found = stored(found, "candidates")
-        now = confirm(found.filter("first"), items)
-        links = links.unionByName(now)
+        members = nodes.join(small_side(sizes, size.nodes), "node").join(items.signatures, "id")
+        members = stored(labelled(members, comp).select("node", "n", "id", "comp", "sig"), "members")
+        small = members.filter(F.col("n") <= SMALL).select("node", "id", "sig", "comp")
+        small_nodes.append(small.drop("comp"))
+        found = small.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_compare_small(items.read_signatures, items.cut, True), PAIRS)
+        large = members.filter(F.col("n") > SMALL).select("node", "id", "sig", "comp")
+        if size.large:
+            # pivots: one of each residue of a hash
+            turn = F.xxhash64("id", F.lit(level))
+            pivots = large.groupBy("node", F.pmod(turn, F.lit(PIVOTS)).alias("turn")).agg(F.min(F.struct(turn.alias("t"), F.col("id"), F.col("comp"), F.col("sig"))).alias("p"))
+            pivots = pivots.groupBy("node").agg(F.collect_list(F.struct("p.id", "p.comp", "p.sig")).alias("probes"))
+            found = found.unionByName(large.join(pivots, "node").mapInArrow(_compare_probes(items.read_signatures, items.cut, True), PAIRS))
+        links = links.unionByName(confirm(found, items))
         comp = stored(components(links), "components")
-        rest.append(found.filter("not first"))
-        if children is None:
+        if not size.large:
+            break
+        large = stored(labelled(large.drop("comp"), comp), "large-members")
+        top, n = by_component(large)
+        large = large.join(small_side(top, n), "node")
+        waits = (F.col("outside") <= SMALL) | F.lit(level == LEVELS)
+        waiting.append(large.filter(waits).select("node", "id", "sig"))
+        open_rows = large.filter(~waits).select("node", "id", "sig")
+        if level == LEVELS or not n or open_rows.isEmpty():
             break
-        nodes = stored(shared_nodes(children), "nodes")
-    if rest:
-        later = rest[0]
-        for more in rest[1:]:
-            later = later.unionByName(more)
-        later = later.select("a", "b").distinct()
-        for end in ("a", "b"):
-            later = later.join(comp.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left")
-        later = stored(later.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "later")
-        if not later.isEmpty():
-            links = links.unionByName(confirm(later, items))
-            comp = stored(components(links), "components")
+        nodes = stored(shared_nodes(branch(open_rows, level + 1)), "nodes")
+
     if comp is None:
-        comp = spark.createDataFrame([], "id bigint, component bigint")
+        return links, nodes.sparkSession.createDataFrame([], "id bigint, component bigint")
+    found = links.limit(0)
+    for rows in small_nodes:
+        rows = labelled(rows, comp).repartition("node").sortWithinPartitions("node", "id")
+        found = found.unionByName(rows.select("node", "id", "sig", "comp").mapInArrow(_compare_small(items.read_signatures, items.cut, False), PAIRS))
+    for rows in waiting:
+        rows = stored(labelled(rows, comp), "waiting")
+        top, n = by_component(rows)
+        rows = rows.join(small_side(top, n), "node")
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("outside") / SMALL))
+        probes = rows.filter("comp <> main").withColumn("block", block).groupBy("node", "block").agg(F.collect_list(F.struct("id", "comp", "sig")).alias("probes"))
+        found = found.unionByName(rows.select("node", "id", "sig", "comp").join(probes, "node").mapInArrow(_compare_probes(items.read_signatures, items.cut, False), PAIRS))
+    found = stored(found, "later")
+    if not found.isEmpty():
+        links = links.unionByName(confirm(found, items))
+        comp = stored(components(links), "components")
     return links, comp
 
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sessionlake.llm import linking
 from sessionlake.llm.near_dedup import near_duplicates
@@ -65,11 +66,12 @@ def test_same_as_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_branching_and_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [1, 3])
+def test_branching_and_blocks(spark, monkeypatch, levels):
     """Tiny limits send the groups through every level and the last exhaustive one."""
     monkeypatch.setattr(linking, "SMALL", 4)
     monkeypatch.setattr(linking, "PIVOTS", 1)
-    monkeypatch.setattr(linking, "LEVELS", 1)
+    monkeypatch.setattr(linking, "LEVELS", levels)
     rows = corpus(2)
     got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
     assert got == brute(rows)
@@ -82,7 +84,9 @@ def test_repeated_key_and_empty_table(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part", [20, 500_000])
+def test_components(spark, monkeypatch, part):
+    monkeypatch.setattr(linking, "PART_EDGES", part)
     rng = random.Random(3)
     edges = [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(200)] + [(5, 5), (2000, 2001), (2000, 2001)]
     parent = {}
