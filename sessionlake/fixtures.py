@@ -147,6 +147,27 @@ OVERSIZE_PAD = 70000  # characters, over the 64 KiB message limit
 # (padded from a column so the optimizer cannot fold it into a 70 KB literal)
 
 
+# JSON of the wrong shape: unknown and double tags, values of another type.
+UNKNOWN_LINES = [
+    '{"Event":{"Nope":1}}',
+    '{"Event":{"WorkspaceChanged":"3"}}',
+    '{"Event":{"WorkspaceChanged":3.7}}',
+    '{"Event":{"ActiveWindowChanged":5}}',
+    '{"Event":{"ActiveWindowChanged":{"x":1}}}',
+    '{"Event":{"Idle":"true"}}',
+    '{"Event":{"Idle":1}}',
+    '{"Event":{"Idle":true,"WorkspaceChanged":3}}',
+    '{"Event":{"Idle":true},"Ping":null}',
+    '{"Handshake":{"protocol_version":"1","backend_name":"x"}}',
+    '{"Handshake":{"protocol_version":1,"backend_name":7}}',
+    '{"Handshake":{"protocol_version":-1,"backend_name":"x"}}',
+    '{"Event":{"WorkspaceChanged":null}}',
+    '"Pong"',
+    "17",
+    "null",
+]
+
+
 def envelopes(events: DataFrame) -> DataFrame:
     """events -> (stream_key, source, seq, ts, line); source = one of two producers per user."""
     df = session_events(events, extra=("ts", "value"))
@@ -170,11 +191,11 @@ def envelopes(events: DataFrame) -> DataFrame:
             F.concat(
                 F.lit('{"Handshake":{"protocol_version":'),
                 (F.col("_k") % 3).cast("string"),
-                F.lit(',"backend_name":"niri"}}'),
+                F.lit(',"backend_name":"compositor"}}'),
             ),
         )
         .when(v < 1.2, F.lit("{bad"))
-        .when(v < 1.4, F.lit('{"Event":{"Nope":1}}'))
+        .when(v < 1.4, F.element_at(F.array(*map(F.lit, UNKNOWN_LINES)), (F.col("seq") % len(UNKNOWN_LINES) + 1).cast("int")))
         .when(
             v < 1.5,
             F.concat(F.lit('{"Event":{"ActiveWindowChanged":"'), F.lpad(F.col("kind"), OVERSIZE_PAD, "x"), F.lit('"}}')),

@@ -2,7 +2,7 @@
 
 Tried in order, first match wins (text trimmed):
 1. an integer: taken as epoch seconds;
-2. RFC 3339 (``2024-01-05T10:00:00+01:00``, ``...Z``, optional fraction);
+2. RFC 3339 (``2024-01-05T10:00:00+01:00``, ``...Z``, a fraction of any length);
 3. date and time, after mapping ``+``, ``_`` and ``T`` to a space: five date
    formats times four time formats;
 4. the raw text as a date alone (midnight);
@@ -16,13 +16,15 @@ parsed text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The accepted formats, in the order they are tried.
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "MM-dd-yyyy", "MM/dd/yyyy"]
 TIME_FORMATS = ["HH:mm", "HH:mm:ss", "hh:mm a", "hh:mm:ss a"]
-RFC3339_FORMATS = ["yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"]
+RFC3339_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
+#: The fraction of an RFC 3339 time, any number of digits: whole seconds are wanted, so it goes.
+RFC3339_FRACTION = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})\.\d+(Z|[+-]\d{2}:\d{2})$"
 
 
 def offset_text(offset_seconds: int) -> str:
@@ -37,13 +39,20 @@ def _at_offset(text: Column, fmt: str, off: str) -> Column:
     return F.unix_seconds(ts)
 
 
+def split_times(df: DataFrame, text: str, out: str, offset_seconds: int = 0, today: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``out``, rejected rows with a ``reject`` reason). A null text is no reject: its time is null."""
+    parsed = df.withColumn(out, parse_time_column(text, offset_seconds, today))
+    bad = F.col(out).isNull() & F.col(text).isNotNull()
+    return parsed.filter(~bad), parsed.filter(bad).drop(out).withColumn("reject", F.lit("unknown time format"))
+
+
 def parse_time_column(text: Column | str, offset_seconds: int = 0, today: str | None = None) -> Column:
     """Epoch seconds (LONG) of a time text, or NULL when no format matches."""
     raw = F.trim(F.col(text) if isinstance(text, str) else text)
     off = offset_text(offset_seconds)
     candidates = [F.when(raw.rlike(r"^[+-]?[0-9]+$"), raw.try_cast("bigint"))]
-    for fmt in RFC3339_FORMATS:
-        candidates.append(F.unix_seconds(F.try_to_timestamp(raw, F.lit(fmt))))
+    whole = F.regexp_replace(raw, RFC3339_FRACTION, "$1$2")
+    candidates.append(F.unix_seconds(F.try_to_timestamp(whole, F.lit(RFC3339_FORMAT))))
     norm = F.translate(raw, "+_T", "   ")
     for d in DATE_FORMATS:
         for t in TIME_FORMATS:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 def _duration() -> Column:
@@ -106,15 +106,35 @@ def assign_group_literal(sessions: DataFrame, rules: Sequence[tuple]) -> DataFra
     return sessions.withColumn("group_id", expr if expr is not None else F.lit(None).cast("string"))
 
 
-def assign_group(sessions: DataFrame, rules: DataFrame, salt_buckets: int = 16) -> DataFrame:
-    """J1 for a rule table (priority, group_id, app_ids, workspaces).
+#: Rules that are few enough for a CASE expression on every session.
+MAX_LITERAL_RULES = 500
+
+
+def assign_group(
+    sessions: DataFrame, rules: DataFrame, salt_buckets: int = 16, max_literal_rules: int = MAX_LITERAL_RULES
+) -> DataFrame:
+    """J1 for a rule table (priority, group_id, app_ids, workspaces): first match by priority, else NULL.
+
+    A rule list is a setting: up to ``max_literal_rules`` rows of it (counted first) become
+    the ``CASE`` of `assign_group_literal`, which moves no session at all. A longer table is joined.
+    """
+    few = rules.select("priority", "group_id", "app_ids", "workspaces").limit(max_literal_rules + 1).collect()
+    if len(few) > max_literal_rules:
+        return assign_group_join(sessions, rules, salt_buckets)
+    ordered = sorted(few, key=lambda r: (r.priority, r.group_id))
+    return assign_group_literal(sessions, [(r.group_id, r.app_ids, r.workspaces) for r in ordered])
+
+
+def assign_group_join(sessions: DataFrame, rules: DataFrame, salt_buckets: int = 16) -> DataFrame:
+    """J1 by joins, for rule tables of any length.
 
     The theta join on P6 is rewritten as an equi join: each rule is exploded into
     match keys (app or ANY, workspace or ANY) and each active session probes its
     four keys. Wildcard keys are shared by every session, so they are salted
     across ``salt_buckets`` to keep one key from landing in one task. Spark
     decides broadcast vs shuffle from the rule table's size estimate. The winner
-    per session is ``min_by(group_id, priority)``; sessions keep their row when
+    per session is ``min_by(group_id, priority)``, joined back by the session's key; idle sessions
+    match nothing, so they take no part in the probing. Sessions keep their row when
     nothing matches (group NULL).
     """
     n = int(salt_buckets)
@@ -137,22 +157,17 @@ def assign_group(sessions: DataFrame, rules: DataFrame, salt_buckets: int = 16)
         F.struct(F.lit(_ANY_APP).alias("a"), F.col("workspace").alias("w")),
         F.struct(F.lit(_ANY_APP).alias("a"), F.lit(_ANY_WS).alias("w")),
     )
-    # idle sessions probe nothing that can match but keep their row (left join)
-    no_probe = F.array(F.struct(F.lit(None).cast("string").alias("a"), F.lit(None).cast("int").alias("w")))
-    probe = sessions.select(
-        *cols, F.explode(F.when(F.col("is_active"), probes).otherwise(no_probe)).alias("_p")
-    ).select(
-        *cols,
+    key = ["stream_key", "session_seq"]
+    probe = sessions.filter("is_active").select(*key, F.explode(probes).alias("_p")).select(
+        *key,
         F.col("_p.a").alias("app_key"),
         F.col("_p.w").alias("ws_key"),
         F.pmod(F.xxhash64("stream_key", "session_seq"), F.lit(n)).cast("int").alias("salt"),
     )
-    # one join, one aggregate back to one row per session
-    return (
-        probe.join(keyed, ["app_key", "ws_key", "salt"], "left")
-        .groupBy(*cols)
-        .agg(F.min_by("group_id", "priority").alias("group_id"))
+    found = probe.join(keyed, ["app_key", "ws_key", "salt"]).groupBy(*key).agg(
+        F.min_by("group_id", F.struct("priority", "group_id")).alias("group_id")
     )
+    return sessions.join(found, key, "left").select(*cols, "group_id")
 
 
 def group_totals(grouped: DataFrame, by: Sequence[str] = ("stream_key", "group_id")) -> DataFrame:
@@ -163,10 +178,10 @@ def group_totals(grouped: DataFrame, by: Sequence[str] = ("stream_key", "group_i
 
 
 def group_sessions(grouped: DataFrame) -> DataFrame:
-    """A5: sessions partitioned by group, in input order inside each group.
+    """A5: sessions by group, with ``position``: the place in input order among the stream's sessions of the group.
 
-    Each session keeps its own row with ``group_id``; the order inside a group
-    is the sort key ``(stream_key, group_id, start, session_seq)``. Nothing is
-    collected into a per-group list, so a huge group never lands in one task.
+    Each session keeps its own row; nothing is collected into a per-group list. A group is
+    numbered inside its stream, as a stream's sessions are a list of their own.
     """
-    return grouped.sortWithinPartitions("stream_key", "group_id", "start", "session_seq")
+    order = Window.partitionBy("stream_key", "group_id").orderBy("session_seq")
+    return grouped.withColumn("position", F.row_number().over(order))

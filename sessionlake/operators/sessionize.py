@@ -160,8 +160,19 @@ def finish_segments(ev: DataFrame, config: SessionConfig) -> DataFrame:
 
 
 def _segments_plain(events: DataFrame, config: SessionConfig, horizon: int | None) -> DataFrame:
-    """W3 on the plain plan."""
+    """W3 on the plain plan.
+
+    Without a horizon each stream ends at the last second of any of its rows (hidden apps and
+    workspace rows too): an aggregate that reads the key and the time, joined by the key that the
+    windows are partitioned by.
+    """
+    events = prepare_events(events)
     ev = _event_states_plain(events, config).filter(is_opener())
+    if horizon is None:
+        last = events.groupBy(KEY).agg(F.max("t").alias("_horizon"))
+        ev = ev.join(last, KEY)
+    else:
+        ev = ev.withColumn("_horizon", F.lit(horizon))
     w = stream_window()
     ev = ev.select(
         KEY,
@@ -172,10 +183,7 @@ def _segments_plain(events: DataFrame, config: SessionConfig, horizon: int | Non
         F.lead("t").over(w).alias("_next_t"),
         F.lead("kind").over(w).alias("next_kind"),
         F.first("t").over(_upto()).alias("_first_t"),
-        # horizon default: the key's last event second
-        (F.lit(horizon) if horizon is not None else F.max("t").over(Window.partitionBy(KEY))).alias(
-            "_horizon"
-        ),
+        "_horizon",
     )
     return finish_segments(ev, config)
 
@@ -277,12 +285,10 @@ def segments(
     or horizon + 1), flush_t (NULL = never flushed), grid_t1, kept (passes P3),
     chunk (NULL for streams on the plain plan).
     """
-    if hot_key_rows is None:
-        return _segments_plain(events, config, horizon)
-    cold, hot = _split(events, config, hot_key_rows, rows_per_chunk)
-    if hot is None:
-        return _segments_plain(cold, config, horizon)
+    cold, hot = (events, None) if hot_key_rows is None else _split(events, config, hot_key_rows, rows_per_chunk)
     plain = _segments_plain(cold, config, horizon).withColumn("chunk", F.lit(None).cast("long"))
+    if hot is None:
+        return plain
     chunked = _skew().chunked_segments(hot, config, horizon).select(*plain.columns)
     return plain.unionByName(chunked)
 

@@ -148,19 +148,18 @@ def split_hot(
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary streams, rows of hot streams with ``chunk``, ``_t_first``, ``_tmax``).
 
-    The hot-stream table is computed once and kept: the emptiness check and the
-    broadcast that tags the rows read it from there instead of aggregating the
-    events again. It is small by construction; a lost block is recomputed from
-    its lineage.
+    The hot-stream table is computed once and checkpointed: the emptiness check and
+    the broadcast that tags the rows read it from there instead of aggregating the
+    events again. It is small by construction, nothing stays cached, and it outlives
+    the executors that made it.
     """
-    hot = hot_streams(events, hot_key_rows, rows_per_chunk).persist()
-    if hot.count() == 0:
-        hot.unpersist()
+    from sessionlake.config import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(events.sparkSession)
+    hot = hot_streams(events, hot_key_rows, rows_per_chunk).checkpoint()
+    if hot.isEmpty():
         return events, None
-    with_first = hot.join(first_setters(events, hot, config), KEY, "left").persist()
-    with_first.count()
-    hot.unpersist()
-    hot = with_first
+    hot = hot.join(first_setters(events, hot, config), KEY, "left").checkpoint()
     tagged = events.join(F.broadcast(hot), KEY, "left")
     cold = tagged.filter(F.col("_chunk_s").isNull()).drop("_t0", "_tmax", "_t_first", "_chunk_s")
     hot_rows = tagged.filter(F.col("_chunk_s").isNotNull()).withColumn(

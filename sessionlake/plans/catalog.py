@@ -159,6 +159,22 @@ def sessionize_default(spark, sf):
     return _sessions(spark, sf, CFG_DEFAULT)
 
 
+_NO_HORIZON = _with_sessions(f"SELECT {SESSION_COLS_SQL} FROM sessions").replace(
+    f", {H} + 1) AS end_t", ", max(t) OVER (PARTITION BY stream_key) + 1) AS end_t"
+)
+
+
+@register("sessionize_no_horizon", _NO_HORIZON)
+def sessionize_no_horizon(spark, sf):
+    """X1 with each stream's own last second as its horizon."""
+    return X.sessionize(_events(spark, sf), CFG)
+
+
+@register("sessionize_no_horizon_hot_split", _NO_HORIZON)
+def sessionize_no_horizon_hot_split(spark, sf):
+    return X.sessionize(_events(spark, sf), CFG, hot_key_rows=40, rows_per_chunk=12)
+
+
 @register(
     "sessionize_boundary",
     _with_sessions(f"SELECT {SESSION_COLS_SQL} FROM sessions", min_dur=5, mode="boundary"),
@@ -430,19 +446,43 @@ def group_totals(spark, sf):
     "group_sessions_list",
     O.with_sessions("", I, M, H, HIDDEN_APPS)
     + _GROUPED
-    + """
-SELECT group_id, count(*) AS n_sessions, CAST(sum(start) AS BIGINT) AS sum_start,
-       CAST(sum("end" - start) AS BIGINT) AS sum_duration, min(start) AS first_start, max("end") AS last_end
-FROM grouped GROUP BY group_id""",
+    + f"""
+SELECT {SESSION_COLS_SQL}, group_id,
+       CAST(row_number() OVER (PARTITION BY stream_key, group_id ORDER BY session_seq) AS INTEGER) AS position
+FROM grouped""",
 )
 def group_sessions_list(spark, sf):
-    g = A.group_sessions(_grouped(spark, sf))
-    return g.groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("n_sessions"),
-        F.sum("start").cast("long").alias("sum_start"),
-        F.sum(F.col("end") - F.col("start")).cast("long").alias("sum_duration"),
-        F.min("start").alias("first_start"),
-        F.max("end").alias("last_end"),
+    return A.group_sessions(_grouped(spark, sf)).select(*[c.strip().strip('"') for c in SESSION_COLS_SQL.split(",")], "group_id", "position")
+
+
+@register(
+    "assign_group_by_join",
+    O.with_sessions("SELECT * FROM grouped", I, M, H, HIDDEN_APPS).replace("\nSELECT * FROM grouped", _GROUPED + "\nSELECT * FROM grouped"),
+)
+def assign_group_by_join(spark, sf):
+    """J1 as it runs for rule tables that are too long for a literal list."""
+    return A.assign_group(_sessions(spark, sf), group_rules(spark), max_literal_rules=0)
+
+
+@register(
+    "group_matches",
+    _with_sessions(
+        """SELECT stream_key, session_seq,
+             coalesce(is_active AND app_id IN ('click_0', 'view_1') AND workspace IN (1, 3), FALSE) AS both_lists,
+             coalesce(is_active AND workspace IN (1, 3), FALSE) AS workspaces_only,
+             is_active AS no_list FROM sessions"""
+    ),
+)
+def group_matches(spark, sf):
+    """One rule's match on every session, with both lists, one and none."""
+    apps, wss = F.array(F.lit("click_0"), F.lit("view_1")), F.array(F.lit(1), F.lit(3))
+    none, no_ws = F.array().cast("array<string>"), F.array().cast("array<int>")
+    return _sessions(spark, sf).select(
+        "stream_key",
+        "session_seq",
+        A.group_matches(apps, wss).alias("both_lists"),
+        A.group_matches(none, wss).alias("workspaces_only"),
+        A.group_matches(none, no_ws).alias("no_list"),
     )
 
 
@@ -707,8 +747,8 @@ env AS (
     CASE WHEN value < 1.5 THEN NULL WHEN value < 1.7 THEN 'tick' ELSE kind END AS kind,
     CASE WHEN value >= 1.7 AND kind = 'focus' THEN app_id END AS app_id,
     CASE WHEN value >= 1.7 AND kind = 'workspace' THEN workspace END AS workspace,
-    CASE WHEN value >= 0.5 AND value < 1.0 THEN k % 3 END AS protocol_version,
-    CASE WHEN value >= 0.5 AND value < 1.0 THEN 'niri' END AS backend_name,
+    CASE WHEN value >= 0.5 AND value < 1.0 THEN CAST(k % 3 AS BIGINT) END AS protocol_version,
+    CASE WHEN value >= 0.5 AND value < 1.0 THEN 'compositor' END AS backend_name,
     CASE WHEN value >= 1.0 AND value < 1.2 THEN 'malformed json'
          WHEN value >= 1.2 AND value < 1.4 THEN 'unknown message'
          WHEN value >= 1.4 AND value < 1.5 THEN 'message too large' END AS reject
@@ -909,7 +949,7 @@ def _write_stream_input(spark, sf, root: str, producers: int = 2) -> list[str]:
     """Land the event log as files of two producers (split by seq), in event-time order.
 
     Each 5-day chunk is one file per producer, written oldest first, so the file
-    source replays them in time order; a sentinel row past the horizon ends each
+    source replays them in time order; a heartbeat past the horizon ends each
     producer's input so the watermark can close the last seconds.
     """
     ev = _events(spark, sf).select(*_LOG_COLS).withColumn("_chunk", F.floor(F.col("t") / STREAM_CHUNK))
@@ -921,7 +961,7 @@ def _write_stream_input(spark, sf, root: str, producers: int = 2) -> list[str]:
             part.filter(F.pmod(F.col("seq"), F.lit(producers)) == p).coalesce(1).write.mode("append").parquet(d)
     end_s = H + 2 * 86400
     sentinel = spark.createDataFrame(
-        [(SX.SENTINEL_KEY, 0, end_s * 1_000_000, end_s, "end", None, None)], _STREAM_INPUT
+        [(None, 0, end_s * 1_000_000, end_s, SX.HEARTBEAT, None, None)], _STREAM_INPUT
     )
     for d in dirs:
         sentinel.coalesce(1).write.mode("append").parquet(d)

@@ -5,10 +5,10 @@ A message is one JSON value per line, externally tagged:
 ``{"Event":{"ActiveWindowChanged":"kitty"}}`` (or ``null`` = focus lost),
 ``{"Event":{"WorkspaceChanged":3}}``, ``{"Event":{"Idle":true}}``, ``{"Event":"Tick"}``.
 
-Lines are parsed once into VARIANT (``try_parse_json``) and read with
-``variant_get``; a present JSON null is told apart from an absent key because
-``variant_get`` without a type returns a variant null for the former and SQL
-NULL for the latter. Lines over the size limit are never parsed.
+Lines are parsed once into VARIANT (``try_parse_json``). Values are read only when
+``schema_of_variant`` names the type that was written, so ``"3"`` is no workspace and ``1`` no
+flag; a present JSON null (type VOID) is told apart from an absent key (SQL NULL). Lines over
+the size limit are never parsed.
 """
 
 from __future__ import annotations
@@ -30,8 +30,40 @@ def read_message_log(spark: SparkSession, path: str, streaming: bool = False) ->
     return reader.schema(schema.ENVELOPES_KEYED).parquet(path)
 
 
-def _present(v: Column, path: str) -> Column:
-    return F.variant_get(v, path, "variant").isNotNull()
+def read_message_lines(spark: SparkSession, path: str, source: str, stream_key: int, streaming: bool = False) -> DataFrame:
+    """A producer's log as it is, one JSON message a line -> envelope rows without ``ts``.
+
+    ``seq`` grows along each file in the order of its lines; the file's name and its
+    modification time order files. Line ends are kept out of the text.
+    """
+    reader = spark.readStream if streaming else spark.read
+    return reader.text(path).select(
+        F.lit(stream_key).cast("long").alias("stream_key"),
+        F.lit(source).alias("source"),
+        F.monotonically_increasing_id().alias("seq"),
+        F.col("_metadata.file_modification_time").alias("ts"),
+        F.col("value").alias("line"),
+    )
+
+
+#: Names of the wire types as `schema_of_variant` gives them, and the largest unsigned 32-bit number.
+WIRE_INT, WIRE_TEXT, WIRE_FLAG, WIRE_NULL = "BIGINT", "STRING", "BOOLEAN", "VOID"
+U32_MAX = 2**32 - 1
+
+
+def _object(v: Column) -> Column:
+    """The fields of a variant object by name; NULL if it is no object."""
+    return F.when(F.schema_of_variant(v).startswith("OBJECT<"), F.try_variant_get(v, "$", "map<string,variant>"))
+
+
+def _only(fields: Column, tag: str) -> Column:
+    """The value under ``tag`` if it is the only field: messages carry exactly one tag."""
+    return F.when(F.size(fields) == 1, F.element_at(fields, tag))
+
+
+def _typed(v: Column, wire: str, sql: str) -> Column:
+    """The value as ``sql`` if it was written as the wire type; never converted from another."""
+    return F.when(F.schema_of_variant(v) == wire, F.try_variant_get(v, "$", sql))
 
 
 def parse_envelopes(envelopes: DataFrame) -> DataFrame:
@@ -39,74 +71,48 @@ def parse_envelopes(envelopes: DataFrame) -> DataFrame:
 
     Event rows get ``kind`` (focus, workspace, idle_on, idle_off, tick) and the
     payload columns ``app_id``, ``workspace``; handshakes get
-    ``protocol_version`` and ``backend_name``.
+    ``protocol_version`` and ``backend_name``. A message has exactly one tag, and each value
+    the type that its tag asks for; anything else is an unknown message.
     """
-    line = F.col("line")
-    keep = [c for c in envelopes.columns if c != "line"]
-    # stage 1: parse once (lines over the limit are never parsed)
-    df = envelopes.select(
-        *keep,
-        (F.octet_length(line) > F.lit(MAX_MESSAGE_SIZE)).alias("_big"),
-        F.when(F.octet_length(line) <= F.lit(MAX_MESSAGE_SIZE), F.try_parse_json(line)).alias("_v"),
-    )
-    v = F.col("_v")
-    # stage 2: read each path once. The fields come out of a one-row generator:
-    # a filter on them (the quarantine split) cannot be pushed below it, so the
-    # line is parsed once per row and not again inside the pushed-down filter.
-    fields = F.struct(
-        F.col("_big").alias("_big"),
-        v.isNull().alias("_bad"),
-        (F.try_variant_get(v, "$", "string") == F.lit("Ping")).alias("_ping"),
-        _present(v, "$.Handshake").alias("_hs"),
-        _present(v, "$.Event").alias("_ev"),
-        F.try_variant_get(v, "$.Event", "string").alias("_ev_str"),
-        _present(v, "$.Event.ActiveWindowChanged").alias("_awc"),
-        F.is_variant_null(F.variant_get(v, "$.Event.ActiveWindowChanged", "variant")).alias("_awc_null"),
-        _present(v, "$.Event.WorkspaceChanged").alias("_wsc"),
-        _present(v, "$.Event.Idle").alias("_idle"),
-        F.try_variant_get(v, "$.Event.ActiveWindowChanged", "string").alias("_app"),
-        F.try_variant_get(v, "$.Event.WorkspaceChanged", "int").alias("_ws"),
-        F.try_variant_get(v, "$.Event.Idle", "boolean").alias("_idle_v"),
-        F.try_variant_get(v, "$.Handshake.protocol_version", "int").alias("_pv"),
-        F.try_variant_get(v, "$.Handshake.backend_name", "string").alias("_bn"),
+    line, c = F.col("line"), F.col
+    keep = [x for x in envelopes.columns if x != "line"]
+    small = F.octet_length(line) <= F.lit(MAX_MESSAGE_SIZE)
+    df = envelopes.select(*keep, (~small).alias("_big"), F.when(small, F.try_parse_json(line)).alias("_v"))
+
+    def stage(df: DataFrame, **fields: Column) -> DataFrame:
+        """Read each value once: fields come out of a one-row generator, below which no filter is pushed."""
+        held = [x for x in df.columns if x not in fields]
+        return df.select(*held, F.inline(F.array(F.struct(*(v.alias(k) for k, v in fields.items())))))
+
+    df = stage(df, _top=_object(c("_v")), _text=_typed(c("_v"), WIRE_TEXT, "string"))
+    df = stage(df, _event=_only(c("_top"), "Event"), _hello=_object(_only(c("_top"), "Handshake")))
+    df = stage(df, _tags=_object(c("_event")), _etext=_typed(c("_event"), WIRE_TEXT, "string"))
+    focus, idle = _only(c("_tags"), "ActiveWindowChanged"), _only(c("_tags"), "Idle")
+    version = _typed(F.element_at(c("_hello"), "protocol_version"), WIRE_INT, "bigint")
+    df = stage(
+        df,
+        _lost=F.coalesce(F.schema_of_variant(focus) == WIRE_NULL, F.lit(False)),
+        _app=_typed(focus, WIRE_TEXT, "string"),
+        _ws=_typed(_only(c("_tags"), "WorkspaceChanged"), WIRE_INT, "int"),
+        _away=_typed(idle, WIRE_FLAG, "boolean"),
+        _pv=F.when(version.between(0, U32_MAX), version),
+        _bn=_typed(F.element_at(c("_hello"), "backend_name"), WIRE_TEXT, "string"),
     )
-    df = df.select(*keep, F.inline(F.array(fields)))
-    c = F.col
     kind = (
-        F.when(c("_ev") & (c("_ev_str") == F.lit("Tick")), F.lit("tick"))
-        .when(c("_ev") & c("_awc") & (c("_awc_null") | c("_app").isNotNull()), F.lit("focus"))
-        .when(c("_ev") & c("_wsc") & c("_ws").isNotNull(), F.lit("workspace"))
-        .when(
-            c("_ev") & c("_idle") & c("_idle_v").isNotNull(),
-            F.when(c("_idle_v"), F.lit("idle_on")).otherwise(F.lit("idle_off")),
-        )
-    )
-    df = df.withColumn("kind", kind)
-    msg_type = (
-        F.when(c("_ping"), F.lit("Ping"))
-        .when(c("_hs") & c("_pv").isNotNull() & c("_bn").isNotNull(), F.lit("Handshake"))
-        .when(c("kind").isNotNull(), F.lit("Event"))
-    )
-    df = df.withColumn("msg_type", msg_type)
-    # written over the stage-2 columns only: a filter on it is pushed below the
-    # projections, and must not drag the kind/msg_type trees along
-    known = (
-        c("_ping")
-        | (c("_hs") & c("_pv").isNotNull() & c("_bn").isNotNull())
-        | (
-            c("_ev")
-            & (
-                (c("_ev_str") == F.lit("Tick"))
-                | (c("_awc") & (c("_awc_null") | c("_app").isNotNull()))
-                | (c("_wsc") & c("_ws").isNotNull())
-                | (c("_idle") & c("_idle_v").isNotNull())
-            )
-        )
+        F.when(c("_etext") == "Tick", "tick")
+        .when(c("_lost") | c("_app").isNotNull(), "focus")
+        .when(c("_ws").isNotNull(), "workspace")
+        .when(c("_away"), "idle_on")
+        .when(~c("_away"), "idle_off")
     )
+    df = stage(df, kind=kind)
+    hello = c("_pv").isNotNull() & c("_bn").isNotNull()
+    msg_type = F.when(c("_text") == "Ping", "Ping").when(hello, "Handshake").when(c("kind").isNotNull(), "Event")
+    df = stage(df, msg_type=msg_type)
     reject = (
         F.when(c("_big"), F.lit("message too large"))
-        .when(c("_bad"), F.lit("malformed json"))
-        .when(~known, F.lit("unknown message"))
+        .when(c("_v").isNull(), F.lit("malformed json"))
+        .when(c("msg_type").isNull(), F.lit("unknown message"))
     )
     return df.select(
         *keep,

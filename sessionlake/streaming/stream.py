@@ -13,7 +13,10 @@ the virtual 1 Hz clock (X4) runs up to the last second the watermark has closed
 machine. The event-time timeout is set to the next moment something can happen
 (the oldest buffered row or the next due flush), so flushes are emitted as the
 watermark moves even when a stream is silent. Rows later than the watermark
-are dropped by Spark and counted by the machine when they slip through.
+are dropped by Spark; those that slip through are counted in the state (``late``).
+
+A producer may send heartbeats (``kind = 'heartbeat'``): rows that only move the watermark.
+They are told apart by their kind, never by a key, so every ``stream_key`` is a user's.
 
 Output rows are upserts ``(stream_key, session_seq, start, end, state, version)``;
 the sink writes each micro-batch to its own folder (overwrite of the same
@@ -23,6 +26,7 @@ version per key (S4).
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -35,14 +39,15 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from sessionlake import schema
 from sessionlake.config import SessionConfig
 from sessionlake.operators.sessionize import prepare_events
-from sessionlake.sources.store import compact_versions
+from sessionlake.sources.store import _fs, compact_versions
 from sessionlake.streaming.machine import MachineState, SessionMachine
 
 STATE_SCHEMA = T.StructType(
     [T.StructField("machine", T.StringType(), True), T.StructField("buffer", T.StringType(), True)]
 )
 UPSERT_SCHEMA = schema.SESSION_CHANGES
-SENTINEL_KEY = -1
+#: Kind of the rows that only move the watermark; they belong to no stream.
+HEARTBEAT = "heartbeat"
 
 
 def _processor(config: SessionConfig, horizon: int | None):
@@ -51,17 +56,13 @@ def _processor(config: SessionConfig, horizon: int | None):
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (stream_key,) = key
-        if stream_key == SENTINEL_KEY:
-            for _ in batches:
-                pass
-            return
         if state.exists:
             machine_json, buffer_json = state.get
         else:
             machine_json, buffer_json = None, None
         ms = MachineState.from_json(machine_json)
         buf = json.loads(buffer_json) if buffer_json else []
-        done_us = ms.tick_from * 1_000_000 if ms.tick_from is not None else None
+        done_us = ms.clock * 1_000_000 if ms.clock is not None else None
         for pdf in batches:
             for ts_us, seq, kind, app, ws in zip(pdf["ts_us"], pdf["seq"], pdf["kind"], pdf["app_id"], pdf["workspace"]):
                 if done_us is not None and int(ts_us) < done_us:
@@ -94,8 +95,8 @@ def _processor(config: SessionConfig, horizon: int | None):
         wake = None
         if buf:
             wake = buf[0][0] // 1000
-        elif ms.has_cur and ms.tick_from is not None:
-            nxt = max(ms.tick_from, ms.last_flush + interval)
+        elif ms.open is not None and ms.clock is not None:
+            nxt = max(ms.clock, ms.last_due + interval)
             if cap is None or nxt <= cap:
                 wake = (nxt + 1) * 1000
         if wake is not None:
@@ -127,8 +128,12 @@ def sessionize_stream(
     ev = event_time(events).select(
         "stream_key", "seq", "ts_us", "event_time", "kind", "app_id", F.col("workspace").cast("int").alias("workspace")
     )
+    # heartbeats go after they have moved the watermark: the condition names the event time, so the
+    # optimizer keeps it above the watermark
+    heartbeat = (F.col("kind") == HEARTBEAT) & F.col("event_time").isNotNull()
     return (
         ev.withWatermark("event_time", watermark_delay)
+        .filter(~heartbeat)
         .groupBy("stream_key")
         .applyInPandasWithState(
             _processor(config, horizon),
@@ -140,18 +145,33 @@ def sessionize_stream(
     )
 
 
-def upsert_sink(path: str):
-    """``foreachBatch`` writer; each batch id owns one folder (retries overwrite it)."""
+def run_id(checkpoint: str) -> str:
+    """A name for the run that a checkpoint folder stands for: the same after a restart from it."""
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def upsert_sink(spark: SparkSession, path: str, checkpoint: str):
+    """``foreachBatch`` writer; each batch id of a run owns one folder (retries overwrite it).
+
+    Versions and batch ids count from the run's own state, so one folder holds one run: a
+    checkpoint of another run is refused before anything is written.
+    """
+    root, own = path.rstrip("/"), f"run_id={run_id(checkpoint)}"
+    fs, jpath = _fs(spark, root)
+    if fs.exists(jpath):
+        others = [s.getPath().getName() for s in fs.listStatus(jpath)]
+        if any(n.startswith("run_id=") and n != own for n in others):
+            raise ValueError(f"{root} holds the sessions of another run; use a new folder or that run's checkpoint")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={int(batch_id)}")
+        batch.write.mode("overwrite").parquet(f"{root}/{own}/batch_id={int(batch_id)}")
 
     return write
 
 
 def read_compacted(spark: SparkSession, path: str) -> DataFrame:
     """The session table from the upsert log: newest version per (stream_key, session_seq)."""
-    stored = T.StructType(UPSERT_SCHEMA.fields + [T.StructField("batch_id", T.LongType())])
+    stored = T.StructType(UPSERT_SCHEMA.fields + [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())])
     versions = spark.read.schema(stored).parquet(path)
     return compact_versions(versions).select(*[f.name for f in schema.SESSIONS.fields])
 
@@ -171,13 +191,23 @@ def run_to_completion(
             key,
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
-    query = (
+    try:
+        query = _start(spark, upserts, sink_path, checkpoint)
+    finally:  # the setting is the query's own: it is recorded in its checkpoint
+        if current is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, current)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def _start(spark: SparkSession, upserts: DataFrame, sink_path: str, checkpoint: str):
+    return (
         upserts.writeStream.outputMode("update")
-        .foreachBatch(upsert_sink(sink_path))
+        .foreachBatch(upsert_sink(spark, sink_path, checkpoint))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise RuntimeError(str(query.exception()))

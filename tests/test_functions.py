@@ -54,3 +54,13 @@ def test_parse_time_column(spark):
     df = spark.createDataFrame([(s,) for s, _ in CASES], "s string")
     got = [r.p for r in df.select(parse_time_column("s", 3600, "2024-01-31").alias("p")).collect()]
     assert got == [e for _, e in CASES]
+
+
+def test_fractions_of_any_length_and_rejects(spark):
+    from sessionlake.functions.timeparse import split_times
+
+    texts = [f"2024-01-05T10:00:00.{'123456789'[:n]}Z" for n in range(1, 10)] + ["2024-01-05T11:00:00.5+01:00", None, "soon"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    good, bad = split_times(df, "text", "sec")
+    assert {r.sec for r in good.collect()} == {1704448800, None}
+    assert [(r.i, r.reject) for r in bad.collect()] == [(11, "unknown time format")]

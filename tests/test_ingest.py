@@ -5,7 +5,7 @@ from sessionlake.sources import envelopes as EN
 
 LINES = [
     '"Ping"',
-    '{"Handshake":{"protocol_version":1,"backend_name":"niri"}}',
+    '{"Handshake":{"protocol_version":1,"backend_name":"compositor"}}',
     '{"Event":{"ActiveWindowChanged":"kitty"}}',
     '{"Event":{"ActiveWindowChanged":null}}',
     '{"Event":{"WorkspaceChanged":3}}',
@@ -44,6 +44,25 @@ def test_parse_and_quarantine(spark):
     assert good.count() == 8 and bad.count() == 3
 
 
+def test_values_of_the_wrong_type_are_unknown_messages(spark):
+    from sessionlake.fixtures import UNKNOWN_LINES
+
+    lines = [*UNKNOWN_LINES, '{"Event":{"WorkspaceChanged":99999999999}}', '{"Handshake":{"protocol_version":1}}', "[1]"]
+    assert {r.reject for r in EN.parse_envelopes(_env(spark, lines)).collect()} == {"unknown message"}
+    big = EN.parse_envelopes(_env(spark, ['{"Handshake":{"protocol_version":4294967295,"backend_name":"x","more":1}}'])).first()
+    assert (big.msg_type, big.protocol_version, big.backend_name) == ("Handshake", 4294967295, "x")
+
+
+def test_message_lines_from_text(spark, tmp_path):
+    (tmp_path / "log").write_text("\n".join(LINES[:9]) + "\n", encoding="utf-8")
+    rows = EN.read_message_lines(spark, str(tmp_path), "b0", 7)
+    assert [r.line for r in rows.orderBy("ts", "seq").collect()] == LINES[:9]
+    good, bad = EN.split_quarantine(EN.parse_envelopes(rows))
+    events = EN.to_session_events(EN.accept_sources(good)).orderBy("seq").collect()
+    assert [(r.stream_key, r.kind) for r in events] == [(7, k) for k in ("focus", "focus", "workspace", "idle_on", "idle_off")]
+    assert [r.reject for r in bad.collect()] == ["malformed json"]
+
+
 def test_accept_sources(spark):
     a = _env(spark, ['{"Handshake":{"protocol_version":1,"backend_name":"x"}}', '{"Event":{"Idle":true}}'], "a")
     b = _env(spark, ['{"Handshake":{"protocol_version":2,"backend_name":"y"}}', '{"Event":{"Idle":true}}'], "b")

@@ -11,6 +11,7 @@ def A(app, ws=None):
     return (True, app, ws)
 
 
+# Event scripts and the sessions that must come out.
 GOLDEN = [
     ("@1 F(firefox) !", 15, 0, (), [(1, 1, A("firefox"))]),
     ("@1 F(firefox) @30 T", 15, 0, (), [(1, 30, A("firefox"))]),

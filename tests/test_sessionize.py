@@ -194,3 +194,18 @@ def test_chunked_plan_reads_checkpoints_in_place(spark):
     # exchanges of the final job: the plain streams (stream_key), the per-chunk summaries
     # (stream_key) and the per-session aggregate - none on (stream_key, chunk)
     assert shuffles and not [s for s in shuffles if re.search(r"\bchunk#", s)], shuffles
+
+
+def test_one_answer_whatever_the_row_count(spark):
+    """Without a horizon, and in the columns of segments, the plain and the split plan agree."""
+    from sessionlake.config import SessionConfig
+    from sessionlake.operators import sessionize as X
+
+    rows = [(1, 0, "focus", 1000, "a", None), (1, 1, "focus", 1500, "b", None), (1, 2, "workspace", 2000, None, 1)]
+    rows += [(2, 3, "focus", 100, "a", None), (2, 4, "focus", 900, "purchase_2", None)]
+    ev = spark.createDataFrame([(k, q, t * 1_000_000, t, kind, a, w) for k, q, kind, t, a, w in rows], "stream_key long, seq long, ts_us long, t long, kind string, app_id string, workspace int")
+    cfg = SessionConfig(15, 0, ("purchase_2",))
+    plain, split = (sorted(tuple(r) for r in X.sessionize(ev, cfg, hot_key_rows=n, rows_per_chunk=1).collect()) for n in (None, 1))
+    assert plain == split and [r[:4] for r in plain] == [(1, 1, 1000, 1495), (1, 2, 1500, 1990), (2, 1, 100, 895)]
+    columns = [X.segments(ev, cfg, None, n, 1).columns for n in (None, 100, 1)]
+    assert columns[0] == columns[1] == columns[2] and "chunk" in columns[0]
