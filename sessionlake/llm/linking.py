@@ -30,7 +30,9 @@ from sessionlake.config import storage_root
 from sessionlake.llm.text import U64, mix
 
 #: Members of a node that are compared exhaustively, and pivots of a larger one.
-SMALL, PIVOTS = 256, 8
+SMALL, PIVOTS = 512, 8
+#: Members of a large node that one task compares with the node's probes.
+SALT_ROWS = 50_000
 #: Levels of branching before large nodes are compared in blocks.
 LEVELS = 8
 #: Rows of two numbers that may be broadcast (their size is checked by counting them).
@@ -218,30 +220,59 @@ def _compare_small(read: Callable, cut: int, forest: bool) -> Callable:
     return run
 
 
-def _compare_probes(read: Callable, cut: int, best: bool) -> Callable:
-    """Candidates between a member and the ``probes`` of its node in other components; only the ``best``, or all."""
+def _stream_probes(read: Callable, cut: int, best: bool) -> Callable:
+    """Candidates of rows sorted by (node, salt, block, member): a key's few probes come first and are held.
+
+    Pairs of a member and a probe in other components; only the member's ``best``, or all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        ids0, comp0, sig0 = [], [], []  # of the key's probes, in parts
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, lists = read(batch.column("sig")), batch.column("probes")
-            ids, comp = np.asarray(batch.column("id")), np.asarray(batch.column("comp"))
-            flat, offs = lists.flatten(), np.append(0, np.cumsum(np.asarray(lists.value_lengths())))
-            pid, pcomp, psig = np.asarray(flat.field("id")), np.asarray(flat.field("comp")), read(flat.field("sig"))
-            out = []
-            for r in range(batch.num_rows):
-                i, j = offs[r], offs[r + 1]
-                equal = (psig[i:j] == sig[r]).sum(axis=1)
-                ok = np.flatnonzero((equal >= cut) & (pcomp[i:j] != comp[r]))
-                if best and len(ok):
-                    ok = ok[np.argmax(equal[ok])][None]
-                out += [(int(ids[r]), int(pid[i + k])) for k in ok]
+            key = np.stack([np.asarray(batch.column(c)) for c in ("node", "salt", "block")])
+            member, ids, comp = (np.asarray(batch.column(c)) for c in ("member", "id", "comp"))
+            sig = read(batch.column("sig"))
+            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            out: list[tuple[int, int]] = []
+            for i, j in zip(np.append(0, cuts), np.append(cuts, len(ids)), strict=True):
+                if held != tuple(key[:, i]):
+                    held, ids0, comp0, sig0 = tuple(key[:, i]), [], [], []
+                k = i + int(np.searchsorted(member[i:j], True))
+                if k > i:
+                    ids0.append(ids[i:k])
+                    comp0.append(comp[i:k])
+                    sig0.append(sig[i:k])
+                if k == j or not ids0:
+                    continue
+                pid, pcomp, psig = np.concatenate(ids0), np.concatenate(comp0), np.concatenate(sig0)
+                for r in range(k, j):
+                    equal = (psig == sig[r]).sum(axis=1)
+                    ok = np.flatnonzero((equal >= cut) & (pcomp != comp[r]))
+                    if best and len(ok):
+                        ok = ok[np.argmax(equal[ok])][None]
+                    out += [(int(ids[r]), int(pid[x])) for x in ok]
             yield _pairs_batch(out)
 
     return run
 
 
+def probe(members: DataFrame, probes: DataFrame, items: Items, best: bool) -> DataFrame:
+    """Candidate pairs between members (node, n, id, sig, comp) and their node's ``probes`` (the same, block, blocks).
+
+    A node with many members is dealt to several tasks, each with the node's probes; probes that
+    are too many for one block come in several, each met by all members.
+    """
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    cols = ["node", "salt", "block", "member", "id", "comp", "sig"]
+    few = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("member", F.lit(False)).select(cols)
+    many = members.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = few.unionByName(many.withColumn("member", F.lit(True)).select(cols)).repartition("node", "salt", "block").sortWithinPartitions("node", "salt", "block", "member")
+    return rows.mapInArrow(_stream_probes(items.read_signatures, items.cut, best), PAIRS)
+
+
 def confirm(pairs: DataFrame, items: Items) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough, stored."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
@@ -306,13 +337,13 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         small = members.filter(F.col("n") <= SMALL).select("node", "id", "sig", "comp")
         small_nodes.append(small.drop("comp"))
         found = small.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_compare_small(items.read_signatures, items.cut, True), PAIRS)
-        large = members.filter(F.col("n") > SMALL).select("node", "id", "sig", "comp")
+        large = members.filter(F.col("n") > SMALL).select("node", "n", "id", "sig", "comp")
         if size.large:
             # pivots: one of each residue of a hash
             turn = F.xxhash64("id", F.lit(level))
-            pivots = large.groupBy("node", F.pmod(turn, F.lit(PIVOTS)).alias("turn")).agg(F.min(F.struct(turn.alias("t"), F.col("id"), F.col("comp"), F.col("sig"))).alias("p"))
-            pivots = pivots.groupBy("node").agg(F.collect_list(F.struct("p.id", "p.comp", "p.sig")).alias("probes"))
-            found = found.unionByName(large.join(pivots, "node").mapInArrow(_compare_probes(items.read_signatures, items.cut, True), PAIRS))
+            pivots = large.groupBy("node", F.pmod(turn, F.lit(PIVOTS)).alias("turn")).agg(F.min(F.struct(turn.alias("t"), F.col("n"), F.col("id"), F.col("sig"), F.col("comp"))).alias("p"))
+            pivots = pivots.select("node", "p.n", "p.id", "p.sig", "p.comp", F.lit(0).alias("block"))
+            found = found.unionByName(probe(large.withColumn("blocks", F.lit(1)), pivots, items, True))
         links = links.unionByName(confirm(found, items))
         comp = stored(components(links), "components")
         if not size.large:
@@ -321,7 +352,7 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         top, n = by_component(large)
         large = large.join(small_side(top, n), "node")
         waits = (F.col("outside") <= SMALL) | F.lit(level == LEVELS)
-        waiting.append(large.filter(waits).select("node", "id", "sig"))
+        waiting.append(large.filter(waits).select("node", "n", "id", "sig"))
         open_rows = large.filter(~waits).select("node", "id", "sig")
         if level == LEVELS or not n or open_rows.isEmpty():
             break
@@ -337,9 +368,9 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         rows = stored(labelled(rows, comp), "waiting")
         top, n = by_component(rows)
         rows = rows.join(small_side(top, n), "node")
-        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("outside") / SMALL))
-        probes = rows.filter("comp <> main").withColumn("block", block).groupBy("node", "block").agg(F.collect_list(F.struct("id", "comp", "sig")).alias("probes"))
-        found = found.unionByName(rows.select("node", "id", "sig", "comp").join(probes, "node").mapInArrow(_compare_probes(items.read_signatures, items.cut, False), PAIRS))
+        rows = rows.withColumn("blocks", F.ceil(F.col("outside") / SMALL).cast("int"))
+        probes = rows.filter("comp <> main").withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int"))
+        found = found.unionByName(probe(rows, probes, items, False))
     found = stored(found, "later")
     if not found.isEmpty():
         links = links.unionByName(confirm(found, items))

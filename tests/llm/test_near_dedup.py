@@ -71,6 +71,7 @@ def test_branching_and_blocks(spark, monkeypatch, levels):
     """Tiny limits send the groups through every level and the last exhaustive one."""
     monkeypatch.setattr(linking, "SMALL", 4)
     monkeypatch.setattr(linking, "PIVOTS", 1)
+    monkeypatch.setattr(linking, "SALT_ROWS", 30)
     monkeypatch.setattr(linking, "LEVELS", levels)
     rows = corpus(2)
     got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect())
