@@ -2,13 +2,13 @@
 
 A line is normalised (A-Z lowered, white space runs one space, trimmed) and is the set of its
 8-character shingles. Minwise values of the distinct lines are cut into bands; lines that share
-a band are candidates, confirmed by exact Jaccard similarity of at least 0.75 and merged by
+a band are candidates, confirmed by exact Jaccard similarity of at least 0.8 and merged by
 distributed union-find (`linking.resolve`). Of each component the first line, by document
 and position, stays; all others are removed from their documents.
 
-Recall: 14 bands of 3 values miss a pair at the threshold with probability 5e-4, one of
-similarity 0.85 with 2e-6. A candidate needs 20 of 42 equal values (missed at the
-threshold: 6e-5).
+Recall: 10 bands of 3 values miss a pair at the threshold with probability 8e-4, one of
+similarity 0.9 with 2e-6. A candidate needs 16 of 30 equal values (missed at the
+threshold: 2e-4).
 
 Defined results: lines of fewer than `MIN_CHARS` normalised characters, empty ones among them,
 take no part and stay. A null text stays null, with no lines; an empty one has none either.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from sessionlake.llm import linking
 from sessionlake.llm.text import BASE, U64, minhash, mix, powers, runs, utf8
 
-Q, PERCENT, MIN_CHARS = 8, 75, 20
-BANDS, ROWS, CUT = 14, 3, 20
+Q, PERCENT, MIN_CHARS = 8, 80, 20
+BANDS, ROWS, CUT = 10, 3, 16
 VALUES = BANDS * ROWS
 SEED = 1
 
@@ -97,7 +97,7 @@ class Lines:
         return mix((self.sums[at + Q] - self.sums[at]) * down[at]), first[:-1]
 
     def text(self, i: int) -> bytes:
-        return self.chars[self.start[i] : self.end[i]].tobytes()
+        return self.chars[self.start[i] : self.end[i]].tobytes().decode("utf-32-le").encode()
 
 
 def line_runs(texts: pa.Array) -> Iterator[tuple[int, Lines, np.ndarray, np.ndarray]]:
@@ -117,9 +117,13 @@ def read_signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, VALUES)
 
 
+def code_points(data: bytes) -> np.ndarray:
+    return np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+
+
 def read_set(data: bytes) -> np.ndarray:
-    """The distinct shingles of a normalised line (its code points)."""
-    chars = np.frombuffer(data, np.uint32)
+    """The distinct shingles of a normalised line."""
+    chars = code_points(data)
     up, down = powers(len(chars) + 1)
     sums = np.append(U64(0), np.cumsum(CHAR_KEYS[chars] * up[:-1]))
     return np.unique((sums[Q:] - sums[:-Q]) * down[: len(chars) - Q + 1])
@@ -169,7 +173,7 @@ def places(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
-    """(id, sig, data): minwise values and code points of the given distinct lines."""
+    """(id, sig, data): minwise values and normalised text of the given distinct lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,8 +184,9 @@ def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                data = np.frombuffer(b"".join(rows := batch.column(1).to_pylist()), np.uint32)
-                ends = np.cumsum([len(r) // 4 for r in rows])
+                rows = batch.column(1).to_pylist()
+                data = code_points(b"".join(rows))
+                ends = np.cumsum([len(r.decode()) for r in rows])
                 up, down = powers(len(data) + 1)
                 sums = np.append(U64(0), np.cumsum(CHAR_KEYS[data] * up[:-1]))
                 n_sh = np.diff(np.append(0, ends)) - Q + 1

@@ -145,13 +145,16 @@ def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
 def minhash(sets: np.ndarray, first: np.ndarray, count: int, seed: int) -> np.ndarray:
     """``count`` 32-bit minwise values of each set; sets lie end to end in ``sets`` at ``first`` (none empty)."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    a = rng.integers(1, 1 << 63, count, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+    flip, times = (rng.integers(0, 1 << 31, count, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1) for _ in range(2))
     out = np.empty((len(first), count), np.uint32)
     if len(first) == 0:
         return out
-    with np.errstate(over="ignore"):
-        for k in range(count):
-            out[:, k] = np.minimum.reduceat(((sets * a[k]) >> U64(32)).astype(np.uint32), first)
+    base = (sets >> U64(32)).astype(np.uint32)  # the sets' values are well mixed
+    own = np.empty_like(base)
+    for k in range(count):
+        np.bitwise_xor(base, flip[k], out=own)
+        np.multiply(own, times[k], out=own)
+        out[:, k] = np.minimum.reduceat(own, first)
     return out
 
 
