@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake import schema
+from sessionlake.config import storage_root
 
 KEY = ["stream_key", "session_seq"]
 DATA_COLUMNS = ["start", "end", "is_active", "app_id", "workspace"]
@@ -48,10 +49,16 @@ def create_sessions(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def append_sessions(sessions: DataFrame, path: str) -> None:
-    """S3: append session rows (new files; existing files untouched)."""
+def append_sessions(sessions: DataFrame, path: str, files_per_day: int = 1) -> None:
+    """S3: append session rows (new files; existing files untouched).
+
+    Rows are dealt by day, so an append adds ``files_per_day`` files a day and not one for each
+    task and day; days that hold very many rows get more.
+    """
     cols = [f.name for f in schema.SESSIONS.fields]
-    with_day(sessions.select(*cols)).write.mode("append").partitionBy("day").parquet(path)
+    rows = with_day(sessions.select(*cols))
+    salt = F.pmod(F.xxhash64(*KEY), F.lit(int(files_per_day)))
+    rows.repartition("day", salt).write.mode("append").partitionBy("day").parquet(path)
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
@@ -104,6 +111,49 @@ def update_last(base: DataFrame, updates: DataFrame) -> DataFrame:
     return update_by_key(base, keyed.select(*KEY, *DATA_COLUMNS))
 
 
+def _rewrite_days(spark: SparkSession, path: str, update) -> None:
+    """Replace the rows of the days that ``update`` (stored rows -> changed keys, new rows of given rows) touches.
+
+    The new rows are written to the shared folder first, then each touched day is overwritten from
+    there; days that no row is left in are removed. Other days' files stay as they are.
+    """
+    base = read_sessions(spark, path)
+    keys, change = update(base)
+    keys = keys.select(*KEY).distinct()
+    old_days = base.join(keys, KEY, "left_semi").select("day").distinct()
+    cols = [f.name for f in schema.SESSIONS.fields]
+    moved = with_day(change(base.join(keys, KEY, "left_semi")).select(*cols))
+    days = old_days.unionByName(moved.select("day").distinct()).distinct()
+    kept = base.join(days, "day", "left_semi").join(keys, KEY, "left_anti").select(*cols, "day")
+    scratch = storage_root(spark, "rewritten-days")
+    moved.select(*cols, "day").unionByName(kept).repartition("day").write.parquet(scratch)
+    gone = [r.day for r in old_days.collect()]  # a number for each touched day
+    new = spark.read.parquet(scratch)
+    left = {r.day for r in new.select("day").distinct().collect()}
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    for day in gone:
+        if day not in left:
+            fs, jpath = _fs(spark, f"{path.rstrip('/')}/day={day}")
+            fs.delete(jpath, True)
+
+
+def store_update_by_key(spark: SparkSession, path: str, updates: DataFrame) -> None:
+    """S5 on a stored table: replace the rows named by ``(stream_key, session_seq)``; unknown keys change nothing."""
+    _rewrite_days(spark, path, lambda base: (updates, lambda rows: update_by_key(rows, updates)))
+
+
+def store_update_last(spark: SparkSession, path: str, updates: DataFrame) -> None:
+    """S4 on a stored table: replace the newest session of each stream named in ``updates``."""
+
+    def update(base: DataFrame):
+        from sessionlake.operators.query import max_key
+
+        keyed = updates.join(max_key(base), "stream_key").withColumnRenamed("max_session_seq", "session_seq")
+        return keyed, lambda rows: update_by_key(rows, keyed.select(*KEY, *DATA_COLUMNS))
+
+    _rewrite_days(spark, path, update)
+
+
 def upsert(base: DataFrame, changes: DataFrame) -> DataFrame:
     """Insert new keys and replace existing ones, newest ``version`` wins.
 

@@ -40,3 +40,30 @@ def test_upsert_newest_version_wins(spark):
     )
     got = sorted((r.session_seq, r.end) for r in store.upsert(base, changes).collect())
     assert got == [(1, 30), (2, 40)]
+
+
+def test_updates_of_a_stored_table(spark, tmp_path):
+    """S4 and S5 change the table on disk, day by day; other days' files stay."""
+    import os
+
+    from sessionlake.sources import store as ST
+
+    path = str(tmp_path / "sessions")
+    cols = "stream_key long, session_seq int, start long, end long, is_active boolean, app_id string, workspace int"
+    rows = [(k, i, (i - 1) * 86400 + k, (i - 1) * 86400 + k + 50, True, "a", None) for k in (1, 2) for i in (1, 2, 3)]
+    ST.create_sessions(spark, path)
+    ST.append_sessions(spark.createDataFrame(rows, cols).repartition(4), path)
+    files = lambda day: sorted(f for f in os.listdir(f"{path}/day={day}") if f.endswith(".parquet"))
+    assert [len(files(d)) for d in (0, 1, 2)] == [1, 1, 1]
+    untouched = files(0)
+    upd = spark.createDataFrame([(1, 2, 90_000, 90_500, True, "b", 3), (9, 9, 0, 1, True, "x", None)], cols)
+    ST.store_update_by_key(spark, path, upd)
+    last = spark.createDataFrame([(2, 500_000, 500_100, False, None, None), (7, 1, 2, False, None, None)], "stream_key long, start long, end long, is_active boolean, app_id string, workspace int")
+    ST.store_update_last(spark, path, last)
+    want = {(r[0], r[1]): r for r in rows}
+    want[1, 2] = (1, 2, 90_000, 90_500, True, "b", 3)
+    want[2, 3] = (2, 3, 500_000, 500_100, False, None, None)
+    got = ST.read_sessions(spark, path).select(*[c.split()[0] for c in cols.split(", ")]).collect()
+    assert sorted(map(tuple, got)) == sorted(want.values()) and files(0) == untouched
+    ST.store_update_last(spark, path, last.selectExpr("1L AS stream_key", "start", "end", "is_active", "app_id", "workspace").limit(1))
+    assert not os.path.isdir(f"{path}/day=2") or files(2) == []
