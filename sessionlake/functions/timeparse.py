@@ -7,6 +7,7 @@ Tried in order, first match wins (text trimmed):
    formats times four time formats;
 4. the raw text as a date alone (midnight);
 5. the raw text as a time alone (on ``today``).
+The period of 12-hour times may be in either case (``02:30 PM``, ``02:30 pm``).
 Wall-clock forms are read at the fixed UTC offset ``offset_seconds``. Text that
 matches nothing gives NULL (send it to quarantine). Everything is a
 ``coalesce`` of ``try_`` casts and ``try_to_timestamp`` - no UDF; the result

@@ -102,3 +102,23 @@ def test_range_filter_pushes_to_parquet(spark, tmp_path):
     assert "PushedFilters" in plan and "GreaterThanOrEqual(start,15)" in plan
     assert "PartitionFilters" in plan and "day" in plan
     assert names(df) == ["steam"]
+
+
+def test_every_check_rule_fires(spark):
+    from sessionlake.operators.audit import split_checked
+
+    cols = "stream_key long, start long, end long, is_active boolean, app_id string, workspace int"
+    rows = [
+        (0, 1, 2, True, "a", 1),
+        (1, None, 2, True, "a", 1),
+        (2, 1, None, True, "a", 1),
+        (3, 1, 2, None, "a", 1),
+        (4, 3, 2, True, "a", 1),
+        (5, 1, 2, True, None, 1),
+        (6, 1, 2, False, "a", None),
+        (7, 1, 2, False, None, 1),
+    ]
+    good, bad = split_checked(spark.createDataFrame(rows, cols))
+    assert [r.stream_key for r in good.collect()] == [0]
+    want = ["start is null", "end is null", "is_active is null", "end before start", "active without app_id", "idle with app_id", "idle with workspace"]
+    assert [r.violation for r in bad.orderBy("stream_key").collect()] == want
