@@ -37,6 +37,8 @@ SALT_ROWS = 50_000
 LEVELS = 8
 #: Rows of two numbers that may be broadcast (their size is checked by counting them).
 BROADCAST_ROWS = 1_000_000
+#: Set elements that a task remembers while it confirms pairs.
+MEMO_HASHES = 4_000_000
 #: Edges that one task contracts.
 PART_EDGES = 500_000
 
@@ -282,19 +284,30 @@ def confirm(pairs: DataFrame, items: Items) -> DataFrame:
     read, percent = items.read_set, items.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, np.ndarray] = {}  # sets that many pairs share
+        held = 0
         for batch in batches:
-            a, b = [], []
-            last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, U64))
-            for r in range(batch.num_rows):
-                y = batch.column(3)[r].as_py()
-                if last[0] != y:
-                    last = (y, read(y))
-                x = read(batch.column(2)[r].as_py())
-                n = len(np.intersect1d(x, last[1], assume_unique=True))
-                if 100 * n >= percent * (len(x) + len(last[1]) - n):
-                    a.append(batch.column(0)[r].as_py())
-                    b.append(batch.column(1)[r].as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            ok = []
+            for r, pair in enumerate(zip(a, b, strict=True)):
+                if held > MEMO_HASHES:
+                    memo.clear()
+                    held = 0
+                both_sets = []
+                for k, i in enumerate(pair):
+                    got = memo.get(i)
+                    if got is None:
+                        got = memo[i] = read(batch.column(2 + k)[r].as_py())
+                        held += len(got)
+                    both_sets.append(got)
+                x, y = both_sets
+                least, most = sorted((len(x), len(y)))
+                if 100 * least < percent * most:  # the smaller is too small even if it lies in the larger
+                    continue
+                n = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * n >= percent * (len(x) + len(y) - n):
+                    ok.append(r)
+            yield batch.select(["a", "b"]).take(pa.array(ok, pa.int64()))
 
     return stored(both.select("a", "b", "x", "y").mapInArrow(run, PAIRS), "links")
 
