@@ -30,7 +30,7 @@ from sessionlake.config import storage_root
 from sessionlake.llm.text import U64, mix
 
 #: Members of a node that are compared exhaustively, and pivots of a larger one.
-SMALL, PIVOTS = 512, 8
+SMALL, PIVOTS = 2048, 8
 #: Members of a large node that one task compares with the node's probes.
 SALT_ROWS = 50_000
 #: Levels of branching before large nodes are compared in blocks.
@@ -205,6 +205,8 @@ def _compare_small(read: Callable, cut: int, forest: bool) -> Callable:
                     root = {int(v): int(v) for v in c}
                     keep = []
                     for k in np.argsort(-equal, kind="stable"):
+                        if len(keep) == len(root) - 1:
+                            break
                         p, q = int(c[x[k]]), int(c[y[k]])
                         while root[p] != p:
                             root[p] = root[root[p]]
