@@ -42,7 +42,7 @@ from sessionlake.llm.text import U64, mix, word_runs
 GT, MIN_BIGRAM = 5, 3
 HEAVY = 1 << 16
 #: Tokens that a task gathers before it sends them, and rows of a partition.
-GATHER, PART_ROWS = 1_500_000, 4_000_000
+GATHER, PART_ROWS = 600_000, 4_000_000
 BLOOM_BITS = 1 << 26
 
 BEGIN, END = U64(0x1D5A2F86C3B94E71), U64(0x7C0E9B3D6A18F255)  # hashes that stand for no word

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 
 #: A-Z to a-z, every other byte unchanged (UTF-8 continuation bytes are over 0x7F).
