@@ -388,47 +388,60 @@ def evaluate(texts: DataFrame, model: Model) -> DataFrame:
             at = np.minimum(np.searchsorted(table_, q), len(table_) - 1)
             return at, table_[at] == q
 
-        got: list[np.ndarray] = []
-        uids: list[np.ndarray] = []
-        named: list[list] = [[], [], []]  # uid, key, train
+        # a gathering's rows stay together: its sums of this part are one row, of the documents that have any
+        sums: dict[int, np.ndarray] = {}
+        names: dict[int, tuple[bytes, bytes]] = {}
+        ids: dict[int, bytes] = {}
         for r in range(blobs.num_rows):
             kind, va, vb, vr, vn, vu = (blobs.column(k)[r].as_py() for k in ("kind", "a", "b", "row", "n", "uid"))
             uid = unpack(vu, True).view(np.int64)
-            uids.append(uid)
+            first = int(uid[0])
+            out = sums.setdefault(first, np.zeros((4, len(uid))))
+            ids[first] = vu
             if kind == 0:
-                got.append(np.frombuffer(va).reshape(4, -1))
-                key, null = np.frombuffer(vb, np.int64).reshape(2, -1)
-                named[0] += uid.tolist()
-                named[1] += [None if x else k for k, x in zip(key.tolist(), null, strict=True)]
-                named[2] += np.frombuffer(vr, np.int64).astype(bool).tolist()
+                out += np.frombuffer(va).reshape(4, -1)
+                names[first] = (vb, vr)
                 continue
             row, n, key = unpack(vr).astype(np.int64), unpack(vn).astype(np.float64), unpack(va, True)
-            out = np.zeros((4, len(uid)))
             if kind == 3:
                 at, ok = look(hashes, pair_hash(key, unpack(vb)))
-                out[3] = np.bincount(row, np.where(ok, gain[at] if len(gain) else 0.0, 0.0) * n, len(uid))
+                out[3] += np.bincount(row, np.where(ok, gain[at] if len(gain) else 0.0, 0.0) * n, len(uid))
+                continue
+            at, ok = look(words_, key)
+            pick = lambda t, other, at=at, ok=ok: np.where(ok, t[at] if len(t) else 0, other)
+            if kind == 1:
+                out[1] += np.bincount(row, ok * n, len(uid))
+                out[2] += np.bincount(row, base(pick(count, 0)) * n, len(uid))
+                out[3] += np.bincount(row, pick(log_p, math.log10(p_unknown)) * n, len(uid))
             else:
-                at, ok = look(words_, key)
-                pick = lambda t, other, at=at, ok=ok: np.where(ok, t[at] if len(t) else 0, other)
-                if kind == 1:
-                    out[1] = np.bincount(row, ok * n, len(uid))
-                    out[2] = np.bincount(row, base(pick(count, 0)) * n, len(uid))
-                    out[3] = np.bincount(row, pick(log_p, math.log10(p_unknown)) * n, len(uid))
-                else:
-                    out[3] = np.bincount(row, pick(log_a, 0.0) * n, len(uid))
-            got.append(out)
-        if not got:
-            return empty
-        uid, back = np.unique(np.concatenate(uids), return_inverse=True)
-        sums = [np.bincount(back, np.concatenate([g[i] for g in got]), len(uid)) for i in range(4)]
-        whole = pa.table({"uid": pa.array(uid), "tokens": pa.array(np.rint(sums[0]).astype(np.int64)), "known": pa.array(np.rint(sums[1]).astype(np.int64)), "base": pa.array(sums[2]), "score": pa.array(sums[3])})
-        names = pa.table({"uid": pa.array(named[0], pa.int64()), "key": pa.array(named[1], pa.int64()), "train": pa.array(named[2], pa.bool_())})
-        return whole.join(names, "uid", join_type="left outer").select(empty.column_names)
-
-    kinds = {"uid": pa.int64(), "key": pa.int64(), "train": pa.bool_(), "tokens": pa.int64(), "known": pa.int64(), "base": pa.float64(), "score": pa.float64()}
-    empty = pa.table({k: pa.array([], t) for k, t in kinds.items()})
-    met = sent.groupBy("part").cogroup(model_rows.groupBy("part")).applyInArrow(meet, SUMS)
-    return met.groupBy("uid").agg(F.max("key").alias("key"), F.max("train").alias("train"), *(F.sum(c).alias(c) for c in ("tokens", "known", "base", "score")))
+                out[3] += np.bincount(row, pick(log_a, 0.0) * n, len(uid))
+        cols: list[list] = [[], [], [], [], [], []]
+        for first, out in sums.items():
+            at = np.flatnonzero(out.any(axis=0))
+            for c, x in zip(cols, (first, ids[first], at.astype(np.int32).tobytes(), out[:, at].tobytes(), *names.get(first, (b"", b""))), strict=True):
+                c.append(x)
+        return pa.table({"first": pa.array(cols[0], pa.int64()), **{k: pa.array(c, pa.binary()) for k, c in zip(("uid", "at", "sums", "key", "train"), cols[1:], strict=True)}})
+
+    def add(table_: pa.Table) -> pa.Table:
+        """All parts' sums of one gathering, a row a document."""
+        uid = unpack(table_.column("uid")[0].as_py(), True).view(np.int64)
+        total = np.zeros((4, len(uid)))
+        for at, part in zip(table_.column("at").to_pylist(), table_.column("sums").to_pylist(), strict=True):
+            total[:, np.frombuffer(at, np.int32)] += np.frombuffer(part).reshape(4, -1)
+        key, train = next((k, t) for k, t in zip(table_.column("key").to_pylist(), table_.column("train").to_pylist(), strict=True) if t)
+        values, null = np.frombuffer(key, np.int64).reshape(2, -1)
+        return pa.table({
+            "uid": pa.array(uid),
+            "key": pa.array(values, pa.int64(), mask=null.astype(bool)),
+            "train": pa.array(np.frombuffer(train, np.int64).astype(bool)),
+            "tokens": pa.array(np.rint(total[0]).astype(np.int64)),
+            "known": pa.array(np.rint(total[1]).astype(np.int64)),
+            "base": pa.array(total[2]),
+            "score": pa.array(total[3]),
+        })
+
+    met = sent.groupBy("part").cogroup(model_rows.groupBy("part")).applyInArrow(meet, "first bigint, uid binary, at binary, sums binary, key binary, train binary")
+    return met.groupBy("first").applyInArrow(add, SUMS)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, rest: int = 2) -> DataFrame:
