@@ -98,3 +98,18 @@ def test_lines_of_a_run():
     got = [(int(d), int(p), lines.text(i).decode()) for i, (d, p) in enumerate(zip(lines.doc, lines.pos, strict=True))]
     want = [(d, p, " ".join(x.split())) for d, t in enumerate(texts) for p, x in enumerate((t or "").split("\n"))]
     assert [(d, p, x.lower()) for d, p, x in got] == [(d, p, x.lower()) for d, p, x in want]
+
+
+def changed_lines(n, size, seed):
+    """Lines of ``size`` characters, each with a copy that has another character in the middle: size - 15 of size + 1 shingles are shared."""
+    rng = random.Random(seed)
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size)) for _ in range(n)]
+    return lines, [x[: size // 2] + "#" + x[size // 2 + 1 :] for x in lines]
+
+
+def test_pairs_from_the_threshold_of_three_quarters(spark):
+    linked, copies = changed_lines(40, 63, 5)  # 48 of 64 shingles
+    apart, others = changed_lines(40, 62, 6)  # 47 of 63
+    rows = [(i, t) for i, t in enumerate([*linked, *apart, *copies, *others])]
+    got = run(spark, rows)
+    assert {r[0] for r in got if r[3]} == set(range(80, 120))
