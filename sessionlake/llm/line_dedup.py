@@ -1,8 +1,8 @@
 """Operator 1: fuzzy line deduplication by MinHash.
 
 A line is normalised (A-Z lowered, white space runs one space, trimmed) and is the set of its
-8-character shingles. Minwise values of the distinct lines are cut into bands; lines that share
-a band are candidates, confirmed by exact Jaccard similarity of at least 0.75 and merged by
+8-character shingles; a shorter line is one whole shingle. Minwise values of the distinct lines
+are cut into bands; lines that share a band are candidates, confirmed by exact Jaccard similarity of at least 0.75 and merged by
 distributed union-find (`linking.resolve`). Of each component the first line, by document
 and position, stays; all others are removed from their documents.
 
@@ -10,8 +10,9 @@ Recall: 14 bands of 3 values miss a pair at the threshold with probability 5e-4,
 similarity 0.85 with 2e-6. A candidate needs 20 of 42 equal values (missed at the
 threshold: 6e-5).
 
-Defined results: lines of fewer than `MIN_CHARS` normalised characters, empty ones among them,
-take no part and stay. A null text stays null, with no lines; an empty one has none either.
+Defined results: lines that are empty once normalised take no part and stay. A line of fewer
+than 8 characters is similar to its exact copies only, which have its id, so it needs no band.
+A null text stays null, with no lines; an empty one has none either.
 Documents with a null key stay as they are. Rows that repeat a key count as one document: what
 is removed from one is removed from all. A document all of whose lines go has an empty text.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from sessionlake.llm import linking
 from sessionlake.llm.text import BASE, U64, minhash, mix, powers, runs, utf8
 
-Q, PERCENT, MIN_CHARS = 8, 75, 20
+Q, PERCENT, MIN_CHARS = 8, 75, 1
 BANDS, ROWS, CUT = 14, 3, 20
 VALUES = BANDS * ROWS
 SEED = 1
@@ -100,12 +101,12 @@ class Lines:
         return self.chars[self.start[i] : self.end[i]].tobytes().decode("utf-32-le").encode()
 
 
-def line_runs(texts: pa.Array) -> Iterator[tuple[int, Lines, np.ndarray, np.ndarray]]:
-    """(first document, lines, which take part, ids of these) of run after run of documents."""
+def line_runs(texts: pa.Array, least: int = MIN_CHARS) -> Iterator[tuple[int, Lines, np.ndarray, np.ndarray]]:
+    """(first document, lines, which have ``least`` characters, ids of these) of run after run of documents."""
     data, offsets = utf8(texts)
     for a, b in runs(offsets, 1 << 20):
         lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        which = np.flatnonzero(lines.end - lines.start >= MIN_CHARS)
+        which = np.flatnonzero(lines.end - lines.start >= least)
         yield a, lines, which, lines.ids()[which]
 
 
@@ -130,11 +131,11 @@ def read_set(data: bytes) -> np.ndarray:
 
 
 def bands(texts: DataFrame) -> DataFrame:
-    """(node, id): a row for each band of each line that takes part."""
+    """(node, id): a row for each band of each line that may have near copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, lines, which, ids in line_runs(batch.column(0)):
+            for _, lines, which, ids in line_runs(batch.column(0), Q):
                 ids, first = np.unique(ids, return_index=True)
                 sig = signature(lines, which[first])
                 for k in range(BANDS):
@@ -177,7 +178,7 @@ def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, lines, which, found in line_runs(batch.column(0)):
+            for _, lines, which, found in line_runs(batch.column(0), Q):
                 found, first = np.unique(found, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([lines.text(i) for i in which[first]], pa.binary())], names=["id", "data"])
 

@@ -113,3 +113,10 @@ def test_pairs_from_the_threshold_of_three_quarters(spark):
     rows = [(i, t) for i, t in enumerate([*linked, *apart, *copies, *others])]
     got = run(spark, rows)
     assert {r[0] for r in got if r[3]} == set(range(80, 120))
+
+
+def test_short_lines_take_part(spark):
+    """"short line!" shares 3 of 4 shingles with "short line"."""
+    rows = [(1, "x\nno\nshort line\n\n"), (2, "No\nX y\nSHORT  line\nx\n\n"), (3, "nob\n12345678\n1234567\nshort line!"), (4, "1234567\n 12345678 \n中é"), (5, "中é\n \nno")]
+    want = [(1, "x\nno\nshort line\n\n", 5, 0), (2, "X y\n\n", 6, 3), (3, "nob\n12345678\n1234567", 4, 1), (4, "中é", 3, 2), (5, " ", 3, 2)]
+    assert run(spark, rows) == want
