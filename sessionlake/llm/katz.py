@@ -1,7 +1,7 @@
 """Operator 2: a Katz backoff bigram model, trained on a part of the documents and applied to all.
 
-Counts are discounted by Good-Turing (Katz's renormalised form up to count `GT`). A bigram seen at
-least `MIN_BIGRAM` times has its discounted relative frequency; for any other the recursion backs off:
+Counts are discounted by Good-Turing (Katz's renormalised form up to count `GT`). Every bigram seen in
+training has its discounted relative frequency; for any other the recursion backs off:
 its probability is the unigram's, times the context's weight, which makes the context's
 probabilities sum to exactly 1 over the vocabulary and one unknown word. The mass that discounting takes
 from unigrams is the unknown word's.
@@ -38,8 +38,8 @@ from sessionlake.llm.lang_centroids import held_out
 from sessionlake.llm.linking import stored
 from sessionlake.llm.text import U64, mix, word_runs
 
-#: Counts up to this are discounted; bigrams seen fewer times are backed off.
-GT, MIN_BIGRAM = 5, 3
+#: Counts up to this are discounted; bigrams seen fewer times are backed off (none are at 1).
+GT, MIN_BIGRAM = 5, 1
 HEAVY = 1 << 16
 #: Tokens that a task gathers before it sends them, and rows of a partition.
 GATHER, PART_ROWS = 600_000, 4_000_000

@@ -117,3 +117,12 @@ def test_packed_columns():
     for x in (a, np.sort(a), a[:0]):
         for rising in (True, False):
             assert np.array_equal(katz.unpack(katz.pack(x, rising), rising), x)
+
+
+def test_bigrams_seen_once_or_twice_count(spark, monkeypatch):
+    rows = corpus(4, 150)
+    got = {r.doc_id: r.score for r in katz.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(katz, "MIN_BIGRAM", 1)  # of the recursion, whatever the operator keeps
+    model = Recursion([t for k, t in rows if not held(k)])
+    want = {k: model.row(k, t)[-1] for k, t in rows}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-9, atol=1e-7)
