@@ -109,3 +109,66 @@ def test_band_equals_full_alignment():
     for x, y, c in zip(a, b, cost, strict=True):
         full = edits_to_beginning(list(x), list(y)[: len(x) + 5])
         assert c == full if full <= 5 else c > 5
+
+
+def edits_anywhere(a, b):
+    """Fewest edits from ``a`` to any part of ``b``: every document place is tried."""
+    row = [0] * (len(b) + 1)
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def brute_anywhere(docs, items):
+    out = {}
+    for key, text in docs:
+        t = norm(text)
+        for item, passage in items:
+            p = norm(passage)
+            w = min(len(p), dc.WINDOW)
+            e = int(dc.EDITS * w)
+            e = e if w + 1 - dc.Q * (e + 1) >= 1 else 0
+            cost = min(edits_anywhere(p[s : s + w], t) for s in range(len(p) - w + 1)) if p else 99
+            if cost <= e:
+                out[key, item] = min(out.get((key, item), 99), cost)
+    return out
+
+
+def found(spark, docs, items):
+    rows = dc.passages(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len({(r.doc_id, r.item_id) for r in rows}) == len(rows)
+    return {(r.doc_id, r.item_id): r.n_edits for r in rows}, rows
+
+
+def test_every_document_place(spark):
+    rng = random.Random(11)
+    prose = lambda n: "".join(rng.choices("abcdefghij klmnopqrstuv ", k=n))
+    items = [(i, prose(n)) for i, n in enumerate([60, 80, 84, 88, 40, 33, 18, 27, 16, 9, 7, 3])]
+    docs = []
+    for i in range(24):
+        s = list(items[i % 12][1])
+        for at in rng.sample(range(min(9, len(s))), min(len(s), rng.randint(0, 2))) + rng.sample(range(len(s)), min(len(s), rng.randint(0, 4))):
+            s[at] = rng.choice(["#", "", s[at] + "#", s[at]])
+        docs.append((i, prose(rng.choice([0, 5, 60])) + rng.choice(["", " "]) + "".join(s) + prose(rng.choice([0, 4, 60]))))
+    want = brute_anywhere(docs, items)
+    got, rows = found(spark, docs, items)
+    assert got == want and len(want) > 12 and max(want.values()) > 2
+    texts, passages = dict(docs), dict(items)
+    for r in rows:
+        region, window = norm("|" + texts[r.doc_id][r.doc_start : r.doc_end] + "|")[1:-1], norm(passages[r.item_id])[r.item_start :][: dc.WINDOW]
+        assert edits_to_beginning(window, region) == r.n_edits
+
+
+def test_edit_near_the_start(spark):
+    question = "what is the name of the longest river that crosses europe?!?"
+    assert len(question) == 60
+    got, _ = found(spark, [(1, "so: wh#t" + question[4:] + " yes")], [(7, question)])
+    assert got == {(1, 7): 1}
+
+
+def test_items_that_share_an_id(spark):
+    got, _ = found(spark, [(1, "a first text of the item, long enough to be found"), (2, "some other words that have the same number here")], [(7, "a first text of the item, long enough to be found"), (7, "some other words that have the same number here")])
+    assert got == {(1, 7): 0, (2, 7): 0}
