@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. The first pass looks at each block alone:
 links over much of it make it bad; long blocks are good or bad by the share of common
-function words in them; the rest stays ambiguous. In the second pass an ambiguous block
+function words in them; the rest stays ambiguous. The function words are English, French, German and
+Spanish; in a page whose text hardly has any, length and links alone decide. In the second pass an ambiguous block
 takes the label of the nearest decided block, and of the better one if two are as near.
 What a page marks as menu, header, footer, sidebar, notice, advert, form or comments is
 bad whatever it says; in a page with an ``article`` or ``main`` element, what lies outside is
@@ -67,6 +68,8 @@ SHORT_CHARS = 70
 LONG_CHARS = 200
 LOW_STOP_SHARE = 0.10
 HIGH_STOP_SHARE = 0.20
+#: A page is in another language if less of its text than this is in blocks with function words.
+KNOWN_SHARE = 0.1
 
 
 @dataclass
@@ -168,8 +171,25 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, page_has_main: bool) -> bool | None:
-    """True: article, False: not, None: ambiguous."""
+def stop_share(block: Block) -> float:
+    """The share of function words among the block's words."""
+    words = WORD.findall(block.text.lower())
+    return sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
+
+
+def other_language(found: list[Block]) -> bool:
+    """Hardly any of the text that could be an article is in blocks with function words."""
+    size = known = 0
+    for b in found:
+        n = len(b.text)
+        if not b.marked_bad and n >= SHORT_CHARS and b.links / n <= MAX_LINK_SHARE:
+            size += n
+            known += n * (stop_share(b) >= LOW_STOP_SHARE)
+    return known < KNOWN_SHARE * size
+
+
+def first_pass(block: Block, page_has_main: bool, other: bool = False) -> bool | None:
+    """True: article, False: not, None: ambiguous; by length and links alone in an ``other`` language."""
     n = len(block.text)
     if block.marked_bad or page_has_main and not block.in_main:
         return False
@@ -177,8 +197,9 @@ def first_pass(block: Block, page_has_main: bool) -> bool | None:
         return False
     if n < SHORT_CHARS:
         return None
-    words = WORD.findall(block.text.lower())
-    share = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
+    if other:
+        return True
+    share = stop_share(block)
     if share >= HIGH_STOP_SHARE:
         return True if n >= LONG_CHARS or block.in_main else None
     if share >= LOW_STOP_SHARE or block.in_main:
@@ -213,7 +234,8 @@ def main_text(page: str | None) -> str:
         return ""
     found = blocks(page)
     has_main = any(b.in_main and not b.marked_bad for b in found)
-    keep = second_pass([first_pass(b, has_main) for b in found], found)
+    other = not has_main and other_language(found)
+    keep = second_pass([first_pass(b, has_main, other) for b in found], found)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 

@@ -40,3 +40,11 @@ def test_rows(spark):
     assert len(got) == 5 and by[None].text == "" and by[2].n_chars == 0 and by[3].n_chars == 200000 * 4 - 1
     assert by[1].text == main_text(PAGE) and by[1].n_chars == len(by[1].text)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_other_languages_without_containers():
+    finnish = "Talo seisoi pitkään mäen päällä ja sen asukkaat kertoivat vanhoja tarinoita kaikille, jotka kävivät kylässä. " * 3
+    chinese = "这座房子在山上矗立了很久，住在里面的人们向每一位来访的客人讲述古老的故事，" * 4
+    for text in (finnish, chinese):
+        page = f"<body><div><a href=1>yksi</a> <a href=2>kaksi</a></div><p>{text}</p><p>Niin.</p><p>{text}</p><div><a href=x>{text}</a></div><footer>{text}</footer></body>"
+        assert main_text(page).split("\n") == [text.strip(), "Niin.", text.strip()]
