@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.config import storage_root
@@ -342,8 +342,8 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
     nodes = stored(nodes, "nodes")
     for level in range(LEVELS + 1):
         # the same members met in several nodes need one comparison
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
-        sizes = stored(sizes.groupBy("n", "h").agg(F.min("node").alias("node")).select("node", "n"), "sizes")
+        every = nodes.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
+        sizes = stored(every.groupBy("n", "h").agg(F.min("node").alias("node")).select("node", "n"), "sizes")
         size = sizes.agg(F.count("*").alias("nodes"), F.sum((F.col("n") > SMALL).cast("int")).alias("large")).first()
         if not size.nodes:
             break
@@ -371,6 +371,10 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         open_rows = large.filter(~waits).select("node", "id", "sig")
         if level == LEVELS or not n or open_rows.isEmpty():
             break
+        # but each of these nodes branches by its own choices: a pair has as many chances as it met in nodes
+        names = every.filter(F.col("n") > SMALL).select("node", F.min("node").over(Window.partitionBy("n", "h")).alias("first"))
+        names = stored(names, "names")
+        open_rows = open_rows.withColumnRenamed("node", "first").join(small_side(names, names.count()), "first").select("node", "id", "sig")
         nodes = stored(shared_nodes(branch(open_rows, level + 1)), "nodes")
 
     if comp is None:

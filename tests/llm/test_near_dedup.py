@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.llm import linking
 from sessionlake.llm.near_dedup import near_duplicates
@@ -124,3 +125,20 @@ def test_shared_nodes(spark):
     for k, _ in rows:
         n[k] = n.get(k, 0) + 1
     assert got == sorted(r for r in rows if n[r[0]] > 1)
+
+
+def test_equal_large_nodes_branch_each(spark, monkeypatch):
+    monkeypatch.setattr(linking, "SMALL", 2)
+    monkeypatch.setattr(linking, "PIVOTS", 1)
+    nodes = spark.createDataFrame([(n, i) for n in (1, 2) for i in range(6)], "node long, id long")
+    rows = spark.createDataFrame([(i, np.full(4, i, np.uint32).tobytes()) for i in range(6)], "id long, sig binary")
+    read = lambda col: np.frombuffer(b"".join(col.to_pylist()), np.uint32).reshape(-1, 4)
+    sets = lambda few, n: rows.select("id", F.col("sig").alias("data")).join(few, "id", "left_semi")
+    seen = []
+
+    def branch(open_rows, level):
+        seen.append(sorted((r.node, r.id) for r in open_rows.collect()))
+        return open_rows.select("node", "id").limit(0)
+
+    linking.resolve(nodes, linking.Items(rows, sets, read, lambda b: np.frombuffer(b, np.uint32), 3, 75), branch)
+    assert seen == [[(n, i) for n in (1, 2) for i in range(6)]]
