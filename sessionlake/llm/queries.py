@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlake.llm import decontaminate, html_text, katz, lang_centroids, line_dedup, near_dedup, piece_codec, pivot_search, substring_dedup, toxic_neighbours
+from sessionlake.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    katz,
+    lang_centroids,
+    line_dedup,
+    near_dedup,
+    piece_codec,
+    pivot_search,
+    substring_dedup,
+    token_align,
+    toxic_neighbours,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """Where the public tokenizer package keeps the model that operator 8 is asked for."""
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the public tokenizer package keeps the models that operators 8 and 13 are asked for."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("piece_bpe_32k.model"))
+    return str(public_tokenizers.path(name))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +90,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
+  row_number() OVER (PARTITION BY body ORDER BY doc_id NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
+FROM t
+"""
+
+
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.alignment_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_katz": op2_katz,
@@ -88,9 +119,12 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
     "op10_decontaminate": op10_decontaminate,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_token_align": op13_token_align,
 }
 
 #: Only operators that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
     "op3_pivot_search": OP3_SQL,
+    "op12_exact_dedup": OP12_SQL,
 }
