@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionlake.llm import (
+    chat_repair,
     decontaminate,
     exact_dedup,
     html_text,
@@ -90,6 +91,75 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair(chat_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def _op11_sql() -> str:
+    """Row by row from the last: for each state, cost (nine digits) and audit of the best edits of the rest; then
+    the edits are replayed from the first row."""
+    more = lambda v, cost, edit: f"printf('%09d', CAST({v}[1:9] AS BIGINT) + {cost}) || '{edit}' || {v}[10:]"
+    kept = {0: "CASE x WHEN 's' THEN v1 WHEN 'u' THEN v2 END", 1: "CASE x WHEN 'u' THEN v2 END", 2: "CASE x WHEN 'a' THEN v3 END", 3: "CASE x WHEN 'u' THEN v2 END"}
+    after = (2, 2, 3, 2)
+    own = ", ".join(f"least({more(f'v{s}', 3, 'D')}, CASE WHEN NOT gone THEN {more(f'v{after[s]}', '2 + cut', 'R')} END, CASE WHEN NOT gone THEN {more(f'({kept[s]})', 'cut', 'K')} END) AS w{s}" for s in range(4))
+    return rf"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1))))) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM coded WHERE kind <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS x,
+    NOT regexp_matches(text, '[^ 	-]') AS blank,
+    regexp_extract(text, '([^ 	-])[ 	-]*$', 1) NOT IN ('.', '!', '?') AS open
+  FROM damaged
+), marked AS (
+  SELECT *, NOT blank AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(x) OVER (PARTITION BY conv_id ORDER BY i) AS y
+  FROM placed
+), rowed AS (
+  SELECT *, blank OR again AS gone, CAST(open AND NOT blank AND NOT again AS INTEGER) AS cut FROM marked
+), counted AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate, count(*) FILTER (cut = 1) AS truncated,
+    count(*) FILTER (y IS NOT NULL AND y || x NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rowed GROUP BY conv_id
+), solved AS (
+  SELECT conv_id, n + 1 AS i, '000000000' AS v0, '000000004II' AS v1, '000000002I' AS v2, '000000000' AS v3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, least(w0, {more('w2', 2, 'I')}, {more('w3', 4, 'II')}), least(w1, {more('w2', 2, 'I')}, {more('w3', 4, 'II')}),
+    least(w2, {more('w3', 2, 'I')}), least(w3, {more('w2', 2, 'I')})
+  FROM (SELECT r.conv_id, r.i, {own} FROM solved AS s JOIN rowed AS r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i - 1)
+), best AS (
+  SELECT conv_id, CAST(v0[1:9] AS BIGINT) AS cost, v0[10:] AS audit FROM solved WHERE i = 1
+), played AS (
+  SELECT conv_id, audit, 1 AS k, 1 AS i, 0 AS state, CAST([] AS VARCHAR[]) AS lines FROM best
+  UNION ALL
+  SELECT p.conv_id, audit, k + 1, CASE audit[k] WHEN 'I' THEN p.i ELSE p.i + 1 END,
+    CASE audit[k] WHEN 'D' THEN state WHEN 'K' THEN CASE r.x WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE CASE state WHEN 2 THEN 3 ELSE 2 END END,
+    CASE audit[k] WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, r.role || ':' || r.text)
+      ELSE list_append(lines, CASE state WHEN 2 THEN 'assistant:' ELSE 'user:' END || CASE audit[k] WHEN 'R' THEN r.text ELSE '' END) END
+  FROM played AS p LEFT JOIN rowed AS r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i
+  WHERE k <= length(audit)
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+LEFT JOIN counted AS n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN best AS b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT * FROM played WHERE k = length(audit) + 1) AS p ON p.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.label_copies(table(spark, sf_dir, "documents"))
 
@@ -119,6 +189,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_html_text": op9_html_text,
     "op10_decontaminate": op10_decontaminate,
+    "op11_chat_repair": op11_chat_repair,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_token_align": op13_token_align,
 }
@@ -126,5 +197,6 @@ QUERIES = {
 #: Only operators that SQL can express over whole tables.
 ORACLE: dict[str, str] = {
     "op3_pivot_search": OP3_SQL,
+    "op11_chat_repair": OP11_SQL,
     "op12_exact_dedup": OP12_SQL,
 }

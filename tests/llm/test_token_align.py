@@ -112,6 +112,7 @@ def test_alignment_of_any_text(texts):
             assert out[i:j].tobytes().decode().count("|") == len({t[2] for t in left} & {t[2] for t in right})
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(1, 40), min_size=1), st.lists(st.integers(1, 40), min_size=1))
 def test_chains_are_halved_to_their_terminal(left, right):
     a, b = np.unique([*left, 41]), np.unique([*right, 41])
@@ -121,6 +122,7 @@ def test_chains_are_halved_to_their_terminal(left, right):
         assert group.tolist() == np.searchsorted(both, ends).tolist()
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 50_257 * 32_000)))
 def test_packed_links(pairs):
     data, n = pack(np.array(pairs, np.int64))
