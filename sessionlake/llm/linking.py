@@ -10,10 +10,11 @@ a group of ids that may be similar. `resolve` finds the links between the member
 - a large node of one component is done. One with few members outside its largest
   component waits for the end; others branch to smaller nodes, which are treated alike;
 - at the end all nodes that were small or waited (or were still large after the last level) are
-  compared again: every candidate whose ends are still in different components is confirmed.
+  compared again: members with a candidate in another component bring their full sets to the node, where
+  an inverted index finds the links. What leaves a node is a spanning forest of them, never all pairs.
 
 So groups of thousands of copies cost work in proportion to their size, no two members of
-different components are skipped, and only ids and single sets ever travel.
+different components are skipped, and rows that travel grow with the members of nodes.
 """
 
 from __future__ import annotations
@@ -178,87 +179,213 @@ class Items:
 PAIRS = "a bigint, b bigint"
 
 
-def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([max(p) for p in pairs], pa.int64()), pa.array([min(p) for p in pairs], pa.int64())], names=["a", "b"])
+def _pairs_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y), pa.int64()), pa.array(np.minimum(x, y), pa.int64())], names=["a", "b"])
 
 
-def _compare_small(read: Callable, cut: int, forest: bool) -> Callable:
-    """Candidate pairs (a, b) of different components in each node; only a best spanning ``forest``, or all."""
+def _candidates(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows x < y of one node (rows are sorted by it) in different components with ``cut`` equal values; how many are."""
+    left = np.searchsorted(node, node, side="right") - np.arange(len(node)) - 1  # rows of the node after each
+    at, x, y, equal = np.flatnonzero(left), [], [], []
+    step = 1
+    while len(at):
+        for part in np.array_split(at, -(-len(at) // 65536)):
+            part = part[comp[part] != comp[part + step]]
+            n = (sig[part] == sig[part + step]).sum(axis=1)
+            ok = n >= cut
+            x.append(part[ok])
+            y.append(part[ok] + step)
+            equal.append(n[ok])
+        step += 1
+        at = at[left[at] >= step]
+    return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y, equal))
+
+
+class _Joined:
+    """Components joined so far."""
+
+    def __init__(self):
+        self.up: dict = {}
+
+    def root(self, x):
+        while (p := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(p, p)
+            x = p
+        return x
+
+    def join(self, x, y) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _forest_of(node: np.ndarray, comp: np.ndarray, x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Which of the pairs of rows (x, y), the first ones first, join components that no earlier pair of their node joins."""
+    joined = _Joined()
+    return [k for k, (of, p, q) in enumerate(zip(node[x].tolist(), comp[x].tolist(), comp[y].tolist(), strict=True)) if joined.join((of, p), (of, q))]
+
+
+def _node_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    for table in runs_of(batches, "node"):
+        yield table.combine_chunks()
+
+
+def _compare_small(read: Callable, cut: int) -> Callable:
+    """A best spanning forest of the candidate pairs (a, b) of different components in each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in runs_of(batches, "node"):
-            table = table.combine_chunks()
+        for table in _node_tables(batches):
+            node, ids, comp = (table.column(c).to_numpy() for c in ("node", "id", "comp"))
+            x, y, equal = _candidates(node, comp, read(table.column("sig").combine_chunks()), cut)
+            order = np.argsort(-equal, kind="stable")
+            x, y = x[order], y[order]
+            keep = _forest_of(node, comp, x, y)
+            yield _pairs_batch(ids[x[keep]], ids[y[keep]])
+
+    return run
+
+
+def _partners(read: Callable, cut: int) -> Callable:
+    """(node, id, comp) of the members that have a candidate of another component in their node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _node_tables(batches):
+            node, ids, comp = (table.column(c).to_numpy() for c in ("node", "id", "comp"))
+            x, y, _ = _candidates(node, comp, read(table.column("sig").combine_chunks()), cut)
+            at = np.unique(np.concatenate([x, y]))
+            yield pa.RecordBatch.from_arrays([pa.array(v[at], pa.int64()) for v in (node, ids, comp)], names=["node", "id", "comp"])
+
+    return run
+
+
+class _Postings:
+    """Which of some sets hold each element."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], np.int64)
+        flat = np.concatenate([np.zeros(0, U64), *sets])
+        order = np.argsort(flat, kind="stable")
+        self.values, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.size)[order]
+
+    def similar(self, one: np.ndarray, percent: int) -> np.ndarray:
+        """The sets that share enough with ``one``."""
+        shared = np.zeros(len(self.size), np.int64)
+        at = np.searchsorted(self.values, one)
+        known = at < len(self.values)
+        known[known] = self.values[at[known]] == one[known]
+        at = at[known]
+        for part in np.array_split(at, -(-int(self.count[at].sum()) // 2_000_000) or 1):
+            count = self.count[part]
+            before = np.cumsum(count) - count
+            spans = np.repeat(self.first[part] - before, count) + np.arange(int(count.sum()))
+            shared += np.bincount(self.owner[spans], minlength=len(shared))
+        return np.flatnonzero(100 * shared >= percent * (self.size + len(one) - shared))
+
+
+def _exact_links(read_set: Callable, percent: int) -> Callable:
+    """A spanning forest of the links (a, b) between different components in each node, by the members' full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _node_tables(batches):
             node, ids, comp = (table.column(c).to_numpy() for c in ("node", "id", "comp"))
-            sig = read(table.column("sig").combine_chunks())
             cuts = np.flatnonzero(np.diff(node)) + 1
             for i, j in zip(np.append(0, cuts), np.append(cuts, len(node)), strict=True):
-                s, c = sig[i:j], comp[i:j]
-                x, y, equal = [], [], []
-                for k in range(j - i - 1):
-                    n = (s[k + 1 :] == s[k]).sum(axis=1)
-                    ok = np.flatnonzero((n >= cut) & (c[k + 1 :] != c[k]))
-                    x.append(np.full(len(ok), k))
-                    y.append(ok + k + 1)
-                    equal.append(n[ok])
-                x, y, equal = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y, equal))
-                if forest:
-                    root = {int(v): int(v) for v in c}
-                    keep = []
-                    for k in np.argsort(-equal, kind="stable"):
-                        if len(keep) == len(root) - 1:
-                            break
-                        p, q = int(c[x[k]]), int(c[y[k]])
-                        while root[p] != p:
-                            root[p] = root[root[p]]
-                            p = root[p]
-                        while root[q] != q:
-                            root[q] = root[root[q]]
-                            q = root[q]
-                        if p != q:
-                            root[max(p, q)] = min(p, q)
-                            keep.append(k)
-                    x, y = x[keep], y[keep]
-                if len(x):
-                    yield _pairs_batch([(int(ids[i + u]), int(ids[i + v])) for u, v in zip(x, y, strict=True)])
+                sets = [read_set(table.column("data")[k].as_py()) for k in range(i, j)]
+                held = _Postings(sets)
+                x, y = [], []
+                for k in range(j - i):
+                    found = held.similar(sets[k], percent)
+                    found = found[(found > k) & (comp[i + found] != comp[i + k])]
+                    x.append(np.full(len(found), i + k))
+                    y.append(i + found)
+                x, y = np.concatenate(x), np.concatenate(y)
+                keep = _forest_of(node, comp, x, y)
+                yield _pairs_batch(ids[x[keep]], ids[y[keep]])
 
     return run
 
 
+KEY = ["node", "salt", "block"]
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Parts of batches that share a key (`KEY`), with whether the key is a new one."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([np.asarray(batch.column(c)) for c in KEY])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        for i, j in zip(np.append(0, cuts), np.append(cuts, batch.num_rows), strict=True):
+            yield batch.slice(i, j - i), held != tuple(key[:, i])
+            held = tuple(key[:, i])
+
+
 def _stream_probes(read: Callable, cut: int, best: bool) -> Callable:
-    """Candidates of rows sorted by (node, salt, block, member): a key's few probes come first and are held.
+    """Candidates of rows sorted by `KEY` and member: a key's few probes come first and are held.
 
-    Pairs of a member and a probe in other components; only the member's ``best``, or all.
+    Of candidate pairs of a member and a probe in other components the member's ``best``; or the members and
+    probes that have one, with their key (a probe comes once for each part of a key's members).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
         ids0, comp0, sig0 = [], [], []  # of the key's probes, in parts
-        for batch in batches:
-            if not batch.num_rows:
+        for part, new in _by_key(batches):
+            if new:
+                ids0, comp0, sig0 = [], [], []
+            ids, comp, sig = np.asarray(part.column("id")), np.asarray(part.column("comp")), read(part.column("sig"))
+            k = int(np.searchsorted(np.asarray(part.column("member")), True))
+            if k:
+                ids0.append(ids[:k])
+                comp0.append(comp[:k])
+                sig0.append(sig[:k])
+            if k == len(ids) or not ids0:
                 continue
-            key = np.stack([np.asarray(batch.column(c)) for c in ("node", "salt", "block")])
-            member, ids, comp = (np.asarray(batch.column(c)) for c in ("member", "id", "comp"))
-            sig = read(batch.column("sig"))
-            cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            out: list[tuple[int, int]] = []
-            for i, j in zip(np.append(0, cuts), np.append(cuts, len(ids)), strict=True):
-                if held != tuple(key[:, i]):
-                    held, ids0, comp0, sig0 = tuple(key[:, i]), [], [], []
-                k = i + int(np.searchsorted(member[i:j], True))
-                if k > i:
-                    ids0.append(ids[i:k])
-                    comp0.append(comp[i:k])
-                    sig0.append(sig[i:k])
-                if k == j or not ids0:
+            pid, pcomp, psig = np.concatenate(ids0), np.concatenate(comp0), np.concatenate(sig0)
+            x, y, met = [], [], np.zeros(len(pid), bool)
+            for r in range(k, len(ids)):
+                equal = (psig == sig[r]).sum(axis=1)
+                ok = np.flatnonzero((equal >= cut) & (pcomp != comp[r]))
+                if len(ok):
+                    x.append(r)
+                    y.append(ok[np.argmax(equal[ok])])
+                    met[ok] = True
+            if best:
+                yield _pairs_batch(ids[x], pid[y])
+            else:
+                both = [(np.append(ids[x], pid[met]), pa.int64()), (np.append(comp[x], pcomp[met]), pa.int64()), (np.append(np.ones(len(x), bool), np.zeros(int(met.sum()), bool)), pa.bool_())]
+                key = [pa.array(np.full(len(both[0][0]), part.column(c)[0].as_py()), t) for c, t in zip(KEY, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*key, *(pa.array(v, t) for v, t in both)], names=[*KEY, "id", "comp", "member"])
+
+    return run
+
+
+def _exact_probes(read_set: Callable, percent: int) -> Callable:
+    """A link (a, b) for each component that a member's links with its key's probes meet, by full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids0, comp0, sets0, held = [], [], [], None
+        for part, new in _by_key(batches):
+            if new:
+                ids0, comp0, sets0, held = [], [], [], None
+            x, y, joined = [], [], _Joined()
+            rows = zip(*(part.column(c).to_pylist() for c in ("member", "id", "comp")), strict=True)
+            for r, (member, i, c) in enumerate(rows):
+                one = read_set(part.column("data")[r].as_py())
+                if not member:
+                    ids0.append(i)
+                    comp0.append(c)
+                    sets0.append(one)
                     continue
-                pid, pcomp, psig = np.concatenate(ids0), np.concatenate(comp0), np.concatenate(sig0)
-                for r in range(k, j):
-                    equal = (psig == sig[r]).sum(axis=1)
-                    ok = np.flatnonzero((equal >= cut) & (pcomp != comp[r]))
-                    if best and len(ok):
-                        ok = ok[np.argmax(equal[ok])][None]
-                    out += [(int(ids[r]), int(pid[x])) for x in ok]
-            yield _pairs_batch(out)
+                held = held or _Postings(sets0)
+                for p in held.similar(one, percent):
+                    if joined.join(c, comp0[p]):
+                        x.append(i)
+                        y.append(ids0[p])
+            yield _pairs_batch(np.array(x, np.int64), np.array(y, np.int64))
 
     return run
 
@@ -267,14 +394,25 @@ def probe(members: DataFrame, probes: DataFrame, items: Items, best: bool) -> Da
     """Candidate pairs between members (node, n, id, sig, comp) and their node's ``probes`` (the same, block, blocks).
 
     A node with many members is dealt to several tasks, each with the node's probes; probes that
-    are too many for one block come in several, each met by all members.
+    are too many for one block come in several, each met by all members. Each member's ``best`` candidate, or
+    the confirmed links that join components.
     """
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    cols = ["node", "salt", "block", "member", "id", "comp", "sig"]
+    cols = [*KEY, "member", "id", "comp", "sig"]
     few = probes.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("member", F.lit(False)).select(cols)
     many = members.withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = few.unionByName(many.withColumn("member", F.lit(True)).select(cols)).repartition("node", "salt", "block").sortWithinPartitions("node", "salt", "block", "member")
-    return rows.mapInArrow(_stream_probes(items.read_signatures, items.cut, best), PAIRS)
+    rows = few.unionByName(many.withColumn("member", F.lit(True)).select(cols)).repartition(*KEY).sortWithinPartitions(*KEY, "member")
+    if best:
+        return rows.mapInArrow(_stream_probes(items.read_signatures, items.cut, True), PAIRS)
+    met = rows.mapInArrow(_stream_probes(items.read_signatures, items.cut, False), "node bigint, salt int, block int, id bigint, comp bigint, member boolean")
+    met = with_sets(stored(met.distinct(), "probed"), items)
+    return met.repartition(*KEY).sortWithinPartitions(*KEY, "member").mapInArrow(_exact_probes(items.read_set, items.percent), PAIRS)
+
+
+def with_sets(rows: DataFrame, items: Items) -> DataFrame:
+    """The rows with the full set (data) of their id."""
+    ids = stored(rows.select("id").distinct(), "ids")
+    return rows.join(items.sets(ids, ids.count()), "id")
 
 
 def confirm(pairs: DataFrame, items: Items) -> DataFrame:
@@ -351,7 +489,7 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         members = stored(labelled(members, comp).select("node", "n", "id", "comp", "sig"), "members")
         small = members.filter(F.col("n") <= SMALL).select("node", "id", "sig", "comp")
         small_nodes.append(small.drop("comp"))
-        found = small.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_compare_small(items.read_signatures, items.cut, True), PAIRS)
+        found = small.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_compare_small(items.read_signatures, items.cut), PAIRS)
         large = members.filter(F.col("n") > SMALL).select("node", "n", "id", "sig", "comp")
         if size.large:
             # pivots: one of each residue of a hash
@@ -381,8 +519,11 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         return links, nodes.sparkSession.createDataFrame([], "id bigint, component bigint")
     found = links.limit(0)
     for rows in small_nodes:
-        rows = labelled(rows, comp).repartition("node").sortWithinPartitions("node", "id")
-        found = found.unionByName(rows.select("node", "id", "sig", "comp").mapInArrow(_compare_small(items.read_signatures, items.cut, False), PAIRS))
+        rows = labelled(rows, comp).select("node", "id", "sig", "comp").repartition("node").sortWithinPartitions("node", "id")
+        rows = stored(rows.mapInArrow(_partners(items.read_signatures, items.cut), "node bigint, id bigint, comp bigint"), "partners")
+        if not rows.isEmpty():
+            rows = with_sets(rows, items).select("node", "id", "comp", "data").repartition("node").sortWithinPartitions("node", "id")
+            found = found.unionByName(rows.mapInArrow(_exact_links(items.read_set, items.percent), PAIRS))
     for rows in waiting:
         rows = stored(labelled(rows, comp), "waiting")
         top, n = by_component(rows)
@@ -392,7 +533,7 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         found = found.unionByName(probe(rows, probes, items, False))
     found = stored(found, "later")
     if not found.isEmpty():
-        links = links.unionByName(confirm(found, items))
+        links = links.unionByName(found)
         comp = stored(components(links), "components")
     return links, comp
 

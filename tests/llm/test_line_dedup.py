@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 
 from sessionlake.llm import linking
-from sessionlake.llm.line_dedup import MIN_CHARS, Q, Lines, dedup_lines
+from sessionlake.llm.line_dedup import MIN_CHARS, PERCENT, Q, Lines, dedup_lines
 from sessionlake.llm.text import utf8
 
 
@@ -23,7 +23,7 @@ def brute(rows):
             for pos, line in enumerate(text.split("\n")):
                 if len(n := norm(line)) >= MIN_CHARS:
                     where.setdefault(n, set()).add((key, pos))
-    sets = {n: {n[i : i + Q] for i in range(len(n) - Q + 1)} for n in where}
+    sets = {n: {n[i : i + Q] for i in range(max(1, len(n) - Q + 1))} for n in where}
     names = sorted(where)
     parent = {n: n for n in names}
 
@@ -35,7 +35,7 @@ def brute(rows):
     for i, a in enumerate(names):
         for b in names[:i]:
             k = len(sets[a] & sets[b])
-            if k and 100 * k >= 80 * (len(sets[a]) + len(sets[b]) - k):
+            if k and 100 * k >= PERCENT * (len(sets[a]) + len(sets[b]) - k):
                 parent[root(a)] = root(b)
     groups = {}
     for n in names:
