@@ -946,25 +946,22 @@ _STREAM_INPUT = T.StructType(
 
 
 def _write_stream_input(spark, sf, root: str, producers: int = 2) -> list[str]:
-    """Land the event log as files of two producers (split by seq), in event-time order.
+    """Land the event log as files of two producers (split by seq), which arrive in event-time order.
 
-    Each 5-day chunk is one file per producer, written oldest first, so the file
-    source replays them in time order; a heartbeat past the horizon ends each
+    One job writes a folder per producer and 5-day slice; the files' times are then set by slice, as
+    the file source reads them in that order. A heartbeat past the horizon ends each
     producer's input so the watermark can close the last seconds.
     """
-    ev = _events(spark, sf).select(*_LOG_COLS).withColumn("_chunk", F.floor(F.col("t") / STREAM_CHUNK))
-    lo, hi = ev.agg(F.min("_chunk"), F.max("_chunk")).first()
+    from sessionlake.sources.store import set_arrival
+
+    ev = _events(spark, sf).select(*_LOG_COLS, F.pmod(F.col("seq"), F.lit(producers)).alias("producer"), F.floor(F.col("t") / STREAM_CHUNK).alias("slice"))
+    ev.write.option("maxRecordsPerFile", 1_000_000).partitionBy("producer", "slice").parquet(root)
+    end_s = H + 10 * 86400
+    beat = spark.createDataFrame([(None, 0, end_s * 1_000_000, end_s, SX.HEARTBEAT, None, None)], _STREAM_INPUT)
     dirs = [f"{root}/producer={p}" for p in range(producers)]
-    for chunk in range(int(lo), int(hi) + 1):
-        part = ev.filter(F.col("_chunk") == chunk).drop("_chunk")
-        for p, d in enumerate(dirs):
-            part.filter(F.pmod(F.col("seq"), F.lit(producers)) == p).coalesce(1).write.mode("append").parquet(d)
-    end_s = H + 2 * 86400
-    sentinel = spark.createDataFrame(
-        [(None, 0, end_s * 1_000_000, end_s, SX.HEARTBEAT, None, None)], _STREAM_INPUT
-    )
     for d in dirs:
-        sentinel.coalesce(1).write.mode("append").parquet(d)
+        beat.coalesce(1).write.parquet(f"{d}/slice={end_s // STREAM_CHUNK}")
+        set_arrival(spark, d, "slice")
     return dirs
 
 
@@ -975,10 +972,9 @@ def sessionize_stream(spark, sf):
 
     root = storage_root(spark, "stream")
     dirs = _write_stream_input(spark, sf, f"{root}/input")
-    streams = [
-        spark.readStream.schema(_STREAM_INPUT).option("maxFilesPerTrigger", 1).parquet(d) for d in dirs
-    ]
+    streams = [spark.readStream.schema(_STREAM_INPUT).option("maxFilesPerTrigger", 4).parquet(d).select(*_LOG_COLS) for d in dirs]
     merged = EN.merge_sources(*streams)
-    upserts = SX.sessionize_stream(merged, CFG, horizon=H, watermark_delay="1 day")
+    # a trigger may end within a slice, so rows may be as late as a slice is long
+    upserts = SX.sessionize_stream(merged, CFG, horizon=H, watermark_delay="6 days")
     SX.run_to_completion(spark, upserts, f"{root}/upserts", f"{root}/checkpoint")
     return SX.read_compacted(spark, f"{root}/upserts")

@@ -31,6 +31,16 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jpath))
 
 
+def set_arrival(spark: SparkSession, path: str, column: str) -> None:
+    """Give the files under the folders ``column=n`` of ``path`` times that grow with n, a second apart."""
+    fs, jpath = _fs(spark, path)
+    folders = [s.getPath() for s in fs.listStatus(jpath) if s.getPath().getName().startswith(f"{column}=")]
+    folders.sort(key=lambda p: int(p.getName().partition("=")[2]))
+    for n, folder in enumerate(folders, 1):
+        for file in fs.listStatus(folder):
+            fs.setTimes(file.getPath(), 1_000_000_000_000 + n * 1000, -1)
+
+
 def with_day(sessions: DataFrame) -> DataFrame:
     """Add the partition column ``day = start div 86400`` (floor)."""
     start = F.col("start")

@@ -1,32 +1,33 @@
 """Sessionize event streams with Structured Streaming.
 
 Plan: ``readStream`` (one or more producers, unioned: X7) -> event-time column ->
-``withWatermark`` -> ``groupBy(stream_key).applyInPandasWithState`` (the only
+``withWatermark`` -> ``groupBy(stream_key).transformWithStateInPandas`` (the only
 shuffle) -> ``foreachBatch`` upsert sink (X8).
 
-State per stream key (JSON in the state store): the O(1) machine state
-(``streaming.machine``) and the events not yet passed by the watermark. On
-every call, buffered rows at or below the watermark are replayed in
-``(ts_us, seq)`` order (arrival order across producers does not matter), then
-the virtual 1 Hz clock (X4) runs up to the last second the watermark has closed
-(capped at the horizon). Idle transitions (X5) are ordinary events of the
-machine. The event-time timeout is set to the next moment something can happen
-(the oldest buffered row or the next due flush), so flushes are emitted as the
-watermark moves even when a stream is silent. Rows later than the watermark
+State per stream key: a value with the O(1) machine state (``streaming.machine``), and a map with the
+rows that the watermark has not passed, by bucket of event time. A row rewrites its own bucket only.
+Event-time timers drive the rest (X4):
+
+- each bucket has one at its end. When the watermark passes it, the rows of all buckets that are
+  complete are replayed in ``(ts_us, seq)`` order (arrival order does not matter), and the virtual 1 Hz
+  clock runs up to the last second that the watermark has closed (capped at the horizon);
+- a stream with an open segment and no row before its next saving flush has one at that flush. A silent stream
+  wakes for nothing else: flushes that the minimum duration would ignore get no timer.
+
+Idle transitions (X5) are ordinary events of the machine. Rows later than the watermark
 are dropped by Spark; those that slip through are counted in the state (``late``).
 
 A producer may send heartbeats (``kind = 'heartbeat'``): rows that only move the watermark.
 They are told apart by their kind, never by a key, so every ``stream_key`` is a user's.
 
-Output rows are upserts ``(stream_key, session_seq, start, end, state, version)``;
-the sink writes each micro-batch to its own folder (overwrite of the same
-batch id on retry makes it idempotent) and ``read_compacted`` keeps the newest
-version per key (S4).
+Output rows are upserts ``(stream_key, session_seq, start, end, state, version)``. The sink writes each
+micro-batch to its own folder under the id that Spark gave the checkpoint (a retry overwrites it), and
+merges `FAN` folders of a level into one of the next, newest version per key, so a long run leaves few
+folders. ``read_compacted`` keeps the newest version per key (S4).
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections.abc import Iterator
 
@@ -34,82 +35,108 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sessionlake import schema
 from sessionlake.config import SessionConfig
 from sessionlake.operators.sessionize import prepare_events
-from sessionlake.sources.store import _fs, compact_versions
+from sessionlake.sources.store import KEY, _fs, compact_versions
 from sessionlake.streaming.machine import MachineState, SessionMachine
 
-STATE_SCHEMA = T.StructType(
-    [T.StructField("machine", T.StringType(), True), T.StructField("buffer", T.StringType(), True)]
-)
+ROWS = "rows array<struct<ts_us: bigint, seq: bigint, kind: string, app_id: string, workspace: int>>"
 UPSERT_SCHEMA = schema.SESSION_CHANGES
 #: Kind of the rows that only move the watermark; they belong to no stream.
 HEARTBEAT = "heartbeat"
+#: Seconds of event time whose waiting rows lie in one entry of the state.
+BUCKET_SECONDS = 3600
+#: Batch folders of a level that become one of the next.
+FAN = 8
 
 
-def _processor(config: SessionConfig, horizon: int | None):
-    interval, min_dur, hidden = config.flush_interval, config.min_session_duration, config.hidden_applications
-    cap = None if horizon is None else int(horizon)
+class SessionProcessor(StatefulProcessor):
+    """The session rules over one stream's rows, in order of event time."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (stream_key,) = key
-        if state.exists:
-            machine_json, buffer_json = state.get
-        else:
-            machine_json, buffer_json = None, None
-        ms = MachineState.from_json(machine_json)
-        buf = json.loads(buffer_json) if buffer_json else []
-        done_us = ms.clock * 1_000_000 if ms.clock is not None else None
-        for pdf in batches:
-            for ts_us, seq, kind, app, ws in zip(pdf["ts_us"], pdf["seq"], pdf["kind"], pdf["app_id"], pdf["workspace"]):
-                if done_us is not None and int(ts_us) < done_us:
-                    ms.late += 1  # its second was already closed by the virtual clock
+    def __init__(self, config: SessionConfig, horizon: int | None, bucket: int):
+        self.config, self.horizon, self.bucket = config, horizon, int(bucket)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("machine", "machine string, pending array<bigint>, flush bigint")
+        self.rows = handle.getMapState("rows", "bucket bigint", ROWS)
+
+    def close(self) -> None:
+        pass
+
+    def _load(self) -> tuple[SessionMachine, list[int], int | None]:
+        """The machine, the buckets that hold rows, and the second of the flush that has a timer."""
+        text, pending, flush = self.known.get() if self.known.exists() else (None, [], None)
+        c = self.config
+        return SessionMachine(c.flush_interval, c.min_session_duration, c.hidden_applications, MachineState.from_json(text)), list(pending), flush
+
+    def _end_ms(self, bucket: int) -> int:
+        return (bucket + 1) * self.bucket * 1000
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        machine, pending, flush = self._load()
+        closed = None if machine.s.clock is None else machine.s.clock * 1_000_000
+        fresh: dict[int, list[tuple]] = {}
+        for pdf in rows:
+            for ts_us, seq, kind, app, ws in zip(pdf["ts_us"], pdf["seq"], pdf["kind"], pdf["app_id"], pdf["workspace"], strict=True):
+                if closed is not None and int(ts_us) < closed:
+                    machine.s.late += 1  # its second was already closed by the virtual clock
                     continue
-                app = None if app is None or (isinstance(app, float) and pd.isna(app)) else str(app)
-                ws = None if ws is None or pd.isna(ws) else int(ws)
-                buf.append([int(ts_us), int(seq), str(kind), app, ws])
-        wm_ms = state.getCurrentWatermarkMs()
-        machine = SessionMachine(interval, min_dur, hidden, ms)
-        if wm_ms > 0:
-            wm_us = wm_ms * 1000
-            buf.sort(key=lambda r: (r[0], r[1]))
-            n_due = 0
-            while n_due < len(buf) and buf[n_due][0] <= wm_us:
-                n_due += 1
-            for ts_us, _seq, kind, app, ws in buf[:n_due]:
+                row = (int(ts_us), int(seq), str(kind), None if pd.isna(app) else str(app), None if pd.isna(ws) else int(ws))
+                fresh.setdefault(row[0] // (self.bucket * 1_000_000), []).append(row)
+        for bucket, new in fresh.items():
+            if bucket in pending:
+                new = [tuple(r) for r in self.rows.getValue((bucket,))[0]] + new
+            else:
+                pending.append(bucket)
+                self.handle.registerTimer(self._end_ms(bucket))
+            self.rows.updateValue((bucket,), (new,))
+        if flush is not None and pending and min(pending) * self.bucket <= flush:
+            self.handle.deleteTimer((flush + 1) * 1000)  # the bucket's own timer comes with rows to apply first
+            flush = None
+        self.known.update((machine.s.to_json(), pending, flush))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        machine, pending, flush = self._load()
+        s, watermark = machine.s, timerValues.getCurrentWatermarkInMs()
+        due = sorted(b for b in pending if self._end_ms(b) <= watermark)
+        for bucket in due:
+            for ts_us, _, kind, app, ws in sorted((tuple(r) for r in self.rows.getValue((bucket,))[0]), key=lambda r: r[:2]):
                 machine.event_with_ticks(kind, ts_us // 1_000_000, app, ws)
-            buf = buf[n_due:]
-            # every second strictly before the watermark's second is closed
-            clock = wm_ms // 1000 - 1
-            if buf:
-                clock = min(clock, buf[0][0] // 1_000_000 - 1)
-            if cap is not None:
-                clock = min(clock, cap)
-            machine.ticks_through(clock)
+            self.rows.removeKey((bucket,))
+            pending.remove(bucket)
+        clock = watermark // 1000 - 1  # every second strictly before the watermark's is closed
+        if pending:
+            clock = min(clock, min(pending) * self.bucket - 1)
+        machine.ticks_through(clock if self.horizon is None else min(clock, int(self.horizon)))
+        nxt = self._next_flush(machine, pending)
+        if flush is not None and flush != nxt and (flush + 1) * 1000 > watermark:  # it hasn't fired
+            self.handle.deleteTimer((flush + 1) * 1000)
+        if nxt is not None and nxt != flush:
+            self.handle.registerTimer((nxt + 1) * 1000)
         changes = machine.take_changes()
-        state.update((ms.to_json(), json.dumps(buf)))
-        # next wake-up: oldest buffered row, else the next due flush (capped at the horizon)
-        wake = None
-        if buf:
-            wake = buf[0][0] // 1000
-        elif ms.open is not None and ms.clock is not None:
-            nxt = max(ms.clock, ms.last_due + interval)
-            if cap is None or nxt <= cap:
-                wake = (nxt + 1) * 1000
-        if wake is not None:
-            state.setTimeoutTimestamp(max(wake, wm_ms + 1))
+        self.known.update((s.to_json(), pending, nxt))
         if changes:
-            rows = [
-                (stream_key, seq, start, end, st[0], st[1], st[2], version)
-                for seq, start, end, st, version in changes
-            ]
+            rows = [(key[0], seq, start, end, *st, version) for seq, start, end, st, version in changes]
             out = pd.DataFrame(rows, columns=[f.name for f in UPSERT_SCHEMA.fields])
             yield out.astype({"session_seq": "int32", "workspace": "Int32", "is_active": "bool"})
 
-    return step
+    def _next_flush(self, machine: SessionMachine, pending: list[int]) -> int | None:
+        """The second of the next flush that saves something, if no row may come before it."""
+        s, c = machine.s, self.config
+        if s.open is None or s.clock is None:
+            return None
+        due = max(s.clock, s.last_due + c.flush_interval)
+        short = c.min_session_duration + 1 - (due - s.open[0]) if c.min_session_duration else 0
+        if short > 0:
+            due += -(-short // c.flush_interval) * c.flush_interval
+        if (pending and due >= min(pending) * self.bucket) or (self.horizon is not None and due > self.horizon):
+            return None
+        return due
 
 
 def event_time(events: DataFrame) -> DataFrame:
@@ -123,8 +150,13 @@ def sessionize_stream(
     config: SessionConfig = SessionConfig(),
     horizon: int | None = None,
     watermark_delay: str = "1 day",
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
-    """Streaming DataFrame of events -> streaming DataFrame of session upserts."""
+    """Streaming DataFrame of events -> streaming DataFrame of session upserts.
+
+    Sessions appear once the watermark has passed their bucket of ``bucket_seconds``. Needs the RocksDB state
+    store; a checkpoint goes with one ``bucket_seconds``.
+    """
     ev = event_time(events).select(
         "stream_key", "seq", "ts_us", "event_time", "kind", "app_id", F.col("workspace").cast("int").alias("workspace")
     )
@@ -135,44 +167,74 @@ def sessionize_stream(
         ev.withWatermark("event_time", watermark_delay)
         .filter(~heartbeat)
         .groupBy("stream_key")
-        .applyInPandasWithState(
-            _processor(config, horizon),
-            outputStructType=UPSERT_SCHEMA,
-            stateStructType=STATE_SCHEMA,
-            outputMode="update",
-            timeoutConf=GroupStateTimeout.EventTimeTimeout,
-        )
+        .transformWithStateInPandas(SessionProcessor(config, horizon, bucket_seconds), outputStructType=UPSERT_SCHEMA, outputMode="Update", timeMode="EventTime")
     )
 
 
-def run_id(checkpoint: str) -> str:
-    """A name for the run that a checkpoint folder stands for: the same after a restart from it."""
-    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+def run_id(spark: SparkSession, checkpoint: str) -> str | None:
+    """The id that Spark wrote into a checkpoint when its query first started; None before that."""
+    fs, path = _fs(spark, f"{checkpoint.rstrip('/')}/metadata")
+    if not fs.exists(path):
+        return None
+    return json.loads(spark.read.text(path.toString()).first()[0])["id"]
+
+
+def _names(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What stands after ``prefix`` in the names of a folder's entries."""
+    fs, jpath = _fs(spark, path)
+    if not fs.exists(jpath):
+        return []
+    return sorted(n[len(prefix) :] for s in fs.listStatus(jpath) if (n := s.getPath().getName()).startswith(prefix))
 
 
 def upsert_sink(spark: SparkSession, path: str, checkpoint: str):
     """``foreachBatch`` writer; each batch id of a run owns one folder (retries overwrite it).
 
-    Versions and batch ids count from the run's own state, so one folder holds one run: a
-    checkpoint of another run is refused before anything is written.
+    Versions and batch ids count from the run's own state, so one folder holds one run. A checkpoint that
+    is another run's, or a new one (also at the path of one that was deleted), is refused before anything is written.
     """
-    root, own = path.rstrip("/"), f"run_id={run_id(checkpoint)}"
-    fs, jpath = _fs(spark, root)
-    if fs.exists(jpath):
-        others = [s.getPath().getName() for s in fs.listStatus(jpath)]
-        if any(n.startswith("run_id=") and n != own for n in others):
+    root = path.rstrip("/")
+
+    def own() -> str | None:
+        name = run_id(spark, checkpoint)
+        if any(n != name for n in _names(spark, root, "run_id=")):
             raise ValueError(f"{root} holds the sessions of another run; use a new folder or that run's checkpoint")
+        return name
+
+    own()
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/{own}/batch_id={int(batch_id)}")
+        run = f"{root}/run_id={own()}"
+        batch.write.mode("overwrite").parquet(f"{run}/level=0/batch_id={int(batch_id)}")
+        merge_levels(spark, run)
 
     return write
 
 
+def merge_levels(spark: SparkSession, run: str) -> None:
+    """Merge every `FAN` batch folders of a level into one of the next, the newest version of each key.
+
+    The merged folder is complete before its parts go; a failure in between leaves rows twice, which
+    readers see once, by version.
+    """
+    for level in range(64):
+        parts = sorted(int(n) for n in _names(spark, f"{run}/level={level}", "batch_id="))
+        if len(parts) < FAN:
+            return
+        paths = [f"{run}/level={level}/batch_id={n}" for n in parts]
+        rows = spark.read.schema(UPSERT_SCHEMA).parquet(*paths)
+        newest = F.max_by(F.struct(*(c for c in rows.columns if c not in KEY)), "version").alias("row")
+        rows = rows.groupBy(*KEY).agg(newest).select(*KEY, "row.*")
+        rows.write.mode("overwrite").parquet(f"{run}/level={level + 1}/batch_id={parts[-1]}")
+        for p in paths:
+            fs, jpath = _fs(spark, p)
+            fs.delete(jpath, True)
+
+
 def read_compacted(spark: SparkSession, path: str) -> DataFrame:
     """The session table from the upsert log: newest version per (stream_key, session_seq)."""
-    stored = T.StructType(UPSERT_SCHEMA.fields + [T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())])
-    versions = spark.read.schema(stored).parquet(path)
+    folders = [T.StructField("run_id", T.StringType()), T.StructField("level", T.IntegerType()), T.StructField("batch_id", T.LongType())]
+    versions = spark.read.schema(T.StructType(UPSERT_SCHEMA.fields + folders)).parquet(path)
     return compact_versions(versions).select(*[f.name for f in schema.SESSIONS.fields])
 
 
@@ -181,12 +243,11 @@ def run_to_completion(
     upserts: DataFrame,
     sink_path: str,
     checkpoint: str,
-    use_rocksdb: bool = True,
 ) -> None:
     """Drive a streaming query over everything available now, then stop."""
     key = "spark.sql.streaming.stateStore.providerClass"
     current = spark.conf.get(key, None)
-    if use_rocksdb and (not current or current.endswith("HDFSBackedStateStoreProvider")):
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):  # the state needs RocksDB
         spark.conf.set(
             key,
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",

@@ -1,10 +1,17 @@
 """Every key is a user's, runs don't mix, a restart goes on."""
 
+import pathlib
+import random
+import shutil
+import types
+
+import pandas as pd
 import pytest
 
 from sessionlake.config import SessionConfig
 from sessionlake.operators.sessionize import sessionize
 from sessionlake.streaming import stream as SX
+from sessionlake.streaming.machine import SessionMachine
 
 SCHEMA = "stream_key long, seq long, ts_us long, t long, kind string, app_id string, workspace int"
 CFG = SessionConfig(15, 0, ())
@@ -18,14 +25,15 @@ def rows(key, at=0):
 
 def land(spark, path, data, horizon):
     beat = (None, 0, (horizon + 200_000) * 1_000_000, horizon + 200_000, SX.HEARTBEAT, None, None)
-    spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    if data:
+        spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(path)
     if horizon:
         spark.createDataFrame([beat], SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 
-def run(spark, path, out, checkpoint, horizon):
+def run(spark, path, out, checkpoint, horizon, **given):
     events = spark.readStream.schema(SCHEMA).parquet(path)
-    SX.run_to_completion(spark, SX.sessionize_stream(events, CFG, horizon=horizon), out, checkpoint)
+    SX.run_to_completion(spark, SX.sessionize_stream(events, CFG, horizon=horizon, **given), out, checkpoint)
     return sorted(tuple(r) for r in SX.read_compacted(spark, out).collect())
 
 
@@ -43,6 +51,106 @@ def test_every_key_comes_through_and_runs_stay_apart(spark, tmp_path):
     assert sorted(tuple(r) for r in SX.read_compacted(spark, f"{d}/out").collect()) == want
 
 
+def test_a_new_checkpoint_at_an_old_path_is_refused(spark, tmp_path):
+    d = str(tmp_path)
+    land(spark, f"{d}/in", rows(1), 1_000_300)
+    want = run(spark, f"{d}/in", f"{d}/out", f"{d}/cp", 1_000_300)
+    assert want and SX.run_id(spark, f"{d}/cp")
+    shutil.rmtree(f"{d}/cp")
+    with pytest.raises(ValueError):
+        run(spark, f"{d}/in", f"{d}/out", f"{d}/cp", 1_000_300)
+    assert sorted(tuple(r) for r in SX.read_compacted(spark, f"{d}/out").collect()) == want
+
+
+def test_folders_stay_few(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SX, "FAN", 3)
+    d, data, given = str(tmp_path), [], {"watermark_delay": "10 seconds", "bucket_seconds": 60}
+    for k in range(6):
+        data += rows(k % 3, 300 * k)
+        land(spark, f"{d}/in", rows(k % 3, 300 * k), 0)
+        run(spark, f"{d}/in", f"{d}/out", f"{d}/cp", 1_003_000, **given)
+    land(spark, f"{d}/in", [], 1_003_000)
+    got = run(spark, f"{d}/in", f"{d}/out", f"{d}/cp", 1_003_000, **given)
+    assert got == sorted(tuple(r) for r in sessionize(spark.createDataFrame(data, SCHEMA), CFG, 1_003_000).collect())
+    folders = [p.name for p in pathlib.Path(f"{d}/out").glob("run_id=*/level=*/batch_id=*")]
+    assert len(folders) <= 6 and any(pathlib.Path(f"{d}/out").glob("run_id=*/level=2"))
+
+
+class Handle:
+    """State and timers of one key, kept here; what a test asks of them is counted."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.written = None, {}, set(), 0
+
+    def getValueState(self, *_):
+        return types.SimpleNamespace(exists=lambda: self.value is not None, get=lambda: self.value, update=lambda v: setattr(self, "value", v))
+
+    def getMapState(self, *_):
+        def put(k, v):
+            self.written += len(v[0])
+            self.map[k] = v
+
+        return types.SimpleNamespace(getValue=self.map.get, updateValue=put, removeKey=self.map.pop)
+
+    registerTimer = lambda self, ms: self.timers.add(ms)
+    deleteTimer = lambda self, ms: self.timers.remove(ms)
+
+
+def drive(handle, cfg, batches, horizon, bucket=60):
+    """Feed (rows, watermark after them) one after the other; the changes and the number of wake-ups."""
+    p = SX.SessionProcessor(cfg, horizon, bucket)
+    p.init(handle)
+    now, out, wakes = [0], {}, 0
+    values = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: now[0])
+    for new, watermark in batches:
+        if new:
+            frame = pd.DataFrame(new, columns=["ts_us", "seq", "kind", "app_id", "workspace"])
+            assert not list(p.handleInputRows((1,), iter([frame]), values))
+        now[0] = watermark * 1000
+        while due := sorted(t for t in handle.timers if t <= now[0]):
+            handle.timers.remove(due[0])
+            wakes += 1
+            for df in p.handleExpiredTimer((1,), values, None):
+                out |= {r.session_seq: (r.start, r.end, r.app_id) for r in df.itertuples()}
+    return out, wakes
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_any_batching_gives_the_machines_sessions(seed):
+    rng = random.Random(seed)
+    cfg = SessionConfig(15, rng.choice([0, 20]), ())
+    events = sorted((rng.randrange(3000) * 1_000_000 + rng.randrange(10**6), i, rng.choice(["focus", "focus", "idle_on", "idle_off", "workspace"])) for i in range(60))
+    events = [(ts, i, kind, rng.choice(["a", "b"]) if kind == "focus" else None, 1 if kind == "workspace" else None) for ts, i, kind in events]
+    machine = SessionMachine(15, cfg.min_session_duration)
+    for ts, _, kind, app, ws in events:
+        machine.event_with_ticks(kind, ts // 1_000_000, app, ws)
+    machine.ticks_through(3600)
+    want = {n: (start, end, st[1]) for n, start, end, st in machine.take_all()}
+    batches, at = [], 0
+    while at < len(events):  # rows come at most 200 s out of order, the watermark stays behind them
+        n = rng.randint(1, 12)
+        part, at = events[at : at + n], at + n
+        rng.shuffle(part)
+        batches.append((part, min(events[at][0] // 1_000_000 if at < len(events) else 3000, part[-1][0] // 1_000_000)))
+    low = [min([w, *(r[0] // 1_000_000 for later, _ in batches[k + 1 :] for r in later)]) for k, (_, w) in enumerate(batches)]
+    got, _ = drive(Handle(), cfg, [(rows, w) for (rows, _), w in zip(batches, low, strict=True)] + [([], 10_000)], 3600)
+    assert got == want
+
+
+def test_no_wake_up_without_a_due_flush_and_no_buffer_rewritten():
+    handle = Handle()
+    batches = [([(k * 100 * 1_000_000, k, "workspace", None, 1)], 0) for k in range(100)]
+    assert drive(handle, CFG, batches, None) == ({}, 0)
+    assert handle.written == 100  # each row lies in a bucket of its own and is written once
+    assert drive(handle, CFG, [([], 100_000)], None) == ({}, 100) and not handle.timers  # nothing is open: no timer is left
+    handle = Handle()
+    cfg = SessionConfig(15, 1000, ())
+    out, wakes = drive(handle, cfg, [([(0, 0, "focus", "a", None)], 0), ([], 60), *(([], t) for t in range(70, 1000, 10))], None)
+    assert out == {} and wakes == 1 and len(handle.timers) == 1  # flushes that save nothing have no timer
+    out, wakes = drive(handle, cfg, [([], 1100)], None)
+    assert out and wakes >= 1
+
+
 def test_restart_from_the_checkpoint(spark, tmp_path):
     d = str(tmp_path)
     first, second = rows(3), rows(3, 1000)
