@@ -788,6 +788,34 @@ def accept_sources(spark, sf):
     return EN.accept_sources(good, enforce=True).select("stream_key", "source", "seq", "msg_type", "kind")
 
 
+def _from_log_sql() -> str:
+    """The machine over the events of accepted producers."""
+    env = _ENV_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace("\nse AS (", "\nse_all AS (").replace("  FROM se\n)", "  FROM se_all\n)")
+    return (
+        env
+        + """,
+hs AS (SELECT source, arg_max(protocol_version, CAST(ts_us AS HUGEINT) * 1000000000 + seq) AS pv
+       FROM env WHERE reject IS NULL AND msg_type = 'Handshake' GROUP BY source),
+se AS (SELECT stream_key, seq, ts_us, (ts_us - (ts_us % 1000000)) // 1000000 AS t, kind, app_id, workspace FROM env
+       WHERE msg_type = 'Event' AND kind <> 'tick' AND source IN (SELECT source FROM hs WHERE pv <= 1)),"""
+        + O.machine_ctes(I, M, H, HIDDEN_APPS)
+        + O.SESSIONS_CTE
+        + f"\nSELECT {SESSION_COLS_SQL} FROM sessions"
+    )
+
+
+@register("sessions_from_log", _from_log_sql())
+def sessions_from_log(spark, sf):
+    """S6 -> S7 -> S8 -> X7 -> X1: the producers' logs as text files, read back, to sessions."""
+    from sessionlake.config import storage_root
+    from sessionlake.sources import message_log as ML
+
+    root = storage_root(spark, "message-log")
+    ML.write_message_lines(envelopes(read_table(spark, sf, "events")), root)
+    good, _bad = EN.split_quarantine(EN.parse_envelopes(ML.read_message_lines(spark, root)))
+    return X.sessionize(EN.to_session_events(EN.accept_sources(good)), CFG, H)
+
+
 # ---------------------------------------------------------------- S9 / J3 compositor
 
 

@@ -187,20 +187,19 @@ se AS (
     )
 
 
-def sessions_ctes(interval: int, min_dur: int, horizon: int, hidden=(), mode: str = "interval") -> str:
-    """All CTEs up to ``sessions`` (stream_key, session_seq, start, end, state)."""
-    return (
-        (ticked_events_cte(horizon) if mode == "logged" else mapped_events_cte())
-        + ","
-        + machine_ctes(interval, min_dur, horizon, hidden, mode)
-        + """,
+SESSIONS_CTE = """,
 sessions AS (
   SELECT stream_key, CAST(sseq AS INTEGER) AS session_seq, min(s_start) AS start, max(s_end) AS "end",
          any_value(s_act) AS is_active, any_value(s_app) AS app_id, any_value(s_ws) AS workspace
   FROM st WHERE sseq > 0
   GROUP BY stream_key, sseq
 )"""
-    )
+
+
+def sessions_ctes(interval: int, min_dur: int, horizon: int, hidden=(), mode: str = "interval") -> str:
+    """All CTEs up to ``sessions`` (stream_key, session_seq, start, end, state)."""
+    base = ticked_events_cte(horizon) if mode == "logged" else mapped_events_cte()
+    return base + "," + machine_ctes(interval, min_dur, horizon, hidden, mode) + SESSIONS_CTE
 
 
 def with_sessions(select_sql: str, interval: int, min_dur: int, horizon: int, hidden=(), mode="interval") -> str:

@@ -71,6 +71,17 @@ ENVELOPES = T.StructType(
 
 ENVELOPES_KEYED = T.StructType([T.StructField("stream_key", T.LongType(), False)] + ENVELOPES.fields)
 
+# As they come out of a producer's log: a line without an arrival time has neither.
+ENVELOPES_LANDED = T.StructType(
+    [
+        T.StructField("stream_key", T.LongType(), True),
+        T.StructField("source", T.StringType(), True),
+        T.StructField("seq", T.LongType(), True),
+        T.StructField("ts", T.TimestampType(), True),
+        T.StructField("line", T.StringType(), True),
+    ]
+)
+
 WINDOW_REC = T.StructType(
     [
         T.StructField("id", T.LongType(), True),

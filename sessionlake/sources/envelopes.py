@@ -30,22 +30,6 @@ def read_message_log(spark: SparkSession, path: str, streaming: bool = False) ->
     return reader.schema(schema.ENVELOPES_KEYED).parquet(path)
 
 
-def read_message_lines(spark: SparkSession, path: str, source: str, stream_key: int, streaming: bool = False) -> DataFrame:
-    """A producer's log as it is, one JSON message a line -> envelope rows without ``ts``.
-
-    ``seq`` grows along each file in the order of its lines; the file's name and its
-    modification time order files. Line ends are kept out of the text.
-    """
-    reader = spark.readStream if streaming else spark.read
-    return reader.text(path).select(
-        F.lit(stream_key).cast("long").alias("stream_key"),
-        F.lit(source).alias("source"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("_metadata.file_modification_time").alias("ts"),
-        F.col("value").alias("line"),
-    )
-
-
 #: Names of the wire types as `schema_of_variant` gives them, and the largest unsigned 32-bit number.
 WIRE_INT, WIRE_TEXT, WIRE_FLAG, WIRE_NULL = "BIGINT", "STRING", "BOOLEAN", "VOID"
 U32_MAX = 2**32 - 1

@@ -2,6 +2,7 @@
 
 from sessionlake.sources import compositor as C
 from sessionlake.sources import envelopes as EN
+from sessionlake.sources.message_log import read_message_lines
 
 LINES = [
     '"Ping"',
@@ -54,8 +55,10 @@ def test_values_of_the_wrong_type_are_unknown_messages(spark):
 
 
 def test_message_lines_from_text(spark, tmp_path):
-    (tmp_path / "log").write_text("\n".join(LINES[:9]) + "\n", encoding="utf-8")
-    rows = EN.read_message_lines(spark, str(tmp_path), "b0", 7)
+    folder = tmp_path / "stream_key=7" / "source=b0"
+    folder.mkdir(parents=True)
+    (folder / "log").write_text("".join(f"{i * 1_000_000}\t{x}\n" for i, x in enumerate(LINES[:9])), encoding="utf-8")
+    rows = read_message_lines(spark, str(tmp_path))
     assert [r.line for r in rows.orderBy("ts", "seq").collect()] == LINES[:9]
     good, bad = EN.split_quarantine(EN.parse_envelopes(rows))
     events = EN.to_session_events(EN.accept_sources(good)).orderBy("seq").collect()
