@@ -64,7 +64,7 @@ def label_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", hashe
 
 def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all of their columns."""
-    sha, mark = _fresh("sha", docs.columns), _fresh("again", docs.columns)
+    sha, mark = fresh("sha", docs.columns), fresh("again", docs.columns)
     stay = label_copies(docs, key, text).filter("kept").select(F.col(key).alias(f"{sha}_id"), F.col("text_sha256").alias(sha))
     stay = stored(stay, "texts-that-stay")
     rows = docs.withColumn(sha, F.sha2(normalised(F.col(text)), 256))
@@ -78,7 +78,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return once.unionByName(joined.filter(mark).dropDuplicates([key, sha]).select(docs.columns))
 
 
-def _fresh(name: str, taken: list[str]) -> str:
+def fresh(name: str, taken: list[str]) -> str:
     """A column name that no column has, whatever its case."""
     low = {c.lower() for c in taken}
     while any(c.startswith(name) for c in low):

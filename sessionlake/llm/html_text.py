@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,13 +43,18 @@ VOID_TAGS = frozenset("area base br col embed hr img input link meta param sourc
 BAD_TAGS = frozenset("nav footer aside form menu dialog head title button select textarea fieldset label".split())
 MAIN_TAGS = frozenset(["article", "main"])
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form".split())
-# Parts of class names and ids that mark what is not the article.
-BAD_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|sidebar|side-?bar|footer|site-?header|page-?header|masthead|banner|ad|ads|advert\w*|"
-    r"sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|overlay|comments?|comment-?list|disqus|repl(?:y|ies)|respond|"
-    r"share|sharing|social|related|recommend\w*|newsletter|subscri\w+|breadcrumbs?|login|signup|signin|search|widget|toolbar|"
-    r"pagination|pager|copyright|skip-?link)(?:$|[\s_-])",
-    re.I,
+# Words of class names and ids. A name marks what is not the article if all of its words are
+# of these lists and one is of the first two: "site-footer" does, "has-sidebar" and "related-posts-off" don't.
+READER_WORDS = frozenset("comment comments disqus reply replies respond cookie cookies consent ad ads advert adverts advertisement".split())
+LAYOUT_WORDS = frozenset(
+    """nav navbar navigation menu sidebar footer header masthead banner sponsor sponsored promo notice popup modal overlay share sharing
+    social related recommended recommendations newsletter subscribe subscription breadcrumb breadcrumbs login signup signin search widget
+    widgets toolbar pagination pager copyright skiplink""".split()
+)
+NEUTRAL_WORDS = frozenset(
+    """site page side main top bottom left right global primary secondary first last post posts article articles content list item items
+    link links box bar area block section wrapper wrap container inner outer button buttons form field thread skip user reader message
+    messages column col row group panel unit slot""".split()
 )
 
 TOKEN = re.compile(
@@ -78,29 +84,52 @@ class Block:
     links: int
     marked_bad: bool
     in_main: bool
+    marks: tuple[int, ...] = ()  # elements around it that are marked by a layout word
+
+
+#: What an element says of itself: it is no part of the article, or its name is one of layout.
+SURE, LAYOUT = "sure", "layout"
+
 
+def named(value: str) -> str | None:
+    """What the names of an element say."""
+    found = None
+    for name in value.split():
+        parts = [x for x in re.split(r"[_-]+|\d+", name) if x]
+        if all(x in READER_WORDS or x in LAYOUT_WORDS or x in NEUTRAL_WORDS for x in parts):
+            if any(x in READER_WORDS for x in parts):
+                return SURE
+            if any(x in LAYOUT_WORDS for x in parts):
+                found = LAYOUT
+    return found
 
-def marked(tag: str, attrs: str, in_main: bool) -> bool:
+
+def marked(tag: str, attrs: str, in_main: bool) -> str | None:
     """Whether an element says of itself that it is no part of the article."""
     if tag in BAD_TAGS or tag == "header" and not in_main:
-        return True
-    if not attrs or tag in ("html", "body", *MAIN_TAGS):
-        return False
-    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        return SURE
+    found = None
+    for name, a, b, c in ATTRIBUTE.findall(attrs or ""):
         name, value = name.lower(), (a or b or c).strip().lower()
         if name == "role" and value in BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return SURE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and BAD_NAMES.search(value):
-            return True
-    return False
+            return SURE
+        if name in ("class", "id") and tag not in ("html", "body", "main") and (says := named(value)):
+            if says == SURE and (tag != "article" or in_main):
+                return SURE
+            if tag != "article":
+                found = LAYOUT
+    return found
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order; white space and character references are resolved."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, marked bad here or above, in main
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, surely bad here or above, in main, layout marks
+    standing: Counter[str] = Counter()  # names in the stack
+    marks: tuple[int, ...] = ()
+    elements = 0
     text: list[str] = []
     links = depth_a = breaks = 0
     bad = main = False
@@ -110,7 +139,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, links, bad, main))
+                out.append(Block(joined, links, bad, main, marks))
             text.clear()
         links = 0
 
@@ -147,27 +176,42 @@ def blocks(page: str) -> list[Block]:
         if ending:
             if tag == "a":
                 depth_a = 0
-            if any(x[0] == tag for x in stack):
-                now = (bad, main)
-                while stack.pop()[0] != tag:
-                    pass
-                after = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            if standing[tag]:
+                now = (bad, main, marks)
+                while (name := stack.pop()[0]) != tag:
+                    standing[name] -= 1
+                standing[tag] -= 1
+                after = stack[-1][1:] if stack else (False, False, ())
                 if now != after:
                     close()
-                bad, main = after
+                bad, main, marks = after
         else:
             if tag == "a":
                 depth_a = 1
             if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            now_bad, now_main = bad or marked(tag, attrs, main), main or tag in MAIN_TAGS or 'role="main"' in attrs
-            if (now_bad, now_main) != (bad, main):
+                standing[stack.pop()[0]] -= 1
+            says, enters = marked(tag, attrs, main), tag in MAIN_TAGS or 'role="main"' in attrs
+            now_marks = () if enters and not main else marks  # a name around the article says nothing of it
+            if says == LAYOUT:
+                elements += 1
+                now_marks = (*now_marks, elements)
+            now = (bad or says == SURE, main or enters, now_marks)
+            if now != (bad, main, marks):
                 close()
-                bad, main = now_bad, now_main
+                bad, main, marks = now
             if not attrs.endswith("/"):
-                stack.append((tag, bad, main))
+                stack.append((tag, bad, main, marks))
+                standing[tag] += 1
     say(page[pos:])
     close()
+    # a layout name on what holds most of the page's text doesn't count
+    size: Counter[int] = Counter()
+    for b in out:
+        if not b.marked_bad:
+            size.update(dict.fromkeys(b.marks, len(b.text)))
+    half = sum(len(b.text) for b in out if not b.marked_bad) / 2
+    for b in out:
+        b.marked_bad = b.marked_bad or any(size[m] <= half for m in b.marks)
     return out
 
 

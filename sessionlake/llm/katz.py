@@ -4,7 +4,8 @@ Counts are discounted by Good-Turing (Katz's renormalised form up to count `GT`)
 training has its discounted relative frequency; for any other the recursion backs off:
 its probability is the unigram's, times the context's weight, which makes the context's
 probabilities sum to exactly 1 over the vocabulary and one unknown word. The mass that discounting takes
-from unigrams is the unknown word's.
+from unigrams is the unknown word's. A context whose counts are all too high for a discount gets one
+count more than it has, for what else may follow, as the unigrams do.
 
 The recursion is evaluated as three sums over a document: log P(w) of each token and log alpha of
 each token's context, which need the word's row of the model, and for tokens whose bigram is kept
@@ -19,9 +20,9 @@ one exchange, whatever the table sizes:
 
 A Bloom filter of fixed size keeps most bigrams that the model doesn't hold out of the exchange.
 
-Defined results: null and empty texts have one token, the end. Without training tokens the unknown
+Defined results: null and empty texts have one token, the end; very long ones are read run by run. Without training tokens the unknown
 word has probability 1. Null keys count as held out. Rows are scored as often as they come; extra
-columns are ignored.
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from sessionlake.llm.text import U64, mix, word_runs
 
 #: Counts up to this are discounted; bigrams seen fewer times are backed off (none are at 1).
 GT, MIN_BIGRAM = 5, 1
+#: A context with less than this share of its mass left has none.
+RESERVE = 1e-9
 HEAVY = 1 << 16
 #: Tokens that a task gathers before it sends them, and rows of a partition.
 GATHER, PART_ROWS = 600_000, 4_000_000
@@ -254,19 +257,22 @@ class Model:
         begin = int(np.array([BEGIN | LIGHT]).view(np.int64)[0])
         contexts = uni.select(F.col("code").alias("ctx"), F.col("c").alias("total")).unionByName(spark.createDataFrame([(begin, rows)], "ctx bigint, total bigint"))
         both = pairs.join(uni.select(F.col("code").alias("w"), F.col("p").alias("p1")), "w").join(contexts, "ctx")
-        both = stored(both.select("ctx", "w", "c", "p1", (discounted(F.col("c"), d2) / F.col("total")).alias("p2")), "katz-bigrams")
-        alpha = both.groupBy("ctx").agg(((1 - F.sum("p2")) / (1 - F.sum("p1"))).alias("alpha"))
-        alpha = stored(alpha.select("ctx", F.log10(F.greatest("alpha", F.lit(1e-12))).alias("log_alpha")), "katz-weights")
-        gain = F.log10("p2") - F.log10("p1") - F.col("log_alpha")
+        both = stored(both.select("ctx", "w", "c", "p1", "total", discounted(F.col("c"), d2).alias("mass")), "katz-bigrams")
+        sums = both.groupBy("ctx").agg(F.sum("mass").alias("mass"), F.max("total").alias("total"), (1 - F.sum("p1")).alias("rest"))
+        # one count more than there is leaves a context some mass that no discount did
+        of = F.when(F.col("mass") >= F.col("total") * (1 - RESERVE), F.col("total") + 1).otherwise(F.col("total"))
+        alpha = sums.select("ctx", of.alias("of"), F.log10((1 - F.col("mass") / of) / F.col("rest")).alias("log_alpha"))
+        alpha = stored(alpha, "katz-weights")
+        gain = F.log10(F.col("mass") / F.col("of")) - F.log10("p1") - F.col("log_alpha")
         kept = stored(both.join(alpha, "ctx").select("ctx", "w", "c", gain.alias("gain")), "katz-gains")
 
-        words = uni.join(alpha.withColumnRenamed("ctx", "code"), "code", "left").select("code", "c", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
+        words = uni.join(alpha.select(F.col("ctx").alias("code"), "log_alpha"), "code", "left").select("code", "c", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
         words = stored(words, "katz-model")
         few = words.filter((F.col("code") >= 0) & (F.col("code") < HEAVY)).toArrow()
         at = np.asarray(few.column("code"))
         self.heavy_c, self.heavy_p, self.heavy_a = np.zeros(len(heavy.words) + 1), np.zeros(len(heavy.words) + 1), np.zeros(len(heavy.words) + 1)
         self.heavy_c[at], self.heavy_p[at], self.heavy_a[at] = (np.asarray(few.column(k)) for k in ("c", "log_p", "log_alpha"))
-        self.begin_alpha = (alpha.filter(F.col("ctx") == begin).first() or [0, 0.0])[1]
+        self.begin_alpha = (alpha.filter(F.col("ctx") == begin).select("log_alpha").first() or [0.0])[0]
         self.words = words.filter((F.col("code") < 0) | (F.col("code") >= HEAVY))
         self.heavy = heavy
 

@@ -13,8 +13,11 @@ threshold: 6e-5).
 Defined results: lines that are empty once normalised take no part and stay. A line of fewer
 than 8 characters is similar to its exact copies only, which have its id, so it needs no band.
 A null text stays null, with no lines; an empty one has none either.
-Documents with a null key stay as they are. Rows that repeat a key count as one document: what
-is removed from one is removed from all. A document all of whose lines go has an empty text.
+Documents with a null key stay as they are. Rows that repeat key and text count as one document: what
+is removed from one is removed from all. Rows that repeat a key with another text are documents of their own, in
+order of a hash of their texts (`place`). A document all of whose lines go has an empty text.
+Ties: the least (key, place, position) stays. Very long texts and lines are read whole, a run of documents at a
+time. Extra columns stay, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm import linking
+from sessionlake.llm.exact_dedup import fresh
 from sessionlake.llm.text import BASE, U64, minhash, mix, powers, runs, utf8
 
 Q, PERCENT, MIN_CHARS = 8, 75, 1
@@ -162,15 +166,15 @@ def chosen_paths(rows: DataFrame, level: int) -> DataFrame:
 
 
 def places(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, pos, id): where each line that takes part stands."""
+    """(doc_id, place, pos, id): where each line that takes part stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column(0))
+            keys, place = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for a, lines, which, ids in line_runs(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a + lines.doc[which]]), pa.array(lines.pos[which].astype(np.int32)), pa.array(ids)], names=["doc_id", "pos", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a + lines.doc[which]]), pa.array(place[a + lines.doc[which]]), pa.array(lines.pos[which].astype(np.int32)), pa.array(ids)], names=["doc_id", "place", "pos", "id"])
 
-    return docs.select(F.col(key).cast("bigint"), text).mapInArrow(run, "doc_id bigint, pos int, id bigint")
+    return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("place")).mapInArrow(run, "doc_id bigint, place bigint, pos int, id bigint")
 
 
 def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
@@ -201,7 +205,7 @@ def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
 
 
 def line_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Places (doc_id, pos, id) of lines, and (id, component) of lines that have near copies."""
+    """Places (doc_id, place, pos, id) of lines, and (id, component) of lines that have near copies."""
     docs = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
     nodes = linking.stored(linking.shared_nodes(bands(docs.select(text))), "line-nodes")
     ids = linking.stored(nodes.select("id").distinct(), "line-ids")
@@ -216,17 +220,20 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """``docs`` with later near copies of lines removed from the text, n_lines (before), n_removed."""
     at, comp = line_classes(docs, key, text)
     n = comp.count()
-    at = at.join(linking.small_side(comp, n), "id", "left").select("doc_id", "pos", F.coalesce("component", "id").alias("line"))
-    first = at.groupBy("line").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
-    gone = at.join(first.select("f.doc_id", "f.pos"), ["doc_id", "pos"], "left_anti")
-    gone = linking.stored(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("_gone")), "line-gone")
-    rows = gone.agg(F.count("*") + F.sum(F.size("_gone"))).first()[0] or 0
+    at = at.join(linking.small_side(comp, n), "id", "left").select("doc_id", "place", "pos", F.coalesce("component", "id").alias("line"))
+    first = at.groupBy("line").agg(F.min(F.struct("doc_id", "place", "pos")).alias("f"))
+    gone = at.join(first.select("f.*"), ["doc_id", "place", "pos"], "left_anti")
+    cut, of, where = (fresh(x, docs.columns) for x in ("cut", "of", "where"))
+    gone = gone.groupBy(F.col("doc_id").alias(of), F.col("place").alias(where)).agg(F.collect_set("pos").alias(cut))
+    gone = linking.stored(gone, "line-gone")
+    rows = gone.agg(F.count("*") + F.sum(F.size(cut))).first()[0] or 0
     lines = F.split(F.col(text), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_gone", i))
-    joined = docs.join(linking.small_side(gone.withColumnRenamed("doc_id", "_key"), rows), F.col(key).cast("bigint") == F.col("_key"), "left")
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(cut, i))
+    same = (F.col(key).cast("bigint") == F.col(of)) & (F.xxhash64(text) == F.col(where))
+    joined = docs.join(linking.small_side(gone, rows), same, "left")
     new = {
-        text: F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept)),
+        text: F.when(F.col(cut).isNull(), F.col(text)).otherwise(F.concat_ws("\n", kept)),
         "n_lines": F.when(F.length(text) > 0, F.size(lines)).otherwise(0).cast("bigint"),
-        "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint"),
+        "n_removed": F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("bigint"),
     }
-    return joined.withColumns(new).drop("_gone", "_key")
+    return joined.withColumns(new).drop(cut, of, where)

@@ -8,8 +8,8 @@ position, the longest compatible one is taken, a shorter one if it leads nowhere
 bit field remembers the positions from which no encoding of the rest exists.
 
 Text is cut where no piece can reach across (before a run of spaces, around a line feed),
-and encoded segments are kept in a bounded per-process memo, so each worker pays once for
-a frequent word. Runs of several spaces hold pieces of equal score, for which order
+and encoded segments are kept in a memo bounded in bytes, so each task pays once for
+a frequent word; it goes when the task ends. Runs of several spaces hold pieces of equal score, for which order
 matters; segments with them take the merge loop itself.
 
 Defined results: null and empty text give no ids and an empty decoded text; a character
@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-#: Segments that a worker remembers; the memo starts anew when it is full.
-MEMO_SEGMENTS = 600_000
+#: Bytes of segments, ids and decoded texts that a task remembers; the memo starts anew when it is full.
+MEMO_BYTES = 96 << 20
+#: What an entry takes besides its characters.
+ENTRY_BYTES = 300
 
 _models: dict[str, PieceModel] = {}
 
@@ -40,15 +42,20 @@ class _Memo(dict):
 
     def __init__(self, model: PieceModel, prefix: str):
         super().__init__()
-        self.model, self.prefix, self.decoded = model, prefix, {}
+        self.model, self.prefix, self.decoded, self.bytes = model, prefix, {}, 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.decoded.clear()
+        self.bytes = 0
 
     def __missing__(self, segment: str) -> str:
-        if len(self) >= MEMO_SEGMENTS:
-            self.clear()
-            self.decoded.clear()
+        if self.bytes >= MEMO_BYTES:
+            self.forget()
         ids = self.model.encode_segment(self.prefix + segment)
         self[segment] = out = ",".join(map(str, ids))
         self.decoded[segment] = self.model.decode_ids(ids)
+        self.bytes += ENTRY_BYTES + 4 * len(segment) + len(out)
         return out
 
 
@@ -155,6 +162,10 @@ class PieceModel:
             tries.append(len(starts[pos]) if pos < n else 0)
         return out
 
+    def forget(self) -> None:
+        for memo in (self.spaced, self.bare, self.whole):
+            memo.forget()
+
     def encode_segment(self, text: str) -> list[int]:
         if self.id.keys() >= set(text) and SPACE * 2 not in text and (ids := self.backtrack(text)) is not None:
             return ids
@@ -258,6 +269,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", ids:
             arrays.append(pa.array([[int(i) for i in a.split(",")] if a else [] for a, _ in pairs], pa.list_(pa.int32())))
             arrays.append(pa.array([b for _, b in pairs], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [ids, decoded])
+        m.forget()
 
     return docs.mapInArrow(run, schema)
 
@@ -282,5 +294,6 @@ def encode_digests(docs: DataFrame, model_path: str, key: str = "doc_id", text:
                 a.append(sha(ids))
                 b.append(sha(decoded))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+        m.forget()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

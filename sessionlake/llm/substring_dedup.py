@@ -13,8 +13,10 @@ A word is removed if a window over it also starts in a document with a smaller i
 on the input. Words are compared by 64-bit hashes of their bytes.
 
 Defined results: null, empty and shorter texts have no window and lose nothing. A null key is
-no document: the row keeps all of its words and takes none from others. Rows that repeat a key are one
-document. Extra columns are ignored.
+no document: the row keeps all of its words and takes none from others. Rows that repeat key and text are one
+document; rows that repeat a key with another text are judged by the key and cut each by its own windows
+(`place`, a hash of the text, tells them apart). Very long texts are cut into segments like any other. Extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,11 +59,11 @@ def sequence_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(gram, seg, doc_id, start, windows): the segments of all documents."""
+    """(gram, seg, doc_id, place, start, windows): the segments of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.asarray(batch.column(0))
+            keys, places = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for a, b, w in word_runs(batch.column(1), lower=False):
                 h = w.hashes()
                 least = sliding_min(shingles(h, GRAM), WINDOW - GRAM + 1)
@@ -78,17 +80,17 @@ def segments(docs: DataFrame, key: str, text: str) -> DataFrame:
                 begin = at[first]
                 seg = sequence_hash(h, begin, begin + windows + WINDOW - 1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(least[first].view(np.int64)), pa.array(seg.view(np.int64)), pa.array(keys[a + doc[first]]), pa.array((begin - w.first[doc[first]]).astype(np.int32)), pa.array(windows.astype(np.int32))],
-                    names=["gram", "seg", "doc_id", "start", "windows"],
+                    [pa.array(least[first].view(np.int64)), pa.array(seg.view(np.int64)), pa.array(keys[a + doc[first]]), pa.array(places[a + doc[first]]), pa.array((begin - w.first[doc[first]]).astype(np.int32)), pa.array(windows.astype(np.int32))],
+                    names=["gram", "seg", "doc_id", "place", "start", "windows"],
                 )
 
-    return docs.select("key", "text").mapInArrow(run, "gram bigint, seg bigint, doc_id bigint, start int, windows int")
+    return docs.select("key", "text", "place").mapInArrow(run, "gram bigint, seg bigint, doc_id bigint, place bigint, start int, windows int")
 
 
 def with_words(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
-    """``classes`` (gram, seg, doc_id, start, windows, shard) with their words' hashes, read from their documents."""
-    asked = classes.groupBy("doc_id").agg(F.collect_list(F.struct("gram", "seg", "start", "windows", "shard")).alias("asked"))
-    joined = docs.join(small_side(asked.withColumnRenamed("doc_id", "key"), n), "key").select("key", "text", "asked")
+    """``classes`` (gram, seg, doc_id, place, start, windows, shard) with their words' hashes, read from their documents."""
+    asked = classes.groupBy(F.col("doc_id").alias("key"), "place").agg(F.collect_list(F.struct("gram", "seg", "start", "windows", "shard")).alias("asked"))
+    joined = docs.join(small_side(asked, n), ["key", "place"]).select("key", "text", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +101,9 @@ def with_words(docs: DataFrame, classes: DataFrame, n: int) -> DataFrame:
                     rows = lists[a + i].values
                     cols = {c: np.asarray(rows.field(c)) for c in ("gram", "seg", "start", "windows", "shard")}
                     own = h[w.first[i] : w.first[i + 1]]
-                    fits = cols["start"] + cols["windows"] + WINDOW - 1 <= len(own)  # a repeated key may have another text
-                    words = [own[s : s + k + WINDOW - 1].tobytes() for s, k in zip(cols["start"][fits], cols["windows"][fits], strict=True)]
+                    words = [own[s : s + k + WINDOW - 1].tobytes() for s, k in zip(cols["start"], cols["windows"], strict=True)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols["shard"][fits]), pa.array(cols["gram"][fits]), pa.array(cols["seg"][fits]), pa.array(np.full(fits.sum(), keys[a + i])), pa.array(words, pa.binary())],
+                        [pa.array(cols["shard"]), pa.array(cols["gram"]), pa.array(cols["seg"]), pa.array(np.full(len(words), keys[a + i])), pa.array(words, pa.binary())],
                         names=["shard", "gram", "seg", "doc_id", "words"],
                     )
 
@@ -158,12 +159,12 @@ def search_hot(words: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, gone): for each document that loses words, the ranges of words [begin, end) that go."""
-    docs = docs.filter(F.col(key).isNotNull() & (F.length(text) >= 2 * WINDOW - 1)).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+    """(doc_id, place, gone): for each document that loses words, the ranges of words [begin, end) that go."""
+    docs = docs.filter(F.col(key).isNotNull() & (F.length(text) >= 2 * WINDOW - 1)).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("place"))
     rows = stored(segments(docs, key, text), "segments")
     # a class: the same words; counted for its smallest document, at its first place there
-    classes = rows.groupBy("gram", "seg", "windows").agg(F.min(F.struct("doc_id", "start")).alias("at"), F.max("doc_id").alias("last"))
-    classes = stored(classes.select("gram", "seg", "windows", "at.doc_id", "at.start", "last"), "segment-classes")
+    classes = rows.groupBy("gram", "seg", "windows").agg(F.min(F.struct("doc_id", "place", "start")).alias("at"), F.max("doc_id").alias("last"))
+    classes = stored(classes.select("gram", "seg", "windows", "at.doc_id", "at.place", "at.start", "last"), "segment-classes")
     keys = classes.groupBy("gram").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.sum(F.col("windows") + (WINDOW - 1)).alias("words"))
     keys = stored(keys.filter("low < high").select("gram", "words"), "segment-keys")
     size = keys.agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("words").alias("most")).first()
@@ -172,7 +173,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
         shards = max(1, math.ceil(size.words / SHARD_WORDS))
         hot = F.col("words") > HOT_WORDS
         shard = F.when(hot, -1).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
-        asked = stored(classes.join(small_side(keys, size.n), "gram").select("gram", "seg", "doc_id", "start", "windows", shard.cast("bigint").alias("shard")), "asked-classes")
+        asked = stored(classes.join(small_side(keys, size.n), "gram").select("gram", "seg", "doc_id", "place", "start", "windows", shard.cast("bigint").alias("shard")), "asked-classes")
         words = with_words(docs, asked, asked.count())
         words = stored(words, "class-words") if size.most > HOT_WORDS else words
         found = words.filter("shard >= 0").groupBy("shard").applyInArrow(search_shard, FOUND)
@@ -181,16 +182,16 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
         found = stored(found, "found-windows")
     # ranges of words: all of a segment outside its class's smallest document, there the windows found
     copies = classes.filter("doc_id < last").select("gram", "seg", F.col("doc_id").alias("low"))
-    whole = rows.join(copies, ["gram", "seg"]).filter("doc_id > low").select("doc_id", "start", "windows")
+    whole = rows.join(copies, ["gram", "seg"]).filter("doc_id > low").select("doc_id", "place", "start", "windows")
     firsts = classes.select("gram", "seg", F.col("doc_id").alias("low")).join(found.withColumnRenamed("windows", "n"), ["gram", "seg"])
-    part = rows.join(firsts, ["gram", "seg"]).filter("doc_id = low").select("doc_id", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("windows"))
-    ranges = whole.unionByName(part).select("doc_id", F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("end")).alias("r"))
-    merged = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_set("r")).alias("gone"))  # as many as the document has segments
+    part = rows.join(firsts, ["gram", "seg"]).filter("doc_id = low").select("doc_id", "place", (F.col("start") + F.col("first")).alias("start"), F.col("n").alias("windows"))
+    ranges = whole.unionByName(part).select("doc_id", "place", F.struct(F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (WINDOW - 1)).alias("end")).alias("r"))
+    merged = ranges.groupBy("doc_id", "place").agg(F.array_sort(F.collect_set("r")).alias("gone"))  # as many as the document has segments
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for ranges_ in batch.column(1).to_pylist():
+            for ranges_ in batch.column(2).to_pylist():
                 flat: list[int] = []
                 for r in ranges_:
                     if flat and r["begin"] <= flat[-1]:
@@ -198,9 +199,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
                     else:
                         flat += [r["begin"], r["end"]]
                 out.append(flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "place", "gone"])
 
-    return merged.mapInArrow(merge, "doc_id bigint, gone array<int>")
+    return merged.mapInArrow(merge, "doc_id bigint, place bigint, gone array<int>")
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
@@ -208,7 +209,8 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", di
     gone = stored(repeated_passages(docs, key, text), "gone-words")
     n = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    rows = rows.join(small_side(gone.withColumnRenamed("doc_id", "_d"), n), F.col("_k").cast("bigint") == F.col("_d"), "left").select("_k", "_t", "gone")
+    gone = gone.select(F.col("doc_id").alias("_d"), F.col("place").alias("_p"), "gone")
+    rows = rows.join(small_side(gone, n), (F.col("_k").cast("bigint") == F.col("_d")) & (F.xxhash64("_t") == F.col("_p")), "left").select("_k", "_t", "gone")
     kind = rows.schema["_k"].dataType.simpleString()
     last = "kept_sha256" if digest else "kept_text"
 

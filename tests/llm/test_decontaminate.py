@@ -24,23 +24,34 @@ def edits_to_beginning(a, b):
     return min(row)
 
 
+def fewest_edits(window, text, text_size):
+    """Fewest edits of a window to any part of each text: ``text`` holds the texts, with gaps too long to align across."""
+    least = np.zeros(len(text) + 1, np.int16)
+    step = np.arange(len(text) + 1, dtype=np.int32)
+    for x in window:
+        new = np.append(least[0] + 1, np.minimum(least[:-1] + (text != x), least[1:] + 1))
+        least = (np.minimum.accumulate(new - step) + step).astype(np.int32)
+    return np.minimum.reduceat(least, text_size)
+
+
 def brute(docs, items):
+    """Every window of every item at every place of every text, with both ends free."""
+    keys = [(k, norm(t or "")) for k, t in docs if k is not None]
+    gap = 2 * int(dc.EDITS * dc.WINDOW) + 2
+    text = np.concatenate([np.array([*map(ord, t), *[-1] * gap]) for _, t in keys])
+    begin = np.cumsum([0, *(len(t) + gap for _, t in keys)])[:-1]
     out = {}
-    for key, text in docs:
-        t = norm(text or "")
-        for item, passage in items:
-            p = norm(passage or "")
-            if key is None or item is None or len(p) < dc.MIN_CHARS:
-                continue
-            w = min(len(p), dc.WINDOW)
-            e = int(dc.EDITS * w)
-            for s in range(len(p) - w + 1):
-                x = t.find(p[s : s + dc.Q])
-                while x >= 0:
-                    cost = edits_to_beginning(p[s : s + w], t[x : x + w + e])
-                    if cost <= e:
-                        out[key, item] = min(out.get((key, item), 99), cost)
-                    x = t.find(p[s : s + dc.Q], x + 1)
+    for item, passage in items:
+        p = [ord(c) for c in norm(passage or "")]
+        if item is None or len(p) < dc.MIN_CHARS:
+            continue
+        w = min(len(p), dc.WINDOW)
+        e = int(dc.EDITS * w)
+        e = e if w + 1 >= dc.Q * (e + 1) + 1 else 0  # too short for the q-grams to leave an edit
+        for s in range(len(p) - w + 1):
+            for (key, _), cost in zip(keys, fewest_edits(p[s : s + w], text, begin), strict=True):
+                if cost <= e:
+                    out[key, item] = min(out.get((key, item), 99), int(cost))
     return out
 
 
@@ -70,7 +81,7 @@ def corpus(seed):
 
 def test_same_as_brute_force(spark, monkeypatch):
     docs, items = corpus(1)
-    docs += [(500, None), (501, ""), (None, items[0][1]), (502, " x"), (503, ("filler text " * 9000) + items[3][1] + " and more " * 9000)]
+    docs += [(500, None), (501, ""), (None, items[0][1]), (502, " x"), (503, ("filler text " * 900) + items[3][1] + " and more " * 900)]
     items += [(90, None), (91, ""), (92, "short"), (None, items[1][1]), (93, items[2][1])]
     want = brute(docs, items)
     assert len(want) > 20

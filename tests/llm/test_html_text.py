@@ -1,5 +1,9 @@
 """Operator 9 on small pages with known articles."""
 
+import time
+
+import pytest
+
 from sessionlake.llm.html_text import extract, main_text
 
 LONG = "It is the story of a house and of the people who lived in it for a long time, with all that was said by them and of them, " * 3
@@ -48,3 +52,26 @@ def test_other_languages_without_containers():
     for text in (finnish, chinese):
         page = f"<body><div><a href=1>yksi</a> <a href=2>kaksi</a></div><p>{text}</p><p>Niin.</p><p>{text}</p><div><a href=x>{text}</a></div><footer>{text}</footer></body>"
         assert main_text(page).split("\n") == [text.strip(), "Niin.", text.strip()]
+
+
+STORY = "The story of the town and its people is told here in full, with all that was said of it at that time. "
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "single related-posts-off", "social-media-report", "page", "sidebar", "related"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_names_around_the_article_say_nothing_of_it(name, inner):
+    page = f'<body><div class="ad">Buy this.</div><div class="{name}"><{inner}><p>{STORY * 3}</p></{inner}></div><div class="site-footer">{STORY}</div></body>'
+    assert main_text(page) == (STORY * 3).strip()
+
+
+def test_names_inside_the_page_do():
+    marks = ["site-footer", "sidebar", "cookie-banner", "related-posts", "comment-list", "share_buttons", "post-comments"]
+    page = f"<article><h1>Head</h1><p>{STORY}</p>" + "".join(f'<div class="{m}">{STORY[:75]}</div>' for m in marks) + "</article>"
+    page += f'<div id="comments"><article class="comment"><p>{STORY * 9}</p></article></div>'
+    assert main_text(page) == "Head\n" + STORY.strip()
+
+
+def test_unclosed_elements_take_linear_time():
+    begun = time.process_time()
+    assert main_text("<article>" + "<li>x</b>" * 100_000).count("x") == 100_000
+    assert time.process_time() - begun < 20

@@ -36,7 +36,11 @@ class Recursion:
         cut = lambda c, d: c * (d[c] if c <= katz.GT else 1.0)
         self.p1 = {w: cut(c, d1) / (self.n + 1) for w, c in uni.items()}
         self.unknown = 1 - sum(self.p1.values())
-        self.p2 = {k: cut(c, d2) / ctx[k[0]] for k, c in bi.items() if c >= katz.MIN_BIGRAM}
+        mass = Counter()
+        for (c, _), n in bi.items():
+            mass[c] += cut(n, d2)
+        of = {c: n + (mass[c] >= n * (1 - 1e-9)) for c, n in ctx.items()}  # a context without mass gets one count more
+        self.p2 = {k: cut(c, d2) / of[k[0]] for k, c in bi.items() if c >= katz.MIN_BIGRAM}
         seen, lower = Counter(), Counter()
         for (c, w), p in self.p2.items():
             seen[c] += p
@@ -56,6 +60,9 @@ class Recursion:
         return key, len(toks), len(known), self.n, base, score
 
 
+OFTEN = [(2000 + i, "qq zz") for i in range(60)] + [(2100 + i, "ww vv yy uu") for i in range(20)]
+
+
 def held(key):
     return key is None or zlib.crc32(str(key).encode()) % 7 == 2
 
@@ -72,7 +79,7 @@ def test_same_as_recursion(spark, monkeypatch, heavy, gather):
     monkeypatch.setattr(katz, "HEAVY", heavy)
     monkeypatch.setattr(katz, "GATHER", gather)
     monkeypatch.setattr(katz, "PART_ROWS", 500 if gather == 300 else 4_000_000)
-    rows = corpus(1, 200) + [(900, None), (901, ""), (None, "w1 w2 new"), (5, "w1 w1 w1"), (902, "w3 w4 " * 40_000)]
+    rows = corpus(1, 200) + [(900, None), (901, ""), (None, "w1 w2 new"), (5, "w1 w1 w1"), (902, "w3 w4 " * 40_000)] + OFTEN + [(3000 + i, "qq vv") for i in range(9)]
     model = Recursion([t for k, t in rows if not held(k)])
     df = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
     got = sorted((tuple(r) for r in katz.score(df).collect()), key=lambda r: (str(r[0]), r[2], r[5]))
@@ -83,10 +90,10 @@ def test_same_as_recursion(spark, monkeypatch, heavy, gather):
 
 
 def test_probabilities_sum_to_one():
-    model = Recursion([t for _, t in corpus(2, 150)])
-    for c in [*list(model.alpha)[:40], "<s> ", "never"]:
+    model = Recursion([t for _, t in corpus(2, 150) + OFTEN])
+    for c in [*list(model.alpha)[:40], "<s> ", "never", "qq", "ww", "vv"]:
         assert abs(sum(model.p(w, c) for w in model.uni) + model.p("not there", c) - 1) < 1e-9
-    assert model.unknown > 0
+    assert model.unknown > 0 and model.p("vv", "qq") > 1e-6
 
 
 def test_better_than_base_on_held_out_text(spark):

@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 
 from sessionlake.llm import linking
 from sessionlake.llm.line_dedup import MIN_CHARS, PERCENT, Q, Lines, dedup_lines
@@ -16,13 +18,18 @@ def norm(line):
     return " ".join(x for x in low.split(" ") if x)
 
 
+def place(text):
+    """Which of the texts of a repeated id comes first, as the operator orders them."""
+    return int(np.array(xxhash.xxh64(text.encode(), seed=42).intdigest(), np.uint64).view(np.int64))
+
+
 def brute(rows):
     where = {}
     for key, text in rows:
         if key is not None and text is not None:
             for pos, line in enumerate(text.split("\n")):
                 if len(n := norm(line)) >= MIN_CHARS:
-                    where.setdefault(n, set()).add((key, pos))
+                    where.setdefault(n, set()).add((key, place(text), pos))
     sets = {n: {n[i : i + Q] for i in range(max(1, len(n) - Q + 1))} for n in where}
     names = sorted(where)
     parent = {n: n for n in names}
@@ -44,7 +51,7 @@ def brute(rows):
     out = []
     for key, text in rows:
         lines = text.split("\n") if text else []
-        kept = [x for i, x in enumerate(lines) if (key, i) not in gone]
+        kept = [x for i, x in enumerate(lines) if (key, place(text or ""), i) not in gone]
         out.append((key, "\n".join(kept) if text is not None else None, len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
@@ -120,3 +127,13 @@ def test_short_lines_take_part(spark):
     rows = [(1, "x\nno\nshort line\n\n"), (2, "No\nX y\nSHORT  line\nx\n\n"), (3, "nob\n12345678\n1234567\nshort line!"), (4, "1234567\n 12345678 \n中é"), (5, "中é\n \nno")]
     want = [(1, "x\nno\nshort line\n\n", 5, 0), (2, "X y\n\n", 6, 3), (3, "nob\n12345678\n1234567", 4, 1), (4, "中é", 3, 2), (5, " ", 3, 2)]
     assert run(spark, rows) == want
+
+
+def test_a_repeated_id_with_another_text_and_clashing_names(spark):
+    x, y, z = (f"{w} line of some length that stands alone {w}{w}{w}" for w in ("first", "second", "third"))
+    rows = [(1, x), (5, y), (5, x), (6, z + "\n" + x)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, cut int, of int, _gone int, _key int")
+    got = dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == [(1, x, 0), (5, "", 1), (5, y, 0), (6, z, 1)]
+    assert dedup_lines(df.limit(0)).collect() == []

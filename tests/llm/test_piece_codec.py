@@ -24,7 +24,7 @@ def test_same_as_library(text):
 
 
 def test_memo_starting_anew(monkeypatch):
-    monkeypatch.setattr("sessionlake.llm.piece_codec.MEMO_SEGMENTS", 3)
+    monkeypatch.setattr("sessionlake.llm.piece_codec.MEMO_BYTES", 900)
     m = PieceModel(PATH)
     text = "one two three four five\nsix seven one two  nine\n ten"
     ids = LIB.encode(text)

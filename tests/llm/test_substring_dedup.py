@@ -73,6 +73,14 @@ def test_kept_text_repeated_rows_and_empty_table(spark):
     assert sd.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_a_repeated_id_with_another_text_is_cut_by_its_own_windows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(100)) for x in "abc")
+    rows = [(1, b), (5, a), (5, b), (5, b), (7, a + " end"), (7, c), (9, c + " " + c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in sd.without_repeats(df).collect())
+    assert got == [(1, 100, 0), (5, 100, 0), (5, 100, 100), (5, 100, 100), (7, 100, 0), (7, 101, 100), (9, 200, 200)]
+
+
 def test_wavelet_rank():
     rng = np.random.default_rng(1)
     for symbols in (1, 2, 5, 300):
