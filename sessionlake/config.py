@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of the reference's default configuration.
 DEFAULT_FLUSH_INTERVAL = 15
@@ -94,3 +94,10 @@ def storage_root(spark: SparkSession, name: str) -> str:
     """A new folder for written tables under the shared checkpoint folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "sessionlake", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written under the shared checkpoint folder and read from there: lineage ends here."""
+    path = storage_root(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,7 +23,12 @@ SESSION_IDLED_FALSE = "SessionIdled(false)"
 
 
 def response_log(events: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
-    """One response per input event (ticks are virtual and not listed).
+    """One response per input event (ticks are virtual and not listed): stream_key, seq, kind, response."""
+    return timed_responses(events, config).drop("ts_us")
+
+
+def timed_responses(events: DataFrame, config: SessionConfig) -> DataFrame:
+    """The rows of `response_log` with their ``ts_us``.
 
     Non-workspace, non-hidden rows take their response from the state before the
     event. Hidden focus rows (Ignored) and workspace rows (Handled) need no
@@ -48,13 +53,14 @@ def response_log(events: DataFrame, config: SessionConfig = SessionConfig()) ->
             .otherwise(F.lit(HANDLED)),
         )
     )
-    main = states.select("stream_key", "seq", "kind", resp.alias("response"))
+    main = states.select("stream_key", "ts_us", "seq", "kind", resp.alias("response"))
     hidden = list(config.hidden_applications)
     side = ev.filter(
         (F.col("kind") == "workspace")
         | ((F.col("kind") == "focus") & F.col("app_id").isin(hidden) if hidden else F.lit(False))
     ).select(
         "stream_key",
+        "ts_us",
         "seq",
         "kind",
         F.when(F.col("kind") == "workspace", F.lit(HANDLED)).otherwise(F.lit(IGNORED)).alias("response"),

@@ -945,12 +945,34 @@ from sessionlake.streaming import logged as LG  # noqa: E402
 _LOG_COLS = ["stream_key", "seq", "ts_us", "t", "kind", "app_id", "workspace"]
 
 
+def _logged(spark, sf) -> DataFrame:
+    """The event log plus explicit ticks (hourly, due every 6 h) and flushes (every 7 h) of each stream."""
+    ev = _events(spark, sf).select(*_LOG_COLS)
+    return ev.unionByName(LG.hourly_ticks(ev, H)).unionByName(LG.hourly_ticks(ev, H, 7 * 3600, LG.FLUSH))
+
+
 @register("sessionize_logged", _with_sessions(f"SELECT {SESSION_COLS_SQL} FROM sessions", mode="logged"))
 def sessionize_logged(spark, sf):
-    """The event log plus one explicit tick row per stream per hour, ticks due every 6 h."""
-    ev = _events(spark, sf).select(*_LOG_COLS)
-    log = ev.unionByName(LG.hourly_ticks(ev, H))
-    return LG.sessionize_logged(log, CFG)
+    """A log with explicit tick and flush rows."""
+    return LG.sessionize_logged(_logged(spark, sf), CFG)
+
+
+@register(
+    "response_log_logged",
+    "WITH RECURSIVE "
+    + O.ticked_events_cte(H)
+    + ","
+    + O.machine_ctes(I, M, H, HIDDEN_APPS, "logged")
+    + """
+SELECT s.stream_key, e.t, s.seq, e.kind,
+  CASE WHEN e.kind NOT IN ('tick', 'flush') THEN s.resp WHEN NOT s.has_cur THEN 'Ignored' WHEN s.fx IS NULL THEN 'Handled'
+       WHEN NOT s.ok THEN 'Ignored' WHEN s.fl_merged THEN 'Flushed(merged)' ELSE 'Flushed' END AS response
+FROM st s JOIN ev e ON e.stream_key = s.stream_key AND e.n = s.n WHERE s.ph = 0""",
+)
+def response_log_logged(spark, sf):
+    """S10 for X2: replies to events, ticks and flushes."""
+    rows = LG.response_log_logged(_logged(spark, sf), CFG)
+    return rows.select("stream_key", F.floor(F.col("ts_us") / 1_000_000).alias("t"), "seq", "kind", "response")
 
 
 # ---------------------------------------------------------------- X3 streaming

@@ -169,20 +169,22 @@ st AS (
 )"""
 
 
-def ticked_events_cte(horizon: int, every: int = 3600) -> str:
+def ticked_events_cte(horizon: int, every: int = 3600, flushes: int = 7 * 3600) -> str:
     """CTE ``se`` with explicit tick rows added: every ``every`` s from the first full
-    period after a stream's first event through the horizon (logged mode input)."""
+    period after a stream's first event through the horizon, and flush rows every ``flushes`` s (logged mode input)."""
     base = mapped_events_cte().replace("\nse AS (", "\nse_ev AS (")
+    rows = lambda kind, every, seq: f"""
+  SELECT stream_key, CAST({seq} AS BIGINT) AS seq, g * 1000000 + 999999 AS ts_us, g AS t,
+         '{kind}' AS kind, CAST(NULL AS VARCHAR) AS app_id, CAST(NULL AS INTEGER) AS workspace
+  FROM (SELECT stream_key, unnest(generate_series(t0 - (t0 % {every}) + {every}, {int(horizon)}, {every})) AS g
+        FROM (SELECT stream_key, min(t) AS t0 FROM se_ev GROUP BY stream_key))"""
     return (
         base
         + f""",
 se AS (
   SELECT stream_key, seq, ts_us, t, kind, app_id, workspace FROM se_ev
-  UNION ALL
-  SELECT stream_key, CAST(4611686018427387904 AS BIGINT) AS seq, g * 1000000 + 999999 AS ts_us, g AS t,
-         'tick' AS kind, CAST(NULL AS VARCHAR) AS app_id, CAST(NULL AS INTEGER) AS workspace
-  FROM (SELECT stream_key, unnest(generate_series(t0 - (t0 % {every}) + {every}, {int(horizon)}, {every})) AS g
-        FROM (SELECT stream_key, min(t) AS t0 FROM se_ev GROUP BY stream_key))
+  UNION ALL{rows("tick", every, 2**62)}
+  UNION ALL{rows("flush", flushes, 2**62 + 1)}
 )"""
     )
 

@@ -1,93 +1,147 @@
 """Sessionize a log whose ticks and flushes are explicit rows.
 
-The due-tick schedule is recursive (a tick is due when it is an interval past
-the last *due* tick), so this is a sequential scan per stream. Spark does the
-distribution: one shuffle on ``stream_key``, a sort inside each partition by
-``(stream_key, ts_us, seq)``, then ``mapInPandas`` walks each partition's Arrow
-batches in order with a small per-stream state machine. Memory per task is one
-batch plus O(1) state: a session is emitted as soon as a newer one exists, and
-no stream's log is ever gathered into one pandas frame.
+A tick is due when it is an interval past the last *due* tick, which looks sequential. It is a chain:
+each tick second points to the first tick second an interval later or more, and the due ones are those that the
+pointers reach from the first. Two due ticks are an interval apart, so pointers are found inside
+buckets of an interval's length (a bucket has a row per second at most), and the chain is followed by
+pointer doubling: as many rounds as the logarithm of its length, each a join by (stream, second).
+
+The rest are X1's steps. The rows that set states open segments (P8, W2); due ticks and flushes fall into the
+segment that is open; a segment ends at its last flush, or at the idle row that saves it; kept segments are
+numbered and merged (W4, A8). No row is handled in Python. `response_log_logged` (S10) reads the replies off the
+same rows.
+
+Rows of one stream with equal ``(ts_us, seq)`` have no order of their own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionlake import schema
-from sessionlake.config import SessionConfig
-from sessionlake.operators.sessionize import prepare_events
-from sessionlake.streaming.machine import SessionMachine
-
-_OUT_COLS = [f.name for f in schema.SESSIONS.fields]
-
-
-def _rows(key, items) -> list[tuple]:
-    return [(key, seq, start, end, st[0], st[1], st[2]) for seq, start, end, st in items]
-
-
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    df = pd.DataFrame(rows, columns=_OUT_COLS)
-    return df.astype({"stream_key": "int64", "session_seq": "int32", "start": "int64", "end": "int64",
-                      "is_active": "bool", "workspace": "Int32"})
-
-
-def _scan(config: SessionConfig):
-    interval, min_dur, hidden = config.flush_interval, config.min_session_duration, config.hidden_applications
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, machine = None, None
-        for pdf in batches:
-            out: list[tuple] = []
-            cols = zip(pdf["stream_key"], pdf["t"], pdf["kind"], pdf["app_id"], pdf["workspace"])
-            for k, t, kind, app, ws in cols:
-                if k != key:
-                    if machine is not None:
-                        out += _rows(key, machine.take_all())
-                    key, machine = k, SessionMachine(interval, min_dur, hidden)
-                app = None if app is None or (isinstance(app, float) and pd.isna(app)) else app
-                ws = None if ws is None or pd.isna(ws) else int(ws)
-                machine.event(kind, int(t), app, ws)
-                out += _rows(key, machine.take_final())
-            if out:
-                yield _frame(out)
-        if machine is not None:
-            rest = _rows(key, machine.take_all())
-            if rest:
-                yield _frame(rest)
-
-    return run
+from sessionlake.config import SessionConfig, saved
+from sessionlake.operators.audit import timed_responses
+from sessionlake.operators.sessionize import KEY, ORDER, SESSION_COLUMNS, _run_islands_plain, event_states, is_opener, merge_runs, min_duration, prepare_events, stream_window
+
+TICK, FLUSH = "tick", "flush"
+_COLUMNS = [KEY, "ts_us", "seq", "t", "kind", "app_id", "workspace"]
+
+
+def next_ticks(ticks: DataFrame, interval: int) -> DataFrame:
+    """(stream_key, t, nxt): for each tick second the first one ``interval`` later or more; none, no row."""
+    step = F.lit(int(interval))
+    bucket = F.floor(F.col("x") / step).alias("bucket")
+    own = ticks.select(KEY, F.col("t").alias("x"), F.lit(None).cast("long").alias("t"))
+    asks = ticks.select(KEY, (F.col("t") + step).alias("x"), "t")
+    rows = own.unionByName(asks).select(KEY, "x", "t", bucket)
+    inside = Window.partitionBy(KEY, "bucket").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    rows = rows.withColumn("near", F.min(F.when(F.col("t").isNull(), F.col("x"))).over(inside))
+    first = rows.groupBy(KEY, "bucket").agg(F.min(F.when(F.col("t").isNull(), F.col("x"))).alias("first"))
+    later = Window.partitionBy(KEY).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)  # a row per interval of time
+    far = first.select(KEY, "bucket", F.min("first").over(later).alias("far"))
+    asked = rows.filter(F.col("t").isNotNull()).join(far, [KEY, "bucket"])
+    return asked.select(KEY, "t", F.coalesce("near", "far").alias("nxt")).filter(F.col("nxt").isNotNull())
+
+
+def due_ticks(ticks: DataFrame, interval: int) -> DataFrame:
+    """(stream_key, t): the due ones among distinct tick seconds; the last due tick of a new stream is at second 0."""
+    reach = saved(ticks.filter(F.col("t") >= int(interval)).groupBy(KEY).agg(F.min("t").alias("t")), "due-first")
+    jump = saved(next_ticks(ticks, interval), "due-next")
+    parts = [reach]
+    while True:
+        # what is reached so far, moved on by as many steps as it is long
+        new = saved(_union(parts).join(jump, [KEY, "t"]).select(KEY, F.col("nxt").alias("t")), "due-reached")
+        if new.isEmpty():
+            return _union(parts)
+        parts.append(new)
+        there = jump.select(KEY, F.col("t").alias("nxt"), F.col("nxt").alias("after"))
+        jump = saved(jump.join(there, [KEY, "nxt"]).select(KEY, "t", F.col("after").alias("nxt")), "due-next")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _accepted(config: SessionConfig, at: str) -> Column:
+    """P3 for a flush at column ``at`` of the segment that began at ``start``."""
+    m = int(config.min_session_duration)
+    return F.col(at).isNotNull() & (F.lit(m == 0) | (F.col(at) - F.col("start") > F.lit(m)))
+
+
+def logged_rows(log: DataFrame, config: SessionConfig) -> DataFrame:
+    """Openers (with ``state``), ticks and flushes in order: which segment they are in (``segno``, 0: none), and if they save it."""
+    ev = prepare_events(log).select(*_COLUMNS[:-1], F.col("workspace").cast("int").alias("workspace"))
+    acts = F.col("kind").isin(TICK, FLUSH)
+    openers = event_states(ev.filter(~acts), config).filter(is_opener()).select(*_COLUMNS[:5], F.col("after").alias("state"))
+    rows = openers.unionByName(ev.filter(acts).select(*_COLUMNS[:5]), allowMissingColumns=True)
+    upto = stream_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = saved(rows.withColumn("segno", F.count("state").over(upto)), "logged-rows")
+    # the first tick of a second that finds a segment open stands for the second
+    ticks = rows.filter((F.col("kind") == TICK) & (F.col("segno") > 0)).groupBy(KEY, "t").agg(F.min(F.struct(*ORDER)).alias("at"))
+    due = ticks.join(due_ticks(ticks.select(KEY, "t"), config.flush_interval), [KEY, "t"])
+    due = due.select(KEY, "at.*", F.lit(True).alias("due"))
+    saves = F.coalesce("due", (F.col("kind") == FLUSH) & (F.col("segno") > 0))
+    return rows.join(due, [KEY, *ORDER], "left").withColumn("saves", saves).drop("due")
+
+
+def _segments(rows: DataFrame, config: SessionConfig) -> DataFrame:
+    """The segments of `logged_rows`, in X1's columns, with their number."""
+    opener = F.struct("ts_us", "seq", "t", "kind", "state")
+    segs = rows.filter("segno > 0").groupBy(KEY, "segno").agg(F.max(F.when(F.col("state").isNotNull(), opener)).alias("o"), F.max(F.when(F.col("saves"), F.col("t"))).alias("last"))
+    w = Window.partitionBy(KEY).orderBy("segno")
+    idled = (F.lead("o.kind").over(w) == "idle_on") & F.col("o.state.is_active")
+    segs = segs.withColumn("flush_t", F.when(idled, F.lead("o.t").over(w)).otherwise(F.col("last")))
+    segs = segs.select(KEY, "segno", "o.ts_us", "o.seq", F.col("o.t").alias("start"), "o.state", "flush_t")
+    return segs.withColumn("kept", _accepted(config, "flush_t"))
 
 
 def sessionize_logged(log: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
     """(stream_key, seq, ts|ts_us, kind incl. tick/flush, app_id, workspace) -> sessions."""
-    ev = prepare_events(log).select(
-        "stream_key", "ts_us", "seq", "t", "kind", "app_id", F.col("workspace").cast("int").alias("workspace")
+    segs = min_duration(_segments(logged_rows(log, config), config))
+    return merge_runs(_run_islands_plain(segs)).select(*SESSION_COLUMNS)
+
+
+def response_log_logged(log: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
+    """S10 for X2: (stream_key, ts_us, seq, kind, response) of every row, ticks and flushes too."""
+    rows = saved(logged_rows(log, config), "logged-replies")
+    segs = _run_islands_plain(min_duration(_segments(rows, config))).select(KEY, "segno", "start", "_run_start")
+    rows = rows.filter(F.col("kind").isin(TICK, FLUSH)).join(segs, [KEY, "segno"], "left")
+    taken = F.col("saves") & F.col("start").isNotNull() & _accepted(config, "t")
+    rows = rows.withColumn("taken", taken)
+    earlier = F.count(F.when(F.col("taken"), 1)).over(Window.partitionBy(KEY, "segno").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("grows", (earlier > 0) | ~F.col("_run_start"))
+    reply = (
+        F.when(F.col("segno") == 0, "Ignored")
+        .when(~F.col("saves"), "Handled")
+        .when(~F.col("taken"), "Ignored")
+        .when(F.col("grows"), "Flushed(merged)")
+        .otherwise("Flushed")
     )
-    ordered = ev.repartition("stream_key").sortWithinPartitions("stream_key", "ts_us", "seq")
-    return ordered.mapInPandas(_scan(config), schema=schema.SESSIONS)
+    acts = rows.select(KEY, *ORDER, "kind", reply.alias("response"))
+    ev = prepare_events(log).filter(~F.col("kind").isin(TICK, FLUSH))
+    return timed_responses(ev, config).select(KEY, *ORDER, "kind", "response").unionByName(acts)
 
 
-def hourly_ticks(events: DataFrame, horizon: int, every: int = 3600) -> DataFrame:
+def hourly_ticks(events: DataFrame, horizon: int, every: int = 3600, kind: str = TICK) -> DataFrame:
     """Explicit tick rows for a log: every ``every`` seconds from the first full
     period after a stream's first event through ``horizon``. A tick at second s
-    sorts after all events of that second."""
-    first = events.groupBy("stream_key").agg(F.min("t").alias("_t0"))
+    sorts after all events of that second, a flush after the tick."""
+    first = events.groupBy(KEY).agg(F.min("t").alias("_t0"))
     start = (F.col("_t0") - F.pmod(F.col("_t0"), F.lit(every)) + F.lit(every)).cast("long")
     stop = F.lit(horizon).cast("long")
     grid = F.when(start <= stop, F.sequence(start, stop, F.lit(every).cast("long"))).otherwise(
         F.array().cast("array<bigint>")
     )
-    ticks = first.select("stream_key", F.explode(grid).alias("t"))
+    ticks = first.select(KEY, F.explode(grid).alias("t"))
     return ticks.select(
-        "stream_key",
-        F.lit(2**62).cast("long").alias("seq"),
+        KEY,
+        F.lit(2**62 + (kind == FLUSH)).cast("long").alias("seq"),
         (F.col("t") * F.lit(1_000_000) + F.lit(999_999)).alias("ts_us"),
         "t",
-        F.lit("tick").alias("kind"),
+        F.lit(kind).alias("kind"),
         F.lit(None).cast("string").alias("app_id"),
         F.lit(None).cast("int").alias("workspace"),
     )
