@@ -28,6 +28,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sessionlake.llm import text as _  # how a worker keeps memory
+
 SPACE = "▁"
 #: Bytes of segments, ids and decoded texts that a task remembers; the memo starts anew when it is full.
 MEMO_BYTES = 96 << 20

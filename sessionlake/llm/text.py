@@ -14,9 +14,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
+
+def _lean(large: int = 2 << 20) -> None:
+    """Give the memory of arrays of ``large`` bytes back when they go: a Python worker outlives its tasks."""
+    import ctypes
+
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, large)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+_lean()
+
 #: A-Z to a-z, every other byte unchanged (UTF-8 continuation bytes are over 0x7F).
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
