@@ -1,21 +1,23 @@
 """Operator 7: toxicity by the nearest labelled examples.
 
-Examples and texts are TF-IDF vectors over a vocabulary of words and word beginnings whose
-presence speaks for the label: terms with the largest shares of labelled texts (by the lower end
-of a Wilson interval), down to the share at which most labelled examples hold one: labels may be
-noisy, and terms that explain the last few of them would mostly be chance. The nearest examples by exact cosine come from a
-block-max inverted index: examples lie in blocks, each term keeps its largest weight
-in each block, and blocks are opened in the order of their upper bounds until no unopened
-block can hold a nearer one. Votes weighted by nearness give a raw score, which leave-one-out
-scores of the examples calibrate (isotonic). The nearest examples are given as evidence.
+Examples and texts are TF-IDF vectors over all words and word beginnings of the examples. A term's
+inverse document frequency is raised by how surely its texts have the label: by the lower end of a
+Wilson interval of their share, as far as it is over the base rate. No term is left out. The nearest examples by
+exact cosine come from a block-max inverted index: examples lie in blocks, lists of rare terms are
+read whole, and of frequent terms each block keeps the largest weight; an example's frequent terms
+are read only if its rare terms and its block's bound together reach the nearest ones. Votes weighted
+by nearness give a raw score, which scores of the examples without their own votes calibrate
+(isotonic). The nearest examples are given as evidence.
 
 The examples are a bounded sample, of about `FIT_ROWS` labelled rows picked by a hash of the key;
 all texts are scored whole.
 
-Defined results: a text without any vocabulary term (empty and null texts too) has no
-neighbour and gets the label's share among such examples. Without labelled rows every score
-is 0. Several labels of a key count as the largest. A null key is held out. Equal
-cosines go to the earlier example by key. Repeated rows are scored as often as they come.
+Defined results: a text without any term of the examples (empty and null texts too) has no
+neighbour; it scores as examples without a term do, and without those like a text without votes
+for the label. Without labelled rows every score is 0. Several labels of a key count as the largest.
+A null key is held out. Equal cosines go to the earlier example by key. Repeated rows are scored as
+often as they come. Very long texts are read in runs and are one vector; empty tables give no rows; columns of other names are not
+read by `score` and pass through `without_toxic`.
 """
 
 from __future__ import annotations
@@ -32,17 +34,18 @@ from sessionlake.llm.lang_centroids import held_out
 from sessionlake.llm.text import LOWER, U64, prefix_hash, range_hash, runs, utf8, words
 
 FIT_ROWS = 20_000
-#: Vocabulary: terms at most; the lower end of their label's share must reach the larger of two.
-TERMS, LEAST_SHARE, TIMES_BASE, Z = 4096, 0.5, 2.0, 2.0
-#: Share of labelled examples that may be left without a term; no larger share is asked of terms than this.
-UNCOVERED, ENOUGH_SHARE = 0.3, 0.85
+#: How much a sure share of the label raises a term's weight, and the width of the share's interval.
+LIFT, Z = 4.0, 2.0
+#: Terms in more than this share of the examples are frequent: bounded by block first, read for few examples.
+FREQUENT = 1 / 4
 #: Byte lengths of the word beginnings that are terms beside the words themselves.
 BEGINNINGS = (4, 5)
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 30, 64
 #: A score from which a text is predicted to have the label.
 THRESHOLD = 0.7
-#: Weight of the base rate among the votes, and of nearness in a vote.
-PRIOR, NEAR_POWER = 0.25, 2.0
+#: Weight of the base rate among the votes, of nearness in a vote, and the nearness from which votes grow no more
+#: (a copy of an example is one witness among others, its label may be wrong).
+PRIOR, NEAR_POWER, NEAR_ENOUGH = 0.25, 2.0, 0.5
 
 #: ASCII letters lowered, digits and bytes of other letters as they are, anything else a separator.
 TOKENS = LOWER.copy()
@@ -66,7 +69,7 @@ def terms(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def vocabulary(examples: DataFrame, text: str, label: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """Term hashes in order, their document frequencies and shares, examples, labelled examples."""
+    """Term hashes in order, their document frequencies and labelled ones, examples, labelled examples."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = pos = 0
@@ -83,103 +86,121 @@ def vocabulary(examples: DataFrame, text: str, label: str) -> tuple[np.ndarray,
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([pos], pa.int64()), pa.array([n], pa.int64()), pa.array([True])], names=["term", "pos", "n", "total"])
 
     counted = examples.select(text, label).mapInArrow(count, "term bigint, pos bigint, n bigint, total boolean").groupBy("total", "term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    totals = None
-    counted = counted.persist()  # a row a term of the bounded sample; read twice
-    try:
-        totals = counted.filter("total").first()
-        if totals is None or not totals.n or not totals.pos:
-            return np.zeros(0, U64), np.zeros(0), np.zeros(0), 0 if totals is None else totals.n, 0
-        p, z2 = F.col("pos") / F.col("n"), Z * Z
-        low = (p + z2 / (2 * F.col("n")) - Z * F.sqrt(p * (1 - p) / F.col("n") + z2 / (4 * F.col("n") * F.col("n")))) / (1 + z2 / F.col("n"))
-        least = max(LEAST_SHARE, min(0.9, TIMES_BASE * totals.pos / totals.n))
-        best = counted.filter(~F.col("total")).withColumn("low", low).filter(F.col("low") >= least).orderBy(F.desc("low"), F.desc("n"), "term").limit(TERMS).collect()
-    finally:
-        counted.unpersist()
-    found = sorted((r.term % (1 << 64), r.n, r.low) for r in best)
-    hashes, df, share = ([x[i] for x in found] for i in range(3))
-    return np.array(hashes, U64), np.array(df, float), np.array(share, float), totals.n, totals.pos
-
-
-def least_share(examples: DataFrame, index: Index, share: np.ndarray, text: str, label: str) -> float:
-    """The share of the label that terms need so that most labelled examples still hold one."""
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = np.zeros(batch.num_rows)
-            for d, t, _ in index.vectors(batch.column(0)):
-                got[d] = share[t].max()
-            yield pa.RecordBatch.from_arrays([pa.array(got)], names=["best"])
+    rows = counted.toArrow()  # a row a term of the bounded sample
+    total, term, pos, n = (np.asarray(rows.column(c).combine_chunks()) for c in ("total", "term", "pos", "n"))
+    total = total.astype(bool)
+    order = np.argsort(term[~total].view(U64))
+    return term[~total].view(U64)[order], n[~total][order].astype(float), pos[~total][order].astype(float), int(n[total].sum()), int(pos[total].sum())
+
+
+def lift(df: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
+    """The factor of each term's weight: from 1 up, the more surely its texts have the label."""
+    p, z2 = pos / df, Z * Z
+    low = (p + z2 / (2 * df) - Z * np.sqrt(p * (1 - p) / df + z2 / (4 * df * df))) / (1 + z2 / df)
+    return 1 + LIFT * np.maximum(0, low - base)
+
 
-    rows = examples.filter(F.col(label) > 0).select(text).mapInArrow(best, "best double")
-    return min(ENOUGH_SHARE, rows.agg(F.expr(f"percentile(best, {UNCOVERED})")).first()[0] or 0.0)
+def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions of ranges [start, end) one after another, and the range that each is in."""
+    size = end - start
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) + np.repeat(start - (np.cumsum(size) - size), size), which
 
 
 class Index:
     """A block-max inverted index over the examples' unit vectors."""
 
-    def __init__(self, vocab: np.ndarray, df: np.ndarray, n_examples: int, base: float):
+    def __init__(self, vocab: np.ndarray, df: np.ndarray, n_examples: int, base: float, factor: np.ndarray | float = 1.0):
         self.vocab, self.base = vocab, base
-        self.idf = np.log((1 + n_examples) / (1 + df)) + 1
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(vocab & U64((1 << 20) - 1)).astype(np.int64)] = True
-        self.n, self.postings, self.block_max = 0, [], np.zeros((len(vocab), 0), np.float32)
-        self.label, self.key, self.curve = np.zeros(0), np.zeros(0, np.int64), None
-        self.no_term = base
+        self.idf = np.log((1 + n_examples) / (0.5 + df)) * factor  # over 0 for every term
+        self.n, self.label, self.key = 0, np.zeros(0), np.zeros(0, np.int64)
+        self.curve, self.no_term = None, base
+        self.room = np.empty(0, np.int64), np.empty(0)
 
     def vectors(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(document, terms, weights) of the documents that have a term; weights have length 1."""
+        if not len(self.vocab):
+            return
         for a, _, h, d in terms(texts):
-            maybe = np.flatnonzero(self.maybe[(h & U64((1 << 20) - 1)).astype(np.int64)])
-            h, d = h[maybe], d[maybe]
-            at = np.searchsorted(self.vocab, h)
-            sure = np.flatnonzero(self.vocab[np.minimum(at, len(self.vocab) - 1)] == h) if len(self.vocab) else np.zeros(0, np.int64)
-            cell, tf = np.unique(d[sure].astype(np.int64) * (len(self.vocab) + 1) + at[sure], return_counts=True)
-            doc, term = np.divmod(cell, len(self.vocab) + 1)
-            cuts = np.flatnonzero(np.diff(doc)) + 1
-            for t, f, x in zip(np.split(term, cuts), np.split(tf, cuts), np.split(doc, cuts), strict=True):
-                if len(t):
-                    w = (1 + np.log(f)) * self.idf[t]
-                    yield a + int(x[0]), t, w / np.sqrt((w * w).sum())
-
-    def build(self, keys: list, labels: list, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Take the examples' vectors, in order of the key."""
+            h, back = np.unique(h, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
+            at = np.where(self.vocab[at] == h, at, -1)[back]
+            sure = np.flatnonzero(at >= 0)
+            cell, tf = np.unique(d[sure].astype(np.int64) * len(self.vocab) + at[sure], return_counts=True)
+            doc, term = np.divmod(cell, len(self.vocab))
+            weight = (1 + np.log(tf)) * self.idf[term]
+            edge = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
+            for i, j in zip(edge[:-1], edge[1:], strict=True):
+                w = weight[i:j]
+                yield a + int(doc[i]), term[i:j], w / np.sqrt((w * w).sum())
+
+    def build(self, keys: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Take the examples' vectors; neighbours in the order given share blocks."""
         self.key, self.label, self.n = np.array(keys, np.int64), np.array(labels, float), len(rows)
-        blocks = -(-self.n // BLOCK)
-        doc = np.concatenate([np.full(len(t), i) for i, (t, _) in enumerate(rows)]) if rows else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in rows]) if rows else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        self.block_max = np.zeros((len(self.vocab), blocks), np.float64)
-        np.maximum.at(self.block_max, (term, doc // BLOCK), weight)
-        order = np.lexsort((doc, term))
+        self.rank = np.empty(self.n, np.int64)
+        self.rank[np.argsort(self.key, kind="stable")] = np.arange(self.n)
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in rows])
+        term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)]).astype(np.int32)
+        weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
+        held = np.bincount(term, minlength=len(self.vocab))
+        self.slot = np.full(len(self.vocab), -1, np.int32)  # of frequent terms
+        often = np.flatnonzero(held > FREQUENT * self.n)
+        self.slot[often] = np.arange(len(often))
+        there = self.slot[term] >= 0
+        # frequent terms: the largest weight of each block, and lists by example
+        self.block_max = np.zeros((len(often), -(-self.n // BLOCK)))
+        np.maximum.at(self.block_max, (self.slot[term[there]], doc[there] // BLOCK), weight[there])
+        self.own_term, self.own_weight = self.slot[term[there]], weight[there]
+        self.own_first = np.searchsorted(doc[there], np.arange(self.n + 1))
+        self.own_norm = np.sqrt(np.bincount(doc[there], self.own_weight**2, minlength=self.n))
+        # rare terms: lists by term
+        doc, term, weight = doc[~there], term[~there], weight[~there]
+        order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        cell = term[order] * max(1, blocks) + self.doc // BLOCK
-        self.first = np.searchsorted(cell, np.arange(len(self.vocab) * max(1, blocks) + 1))
+        self.first = np.searchsorted(term[order], np.arange(len(self.vocab) + 1))
 
-    def nearest(self, t: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest examples and their cosines, all that share a term if there are fewer."""
-        blocks = self.block_max.shape[1]
-        if not blocks:
+    def exact(self, which: np.ndarray, part: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Cosines of some examples: what the rare terms gave, and the frequent ones."""
+        at, of = spans(self.own_first[which], self.own_first[which + 1])
+        return part[which] + np.bincount(of, query[self.own_term[at]] * self.own_weight[at], minlength=len(which))
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest examples and their cosines, all that share a term if there are fewer; none of key ``without``."""
+        if not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.block_max[t]
-        docs, sims, kth = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(docs) >= NEIGHBOURS and bound[b] < kth - 1e-12:
-                break
-            got = np.zeros(BLOCK)
-            for x, q in zip(t, w, strict=True):
-                i, j = self.first[x * blocks + b], self.first[x * blocks + b + 1]
-                got[self.doc[i:j] - b * BLOCK] += q * self.weight[i:j]
-            if without // BLOCK == b and without >= 0:
-                got[without % BLOCK] = 0
-            at = np.flatnonzero(got > 0)
-            docs, sims = np.append(docs, at + b * BLOCK), np.append(sims, got[at])
-            best = np.lexsort((docs, -np.round(sims, 12)))[:NEIGHBOURS]
-            docs, sims = docs[best], sims[best]
-            kth = sims[-1] if len(sims) >= NEIGHBOURS else 0.0
-        return docs, sims
+        often = self.slot[t] >= 0
+        rare = t[~often]
+        start, end = self.first[rare], self.first[rare + 1]
+        size = int((end - start).sum())
+        if size > len(self.room[0]):  # kept for the next texts
+            self.room = np.empty(size, np.int64), np.empty(size)
+        part, (at, by) = np.zeros(self.n), (r[:size] for r in self.room)
+        if size:
+            lists = list(zip(start.tolist(), end.tolist(), strict=True))
+            np.concatenate([self.doc[i:j] for i, j in lists], out=at)
+            np.concatenate([self.weight[i:j] for i, j in lists], out=by)
+            by *= np.repeat(w[~often], end - start)
+            part = np.bincount(at, by, minlength=self.n)
+        slot, query = self.slot[t[often]], np.zeros(len(self.block_max))
+        query[slot] = w[often]
+        most = np.repeat(w[often] @ self.block_max[slot], BLOCK)[: self.n]
+        bound = part + np.minimum(most, self.own_norm * np.sqrt((query * query).sum()))
+        if without is not None:
+            bound[self.key == without] = 0
+        kth = 0.0
+        if self.n > 2 * NEIGHBOURS:  # the likeliest ones first: what the others have to reach
+            first = np.argpartition(bound, -2 * NEIGHBOURS)[-2 * NEIGHBOURS :]
+            first = first[bound[first] > 0]
+            sims = self.exact(first, part, query)
+            kth = np.partition(sims, -NEIGHBOURS)[-NEIGHBOURS] if len(sims) >= NEIGHBOURS else 0.0
+        docs = np.flatnonzero((bound > 0) & (bound >= kth - 1e-9))
+        sims = self.exact(docs, part, query)
+        docs, sims = docs[sims > 0], sims[sims > 0]
+        best = np.lexsort((self.rank[docs], -np.round(sims, 12)))[:NEIGHBOURS]
+        return docs[best], sims[best]
 
     def raw(self, docs: np.ndarray, sims: np.ndarray) -> float:
-        v = sims**NEAR_POWER
+        v = np.minimum(sims, NEAR_ENOUGH) ** NEAR_POWER
         return float((v @ self.label[docs] + PRIOR * self.base) / (v.sum() + PRIOR))
 
     def calibrate(self, scores: np.ndarray, y: np.ndarray) -> None:
@@ -194,43 +215,54 @@ class Index:
         if pools:
             self.curve = np.array([p[2] for p in pools]), np.array([(p[0] + 0.1 * self.base) / (p[1] + 0.1) for p in pools])
 
+    def calibrated(self, raw: float) -> float:
+        return raw if self.curve is None else float(np.interp(raw, *self.curve))
+
     def score(self, docs: np.ndarray, sims: np.ndarray) -> float:
-        if not len(docs):
-            return self.no_term
-        r = self.raw(docs, sims)
-        if self.curve is None:
-            return r
-        return float(np.interp(r, *self.curve))
+        return self.calibrated(self.raw(docs, sims)) if len(docs) else self.no_term
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> Index:
     """Learn from labelled documents that aren't held out (``labels`` has one row a key at most)."""
-    n = labels.count()
+    spark, n = docs.sparkSession, labels.count()
     few = labels.filter(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << 20)) < int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 20)))
-    path = storage_root(docs.sparkSession, "toxic-examples")
+    path = storage_root(spark, "toxic-examples")
     docs.select(key, text).join(F.broadcast(few), key).write.parquet(path)  # about FIT_ROWS pairs of numbers
-    examples = docs.sparkSession.read.parquet(path)
-    vocab, df, share, total, positive = vocabulary(examples, text, label)
+    examples = spark.read.parquet(path)
+    vocab, df, pos, total, positive = vocabulary(examples, text, label)
     base = positive / total if total else 0.0
-    if not len(vocab):
-        return Index(vocab, df, total, base)
-    sure = share >= least_share(examples, Index(vocab, df, total, base), share, text, label)
-    index = Index(vocab[sure], df[sure], total, base)
+    if not positive or not len(vocab):
+        return Index(np.zeros(0, U64), np.zeros(0), total, base)
+    index = Index(vocab, df, total, base, lift(df, pos, base))
+    empty = spark.sparkContext.broadcast(index)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {d: (t, w) for d, t, w in index.vectors(batch.column(1))}
-            none = (np.zeros(0, np.int64), np.zeros(0))
-            both = [rows.get(i, none) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int64()), pa.array([t.astype(np.int64) for t, _ in both], pa.list_(pa.int64())), pa.array([w for _, w in both], pa.list_(pa.float64()))], names=["key", "label", "terms", "weights"])
-
-    made = examples.select(key, text, label).mapInArrow(vectors, "key bigint, label bigint, terms array<bigint>, weights array<double>")
-    plain = made.filter(F.size("terms") == 0).agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
-    index.no_term = ((plain.pos or 0) + 0.5 * index.base) / (plain.n + 0.5)
-    rows = sorted(made.filter(F.size("terms") > 0).collect(), key=lambda r: (r.key, r.terms, r.weights))  # a part of the bounded sample
-    index.build([r.key for r in rows], [r.label for r in rows], [(np.array(r.terms), np.array(r.weights)) for r in rows])
-    loo = [index.nearest(np.array(r.terms), np.array(r.weights), i) for i, r in enumerate(rows)]
-    index.calibrate(np.array([index.raw(d, s) for d, s in loo]), index.label)
+            rows = {d: (t.astype(np.int32).tobytes(), w.tobytes()) for d, t, w in empty.value.vectors(batch.column(1))}
+            both = [rows.get(i, (b"", b"")) for i in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), pa.array([t for t, _ in both], pa.binary()), pa.array([w for _, w in both], pa.binary())], names=["key", "label", "terms", "weights"])
+
+    path = storage_root(spark, "toxic-vectors")
+    examples.select(key, text, label).mapInArrow(vectors, "key bigint, label bigint, terms binary, weights binary").write.parquet(path)
+    made = spark.read.parquet(path)
+    rows = made.filter(F.length("terms") > 0).toArrow()  # vectors of the bounded sample
+    got = [(k, y, np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(w.as_buffer())) for k, y, t, w in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), rows.column(3), strict=True)]
+    got.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[0], r[1], r[3].tobytes()))  # like examples lie together
+    index.build([r[0] for r in got], [r[1] for r in got], [r[2:] for r in got])
+    del rows, got
+    whole = spark.sparkContext.broadcast(index)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [whole.value.nearest(np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(w.as_buffer()), k) for k, t, w in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([whole.value.raw(d, s) for d, s in found], pa.float64()), batch.column(1)], names=["raw", "label"])
+
+    loo = made.filter(F.length("terms") > 0).repartition(spark.sparkContext.defaultParallelism).mapInArrow(others, "raw double, label bigint").orderBy("raw", "label").toArrow()
+    index.calibrate(np.asarray(loo.column(0).combine_chunks()), np.asarray(loo.column(1).combine_chunks()))
+    plain = made.filter(F.length("terms") == 0).agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
+    index.no_term = ((plain.pos or 0) + 0.5 * index.calibrated(0.0)) / (plain.n + 0.5)
+    empty.destroy()
+    whole.destroy()
     return index
 
 

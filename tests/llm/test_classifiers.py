@@ -1,7 +1,10 @@
 """Operators 4 and 7: held-out accuracy, exact neighbours, and the edges of their input."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -108,3 +111,83 @@ def test_block_max_search_is_exact():
 def test_terms_see_beginnings():
     (_, _, h, d), = tox.terms(pa.array(["Loweix", None, "loweiyy"]))
     assert len(set(h[d == 0]) & set(h[d == 2])) == 2
+
+
+def brute_terms(text):
+    found = Counter()
+    for word in re.findall(r"[0-9a-z\x80-\xff]+", (text or "").lower().encode().decode("latin1")):
+        found[word] += 1
+        for n in tox.BEGINNINGS:
+            if len(word) > n:
+                found[word[:n], n] += 1
+    return found
+
+
+def brute_toxicity(rows, labels):
+    """Scores and evidence by dictionaries: cosines with every example, best pooled shares by all ranges."""
+    y = {k: v for k, v in labels if not held(k, 3, 1)}
+    examples = sorted((k, brute_terms(t)) for k, t in rows if k in y)
+    n, base = len(examples), sum(y[k] for k, _ in examples) / len(examples)
+    df, pos = Counter(), Counter()
+    for k, terms in examples:
+        df.update(terms.keys())
+        pos.update(dict.fromkeys(terms, y[k]))
+
+    def weight(term):
+        p, z2 = pos[term] / df[term], tox.Z**2
+        low = (p + z2 / (2 * df[term]) - tox.Z * math.sqrt(p * (1 - p) / df[term] + z2 / (4 * df[term] ** 2))) / (1 + z2 / df[term])
+        return math.log((1 + n) / (0.5 + df[term])) * (1 + tox.LIFT * max(0, low - base))
+
+    def vector(terms):
+        v = {t: (1 + math.log(c)) * weight(t) for t, c in terms.items() if df[t]}
+        length = math.sqrt(sum(w * w for w in v.values()))
+        return {t: w / length for t, w in v.items()}
+
+    vectors = {k: vector(terms) for k, terms in examples}
+
+    def nearest(v, but=None):
+        sims = ((sum(w * e.get(t, 0) for t, w in v.items()), k) for k, e in vectors.items() if k != but)
+        return sorted(((-round(s, 12), k) for s, k in sims if s > 0))[: tox.NEIGHBOURS]
+
+    def raw(found):
+        votes = [(min(-s, tox.NEAR_ENOUGH) ** tox.NEAR_POWER, y[k]) for s, k in found]
+        return (sum(v * b for v, b in votes) + tox.PRIOR * base) / (sum(v for v, _ in votes) + tox.PRIOR)
+
+    others = sorted((raw(nearest(v, k)), y[k]) for k, v in vectors.items() if v)
+    sums = np.cumsum([0] + [b for _, b in others])
+    share = lambda a, b: (sums[b] - sums[a]) / (b - a)
+    fitted = [round(max(min(share(a, b) for b in range(i + 1, len(others) + 1)) for a in range(i + 1)), 9) for i in range(len(others))]
+    xs, ys = [], []
+    for value in sorted(set(fitted)):
+        at = [i for i, f in enumerate(fitted) if f == value]
+        xs.append(others[at[-1]][0])
+        ys.append((sums[at[-1] + 1] - sums[at[0]] + 0.1 * base) / (len(at) + 0.1))
+    bare = [y[k] for k, v in vectors.items() if not v]
+    out = []
+    for k, text in rows:
+        found = nearest(vector(brute_terms(text)))
+        empty = (sum(bare) + 0.5 * np.interp(0, xs, ys)) / (len(bare) + 0.5)
+        out.append((k, float(np.interp(raw(found), xs, ys)) if found else empty, [key for _, key in found]))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0.0, 0.1, 1.0])
+def test_toxicity_same_as_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(tox, "FREQUENT", frequent)
+    rows, labels = toxic_rows(220, 8)
+    rows += [(1000, "Éblast zorg été " * 3), (1001, ""), (1002, "qqq"), (1003, None), (1004, ""), (1005, rows[3][1]), (1006, rows[3][1])]
+    labels += [(1001, 0), (1004, 0), (1005, 1), (1006, 0)]
+    df = spark.createDataFrame([(t, k, 0.5, "x") for k, t in rows], "text string, doc_id long, score double, key string")
+    got = tox.score(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    want = {k: (s, e) for k, s, e in brute_toxicity(rows, labels)}
+    assert got.columns == ["doc_id", "held_out", "score", "predicted", "evidence"]
+    found = {r.doc_id: r for r in got.collect()}
+    assert found.keys() == want.keys()
+    for k, (s, e) in want.items():
+        assert found[k].score == pytest.approx(s, abs=1e-6) and found[k].evidence == e, k
+
+
+def test_every_text_with_a_known_word_has_neighbours(spark):
+    rows, labels = toxic_rows(150, 4)
+    got = tox.score(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert all(r.evidence for r in got.collect())
