@@ -23,9 +23,11 @@ read by `score` and pass through `without_toxic`.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +79,11 @@ def vocabulary(examples: DataFrame, text: str, label: str) -> tuple[np.ndarray,
             y = np.asarray(batch.column(1)).astype(np.int64)
             n, pos = n + len(y), pos + int(y.sum())
             for a, _, h, d in terms(batch.column(0)):
-                pair = np.unique(np.stack([h, d.astype(U64)]), axis=1) if len(h) else np.zeros((2, 0), U64)
-                h, first = np.unique(pair[0], return_index=True)
                 if len(h):
-                    hits = y[a + pair[1].astype(np.int64)]
-                    a_, b_ = np.add.reduceat(hits, first), np.diff(np.append(first, len(hits)))
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(a_, pa.int64()), pa.array(b_, pa.int64()), pa.array(np.zeros(len(h), bool))], names=["term", "pos", "n", "total"])
+                    h, back = np.unique(h, return_inverse=True)
+                    doc, col = np.divmod(np.unique(d.astype(np.int64) * len(h) + back), len(h))
+                    hits, held = (np.bincount(col, x, len(h)).astype(np.int64) for x in (y[a + doc], None))
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(hits), pa.array(held), pa.array(np.zeros(len(h), bool))], names=["term", "pos", "n", "total"])
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([pos], pa.int64()), pa.array([n], pa.int64()), pa.array([True])], names=["term", "pos", "n", "total"])
 
     counted = examples.select(text, label).mapInArrow(count, "term bigint, pos bigint, n bigint, total boolean").groupBy("total", "term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
@@ -114,11 +115,10 @@ class Index:
         self.vocab, self.base = vocab, base
         self.idf = np.log((1 + n_examples) / (0.5 + df)) * factor  # over 0 for every term
         self.n, self.label, self.key = 0, np.zeros(0), np.zeros(0, np.int64)
-        self.curve, self.no_term = None, base
-        self.room = np.empty(0, np.int64), np.empty(0)
+        self.room = np.empty(0, np.int64)
 
-    def vectors(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(document, terms, weights) of the documents that have a term; weights have length 1."""
+    def counts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(document, terms, their counts) of the documents that have a term."""
         if not len(self.vocab):
             return
         for a, _, h, d in terms(texts):
@@ -128,63 +128,97 @@ class Index:
             sure = np.flatnonzero(at >= 0)
             cell, tf = np.unique(d[sure].astype(np.int64) * len(self.vocab) + at[sure], return_counts=True)
             doc, term = np.divmod(cell, len(self.vocab))
-            weight = (1 + np.log(tf)) * self.idf[term]
             edge = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
             for i, j in zip(edge[:-1], edge[1:], strict=True):
-                w = weight[i:j]
-                yield a + int(doc[i]), term[i:j], w / np.sqrt((w * w).sum())
+                yield a + int(doc[i]), term[i:j], tf[i:j]
+
+    def weigh(self, t: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, float]:
+        """The weights of a document's terms, of length 1, and the length before."""
+        w = (1 + np.log(tf)) * self.idf[t]
+        length = float(np.sqrt((w * w).sum()))
+        return w / length, length
+
+    def vectors(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(document, terms, weights) of the documents that have a term; weights have length 1."""
+        for i, t, tf in self.counts(texts):
+            yield i, t, self.weigh(t, tf)[0]
 
-    def build(self, keys: np.ndarray, labels: np.ndarray, rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def build(self, keys: list[int], labels: list[int], rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
         """Take the examples' vectors; neighbours in the order given share blocks."""
-        self.key, self.label, self.n = np.array(keys, np.int64), np.array(labels, float), len(rows)
+        term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)], dtype=np.int32)
+        level = np.concatenate([np.zeros(0), *(w for _, w in rows)]) / self.idf[term]
+        self.fill(keys, labels, np.array([len(t) for t, _ in rows], np.int64), np.ones(len(rows)), term, np.arange(len(term)), level)
+
+    def fill(self, keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, term: np.ndarray, more: np.ndarray, level: np.ndarray) -> None:
+        """`build` with the vectors' terms end to end. A weight is the term's idf, over the vector's length, times a level: at ``more``
+        as given, elsewhere 1 (the term stands once there), which needs no place in a list."""
+        self.key, self.label, self.n, self.times = np.array(keys, np.int64), np.array(labels, float), len(sizes), 1 / lengths
         self.rank = np.empty(self.n, np.int64)
         self.rank[np.argsort(self.key, kind="stable")] = np.arange(self.n)
-        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in rows])
-        term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)]).astype(np.int32)
-        weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
+        doc = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(self.n)), sizes)
         held = np.bincount(term, minlength=len(self.vocab))
         self.slot = np.full(len(self.vocab), -1, np.int32)  # of frequent terms
         often = np.flatnonzero(held > FREQUENT * self.n)
         self.slot[often] = np.arange(len(often))
-        there = self.slot[term] >= 0
         # frequent terms: the largest weight of each block, and lists by example
+        there = np.flatnonzero(self.slot[term] >= 0)
+        self.own_term, self.own_level = self.slot[term[there]], np.ones(len(there))
+        at = np.searchsorted(there, more)
+        known = np.flatnonzero(there[np.minimum(at, len(there) - 1)] == more) if len(there) else at[:0]
+        self.own_level[at[known]] = level[known]
+        weight = self.own_level * self.idf[term[there]] * self.times[doc[there]]
         self.block_max = np.zeros((len(often), -(-self.n // BLOCK)))
-        np.maximum.at(self.block_max, (self.slot[term[there]], doc[there] // BLOCK), weight[there])
-        self.own_term, self.own_weight = self.slot[term[there]], weight[there]
+        np.maximum.at(self.block_max, (self.own_term, doc[there] // BLOCK), weight)
         self.own_first = np.searchsorted(doc[there], np.arange(self.n + 1))
-        self.own_norm = np.sqrt(np.bincount(doc[there], self.own_weight**2, minlength=self.n))
-        # rare terms: lists by term
-        doc, term, weight = doc[~there], term[~there], weight[~there]
-        order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(self.vocab) + 1))
+        self.own_norm = np.sqrt(np.bincount(doc[there], weight**2, minlength=self.n))
+        # rare terms: lists by term, of all examples and of the levels over 1
+        often = self.slot >= 0
+        rare = more[~often[term[more]]]
+        by_term = np.argsort(term[rare], kind="stable")
+        self.more_first, self.more_doc = self.starts(term[rare]), doc[rare][by_term]
+        self.more_level = level[~often[term[more]]][by_term] - 1
+        rare = ~often[term]
+        term, doc = term[rare], doc[rare]
+        self.first = self.starts(term)
+        self.doc = doc[np.argsort(term, kind="stable")]
+
+    def starts(self, term: np.ndarray) -> np.ndarray:
+        return np.append(0, np.cumsum(np.bincount(term, minlength=len(self.vocab))))
 
     def exact(self, which: np.ndarray, part: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Cosines of some examples: what the rare terms gave, and the frequent ones."""
         at, of = spans(self.own_first[which], self.own_first[which + 1])
-        return part[which] + np.bincount(of, query[self.own_term[at]] * self.own_weight[at], minlength=len(which))
+        return part[which] + self.times[which] * np.bincount(of, query[self.own_term[at]] * self.own_level[at], minlength=len(which))
+
+    def read(self, first: np.ndarray, doc: np.ndarray, rare: np.ndarray, times: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
+        """For each example the sum of ``times``, by the levels if given, over the rare terms in whose lists it is."""
+        start, end = first[rare], first[rare + 1]
+        size = int((end - start).sum())
+        if not size:
+            return np.zeros(self.n)
+        if size > len(self.room):  # kept for the next texts
+            self.room = np.empty(size, np.int64)
+        lists, at = list(zip(start.tolist(), end.tolist(), strict=True)), self.room[:size]
+        np.concatenate([doc[i:j] for i, j in lists], out=at)
+        by = np.repeat(times, end - start)
+        if level is not None:
+            by *= np.concatenate([level[i:j] for i, j in lists])
+        return np.bincount(at, by, minlength=self.n)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples and their cosines, all that share a term if there are fewer; none of key ``without``."""
         if not self.n:
             return np.zeros(0, np.int64), np.zeros(0)
         often = self.slot[t] >= 0
-        rare = t[~often]
-        start, end = self.first[rare], self.first[rare + 1]
-        size = int((end - start).sum())
-        if size > len(self.room[0]):  # kept for the next texts
-            self.room = np.empty(size, np.int64), np.empty(size)
-        part, (at, by) = np.zeros(self.n), (r[:size] for r in self.room)
-        if size:
-            lists = list(zip(start.tolist(), end.tolist(), strict=True))
-            np.concatenate([self.doc[i:j] for i, j in lists], out=at)
-            np.concatenate([self.weight[i:j] for i, j in lists], out=by)
-            by *= np.repeat(w[~often], end - start)
-            part = np.bincount(at, by, minlength=self.n)
+        rare, times = t[~often], w[~often] * self.idf[t[~often]]
+        part = self.read(self.first, self.doc, rare, times)
+        if len(self.more_doc):
+            part = part + self.read(self.more_first, self.more_doc, rare, times, self.more_level)
+        part = part * self.times
         slot, query = self.slot[t[often]], np.zeros(len(self.block_max))
-        query[slot] = w[often]
+        query[slot] = w[often] * self.idf[t[often]]
         most = np.repeat(w[often] @ self.block_max[slot], BLOCK)[: self.n]
-        bound = part + np.minimum(most, self.own_norm * np.sqrt((query * query).sum()))
+        bound = part + np.minimum(most, self.own_norm * np.sqrt((w[often] ** 2).sum()))
         if without is not None:
             bound[self.key == without] = 0
         kth = 0.0
@@ -203,26 +237,31 @@ class Index:
         v = np.minimum(sims, NEAR_ENOUGH) ** NEAR_POWER
         return float((v @ self.label[docs] + PRIOR * self.base) / (v.sum() + PRIOR))
 
-    def calibrate(self, scores: np.ndarray, y: np.ndarray) -> None:
-        """Isotonic regression by pooling neighbours, smoothed towards the middle of few rows."""
-        pools: list[list[float]] = []
-        order = np.argsort(scores, kind="stable")
-        for s, v in zip(scores[order], y[order], strict=True):
-            pools.append([v, 1, s])
-            while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-                v2, n2, s2 = pools.pop()
-                pools[-1] = [pools[-1][0] + v2, pools[-1][1] + n2, s2]
-        if pools:
-            self.curve = np.array([p[2] for p in pools]), np.array([(p[0] + 0.1 * self.base) / (p[1] + 0.1) for p in pools])
-
-    def calibrated(self, raw: float) -> float:
+
+@dataclass
+class Scores:
+    """From votes to scores: the curve (raw scores, shares of the label) and the score of texts without a term."""
+
+    curve: tuple[np.ndarray, np.ndarray] | None
+    no_term: float
+
+    def of(self, raw: float) -> float:
         return raw if self.curve is None else float(np.interp(raw, *self.curve))
 
-    def score(self, docs: np.ndarray, sims: np.ndarray) -> float:
-        return self.calibrated(self.raw(docs, sims)) if len(docs) else self.no_term
 
+def calibrate(scores: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Isotonic regression by pooling neighbours, smoothed towards the middle of few rows."""
+    pools: list[list[float]] = []
+    order = np.argsort(scores, kind="stable")
+    for s, v in zip(scores[order], y[order], strict=True):
+        pools.append([v, 1, s])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            v2, n2, s2 = pools.pop()
+            pools[-1] = [pools[-1][0] + v2, pools[-1][1] + n2, s2]
+    return (np.array([p[2] for p in pools]), np.array([(p[0] + 0.1 * base) / (p[1] + 0.1) for p in pools])) if pools else None
 
-def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> Index:
+
+def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[Broadcast, Scores]:
     """Learn from labelled documents that aren't held out (``labels`` has one row a key at most)."""
     spark, n = docs.sparkSession, labels.count()
     few = labels.filter(F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << 20)) < int(min(1.0, FIT_ROWS / max(1, n)) * (1 << 20)))
@@ -232,64 +271,87 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) ->
     vocab, df, pos, total, positive = vocabulary(examples, text, label)
     base = positive / total if total else 0.0
     if not positive or not len(vocab):
-        return Index(np.zeros(0, U64), np.zeros(0), total, base)
+        return spark.sparkContext.broadcast(Index(np.zeros(0, U64), np.zeros(0), total, base)), Scores(None, base)
     index = Index(vocab, df, total, base, lift(df, pos, base))
-    empty = spark.sparkContext.broadcast(index)
+    del vocab, df, pos
+    words_only = spark.sparkContext.broadcast(index)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = words_only.value
         for batch in batches:
-            rows = {d: (t.astype(np.int32).tobytes(), w.tobytes()) for d, t, w in empty.value.vectors(batch.column(1))}
-            both = [rows.get(i, (b"", b"")) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), pa.array([t for t, _ in both], pa.binary()), pa.array([w for _, w in both], pa.binary())], names=["key", "label", "terms", "weights"])
+            rows = dict.fromkeys(range(batch.num_rows), (-1, 0.0, b"", b"", b""))
+            for i, t, tf in near.counts(batch.column(1)):
+                w, length = near.weigh(t, tf)
+                more = np.flatnonzero(tf > 1)
+                rows[i] = (int(t[np.argmax(w)]), length, t.astype(np.int32).tobytes(), more.astype(np.int32).tobytes(), tf[more].astype(np.int32).tobytes())
+            cells = [pa.array([r[i] for r in rows.values()], kind) for i, kind in enumerate((pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int64()), *cells], names=["key", "label", "top", "length", "terms", "more", "tf"])
 
     path = storage_root(spark, "toxic-vectors")
-    examples.select(key, text, label).mapInArrow(vectors, "key bigint, label bigint, terms binary, weights binary").write.parquet(path)
+    examples.select(key, text, label).mapInArrow(vectors, "key bigint, label bigint, top bigint, length double, terms binary, more binary, tf binary").write.parquet(path)
+    words_only.destroy()
     made = spark.read.parquet(path)
-    rows = made.filter(F.length("terms") > 0).toArrow()  # vectors of the bounded sample
-    got = [(k, y, np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(w.as_buffer())) for k, y, t, w in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), rows.column(3), strict=True)]
-    got.sort(key=lambda r: (int(r[2][np.argmax(r[3])]), r[0], r[1], r[3].tobytes()))  # like examples lie together
-    index.build([r[0] for r in got], [r[1] for r in got], [r[2:] for r in got])
-    del rows, got
-    whole = spark.sparkContext.broadcast(index)
+    plain = made.filter("top < 0").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
+    made = made.filter("top >= 0")
+    rows = made.toArrow()  # the bounded sample's vectors
+    key_, label_, top, lengths = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "label", "top", "length"))
+    order = np.lexsort((key_, top))  # like examples lie together
+
+    def end_to_end(column: str) -> tuple[np.ndarray, np.ndarray]:
+        cells = [x.as_buffer() for x in rows.column(column)]
+        return np.frombuffer(b"".join(cells[i] for i in order), np.int32), np.array([len(cells[i]) // 4 for i in order], np.int64)
+
+    (term, sizes), (more, n_more), (tf, _) = (end_to_end(c) for c in ("terms", "more", "tf"))
+    del rows
+    more = more + np.repeat(np.cumsum(sizes) - sizes, n_more)
+    index.fill(key_[order], label_[order], sizes, lengths[order], term, more, 1 + np.log(tf))
+    del term, more, tf
+    shared = spark.sparkContext.broadcast(index)  # about FIT_ROWS vectors
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near = shared.value
         for batch in batches:
-            found = [whole.value.nearest(np.frombuffer(t.as_buffer(), np.int32), np.frombuffer(w.as_buffer()), k) for k, t, w in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([whole.value.raw(d, s) for d, s in found], pa.float64()), batch.column(1)], names=["raw", "label"])
-
-    loo = made.filter(F.length("terms") > 0).repartition(spark.sparkContext.defaultParallelism).mapInArrow(others, "raw double, label bigint").orderBy("raw", "label").toArrow()
-    index.calibrate(np.asarray(loo.column(0).combine_chunks()), np.asarray(loo.column(1).combine_chunks()))
-    plain = made.filter(F.length("terms") == 0).agg(F.count("*").alias("n"), F.sum("label").alias("pos")).first()
-    index.no_term = ((plain.pos or 0) + 0.5 * index.calibrated(0.0)) / (plain.n + 0.5)
-    empty.destroy()
-    whole.destroy()
-    return index
-
-
-def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, modulus: int, rest: int) -> Index:
-    """The index of the labelled documents that aren't held out."""
+            raws = []
+            for k, *cells in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in ("terms", "more", "tf")), strict=True):
+                t, more, tf = (np.frombuffer(c.as_buffer(), np.int32) for c in cells)
+                counts = np.ones(len(t))
+                counts[more] = tf
+                raws.append(near.raw(*near.nearest(t, near.weigh(t, counts)[0], k)))
+            yield pa.RecordBatch.from_arrays([pa.array(raws, pa.float64()), batch.column(1)], names=["raw", "label"])
+
+    loo = made.select("key", "label", "terms", "more", "tf").mapInArrow(others, "raw double, label bigint").toArrow()
+    raw, y = (np.asarray(loo.column(c).combine_chunks()) for c in ("raw", "label"))
+    order = np.lexsort((y, raw))
+    scores = Scores(calibrate(raw[order], y[order], base), base)
+    scores.no_term = ((plain.pos or 0) + 0.5 * scores.of(0.0)) / (plain.n + 0.5)
+    return shared, scores
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, modulus: int, rest: int) -> tuple[Broadcast, Scores]:
+    """The index and scores of the labelled documents that aren't held out."""
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias(label))
     return fit(docs, known.filter(~held_out(key, modulus, rest)), key, text, label)
 
 
-def score_batch(index: Index, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
+def score_batch(index: Index, scores: Scores, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
     """Scores from 0 to 1, and the keys of the nearest examples."""
-    s, why = np.full(len(texts), index.no_term), [[]] * len(texts)
+    s, why = np.full(len(texts), scores.no_term), [[]] * len(texts)
     for i, t, w in index.vectors(texts):
-        docs_, sims = index.nearest(t, w)
-        s[i], why[i] = index.score(docs_, sims), index.key[docs_].tolist()
+        found, sims = index.nearest(t, w)
+        if len(found):
+            s[i], why[i] = scores.of(index.raw(found, sims)), index.key[found].tolist()
     return np.clip(s, 0, 1), why
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, rest: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """Per document: key, held_out, score, predicted, evidence (keys of the nearest examples)."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label, modulus, rest))  # at most about FIT_ROWS short vectors
+    shared, scores = learn(docs, labels, key, text, label, modulus, rest)
     rows = docs.select(key, held_out(key, modulus, rest).alias("held_out"), text)
     kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s, why = score_batch(shared.value, batch.column(2))
+            s, why = score_batch(shared.value, scores, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, pa.list_(pa.int64()))], names=[key, "held_out", "score", "predicted", "evidence"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int, evidence array<bigint>")
@@ -297,10 +359,10 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, rest: int = 1, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all columns, that score under the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, key, text, label, modulus, rest))
+    shared, scores = learn(docs, labels, key, text, label, modulus, rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(score_batch(shared.value, batch.column(text))[0] < threshold))
+            yield batch.filter(pa.array(score_batch(shared.value, scores, batch.column(text))[0] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
