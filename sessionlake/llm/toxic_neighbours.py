@@ -254,11 +254,12 @@ def calibrate(scores: np.ndarray, y: np.ndarray, base: float) -> tuple[np.ndarra
     pools: list[list[float]] = []
     order = np.argsort(scores, kind="stable")
     for s, v in zip(scores[order], y[order], strict=True):
-        pools.append([v, 1, s])
+        pools.append([v, 1, s, s])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
-            v2, n2, s2 = pools.pop()
-            pools[-1] = [pools[-1][0] + v2, pools[-1][1] + n2, s2]
-    return (np.array([p[2] for p in pools]), np.array([(p[0] + 0.1 * base) / (p[1] + 0.1) for p in pools])) if pools else None
+            v2, n2, _, last = pools.pop()
+            pools[-1] = [pools[-1][0] + v2, pools[-1][1] + n2, pools[-1][2], last]
+    ends = np.array([p[2:] for p in pools]).reshape(-1)  # a pool holds from its first score to its last
+    return (ends, np.repeat([(p[0] + 0.1 * base) / (p[1] + 0.1) for p in pools], 2)) if pools else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[Broadcast, Scores]:

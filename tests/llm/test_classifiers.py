@@ -160,8 +160,8 @@ def brute_toxicity(rows, labels):
     xs, ys = [], []
     for value in sorted(set(fitted)):
         at = [i for i, f in enumerate(fitted) if f == value]
-        xs.append(others[at[-1]][0])
-        ys.append((sums[at[-1] + 1] - sums[at[0]] + 0.1 * base) / (len(at) + 0.1))
+        xs += [others[at[0]][0], others[at[-1]][0]]
+        ys += [(sums[at[-1] + 1] - sums[at[0]] + 0.1 * base) / (len(at) + 0.1)] * 2
     bare = [y[k] for k, v in vectors.items() if not v]
     out = []
     for k, text in rows:
