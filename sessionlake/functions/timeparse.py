@@ -9,8 +9,8 @@ Tried in order, first match wins (text trimmed):
 5. the raw text as a time alone (on ``today``).
 The period of 12-hour times may be in either case (``02:30 PM``, ``02:30 pm``).
 Wall-clock forms are read at the fixed UTC offset ``offset_seconds``. Text that
-matches nothing gives NULL (send it to quarantine). Everything is a
-``coalesce`` of ``try_`` casts and ``try_to_timestamp`` - no UDF; the result
+matches nothing gives NULL (send it to quarantine). No text has the shape of two forms, so its shape names the one
+format to try: a row is parsed once, with a single ``try_to_timestamp`` - no UDF; the result
 does not depend on the session time zone because the offset is part of the
 parsed text.
 """
@@ -27,6 +27,12 @@ RFC3339_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
 #: The fraction of an RFC 3339 time, any number of digits: whole seconds are wanted, so it goes.
 RFC3339_FRACTION = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})\.\d+(Z|[+-]\d{2}:\d{2})$"
 
+#: The shapes of `DATE_FORMATS` and `TIME_FORMATS`, in their order; years have four digits or more, and may have a sign.
+_YEAR = "[+-]?[0-9]{4,}"
+DATE_SHAPES = [f"{_YEAR}-[0-9]{{2}}-[0-9]{{2}}", f"{_YEAR}/[0-9]{{2}}/[0-9]{{2}}", f"{_YEAR}[.][0-9]{{2}}[.][0-9]{{2}}", f"[0-9]{{2}}-[0-9]{{2}}-{_YEAR}", f"[0-9]{{2}}/[0-9]{{2}}/{_YEAR}"]
+TIME_SHAPES = ["[0-9]{2}:[0-9]{2}", "[0-9]{2}:[0-9]{2}:[0-9]{2}", "[0-9]{2}:[0-9]{2} [AaPp][Mm]", "[0-9]{2}:[0-9]{2}:[0-9]{2} [AaPp][Mm]"]
+RFC3339_SHAPE = f"^{_YEAR}-[0-9]{{2}}-[0-9]{{2}}[Tt][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}.*[Zz0-9]$"
+
 
 def offset_text(offset_seconds: int) -> str:
     sign = "+" if offset_seconds >= 0 else "-"
@@ -34,12 +40,6 @@ def offset_text(offset_seconds: int) -> str:
     return f"{sign}{a // 3600:02d}:{(a % 3600) // 60:02d}"
 
 
-def _at_offset(text: Column, fmt: str, off: str) -> Column:
-    """Seconds of ``text`` parsed with ``fmt`` as wall clock at offset ``off``."""
-    ts = F.try_to_timestamp(F.concat(text, F.lit(" " + off)), F.lit(fmt + " XXX"))
-    return F.unix_seconds(ts)
-
-
 def split_times(df: DataFrame, text: str, out: str, offset_seconds: int = 0, today: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows with ``out``, rejected rows with a ``reject`` reason). A null text is no reject: its time is null."""
     parsed = df.withColumn(out, parse_time_column(text, offset_seconds, today))
@@ -50,17 +50,29 @@ def split_times(df: DataFrame, text: str, out: str, offset_seconds: int = 0, tod
 def parse_time_column(text: Column | str, offset_seconds: int = 0, today: str | None = None) -> Column:
     """Epoch seconds (LONG) of a time text, or NULL when no format matches."""
     raw = F.trim(F.col(text) if isinstance(text, str) else text)
-    off = offset_text(offset_seconds)
-    candidates = [F.when(raw.rlike(r"^[+-]?[0-9]+$"), raw.try_cast("bigint"))]
-    whole = F.regexp_replace(raw, RFC3339_FRACTION, "$1$2")
-    candidates.append(F.unix_seconds(F.try_to_timestamp(whole, F.lit(RFC3339_FORMAT))))
     norm = F.translate(raw, "+_T", "   ")
-    for d in DATE_FORMATS:
-        for t in TIME_FORMATS:
-            candidates.append(_at_offset(norm, f"{d} {t}", off))
-    for d in DATE_FORMATS:
-        candidates.append(_at_offset(F.concat(raw, F.lit(" 00:00:00")), f"{d} HH:mm:ss", off))
+    off = F.lit(" " + offset_text(offset_seconds))
+    zone, midnight = F.lit(" XXX"), F.lit(" 00:00:00")
+
+    def form(text: Column, fmt: Column) -> Column:
+        return F.struct(text.alias("text"), fmt.alias("fmt"))
+
+    def named(text: Column, shapes: list[str], formats: list[str], pattern: str) -> Column:
+        """The format whose shape ``text`` has."""
+        first, *rest = [(text.rlike(pattern.format(shape)), F.lit(fmt)) for shape, fmt in zip(shapes, formats, strict=True)]
+        out = F.when(*first)
+        for case in rest:
+            out = out.when(*case)
+        return out
+
+    # a date and the time after it are told apart on their own: nine shapes for twenty formats
+    both = F.concat(named(norm, DATE_SHAPES, DATE_FORMATS, "^{} "), F.lit(" "), named(norm, TIME_SHAPES, TIME_FORMATS, "^[^ ]+ {}$"), zone)
+    shape = F.when(raw.rlike(RFC3339_SHAPE), form(F.regexp_replace(raw, RFC3339_FRACTION, "$1$2"), F.lit(RFC3339_FORMAT)))
+    shape = shape.when(norm.rlike("^[^ ]+ [0-9]{2}:"), form(F.concat(norm, off), both))
     if today is not None:
-        for t in TIME_FORMATS:
-            candidates.append(_at_offset(F.concat(F.lit(today + " "), raw), f"yyyy-MM-dd {t}", off))
-    return F.coalesce(*candidates).cast("long")
+        shape = shape.when(raw.rlike("^[0-9]{2}:"), form(F.concat(F.lit(today + " "), raw, off), F.concat(F.lit("yyyy-MM-dd "), named(raw, TIME_SHAPES, TIME_FORMATS, "^{}$"), zone)))
+    shape = shape.otherwise(form(F.concat(raw, midnight, off), F.concat(named(raw, DATE_SHAPES, DATE_FORMATS, "^{}$"), F.lit(" HH:mm:ss"), zone)))
+    # in an array the shape is found once, though its text and its format are both read
+    parsed = F.transform(F.array(shape), lambda f: F.unix_seconds(F.try_to_timestamp(f["text"], f["fmt"])))
+    number = F.when(raw.rlike(r"^[+-]?[0-9]+$"), raw.try_cast("bigint"))
+    return F.coalesce(number, F.element_at(parsed, 1)).cast("long")

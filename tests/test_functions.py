@@ -64,3 +64,16 @@ def test_fractions_of_any_length_and_rejects(spark):
     good, bad = split_times(df, "text", "sec")
     assert {r.sec for r in good.collect()} == {1704448800, None}
     assert [(r.i, r.reject) for r in bad.collect()] == [(11, "unknown time format")]
+
+
+def test_a_text_is_parsed_once(spark):
+    df = spark.createDataFrame([(s,) for s, _ in CASES], "s string").select(parse_time_column("s", 3600, "2024-01-31").alias("p"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp(") == 1, plan
+
+
+def test_shapes_at_the_edges(spark):
+    texts = ["-2024-01-05", "+12024-01-05", "+2024-01-05", "01-05--2024", "01-05-+12024", "2024-01-05t10:00:00z", "2024-01-05T10:00:00", "2024-01-05 10:00 PM", "2024-01-05 13:00 pm", "1:00", "10:00pm", "99999999999999999999"]
+    df = spark.createDataFrame([(s,) for s in texts], "s string")
+    got = [r.p for r in df.select(parse_time_column("s", 0, "2024-01-31").alias("p")).collect()]
+    assert got == [-126038160000, 317273932800, None, -126038160000, 317273932800, 1704448800, 1704448800, 1704492000, None, None, None, None]
