@@ -1,21 +1,25 @@
 """Sessionize a log whose ticks and flushes are explicit rows.
 
-A tick is due when it is an interval past the last *due* tick, which looks sequential. It is a chain:
-each tick second points to the first tick second an interval later or more, and the due ones are those that the
-pointers reach from the first. Two due ticks are an interval apart, so pointers are found inside
-buckets of an interval's length (a bucket has a row per second at most), and the chain is followed by
-pointer doubling: as many rounds as the logarithm of its length, each a join by (stream, second).
+A tick is due when it is an interval past the last *due* tick: a chain along each stream. The log is shuffled by
+stream and sorted once; windows say which segment each row is in, and one pass over the sorted rows (`saving_rows`, a
+batch at a time in every partition) follows the chain. It carries the stream's last due tick and nothing else, so
+no tick is joined or written for it.
 
 The rest are X1's steps. The rows that set states open segments (P8, W2); due ticks and flushes fall into the
 segment that is open; a segment ends at its last flush, or at the idle row that saves it; kept segments are
-numbered and merged (W4, A8). No row is handled in Python. `response_log_logged` (S10) reads the replies off the
-same rows.
+numbered and merged (W4, A8). Only rows that open or save go on to them. `response_log_logged` (S10) reads the replies off
+the same rows; only the first save of a segment has to ask whether its segment continues a session.
 
 Rows of one stream with equal ``(ts_us, seq)`` have no order of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,42 +31,42 @@ TICK, FLUSH = "tick", "flush"
 _COLUMNS = [KEY, "ts_us", "seq", "t", "kind", "app_id", "workspace"]
 
 
-def next_ticks(ticks: DataFrame, interval: int) -> DataFrame:
-    """(stream_key, t, nxt): for each tick second the first one ``interval`` later or more; none, no row."""
-    step = F.lit(int(interval))
-    bucket = F.floor(F.col("x") / step).alias("bucket")
-    own = ticks.select(KEY, F.col("t").alias("x"), F.lit(None).cast("long").alias("t"))
-    asks = ticks.select(KEY, (F.col("t") + step).alias("x"), "t")
-    rows = own.unionByName(asks).select(KEY, "x", "t", bucket)
-    inside = Window.partitionBy(KEY, "bucket").orderBy("x").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumn("near", F.min(F.when(F.col("t").isNull(), F.col("x"))).over(inside))
-    first = rows.groupBy(KEY, "bucket").agg(F.min(F.when(F.col("t").isNull(), F.col("x"))).alias("first"))
-    later = Window.partitionBy(KEY).orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)  # a row per interval of time
-    far = first.select(KEY, "bucket", F.min("first").over(later).alias("far"))
-    asked = rows.filter(F.col("t").isNotNull()).join(far, [KEY, "bucket"])
-    return asked.select(KEY, "t", F.coalesce("near", "far").alias("nxt")).filter(F.col("nxt").isNotNull())
+class Chain:
+    """The due ticks of sorted rows: a stream's last due tick goes from batch to batch."""
+
+    def __init__(self, interval: int):
+        self.interval = int(interval)
+        self.key, self.last, self.place = None, 0, None
+
+    def due(self, keys: list, seconds: list, places: list) -> list[int]:
+        """Which of a batch's ticks are due; rows at the very place of a due tick are too. A null key or second never is."""
+        found = []
+        key, last, place = self.key, self.last, self.place
+        for i, (k, t) in enumerate(zip(keys, seconds, strict=True)):
+            if k is None or t is None:
+                continue
+            if k != key:
+                key, last, place = k, 0, None  # the last due tick of a new stream is at second 0
+            if t - last >= self.interval:
+                last, place = t, places[i]
+                found.append(i)
+            elif t == last and places[i] == place:
+                found.append(i)
+        self.key, self.last, self.place = key, last, place
+        return found
 
 
 def due_ticks(ticks: DataFrame, interval: int) -> DataFrame:
     """(stream_key, t): the due ones among distinct tick seconds; the last due tick of a new stream is at second 0."""
-    reach = saved(ticks.filter(F.col("t") >= int(interval)).groupBy(KEY).agg(F.min("t").alias("t")), "due-first")
-    jump = saved(next_ticks(ticks, interval), "due-next")
-    parts = [reach]
-    while True:
-        # what is reached so far, moved on by as many steps as it is long
-        new = saved(_union(parts).join(jump, [KEY, "t"]).select(KEY, F.col("nxt").alias("t")), "due-reached")
-        if new.isEmpty():
-            return _union(parts)
-        parts.append(new)
-        there = jump.select(KEY, F.col("t").alias("nxt"), F.col("nxt").alias("after"))
-        jump = saved(jump.join(there, [KEY, "nxt"]).select(KEY, "t", F.col("after").alias("nxt")), "due-next")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Chain(interval)
+        for b in batches:
+            seconds = b.column("t").to_pylist()
+            yield b.take(pa.array(chain.due(b.column(KEY).to_pylist(), seconds, seconds), pa.int64()))
+
+    rows = ticks.select(KEY, F.col("t").cast("long").alias("t"))
+    return rows.repartition(KEY).sortWithinPartitions(KEY, "t").mapInArrow(scan, rows.schema)
 
 
 def _accepted(config: SessionConfig, at: str) -> Column:
@@ -71,20 +75,50 @@ def _accepted(config: SessionConfig, at: str) -> Column:
     return F.col(at).isNotNull() & (F.lit(m == 0) | (F.col(at) - F.col("start") > F.lit(m)))
 
 
-def logged_rows(log: DataFrame, config: SessionConfig) -> DataFrame:
-    """Openers (with ``state``), ticks and flushes in order: which segment they are in (``segno``, 0: none), and if they save it."""
+def saving_rows(rows: DataFrame, config: SessionConfig, all_rows: bool) -> DataFrame:
+    """Rows sorted by stream and order, with ``saves`` (a due tick or a flush, in a segment), ``taken`` (it passes P3) and
+    ``again`` (its segment had one before). ``all_rows`` false leaves out those that neither open nor save."""
+    m = int(config.min_session_duration)
+    interval = int(config.flush_interval)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, before = Chain(interval), None
+        for b in batches:
+            n, segno, t = b.num_rows, b.column("segno"), b.column("t")
+            inside = pc.greater(segno, 0)
+            known = pc.is_valid(b.column(KEY)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(pc.and_(pc.equal(b.column("kind"), TICK), inside).fill_null(False).to_numpy(zero_copy_only=False))
+            ticks = b.take(pa.array(at))
+            places = list(zip(ticks.column("ts_us").to_pylist(), ticks.column("seq").to_pylist(), strict=True))
+            saves = pc.and_(pc.equal(b.column("kind"), FLUSH), inside).fill_null(False).to_numpy(zero_copy_only=False).copy()
+            saves[at[chain.due(ticks.column(KEY).to_pylist(), ticks.column("t").to_pylist(), places)]] = True
+            taken = saves & known
+            if m:
+                taken &= pc.greater(pc.subtract(t, b.column("start")), m).fill_null(False).to_numpy(zero_copy_only=False)
+            again = np.zeros(n, bool)
+            if (hit := np.flatnonzero(taken)).size:
+                own = b.take(pa.array(hit))
+                key, number = own.column(KEY).to_numpy(), own.column("segno").to_numpy()
+                again[hit[1:]] = (key[1:] == key[:-1]) & (number[1:] == number[:-1])
+                again[hit[0]] = before == (key[0], number[0])
+                before = (key[-1], number[-1])
+            out = pa.RecordBatch.from_arrays([*b.columns, pa.array(saves), pa.array(taken), pa.array(again)], [*b.schema.names, "saves", "taken", "again"])
+            yield out if all_rows else out.filter(pc.or_(pa.array(saves), pc.is_valid(b.column("state"))))
+
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(scan, f"{columns}, saves boolean, taken boolean, again boolean")
+
+
+def logged_rows(log: DataFrame, config: SessionConfig, all_rows: bool = True) -> DataFrame:
+    """Openers (with ``state``), ticks and flushes in order: which segment they are in (``segno``, 0: none), its ``start``, and if they save it."""
     ev = prepare_events(log).select(*_COLUMNS[:-1], F.col("workspace").cast("int").alias("workspace"))
     acts = F.col("kind").isin(TICK, FLUSH)
     openers = event_states(ev.filter(~acts), config).filter(is_opener()).select(*_COLUMNS[:5], F.col("after").alias("state"))
     rows = openers.unionByName(ev.filter(acts).select(*_COLUMNS[:5]), allowMissingColumns=True)
     upto = stream_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = saved(rows.withColumn("segno", F.count("state").over(upto)), "logged-rows")
-    # the first tick of a second that finds a segment open stands for the second
-    ticks = rows.filter((F.col("kind") == TICK) & (F.col("segno") > 0)).groupBy(KEY, "t").agg(F.min(F.struct(*ORDER)).alias("at"))
-    due = ticks.join(due_ticks(ticks.select(KEY, "t"), config.flush_interval), [KEY, "t"])
-    due = due.select(KEY, "at.*", F.lit(True).alias("due"))
-    saves = F.coalesce("due", (F.col("kind") == FLUSH) & (F.col("segno") > 0))
-    return rows.join(due, [KEY, *ORDER], "left").withColumn("saves", saves).drop("due")
+    start = F.last(F.when(F.col("state").isNotNull(), F.col("t")), ignorenulls=True).over(upto)
+    rows = rows.withColumn("segno", F.count("state").over(upto)).withColumn("start", start)
+    return saving_rows(rows.sortWithinPartitions(KEY, *ORDER), config, all_rows)  # the windows' own order: no second sort
 
 
 def _segments(rows: DataFrame, config: SessionConfig) -> DataFrame:
@@ -100,19 +134,20 @@ def _segments(rows: DataFrame, config: SessionConfig) -> DataFrame:
 
 def sessionize_logged(log: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
     """(stream_key, seq, ts|ts_us, kind incl. tick/flush, app_id, workspace) -> sessions."""
-    segs = min_duration(_segments(logged_rows(log, config), config))
+    segs = min_duration(_segments(logged_rows(log, config, all_rows=False), config))
     return merge_runs(_run_islands_plain(segs)).select(*SESSION_COLUMNS)
 
 
 def response_log_logged(log: DataFrame, config: SessionConfig = SessionConfig()) -> DataFrame:
     """S10 for X2: (stream_key, ts_us, seq, kind, response) of every row, ticks and flushes too."""
     rows = saved(logged_rows(log, config), "logged-replies")
-    segs = _run_islands_plain(min_duration(_segments(rows, config))).select(KEY, "segno", "start", "_run_start")
-    rows = rows.filter(F.col("kind").isin(TICK, FLUSH)).join(segs, [KEY, "segno"], "left")
-    taken = F.col("saves") & F.col("start").isNotNull() & _accepted(config, "t")
-    rows = rows.withColumn("taken", taken)
-    earlier = F.count(F.when(F.col("taken"), 1)).over(Window.partitionBy(KEY, "segno").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("grows", (earlier > 0) | ~F.col("_run_start"))
+    moves = F.col("state").isNotNull() | F.col("saves")
+    segs = _run_islands_plain(min_duration(_segments(rows.filter(moves), config))).select(KEY, "segno", "_run_start")
+    rows = rows.filter(F.col("kind").isin(TICK, FLUSH)).select(KEY, *ORDER, "kind", "segno", "saves", "taken", "again")
+    # a save that passes P3 is in a kept segment; the first of a segment merges if its run began before
+    asks = F.col("taken") & ~F.col("again")
+    first = rows.filter(asks).join(segs, [KEY, "segno"]).withColumn("grows", ~F.col("_run_start")).drop("_run_start")
+    rows = rows.filter(~asks).withColumn("grows", F.lit(True)).unionByName(first)
     reply = (
         F.when(F.col("segno") == 0, "Ignored")
         .when(~F.col("saves"), "Handled")
@@ -130,6 +165,8 @@ def hourly_ticks(events: DataFrame, horizon: int, every: int = 3600, kind: str =
     period after a stream's first event through ``horizon``. A tick at second s
     sorts after all events of that second, a flush after the tick."""
     first = events.groupBy(KEY).agg(F.min("t").alias("_t0"))
+    # a row per stream is little and would be read by few tasks, but its ticks are many
+    first = first.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), KEY, "_t0")
     start = (F.col("_t0") - F.pmod(F.col("_t0"), F.lit(every)) + F.lit(every)).cast("long")
     stop = F.lit(horizon).cast("long")
     grid = F.when(start <= stop, F.sequence(start, stop, F.lit(every).cast("long"))).otherwise(

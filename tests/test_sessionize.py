@@ -247,3 +247,28 @@ def test_one_answer_whatever_the_row_count(spark):
     assert plain == split and [r[:4] for r in plain] == [(1, 1, 1000, 1495), (1, 2, 1500, 1990), (2, 1, 100, 895)]
     columns = [X.segments(ev, cfg, None, n, 1).columns for n in (None, 100, 1)]
     assert columns[0] == columns[1] == columns[2] and "chunk" in columns[0]
+
+
+def test_a_logged_log_is_sorted_once_and_not_written_for_its_ticks(spark, monkeypatch):
+    from sessionlake.streaming import logged as LG
+
+    data = [(k, i, t * 1_000_000, t, kind, "a" if kind == "focus" else None, None) for k in range(3) for i, (t, kind) in enumerate([(10, "focus"), (40, "idle_on"), (90, "idle_off")])]
+    events = spark.createDataFrame(data, "stream_key long, seq long, ts_us long, t long, kind string, app_id string, workspace int")
+    ticks = LG.hourly_ticks(events, 2000, 5)
+    assert ticks.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # not as many as the few streams fill
+    names, saved = [], LG.saved
+    monkeypatch.setattr(LG, "saved", lambda df, name: names.append(name) or saved(df, name))
+    assert sessionize_logged(events.unionByName(ticks), SessionConfig(15, 0, ())).count() and names == []
+    assert response_log_logged(events.unionByName(ticks), SessionConfig(15, 0, ())).count() and len(names) == 1
+
+
+def test_ticks_of_a_stream_are_one_chain_over_all_batches(spark):
+    data = [(k, t) for k in (None, 1, 2) for t in range(0, 3000, 2)]
+    df = spark.createDataFrame(data, "stream_key long, t long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, due_ticks(df, 15).collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == [(k, t) for k in (1, 2) for t in range(16, 3000, 16)]
