@@ -807,12 +807,13 @@ se AS (SELECT stream_key, seq, ts_us, (ts_us - (ts_us % 1000000)) // 1000000 AS
 @register("sessions_from_log", _from_log_sql())
 def sessions_from_log(spark, sf):
     """S6 -> S7 -> S8 -> X7 -> X1: the producers' logs as text files, read back, to sessions."""
-    from sessionlake.config import storage_root
+    from sessionlake.config import saved, storage_root
     from sessionlake.sources import message_log as ML
 
     root = storage_root(spark, "message-log")
     ML.write_message_lines(envelopes(read_table(spark, sf, "events")), root)
     good, _bad = EN.split_quarantine(EN.parse_envelopes(ML.read_message_lines(spark, root)))
+    good = saved(good, "log-messages")  # S8 and X1 read the messages several times; lines are read and parsed once
     return X.sessionize(EN.to_session_events(EN.accept_sources(good)), CFG, H)
 
 
@@ -982,6 +983,7 @@ from pyspark.sql import types as T  # noqa: E402
 from sessionlake.streaming import stream as SX  # noqa: E402
 
 STREAM_CHUNK = 5 * 86400  # one input file per producer per 5 days of event time
+STREAM_FILE_ROWS = 1_000_000  # rows of such a file; a slice with more has several
 _STREAM_INPUT = T.StructType(
     [
         T.StructField("stream_key", T.LongType()),

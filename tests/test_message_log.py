@@ -87,3 +87,39 @@ def test_a_growing_log_becomes_sessions(spark, tmp_path):
     got = sorted(map(tuple, SX.read_compacted(spark, out).collect()))
     want = sessionize(events(ML.read_message_lines(spark, str(root))).filter("stream_key < 3"), CFG, 900)
     assert got == sorted(map(tuple, want.collect())) and len({r[0] for r in got}) == 2
+
+
+def envelope_rows(spark, users):
+    data = [(u, f"u{u} \t%{b}", 10 * u + b, i * 60, text) for u in range(users) for b in range(2) for i, text in enumerate(['"Ping"', focus("a"), "x\ty"])]
+    df = spark.createDataFrame(data, "stream_key long, source string, seq long, s long, line string")
+    return data, df.selectExpr("stream_key", "source", "seq", "timestamp_seconds(s) as ts", "line")
+
+
+def test_many_producers_share_few_files(spark, tmp_path):
+    data, df = envelope_rows(spark, 40)
+    ML.write_message_lines(df, str(tmp_path))
+    assert len(list(tmp_path.rglob("*.txt"))) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = ML.read_message_lines(spark, str(tmp_path)).selectExpr("stream_key", "source", "seq", "unix_seconds(ts) s", "line").collect()
+    assert sorted((r.stream_key, r.source, r.s, r.line) for r in rows) == sorted((k, x, s, text) for k, x, _, s, text in data)
+    places = sorted((r.stream_key, r.source, r.seq, r.s) for r in rows)
+    assert [p[3] for p in places] == [0, 60, 120] * 80 and len({r.seq for r in rows}) == len(rows)
+    for step in (1, 50, 1 << 20):
+        reader = ML.LogReader({"path": str(tmp_path), "rangeBytes": step})
+        got = [r["seq"] for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+        assert sorted(got) == sorted(r.seq for r in rows)
+
+
+def test_small_files_are_read_together_and_collectors_lines_may_be_bad(spark, tmp_path):
+    for k in range(100):
+        append(tmp_path, k, "a", "0.log", line(1, '"Ping"'))
+    assert len(ML.LogReader({"path": str(tmp_path)}).partitions()) == 1
+    (tmp_path / "collector=c").mkdir()
+    big = b'"' + b"x" * (3 * MAX_MESSAGE_SIZE) + b'"'
+    (tmp_path / "collector=c" / "0.log").write_bytes(b"5\tb\t7\t\"Ping\"\n\t\t7\t\"Ping\"\nx\n\n5\tb\tsoon\t1\n5\tb\t8\t" + big + b"\n5\tb\t9\tnot yet")
+    rows = ML.read_message_lines(spark, str(tmp_path))
+    got = [tuple(r) for r in rows.filter("source is null or source = 'b'").selectExpr("stream_key", "source", "unix_micros(ts)", "left(line, 6)").orderBy("seq").collect()]
+    assert got == [(5, "b", 7, '"Ping"'), (None, None, 7, '"Ping"'), (None, None, None, None), (None, None, None, None), (5, "b", None, None), (5, "b", 8, '"xxxxx')]
+    assert max(len(r.line or "") for r in rows.collect()) <= ML.KEPT
+    offsets = ML.LogStream({"path": str(tmp_path)})
+    assert offsets.latestOffset()["collector/c"] == (tmp_path / "collector=c" / "0.log").stat().st_size - len(b"5\tb\t9\tnot yet")
+    assert sum(b.num_rows for part in offsets.partitions({}, offsets.latestOffset()) for b in offsets.read(part)) == 106
