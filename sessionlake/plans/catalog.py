@@ -1007,7 +1007,12 @@ def _write_stream_input(spark, sf, root: str, producers: int = 2) -> list[str]:
     from sessionlake.sources.store import set_arrival
 
     ev = _events(spark, sf).select(*_LOG_COLS, F.pmod(F.col("seq"), F.lit(producers)).alias("producer"), F.floor(F.col("t") / STREAM_CHUNK).alias("slice"))
-    ev.write.option("maxRecordsPerFile", 1_000_000).partitionBy("producer", "slice").parquet(root)
+    # rows are dealt by slice, else each task that reads events would write a file of each, and the batches would grow with the files
+    rows, low, high = _events(spark, sf).select(F.count(F.lit(1)), F.min("t"), F.max("t")).first()
+    slices = 1 if low is None else producers * (high // STREAM_CHUNK - low // STREAM_CHUNK + 1)
+    parts = -(-rows // (slices * STREAM_FILE_ROWS)) or 1
+    ev = ev.repartition(slices * parts, "producer", "slice", F.pmod(F.xxhash64("seq"), F.lit(parts)))
+    ev.write.option("maxRecordsPerFile", STREAM_FILE_ROWS).partitionBy("producer", "slice").parquet(root)
     end_s = H + 10 * 86400
     beat = spark.createDataFrame([(None, 0, end_s * 1_000_000, end_s, SX.HEARTBEAT, None, None)], _STREAM_INPUT)
     dirs = [f"{root}/producer={p}" for p in range(producers)]

@@ -5,12 +5,15 @@ Plan: ``readStream`` (one or more producers, unioned: X7) -> event-time column -
 shuffle) -> ``foreachBatch`` upsert sink (X8).
 
 State per stream key: a value with the O(1) machine state (``streaming.machine``), and a map with the
-rows that the watermark has not passed, by bucket of event time. A row rewrites its own bucket only.
+rows that the watermark has not passed, by bucket of event time. Rows that arrive together and are few lie in one
+entry, under the bucket of the earliest (`RUN_ROWS` at most, more only of one bucket), so an arrival costs few state
+calls however its rows are spread; a row rewrites its own entry only.
 Event-time timers drive the rest (X4):
 
-- each bucket has one at its end. When the watermark passes it, the rows of all buckets that are
+- each entry has one at the end of its bucket. When the watermark passes it, the rows of all buckets that are
   complete are replayed in ``(ts_us, seq)`` order (arrival order does not matter), and the virtual 1 Hz
-  clock runs up to the last second that the watermark has closed (capped at the horizon);
+  clock runs up to the last second that the watermark has closed (capped at the horizon). The rest of an entry becomes
+  one of a later bucket. A stream's other timers of the same watermark find nothing left and touch no state;
 - a stream with an open segment and no row before its next saving flush has one at that flush. A silent stream
   wakes for nothing else: flushes that the minimum duration would ignore get no timer.
 
@@ -49,6 +52,10 @@ UPSERT_SCHEMA = schema.SESSION_CHANGES
 HEARTBEAT = "heartbeat"
 #: Seconds of event time whose waiting rows lie in one entry of the state.
 BUCKET_SECONDS = 3600
+#: Rows of several buckets that one entry of the state takes.
+RUN_ROWS = 64
+#: Streams that a task remembers as up to date.
+KNOWN_CURRENT = 100_000
 #: Batch folders of a level that become one of the next.
 FAN = 8
 
@@ -61,6 +68,7 @@ class SessionProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.current: dict[tuple, int] = {}  # streams that have come up to a watermark in this task
         self.known = handle.getValueState("machine", "machine string, pending array<bigint>, flush bigint")
         self.rows = handle.getMapState("rows", "bucket bigint", ROWS)
 
@@ -69,31 +77,43 @@ class SessionProcessor(StatefulProcessor):
 
     def _load(self) -> tuple[SessionMachine, list[int], int | None]:
         """The machine, the buckets that hold rows, and the second of the flush that has a timer."""
-        text, pending, flush = self.known.get() if self.known.exists() else (None, [], None)
+        text, pending, flush = self.known.get() or (None, [], None)
         c = self.config
         return SessionMachine(c.flush_interval, c.min_session_duration, c.hidden_applications, MachineState.from_json(text)), list(pending), flush
 
     def _end_ms(self, bucket: int) -> int:
         return (bucket + 1) * self.bucket * 1000
 
+    def _keep(self, rows: list[tuple], pending: list[int]) -> None:
+        """Put waiting rows into entries, each under the bucket of its earliest row, with a timer at that bucket's end."""
+        of: dict[int, list[tuple]] = {}
+        for row in rows:
+            of.setdefault(row[0] // (self.bucket * 1_000_000), []).append(row)
+        entry, entries = None, {}
+        for bucket in sorted(of):
+            if bucket in pending:
+                self.rows.updateValue((bucket,), ([tuple(r) for r in self.rows.getValue((bucket,))[0]] + of[bucket],))
+            elif entry is not None and len(entries[entry]) + len(of[bucket]) <= RUN_ROWS:
+                entries[entry] += of[bucket]
+            else:
+                entry, entries[bucket] = bucket, of[bucket]
+        for bucket, new in entries.items():
+            pending.append(bucket)
+            self.handle.registerTimer(self._end_ms(bucket))
+            self.rows.updateValue((bucket,), (new,))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         machine, pending, flush = self._load()
         closed = None if machine.s.clock is None else machine.s.clock * 1_000_000
-        fresh: dict[int, list[tuple]] = {}
+        self.current.pop(key, None)
+        fresh: list[tuple] = []
         for pdf in rows:
             for ts_us, seq, kind, app, ws in zip(pdf["ts_us"], pdf["seq"], pdf["kind"], pdf["app_id"], pdf["workspace"], strict=True):
                 if closed is not None and int(ts_us) < closed:
                     machine.s.late += 1  # its second was already closed by the virtual clock
                     continue
-                row = (int(ts_us), int(seq), str(kind), None if pd.isna(app) else str(app), None if pd.isna(ws) else int(ws))
-                fresh.setdefault(row[0] // (self.bucket * 1_000_000), []).append(row)
-        for bucket, new in fresh.items():
-            if bucket in pending:
-                new = [tuple(r) for r in self.rows.getValue((bucket,))[0]] + new
-            else:
-                pending.append(bucket)
-                self.handle.registerTimer(self._end_ms(bucket))
-            self.rows.updateValue((bucket,), (new,))
+                fresh.append((int(ts_us), int(seq), str(kind), None if pd.isna(app) else str(app), None if pd.isna(ws) else int(ws)))
+        self._keep(fresh, pending)
         if flush is not None and pending and min(pending) * self.bucket <= flush:
             self.handle.deleteTimer((flush + 1) * 1000)  # the bucket's own timer comes with rows to apply first
             flush = None
@@ -101,14 +121,24 @@ class SessionProcessor(StatefulProcessor):
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if self.current.get(key) == watermark:
+            return  # another timer of this watermark has done it all
+        if len(self.current) >= KNOWN_CURRENT:
+            self.current.clear()
+        self.current[key] = watermark
         machine, pending, flush = self._load()
-        s, watermark = machine.s, timerValues.getCurrentWatermarkInMs()
-        due = sorted(b for b in pending if self._end_ms(b) <= watermark)
-        for bucket in due:
-            for ts_us, _, kind, app, ws in sorted((tuple(r) for r in self.rows.getValue((bucket,))[0]), key=lambda r: r[:2]):
-                machine.event_with_ticks(kind, ts_us // 1_000_000, app, ws)
+        s, held = machine.s, []
+        for bucket in [b for b in pending if self._end_ms(b) <= watermark]:
+            held += (tuple(r) for r in self.rows.getValue((bucket,))[0])
             self.rows.removeKey((bucket,))
             pending.remove(bucket)
+        held.sort(key=lambda r: r[:2])
+        closed = watermark // (self.bucket * 1000) * self.bucket * 1_000_000  # where the first incomplete bucket begins
+        for ts_us, _, kind, app, ws in held:
+            if ts_us < closed:
+                machine.event_with_ticks(kind, ts_us // 1_000_000, app, ws)
+        self._keep([r for r in held if r[0] >= closed], pending)
         clock = watermark // 1000 - 1  # every second strictly before the watermark's is closed
         if pending:
             clock = min(clock, min(pending) * self.bucket - 1)

@@ -160,3 +160,26 @@ def test_restart_from_the_checkpoint(spark, tmp_path):
     land(spark, f"{d}/in", second, 1_001_500)
     got = run(spark, f"{d}/in", f"{d}/out", f"{d}/cp", 1_001_500)
     assert got == sorted(tuple(r) for r in sessionize(spark.createDataFrame(first + second, SCHEMA), CFG, 1_001_500).collect())
+
+
+def test_an_arrival_is_one_entry_and_a_watermark_one_replay(monkeypatch):
+    handle = Handle()
+    batch = [(k * 100 * 1_000_000, k, "workspace", None, 1) for k in range(60)]  # each row in a bucket of its own
+    loads, load = [], SX.SessionProcessor._load
+    monkeypatch.setattr(SX.SessionProcessor, "_load", lambda self: loads.append(1) or load(self))
+    assert drive(handle, CFG, [(batch, 0)], None) == ({}, 0)
+    assert handle.written == 60 and len(handle.map) == len(handle.timers) == 1
+    drive(handle, CFG, [([], 3000)], None)  # half of the entry is complete, the rest waits under its first bucket
+    assert handle.written == 90 and len(handle.map) == len(handle.timers) == 1
+    handle, loads[:] = Handle(), []
+    assert drive(handle, CFG, [([row], 0) for row in batch] + [([], 100_000)], None) == ({}, 60)
+    assert len(loads) == 61  # a row's arrival reads the state, and the first timer of a watermark
+
+
+def test_the_streams_input_has_a_file_per_producer_and_slice(spark, tmp_path):
+    from sessionlake.plans import catalog
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(16).write.parquet(f"{tmp_path}/events.parquet")
+    catalog._write_stream_input(spark, str(tmp_path), f"{tmp_path}/input")
+    folders = list(pathlib.Path(f"{tmp_path}/input").glob("producer=*/slice=*"))
+    assert len(folders) > 4 and all(len(list(d.glob("*.parquet"))) == 1 for d in folders)
