@@ -54,9 +54,14 @@ class _Memo(dict):
     def __missing__(self, segment: str) -> str:
         if self.bytes >= MEMO_BYTES:
             self.forget()
-        ids = self.model.encode_segment(self.prefix + segment)
-        self[segment] = out = ",".join(map(str, ids))
-        self.decoded[segment] = self.model.decode_ids(ids)
+        text = self.prefix + segment
+        ids = self.model.encode_known(text)
+        if ids is None:
+            ids = self.model.encode_segment(text)
+            self.decoded[segment] = self.model.decode_ids(ids)
+        else:  # its pieces are the text
+            self.decoded[segment] = text.replace(SPACE, " ")
+        self[segment] = out = ",".join([self.model.number[i] for i in ids])
         self.bytes += ENTRY_BYTES + 4 * len(segment) + len(out)
         return out
 
@@ -72,6 +77,7 @@ class PieceModel:
         n = sp.get_piece_size()
         self.unknown = sp.unk_id()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
+        self.number = [str(i) for i in range(n)]
         self.byte_id, self.byte_of = {}, {}
         self.rank: dict[str, float] = {}
         self.id: dict[str, int] = {}
@@ -168,8 +174,12 @@ class PieceModel:
         for memo in (self.spaced, self.bare, self.whole):
             memo.forget()
 
+    def encode_known(self, text: str) -> list[int] | None:
+        """Ids of a text all of whose characters are pieces, if its pieces are those of `backtrack`; None for any other."""
+        return self.backtrack(text) if self.id.keys() >= set(text) and SPACE * 2 not in text else None
+
     def encode_segment(self, text: str) -> list[int]:
-        if self.id.keys() >= set(text) and SPACE * 2 not in text and (ids := self.backtrack(text)) is not None:
+        if (ids := self.encode_known(text)) is not None:
             return ids
         out: list[int] = []
         run = ""

@@ -54,3 +54,11 @@ def test_documents_keep_columns(spark):
 @pytest.mark.parametrize("op", [encode_digests, encode_documents])
 def test_empty_table(spark, op):
     assert op(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_a_known_word_is_not_decoded_from_its_ids(monkeypatch):
+    m = PieceModel(PATH)
+    monkeypatch.setattr(m, "decode_ids", lambda ids: 1 / 0)  # its pieces are its text
+    assert m.encode("plain words and\nlines")[1] == "plain words and\nlines"
+    monkeypatch.undo()
+    assert m.encode("a\x07b \u4e00\U0001f9ff c")[1] == "a\x07b \u4e00\U0001f9ff c"
