@@ -7,18 +7,19 @@ probabilities sum to exactly 1 over the vocabulary and one unknown word. The mas
 from unigrams is the unknown word's. A context whose counts are all too high for a discount gets one
 count more than it has, for what else may follow, as the unigrams do.
 
-The recursion is evaluated as three sums over a document: log P(w) of each token and log alpha of
-each token's context, which need the word's row of the model, and for tokens whose bigram is kept
-log P(w | context) - log P(w) - log alpha, which needs the bigram's row. So every token meets its rows by
-one exchange, whatever the table sizes:
+The recursion is evaluated as sums over a document: log P(w) of each token and log alpha of
+each token's context, and for tokens whose bigram is kept what its count and its word give more,
+log mass - log P(w), and what its context gives more, - log of - log alpha (`off`). Each of these needs one row:
 
-- the `HEAVY` most frequent words and bigrams (a fixed number) are known to all tasks. They are
-  looked up where the text is read; that also takes the hot keys out of every exchange;
-- all others are counted and looked up in partitions of the tables by hash. Tasks send
-  compressed columns of sorted, pre-aggregated rows to each partition (`pack`), and documents
-  get one row of sums back from each.
+- the `HEAVY` most frequent words (a fixed number) and the beginning of a text are known to all tasks, and of
+  their bigrams the `HEAVY` most frequent ones. They are looked up where the text is read; that also
+  takes the hot keys out of every exchange;
+- other words lie in partitions by hash, and their bigrams are counted and looked up where they do, so
+  no bigram is joined with its words. One of two such words lies with both, and each gives its own part. Bigrams of
+  frequent words lie in partitions by their own hash.
 
-A Bloom filter of fixed size keeps most bigrams that the model doesn't hold out of the exchange.
+Tasks send compressed columns of sorted, pre-aggregated rows to each partition (`pack`); bigrams are kept in that
+form too, and documents get one row of sums back from each.
 
 Defined results: null and empty texts have one token, the end; very long ones are read run by run. Without training tokens the unknown
 word has probability 1. Null keys count as held out. Rows are scored as often as they come; extra
@@ -27,11 +28,13 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import copy
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +49,8 @@ RESERVE = 1e-9
 HEAVY = 1 << 16
 #: Tokens that a task gathers before it sends them, and rows of a partition.
 GATHER, PART_ROWS = 600_000, 4_000_000
-BLOOM_BITS = 1 << 26
+#: Bits of a heavy word's code (and one more number, the beginning), and of a row's number in a gathering.
+CODE_BITS, ROW_BITS = U64(17), U64(29)
 
 BEGIN, END = U64(0x1D5A2F86C3B94E71), U64(0x7C0E9B3D6A18F255)  # hashes that stand for no word
 LIGHT = U64(1 << 63)  # set in the code of every word that isn't heavy
@@ -122,14 +126,12 @@ def token_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
 
 
 class Heavy:
-    """The most frequent words: their codes, counts and model values."""
+    """The most frequent words: their codes, and arrays of model values by code (one more row as the beginning has a code as a context)."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, p: np.ndarray):
         order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.rank = np.empty(len(words), np.int64)
-        self.rank[:] = order  # code: the place in order of frequency
-        self.log_p = self.log_alpha = self.base = None
+        self.words, self.rank, self.n = words[order], order.astype(np.int64), len(words)  # code: the place in order of frequency
+        self.c, self.p = counts.astype(float), p
 
     def codes(self, h: np.ndarray) -> np.ndarray:
         """Small numbers for heavy words, marked hashes for others."""
@@ -138,6 +140,19 @@ class Heavy:
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return np.where(self.words[at] == h, self.rank[at].astype(U64), h | LIGHT)
 
+    def contexts(self, h: np.ndarray) -> np.ndarray:
+        return np.where(h == BEGIN, U64(self.n), self.codes(h))
+
+
+def dealt(place: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(partition, which rows, in their order) of the partitions that have any."""
+    part = (place % U64(parts)).astype(np.uint16 if parts < 1 << 16 else np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in range(parts):
+        if cuts[k] < cuts[k + 1]:
+            yield k, order[cuts[k] : cuts[k + 1]]
+
 
 # -- counting ---------------------------------------------------------------------------
 
@@ -164,32 +179,94 @@ def count_words(texts: DataFrame, parts: int) -> DataFrame:
     return texts.mapInArrow(run, "part int, w binary, n binary").groupBy("part").applyInArrow(add, "part int, w bigint, c bigint")
 
 
-def count_pairs(texts: DataFrame, heavy, parts: int) -> DataFrame:
-    """(kind, ctx, w, c) by codes: kind 1 a kept bigram, kind 0 the number c of bigrams seen ctx times."""
+#: Kinds of bigrams: of two heavy words (by one key), of a light word (with any context), of a light context (with any word).
+BOTH, WORD, CONTEXT = 0, 1, 2
+#: Kinds of other rows of `count_pairs`: bigrams seen r times, what a context's bigrams sum up to, and frequent keys of BOTH.
+TIMES, SUMS_OF, OFTEN = 3, 4, 5
+SEEN = [f"r{r}" for r in range(1, GT + 1)]
+PAIR_ROWS = f"part int, kind int, a binary, b binary, n binary, ctx bigint, {', '.join(f'{r} bigint' for r in SEEN)}, c bigint, p1 double"
+
+
+def find(keys: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``q`` its place among the sorted keys, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(q), np.int64), np.zeros(len(q), bool)
+    at = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
+    return at, keys[at] == q
+
+
+def count_pairs(texts: DataFrame, heavy, uni: DataFrame, parts: int, unigram: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Bigrams by partition and kind, their words' codes and counts packed; and rows of the other kinds.
+
+    ``uni``: (part, code, c) of the light words; ``unigram``: probabilities from counts.
+    """
+    least = MIN_BIGRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = heavy.value
         for _uid, train, ctx, tok, row, _key in token_runs(batches):
             use = train[row]
-            code = heavy.value.codes
-            (c, w), n = counted((code(ctx[use]), code(tok[use])), np.ones(use.sum(), np.int64))
-            part = (pair_hash(c, w) % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for k in range(parts):
-                if len(o := order[cuts[k] : cuts[k + 1]]):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in (pack(c[o], True), pack(w[o]), pack(n[o])))], names=["part", "ctx", "w", "n"])
-
-    def add(table: pa.Table) -> pa.Table:
-        c = np.concatenate([unpack(x, True) for x in table.column("ctx").to_pylist()])
-        w, n = (np.concatenate([unpack(x) for x in table.column(k).to_pylist()]) for k in ("w", "n"))
-        (c, w), n = counted((c, w), n.astype(np.int64))
-        times = np.bincount(np.minimum(n, GT + 2), minlength=GT + 3)[1 : GT + 2]
-        kept = n >= MIN_BIGRAM
-        k, r = int(kept.sum()), len(times)
-        cols = [np.append(np.full(k, 1), np.zeros(r, np.int64)), np.append(c[kept].view(np.int64), np.arange(1, r + 1)), np.append(w[kept].view(np.int64), np.zeros(r, np.int64)), np.append(n[kept], times)]
-        return pa.table({"kind": pa.array(cols[0], pa.int32()), "ctx": pa.array(cols[1]), "w": pa.array(cols[2]), "c": pa.array(cols[3])})
-
-    return texts.mapInArrow(run, "part int, ctx binary, w binary, n binary").groupBy("part").applyInArrow(add, "kind int, ctx bigint, w bigint, c bigint")
+            c, w = h.contexts(ctx[use]), h.codes(tok[use])
+            hw, hc = w < U64(h.n), c <= U64(h.n)
+            key, n = np.unique(c[hw & hc] << CODE_BITS | w[hw & hc], return_counts=True)
+            sent = [(BOTH, mix(key), (key,), n)]
+            for kind, x, y, light in ((WORD, w, c, ~hw), (CONTEXT, c, w, ~hc)):
+                keys, n = counted((x[light], y[light]), np.ones(int(light.sum()), np.int64))
+                sent.append((kind, keys[0], keys, n))
+            for kind, place, keys, n in sent:
+                for k, o in dealt(place, parts):
+                    cells = [pack(keys[0][o], True), pack(keys[1][o]) if kind else b"", pack(n[o])]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([x], pa.binary()) for x in cells)], names=["part", "kind", "a", "b", "n"])
+
+    def add(sent: pa.Table, words: pa.Table) -> pa.Table:
+        h = heavy.value
+        code, count = (words.column(x).to_numpy() for x in ("code", "c"))
+        code = np.ascontiguousarray(code).view(U64)
+        order = np.argsort(code)
+        code, p_light = code[order], unigram(count[order])
+        kinds = sent.column("kind").to_numpy()
+        part = sent.column("part")[0].as_py() if sent.num_rows else 0
+        out: list[dict] = []
+        ctx, seen, p1 = [], [], []
+        for kind in (BOTH, WORD, CONTEXT):
+            which = np.flatnonzero(kinds == kind)
+            if not len(which):
+                continue
+            cells = [[sent.column(x)[int(i)].as_py() for i in which] for x in ("a", "b", "n")]
+            keys = [np.concatenate([unpack(x, True) for x in cells[0]])]
+            if kind:
+                keys.append(np.concatenate([unpack(x) for x in cells[1]]))
+            keys, n = counted(tuple(keys), np.concatenate([unpack(x) for x in cells[2]]).astype(np.int64))
+            c, w = (keys[0] >> CODE_BITS, keys[0] & ((U64(1) << CODE_BITS) - U64(1))) if kind == BOTH else keys[:: -1 if kind == WORD else 1]
+            own = w < U64(h.n) if kind == CONTEXT else np.ones(len(w), bool)  # a light word's bigram counts where the word is
+            times = np.bincount(np.minimum(n[own], GT + 2), minlength=GT + 3)[1 : GT + 2]
+            out += [{"part": part, "kind": TIMES, "ctx": r, "c": int(x)} for r, x in enumerate(times, 1)]
+            kept = n >= least
+            keys, own = [x[kept] for x in keys], own[kept]
+            c, w, n = c[kept], w[kept], n[kept]
+            out.append({"part": part, "kind": kind, "a": pack(keys[0], True), "b": pack(keys[1]) if kind else b"", "n": pack(n)})
+            if kind == BOTH:
+                top = np.argsort(-n, kind="stable")[:HEAVY]
+                often = pa.table({"part": pa.array(np.full(len(top), part), pa.int32()), "kind": pa.array(np.full(len(top), OFTEN), pa.int32()), "ctx": pa.array(keys[0][top].view(np.int64)), "c": pa.array(n[top])})
+            ctx.append(c[own])
+            seen.append(n[own])
+            p1.append(p_light[find(code, w)[0]] if kind == WORD else h.p[w[own].astype(np.int64)])
+        schema = pa.schema([(x, {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}[t]) for x, t in (col.split(" ") for col in PAIR_ROWS.split(", "))])
+        tables = [pa.Table.from_pylist(out, schema)]
+        if ctx:
+            names, of = np.unique(np.concatenate(ctx), return_inverse=True)
+            n = np.concatenate(seen)
+            add_up = lambda x, at: np.bincount(of[at], x, len(names))
+            cols = {"part": np.full(len(names), part, np.int32), "kind": np.full(len(names), SUMS_OF, np.int32), "ctx": names.view(np.int64)}
+            cols |= {x: add_up(None, n == r) for r, x in enumerate(SEEN, 1)} | {"c": add_up(n[n > GT], n > GT).astype(np.int64), "p1": add_up(np.concatenate(p1), slice(None))}
+            tables.append(pa.table({x: pa.array(v) for x, v in cols.items()}))
+        if BOTH in kinds:
+            tables.append(often)
+        tables = [pa.table([t.column(f.name) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in schema], schema=schema) for t in tables]
+        return pa.concat_tables(tables)
+
+    sent = texts.mapInArrow(run, "part int, kind int, a binary, b binary, n binary")
+    return sent.groupBy("part").cogroup(uni.groupBy("part")).applyInArrow(add, PAIR_ROWS)
 
 
 def discounts(times: dict[int, int]) -> list[float]:
@@ -222,86 +299,72 @@ def discounted(c, table: list[float]):
 class Model:
     """The sizes of the model, its heavy rows and its stored tables of the others.
 
-    ``words``: (code, c, log_p, log_alpha) of every word that isn't heavy; ``pairs``: (ctx, w, gain), gain =
-    log P(w | ctx) - log P(w) - log alpha(ctx), of every kept bigram that isn't heavy. Logarithms to base 10.
+    ``words``: (part, code, c, log_p, log_alpha, off) of every word that isn't heavy, off = - log of(ctx) - log alpha(ctx);
+    ``pairs``: the kept bigrams, packed, by partition and kind. Logarithms to base 10.
     """
 
     def __init__(self, texts: DataFrame):
         spark = texts.sparkSession
         total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-        self.parts = max(1, math.ceil(total / 6 / PART_ROWS))
+        self.parts = parts = max(1, math.ceil(total / 6 / PART_ROWS))
         counts = stored(count_words(texts, self.parts), "katz-words")
         words = counts.filter((F.col("w") != 0) & (F.col("c") > 0))
         size = words.agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).first()
         self.tokens, self.types = size.tokens or 0, size.types
         rows = (counts.filter("w = 0").agg(F.sum("c")).first() or [0])[0] or 0
         d1 = discounts({r.c: r.n for r in words.filter(F.col("c") <= GT + 1).groupBy("c").agg(F.count("*").alias("n")).collect()})
+        # the unigrams and the unknown word; one count more than there is leaves it some mass at any rate
+        n = float(self.tokens + 1)
+        shares = np.array([*d1, 1.0])
+
+        def unigram(c: np.ndarray) -> np.ndarray:
+            return shares[np.minimum(c, GT + 1)] * c / n
+
         top = words.orderBy(F.desc("c"), "w").limit(HEAVY).toArrow()  # a fixed number of rows
-        heavy = Heavy(np.asarray(top.column("w")).view(U64), np.asarray(top.column("c")))
+        c = np.asarray(top.column("c"))
+        heavy = Heavy(np.asarray(top.column("w")).view(U64), c, unigram(c))
         shared = spark.sparkContext.broadcast(heavy)
 
-        pairs = stored(count_pairs(texts, shared, self.parts), "katz-pairs")
-        d2 = discounts({r.ctx: r.c for r in pairs.filter("kind = 0").groupBy("ctx").agg(F.sum("c").alias("c")).collect()})
-        pairs = pairs.filter("kind = 1").drop("kind")
-
         def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                w = np.ascontiguousarray(np.asarray(batch.column(0))).view(U64)
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value.codes(w).view(np.int64)), batch.column(1)], names=["code", "c"])
+                w = shared.value.codes(np.ascontiguousarray(np.asarray(batch.column(0))).view(U64))
+                yield pa.RecordBatch.from_arrays([pa.array((w % U64(parts)).astype(np.int32)), pa.array(w.view(np.int64)), batch.column(1)], names=["part", "code", "c"])
 
-        # the unigrams and the unknown word; one count more than there is leaves it some mass at any rate
-        n = float(self.tokens + 1)
-        mass = discounted(F.col("c"), d1)
-        uni = stored(words.select("w", "c").mapInArrow(code, "code bigint, c bigint").withColumn("p", mass / n), "katz-unigrams")
+        uni = stored(words.select("w", "c").mapInArrow(code, "part int, code bigint, c bigint").withColumn("p", discounted(F.col("c"), d1) / n), "katz-unigrams")
         self.p_unknown = 1.0 - (uni.agg(F.sum("p")).first()[0] or 0.0)
-        begin = int(np.array([BEGIN | LIGHT]).view(np.int64)[0])
-        contexts = uni.select(F.col("code").alias("ctx"), F.col("c").alias("total")).unionByName(spark.createDataFrame([(begin, rows)], "ctx bigint, total bigint"))
-        both = pairs.join(uni.select(F.col("code").alias("w"), F.col("p").alias("p1")), "w").join(contexts, "ctx")
-        both = stored(both.select("ctx", "w", "c", "p1", "total", discounted(F.col("c"), d2).alias("mass")), "katz-bigrams")
-        sums = both.groupBy("ctx").agg(F.sum("mass").alias("mass"), F.max("total").alias("total"), (1 - F.sum("p1")).alias("rest"))
-        # one count more than there is leaves a context some mass that no discount did
-        of = F.when(F.col("mass") >= F.col("total") * (1 - RESERVE), F.col("total") + 1).otherwise(F.col("total"))
-        alpha = sums.select("ctx", of.alias("of"), F.log10((1 - F.col("mass") / of) / F.col("rest")).alias("log_alpha"))
-        alpha = stored(alpha, "katz-weights")
-        gain = F.log10(F.col("mass") / F.col("of")) - F.log10("p1") - F.col("log_alpha")
-        kept = stored(both.join(alpha, "ctx").select("ctx", "w", "c", gain.alias("gain")), "katz-gains")
+        made = stored(count_pairs(texts, shared, uni.filter("code < 0").select("part", "code", "c"), self.parts, unigram), "katz-pairs")
+        self.d2 = discounts({r.ctx: r.c for r in made.filter(F.col("kind") == TIMES).groupBy("ctx").agg(F.sum("c").alias("c")).collect()})
 
-        words = uni.join(alpha.select(F.col("ctx").alias("code"), "log_alpha"), "code", "left").select("code", "c", F.log10("p").alias("log_p"), F.coalesce("log_alpha", F.lit(0.0)).alias("log_alpha"))
+        sums = made.filter(F.col("kind") == SUMS_OF).groupBy(F.col("ctx").alias("code")).agg(*(F.sum(x).alias(x) for x in (*SEEN, "c", "p1")))
+        mass = sum((F.col(x) * (self.d2[r] * r) for r, x in enumerate(SEEN, 1)), F.col("c").cast("double"))
+        sums = sums.select("code", mass.alias("mass"), (1 - F.col("p1")).alias("rest"))
+        every = uni.unionByName(spark.createDataFrame([(0, heavy.n, rows, None)], uni.schema))
+        # one count more than there is leaves a context some mass that no discount did
+        of = F.when(F.col("mass") >= F.col("c") * (1 - RESERVE), F.col("c") + 1).otherwise(F.col("c"))
+        log_alpha = F.log10((1 - F.col("mass") / of) / F.col("rest"))
+        words = every.join(sums, "code", "left").select("part", "code", "c", F.log10("p").alias("log_p"), F.coalesce(log_alpha, F.lit(0.0)).alias("log_alpha"), F.coalesce(-F.log10(of) - log_alpha, F.lit(0.0)).alias("off"))
         words = stored(words, "katz-model")
-        few = words.filter((F.col("code") >= 0) & (F.col("code") < HEAVY)).toArrow()
+        few = words.filter("code >= 0").toArrow()  # the heavy ones and the beginning
         at = np.asarray(few.column("code"))
-        self.heavy_c, self.heavy_p, self.heavy_a = np.zeros(len(heavy.words) + 1), np.zeros(len(heavy.words) + 1), np.zeros(len(heavy.words) + 1)
-        self.heavy_c[at], self.heavy_p[at], self.heavy_a[at] = (np.asarray(few.column(k)) for k in ("c", "log_p", "log_alpha"))
-        self.begin_alpha = (alpha.filter(F.col("ctx") == begin).select("log_alpha").first() or [0.0])[0]
-        self.words = words.filter((F.col("code") < 0) | (F.col("code") >= HEAVY))
-        self.heavy = heavy
-
-        top = kept.orderBy(F.desc("c"), "ctx", "w").limit(HEAVY).toArrow()
-        h = pair_hash(*(np.ascontiguousarray(np.asarray(top.column(k))).view(U64) for k in ("ctx", "w")))
-        order = np.argsort(h)
-        self.pair, self.pair_gain = h[order], np.asarray(top.column("gain"))[order]
-        self.pairs = kept
-        self.bloom = self.build_bloom(kept)
-
-    @staticmethod
-    def build_bloom(kept: DataFrame) -> np.ndarray:
-        """A bit for two hashes of each kept bigram; the filter's size is fixed."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                h = pair_hash(*(np.ascontiguousarray(np.asarray(batch.column(i))).view(U64) for i in (0, 1)))
-                bit = np.concatenate(bloom_bits(h))
-                yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((U64(1) << (bit & 63).astype(U64)).view(np.int64))], names=["at", "bits"])
-
-        got = kept.select("ctx", "w").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()  # BLOOM_BITS / 64 rows at most
-        out = np.zeros(BLOOM_BITS // 64, U64)
-        if got.num_rows:
-            out[np.asarray(got.column("at"))] = np.ascontiguousarray(np.asarray(got.column("bits"))).view(U64)
-        return out
-
-
-def bloom_bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (h % U64(BLOOM_BITS)).astype(np.int64), ((h >> U64(32)) * U64(0x9E3779B1) % U64(BLOOM_BITS)).astype(np.int64)
+        self.log_p, self.log_alpha, self.off = (np.zeros(heavy.n + 1) for _ in range(3))
+        for x, column in ((self.log_p, "log_p"), (self.log_alpha, "log_alpha"), (self.off, "off")):
+            x[at] = few.column(column).to_numpy()
+        self.words, self.heavy = words.filter("code < 0"), heavy
+        self.pairs = made.filter(F.col("kind") <= CONTEXT).select("part", "kind", "a", "b", "n")
+        top = made.filter(F.col("kind") == OFTEN).select("ctx", "c").orderBy(F.desc("c"), "ctx").limit(HEAVY).toArrow()
+        key, c = (np.asarray(top.column(x)) for x in ("ctx", "c"))
+        order = np.argsort(key)
+        self.pair = key[order].view(U64)
+        self.pair_gain = self.gain(self.pair, c[order])
+
+    def log_mass(self, c: np.ndarray) -> np.ndarray:
+        """Of counts after discounting."""
+        return np.log10(np.array([1.0, *self.d2[1:], 1.0])[np.minimum(c, GT + 1)] * np.maximum(c, 1))
+
+    def gain(self, key: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """What kept bigrams of heavy words have over backing off."""
+        word = (key & ((U64(1) << CODE_BITS) - U64(1))).astype(np.int64)
+        return self.log_mass(c) - self.log_p[word] + self.off[(key >> CODE_BITS).astype(np.int64)]
 
 
 SUMS = "uid bigint, key bigint, train boolean, tokens bigint, known bigint, base double, score double"
@@ -311,9 +374,11 @@ def evaluate(texts: DataFrame, model: Model) -> DataFrame:
     """(uid, key, train, tokens, known, base, score): sums over the tokens of each row; uid names the rows."""
     spark, parts = texts.sparkSession, model.parts
     words, pairs = model.words, model.pairs
-    light = {k: v for k, v in vars(model).items() if k not in ("words", "pairs")}
-    shared = spark.sparkContext.broadcast(light)  # HEAVY rows twice and the filter: fixed sizes
+    light = copy.copy(model)
+    light.words = light.pairs = None
+    shared = spark.sparkContext.broadcast(light)  # HEAVY rows twice: fixed sizes
     tokens, types, p_unknown = model.tokens, model.types, model.p_unknown
+    row_mask = (U64(1) << ROW_BITS) - U64(1)
 
     def base(c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (tokens + types + 1))
@@ -323,76 +388,49 @@ def evaluate(texts: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        heavy, n_heavy = m["heavy"], len(m["heavy"].words)
+        heavy = m.heavy
         for uid, train, ctx, tok, row, key in token_runs(batches):
-            n, m_rows = len(tok), len(uid)
-            ids = pack(uid, True)
-            w, c = heavy.codes(tok), heavy.codes(ctx)
-            begin = ctx == BEGIN
+            n_rows, ids = len(uid), pack(uid, True)
+            w, c = heavy.codes(tok), heavy.contexts(ctx)
+            hw, hc = w < U64(heavy.n), c <= U64(heavy.n)
             # what the heavy words give, where the text is
-            hw, hc = w < n_heavy, (c < n_heavy)
-            iw, ic = np.where(hw, w, U64(n_heavy)).astype(np.int64), np.where(hc, c, U64(n_heavy)).astype(np.int64)
-            h = pair_hash(c, w)
-            at = np.minimum(np.searchsorted(m["pair"], h), max(0, len(m["pair"]) - 1))
-            top = (m["pair"][at] == h) if len(m["pair"]) else np.zeros(n, bool)
-            score = np.where(hw, m["heavy_p"][iw], 0.0) + np.where(hc, m["heavy_a"][ic], 0.0) + np.where(begin, m["begin_alpha"], 0.0)
-            score += np.where(top, m["pair_gain"][at], 0.0) if len(m["pair"]) else 0.0
-            known = hw & (m["heavy_c"][iw] > 0)
-            add = lambda x: np.bincount(row, x, m_rows)
-            direct = np.stack([add(np.ones(n)), add(known), add(np.where(hw, base(m["heavy_c"][iw]), 0.0)), add(score)])
-            yield rows(0, int(uid[0]) % parts, direct.tobytes(), key.tobytes(), train.astype(np.int64).tobytes(), b"", ids)
-            # the other words: as tokens, and as contexts
-            for kind, x, use in ((1, w, ~hw), (2, c, ~hc & ~begin)):
-                (x_, r_), n_ = counted((x[use], row[use]), np.ones(use.sum(), np.int64))
-                part = (x_ % U64(parts)).astype(np.int64)
-                for k in range(parts):
-                    if len(o := np.flatnonzero(part == k)):
-                        yield rows(kind, k, pack(x_[o], True), b"", pack(r_[o]), pack(n_[o]), ids)
-            # bigrams that the model may hold
-            b1, b2 = bloom_bits(h)
-            bit = lambda b: m["bloom"][b >> 6] >> (b & 63).astype(U64) & U64(1)
-            use = np.flatnonzero(~top & (bit(b1) & bit(b2)).astype(bool))
-            (c_, w_, r_), n_ = counted((c[use], w[use], row[use]), np.ones(len(use), np.int64))
-            part = (pair_hash(c_, w_) % U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.searchsorted(part[order], np.arange(parts + 1))
-            for k in range(parts):
-                if len(o := order[cuts[k] : cuts[k + 1]]):
-                    yield rows(3, k, pack(c_[o], True), pack(w_[o]), pack(r_[o]), pack(n_[o]), ids)
+            add = lambda at, x: np.bincount(at, x, n_rows)
+            iw = w[hw].astype(np.int64)
+            score = add(row[hw], m.log_p[iw]) + add(row[hc], m.log_alpha[c[hc].astype(np.int64)])
+            both = hw & hc
+            cell, n = np.unique((c[both] << CODE_BITS | w[both]) << ROW_BITS | row[both].astype(U64), return_counts=True)
+            pair, at_row = cell >> ROW_BITS, (cell & row_mask).astype(np.int64)
+            at, top = find(m.pair, pair)
+            score += add(at_row[top], m.pair_gain[at[top]] * n[top])
+            direct = np.stack([add(row, None), add(row[hw], heavy.c[iw] > 0), add(row[hw], base(heavy.c[iw])), score])
+            yield rows(-1, int(uid[0]) % parts, direct.tobytes(), key.tobytes(), train.astype(np.int64).tobytes(), b"", ids)
+            sent = [(BOTH, mix(pair[~top]), (pair[~top], None, at_row[~top]), n[~top])]
+            for kind, x, y, use in ((WORD, w, c, ~hw), (CONTEXT, c, w, ~hc)):
+                keys, n = counted((x[use], y[use], row[use]), np.ones(int(use.sum()), np.int64))
+                sent.append((kind, keys[0], keys, n))
+            for kind, place, (a, b, r), n in sent:
+                for k, o in dealt(place, parts):
+                    yield rows(kind, k, pack(a[o], True), pack(b[o]) if kind else b"", pack(r[o]), pack(n[o]), ids)
 
     sent = texts.mapInArrow(run, "kind int, part int, a binary, b binary, row binary, n binary, uid binary")
-
-    def place(kind: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a = np.ascontiguousarray(np.asarray(batch.column(0))).view(U64)
-                b = np.ascontiguousarray(np.asarray(batch.column(1))).view(U64)
-                part = ((pair_hash(a, b) if kind else a) % U64(parts)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), *(batch.column(i) for i in range(4))], names=["part", "a", "b", "x", "y"])
-
-        return run
-
-    table = "part int, a bigint, b bigint, x double, y double"
-    model_rows = words.select(F.col("code").alias("a"), F.col("c").alias("b"), F.col("log_p").alias("x"), F.col("log_alpha").alias("y")).mapInArrow(place(0), table).withColumn("pair", F.lit(False))
-    model_rows = model_rows.unionByName(pairs.select(F.col("ctx").alias("a"), F.col("w").alias("b"), F.col("gain").alias("x"), F.lit(0.0).alias("y")).mapInArrow(place(1), table).withColumn("pair", F.lit(True)))
+    model_rows = words.unionByName(pairs, allowMissingColumns=True)
 
     def meet(blobs: pa.Table, model_: pa.Table) -> pa.Table:
-        is_pair = np.asarray(model_.column("pair").combine_chunks()) if model_.num_rows else np.zeros(0, bool)
-        a, b = (np.ascontiguousarray(model_.column(k).to_numpy()).view(U64) for k in ("a", "b"))
-        x, y = model_.column("x").to_numpy(), model_.column("y").to_numpy()
-        word = np.flatnonzero(~is_pair)
-        word = word[np.argsort(a[word])]
-        words_, count, log_p, log_a = a[word], b[word].view(np.int64), x[word], y[word]
-        two = np.flatnonzero(is_pair)
-        hashes = pair_hash(a[two], b[two])
-        order = np.argsort(hashes)
-        hashes, gain = hashes[order], x[two][order]
-
-        def look(table_: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(table_):
-                return np.zeros(len(q), np.int64), np.zeros(len(q), bool)
-            at = np.minimum(np.searchsorted(table_, q), len(table_) - 1)
-            return at, table_[at] == q
+        m = shared.value
+        n_heavy = U64(m.heavy.n)
+        word = model_.filter(pc.is_null(model_.column("kind")))
+        code = np.ascontiguousarray(word.column("code").to_numpy()).view(U64)
+        order = np.argsort(code)
+        code = code[order]
+        count, log_p, log_alpha, off = (word.column(x).to_numpy()[order] for x in ("c", "log_p", "log_alpha", "off"))
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros(0, U64), np.zeros(0, np.int64)) for k in (BOTH, WORD, CONTEXT)}
+        for r in model_.filter(pc.is_valid(model_.column("kind"))).select(["kind", "a", "b", "n"]).to_pylist():  # one of each kind
+            pair, c = unpack(r["a"], True), unpack(r["n"]).astype(np.int64)
+            if r["kind"]:
+                pair = pair_hash(pair, unpack(r["b"]))
+                order = np.argsort(pair)
+                pair, c = pair[order], c[order]
+            held[r["kind"]] = pair, c
 
         # a gathering's rows stay together: its sums of this part are one row, of the documents that have any
         sums: dict[int, np.ndarray] = {}
@@ -404,23 +442,38 @@ def evaluate(texts: DataFrame, model: Model) -> DataFrame:
             first = int(uid[0])
             out = sums.setdefault(first, np.zeros((4, len(uid))))
             ids[first] = vu
-            if kind == 0:
+            if kind < 0:
                 out += np.frombuffer(va).reshape(4, -1)
                 names[first] = (vb, vr)
                 continue
-            row, n, key = unpack(vr).astype(np.int64), unpack(vn).astype(np.float64), unpack(va, True)
-            if kind == 3:
-                at, ok = look(hashes, pair_hash(key, unpack(vb)))
-                out[3] += np.bincount(row, np.where(ok, gain[at] if len(gain) else 0.0, 0.0) * n, len(uid))
+            row, n, a = unpack(vr).astype(np.int64), unpack(vn).astype(np.float64), unpack(va, True)
+            add = lambda x, n=n, row=row, size=len(uid): np.bincount(row, x * n, size)
+            known, times = held[kind]
+            if kind == BOTH:
+                at, kept = find(known, a)
+                out[3] += np.bincount(row[kept], m.gain(a[kept], times[at[kept]]) * n[kept], len(uid))
                 continue
-            at, ok = look(words_, key)
-            pick = lambda t, other, at=at, ok=ok: np.where(ok, t[at] if len(t) else 0, other)
-            if kind == 1:
-                out[1] += np.bincount(row, ok * n, len(uid))
-                out[2] += np.bincount(row, base(pick(count, 0)) * n, len(uid))
-                out[3] += np.bincount(row, pick(log_p, math.log10(p_unknown)) * n, len(uid))
+            b = unpack(vb)
+            at, kept = find(known, pair_hash(a, b))
+            mass = m.log_mass(times[at[kept]])
+            which, ok = find(code, a)
+            which = which[ok]
+            if kind == WORD:
+                c, p, more = np.zeros(len(a), np.int64), np.full(len(a), math.log10(p_unknown)), np.zeros(len(a))
+                c[ok], p[ok] = count[which], log_p[which]
+                p[kept] = mass
+                near = kept & (b <= n_heavy)
+                more[near] = m.off[b[near].astype(np.int64)]
+                out[1] += add(ok)
+                out[2] += add(base(c))
+                out[3] += add(p + more)
             else:
-                out[3] += np.bincount(row, pick(log_a, 0.0) * n, len(uid))
+                more, alpha = np.zeros(len(a)), np.zeros(len(a))
+                alpha[ok], more[ok] = log_alpha[which], off[which]
+                more[~kept] = 0.0
+                near = b[kept] < n_heavy
+                more[np.flatnonzero(kept)[near]] += mass[near] - m.log_p[b[kept][near].astype(np.int64)]
+                out[3] += add(alpha + more)
         cols: list[list] = [[], [], [], [], [], []]
         for first, out in sums.items():
             at = np.flatnonzero(out.any(axis=0))

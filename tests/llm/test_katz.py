@@ -133,3 +133,23 @@ def test_bigrams_seen_once_or_twice_count(spark, monkeypatch):
     model = Recursion([t for k, t in rows if not held(k)])
     want = {k: model.row(k, t)[-1] for k, t in rows}
     assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), rtol=1e-9, atol=1e-7)
+
+
+def test_bigrams_are_kept_packed_and_once(spark, monkeypatch):
+    """What is written for the model: 11 bytes a bigram here, 24 when three tables held rows of all of them."""
+    import os
+    from urllib.parse import urlparse
+
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 30_000, 400))) for i in range(300)]
+    written = []
+
+    def stored(df, name, keep=katz.stored):
+        out = keep(df, name)
+        written.extend(os.path.getsize(urlparse(f).path) for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(katz, "stored", stored)
+    katz.Model(spark.createDataFrame([(i, True, t, i) for i, t in rows], "uid long, train boolean, text string, key long"))
+    pairs = {p for _, t in rows for p in zip(["<s> ", *t.split()], [*t.split(), None], strict=True)}
+    assert sum(written) < 16 * len(pairs)
