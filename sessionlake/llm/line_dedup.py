@@ -131,7 +131,8 @@ def read_set(data: bytes) -> np.ndarray:
     chars = code_points(data)
     up, down = powers(len(chars) + 1)
     sums = np.append(U64(0), np.cumsum(CHAR_KEYS[chars] * up[:-1]))
-    return np.unique((sums[Q:] - sums[:-Q]) * down[: len(chars) - Q + 1])
+    out = np.sort((sums[Q:] - sums[:-Q]) * down[: len(chars) - Q + 1])
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out  # np.unique's table takes longer
 
 
 def bands(texts: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ LEVELS = 8
 BROADCAST_ROWS = 1_000_000
 #: Set elements that a task remembers while it confirms pairs.
 MEMO_HASHES = 4_000_000
+#: Members of a node times distinct elements of their sets up to which all pairs are counted by one product.
+CELLS = 4_000_000
 #: Edges that one task contracts.
 PART_EDGES = 500_000
 
@@ -285,25 +287,50 @@ class _Postings:
         return np.flatnonzero(100 * shared >= percent * (self.size + len(one) - shared))
 
 
+def _links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of sets x < y that share enough, in order."""
+    size = np.array([len(s) for s in sets], np.int64)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    if len(sets) * len(values) <= CELLS:  # all counts at once, by a product of 0/1 rows
+        held = np.zeros((len(sets), len(values)), np.float32)
+        held[np.repeat(np.arange(len(sets)), size), at] = 1
+        shared = (held @ held.T).astype(np.int64)
+        return np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size - shared), 1))
+    postings, x, y = _Postings(sets), [], []
+    for k, one in enumerate(sets):
+        found = postings.similar(one, percent)
+        y.append(found[found > k])
+        x.append(np.full(len(y[-1]), k))
+    return np.concatenate(x), np.concatenate(y)
+
+
 def _exact_links(read_set: Callable, percent: int) -> Callable:
     """A spanning forest of the links (a, b) between different components in each node, by the members' full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, np.ndarray] = {}  # a member's set is the same in all of its nodes
+        held = 0
         for table in _node_tables(batches):
             node, ids, comp = (table.column(c).to_numpy() for c in ("node", "id", "comp"))
-            cuts = np.flatnonzero(np.diff(node)) + 1
+            data = table.column("data")
+            cuts, links = np.flatnonzero(np.diff(node)) + 1, [np.zeros((2, 0), np.int64)]
             for i, j in zip(np.append(0, cuts), np.append(cuts, len(node)), strict=True):
-                sets = [read_set(table.column("data")[k].as_py()) for k in range(i, j)]
-                held = _Postings(sets)
-                x, y = [], []
-                for k in range(j - i):
-                    found = held.similar(sets[k], percent)
-                    found = found[(found > k) & (comp[i + found] != comp[i + k])]
-                    x.append(np.full(len(found), i + k))
-                    y.append(i + found)
-                x, y = np.concatenate(x), np.concatenate(y)
-                keep = _forest_of(node, comp, x, y)
-                yield _pairs_batch(ids[x[keep]], ids[y[keep]])
+                if held > MEMO_HASHES:
+                    memo.clear()
+                    held = 0
+                sets = []
+                for k, name in enumerate(ids[i:j].tolist(), int(i)):
+                    if name not in memo:
+                        memo[name] = read_set(data[k].as_py())
+                        held += len(memo[name])
+                    sets.append(memo[name])
+                x, y = _links_of(sets, percent)
+                links.append(np.stack([x, y]) + i)
+            x, y = np.concatenate(links, axis=1)
+            apart = comp[x] != comp[y]
+            x, y = x[apart], y[apart]
+            keep = _forest_of(node, comp, x, y)
+            yield _pairs_batch(ids[x[keep]], ids[y[keep]])
 
     return run
 

@@ -137,3 +137,30 @@ def test_a_repeated_id_with_another_text_and_clashing_names(spark):
     assert got.columns == [*df.columns, "n_lines", "n_removed"]
     assert sorted((r.doc_id, r.text, r.n_removed) for r in got.collect()) == [(1, x, 0), (5, "", 1), (5, y, 0), (6, z, 1)]
     assert dedup_lines(df.limit(0)).collect() == []
+
+
+def test_a_members_set_is_read_once_for_all_its_nodes(monkeypatch):
+    """Before, every node read the sets of its members anew; links are those of all pairs, however they are counted."""
+    rng = np.random.default_rng(3)
+    sets = {i: np.unique(np.append(np.arange(40 * (i // 4), 40 * (i // 4) + 40), rng.integers(1000, 2000, 6))).astype(np.uint64) for i in range(24)}
+    rows = [(n, i) for n in range(5) for i in sorted(rng.permutation(24)[:16].tolist())]
+    batch = pa.RecordBatch.from_arrays([pa.array([n for n, _ in rows]), pa.array([i for _, i in rows]), pa.array([i % 4 % 3 for _, i in rows]), pa.array([sets[i].tobytes() for _, i in rows], pa.binary())], names=["node", "id", "comp", "data"])
+    alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    for cells in (linking.CELLS, 10):
+        monkeypatch.setattr(linking, "CELLS", cells, raising=False)
+        read = []
+
+        def read_set(data):
+            read.append(data)
+            return np.frombuffer(data, np.uint64)
+
+        got = [tuple(r.values()) for b in linking._exact_links(read_set, 75)(iter([batch])) for r in b.to_pylist()]
+        assert len(read) == len(set(read)) == len({i for _, i in rows})
+        want = []
+        for n in range(5):
+            ids, joined = [i for k, i in rows if k == n], linking._Joined()
+            for a in ids:
+                for b in ids:
+                    if a < b and a % 4 % 3 != b % 4 % 3 and alike(a, b) and joined.join(a % 4 % 3, b % 4 % 3):
+                        want.append((b, a))
+        assert want and got == want
