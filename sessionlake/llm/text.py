@@ -18,18 +18,24 @@ CHUNK_BYTES = 1 << 19
 U64 = np.uint64
 
 
-def _lean(large: int = 2 << 20) -> None:
-    """Give the memory of arrays of ``large`` bytes back when they go: a Python worker outlives its tasks."""
+def _malloc(large: int, kept: int) -> None:
+    """Freed arrays of ``large`` bytes go back at once, smaller ones when more than ``kept`` bytes are free in a row."""
     import ctypes
 
-    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).mallopt(-3, large)  # M_MMAP_THRESHOLD, which otherwise grows with what is freed
+        ctypes.CDLL(None).mallopt(-1, kept)  # M_TRIM_THRESHOLD
     except (OSError, AttributeError):  # not glibc
         pass
 
 
-_lean()
+def keep_room(large: int = 32 << 20, kept: int = 64 << 20) -> None:
+    """For modules whose arrays come and go for every few texts: the system's zeroed pages cost more than the work on them."""
+    _malloc(large, kept)
+
+
+pa.set_memory_pool(pa.system_memory_pool())
+_malloc(2 << 20, 128 << 10)  # a Python worker outlives its tasks
 
 #: A-Z to a-z, every other byte unchanged (UTF-8 continuation bytes are over 0x7F).
 LOWER = np.arange(256, dtype=np.uint8)

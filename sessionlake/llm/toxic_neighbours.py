@@ -3,9 +3,10 @@
 Examples and texts are TF-IDF vectors over all words and word beginnings of the examples. A term's
 inverse document frequency is raised by how surely its texts have the label: by the lower end of a
 Wilson interval of their share, as far as it is over the base rate. No term is left out. The nearest examples by
-exact cosine come from a block-max inverted index: examples lie in blocks, lists of rare terms are
-read whole, and of frequent terms each block keeps the largest weight; an example's frequent terms
-are read only if its rare terms and its block's bound together reach the nearest ones. Votes weighted
+exact cosine come from an inverted index. Like examples lie together in clusters (of one language, say); each has a
+matrix of single precision of the terms that are frequent in it, which many texts are multiplied with at once, and lists of
+the other terms are read whole. The sums are wrong by a known share at most, so the examples that may be among the nearest
+get their cosines once more in double precision. Clusters decide on the time, not on what is found. Votes weighted
 by nearness give a raw score, which scores of the examples without their own votes calibrate
 (isotonic). The nearest examples are given as evidence.
 
@@ -22,8 +23,9 @@ read by `score` and pass through `without_toxic`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +35,26 @@ from pyspark.sql import functions as F
 
 from sessionlake.config import storage_root
 from sessionlake.llm.lang_centroids import held_out
-from sessionlake.llm.text import LOWER, U64, prefix_hash, range_hash, runs, utf8, words
+from sessionlake.llm.text import LOWER, U64, keep_room, prefix_hash, range_hash, runs, utf8, words
+
+keep_room()
 
 FIT_ROWS = 20_000
 #: How much a sure share of the label raises a term's weight, and the width of the share's interval.
 LIFT, Z = 4.0, 2.0
-#: Terms in more than this share of the examples are frequent: bounded by block first, read for few examples.
-FREQUENT = 1 / 4
+#: Clusters of the examples, the most frequent terms by which they are made and about how many examples they are made from.
+CLUSTERS, SEEN, MADE_FROM, ROUNDS = 8, 512, 2000, 8
+#: Terms in more than this share of a cluster are frequent there, and rows of its matrix: the most frequent ones, if there are more than it holds.
+FREQUENT, MATRIX_ROWS = 1 / 12, 3 << 9
+#: Lists of fewer examples are read together.
+SHORT = 256
+#: A text with fewer than this share of a matrix's terms reads only their rows.
+DENSE = 1 / 12
+#: Texts that the matrix is multiplied with at once, and examples that are put into lists at once.
+TOGETHER, TAKEN = 128, 512
 #: Byte lengths of the word beginnings that are terms beside the words themselves.
 BEGINNINGS = (4, 5)
-NEIGHBOURS, BLOCK = 30, 64
+NEIGHBOURS = 30
 #: A score from which a text is predicted to have the label.
 THRESHOLD = 0.7
 #: Weight of the base rate among the votes, of nearness in a vote, and the nearness from which votes grow no more
@@ -108,14 +120,24 @@ def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(which)) + np.repeat(start - (np.cumsum(size) - size), size), which
 
 
+def groups(items: Iterator, size: int) -> Iterator[list]:
+    """Lists of ``size`` items, and the rest."""
+    while some := list(islice(items, size)):
+        yield some
+
+
+#: Run after run of the examples of a range: how many terms each has, these end to end, where in them the level isn't 1, and which level it is there.
+Parts = Callable[[int, int], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]
+
+
 class Index:
-    """A block-max inverted index over the examples' unit vectors."""
+    """An inverted index over the examples' unit vectors, with a matrix of each cluster's frequent terms."""
 
     def __init__(self, vocab: np.ndarray, df: np.ndarray, n_examples: int, base: float, factor: np.ndarray | float = 1.0):
         self.vocab, self.base = vocab, base
         self.idf = np.log((1 + n_examples) / (0.5 + df)) * factor  # over 0 for every term
         self.n, self.label, self.key = 0, np.zeros(0), np.zeros(0, np.int64)
-        self.room = np.empty(0, np.int64)
+        self.matrices: list[np.ndarray] = []  # made where they are used
 
     def counts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(document, terms, their counts) of the documents that have a term."""
@@ -144,94 +166,153 @@ class Index:
             yield i, t, self.weigh(t, tf)[0]
 
     def build(self, keys: list[int], labels: list[int], rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Take the examples' vectors; neighbours in the order given share blocks."""
+        """Take the examples' vectors."""
         term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)], dtype=np.int32)
         level = np.concatenate([np.zeros(0), *(w for _, w in rows)]) / self.idf[term]
-        self.fill(keys, labels, np.array([len(t) for t, _ in rows], np.int64), np.ones(len(rows)), term, np.arange(len(term)), level)
-
-    def fill(self, keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, term: np.ndarray, more: np.ndarray, level: np.ndarray) -> None:
-        """`build` with the vectors' terms end to end. A weight is the term's idf, over the vector's length, times a level: at ``more``
-        as given, elsewhere 1 (the term stands once there), which needs no place in a list."""
-        self.key, self.label, self.n, self.times = np.array(keys, np.int64), np.array(labels, float), len(sizes), 1 / lengths
+        at, bounds = np.arange(len(term)), np.array([0, len(rows)])
+        self.fill(keys, labels, np.ones(len(rows)), level, bounds, lambda a, b: iter([(np.array([len(t) for t, _ in rows], np.int64), term, at, at)]))
+
+    def alike(self, df: np.ndarray, n: int, parts: Parts) -> np.ndarray:
+        """A cluster for each of ``n`` examples, by cosine with the centres of some of them."""
+        seen = np.argsort(-df, kind="stable")[:SEEN]
+        column = np.full(len(self.vocab), -1, np.int16)
+        column[seen] = np.arange(len(seen))
+
+        def vectors(size: np.ndarray, term: np.ndarray) -> np.ndarray:
+            out, at = np.zeros((len(size), len(seen)), np.float32), column[term]
+            out[np.repeat(np.arange(len(size)), size)[at >= 0], at[at >= 0]] = self.idf[term[at >= 0]]
+            return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+        step = -(-n // MADE_FROM)
+        some = np.concatenate([vectors(size, term)[::step] for size, term, _, _ in parts(0, n)])
+        centres = some[:1]
+        for _ in range(CLUSTERS - 1):  # the next one is far from those there, but no stray
+            centres = np.concatenate([centres, some[[np.argsort((some @ centres.T).max(axis=1), kind="stable")[len(some) // 20]]]])
+        for _ in range(ROUNDS):
+            own = (some @ centres.T).argmax(axis=1)
+            centres = np.stack([some[own == c].sum(axis=0) if (own == c).any() else centres[c] for c in range(CLUSTERS)])
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        return np.concatenate([(vectors(size, term) @ centres.T).argmax(axis=1) for size, term, _, _ in parts(0, n)])
+
+    def fill(self, keys: np.ndarray, labels: np.ndarray, lengths: np.ndarray, levels: np.ndarray, bounds: np.ndarray, parts: Parts) -> None:
+        """`build` with a weight as the term's idf, over the vector's length, times one of the ``levels``, and clusters of the examples
+        from one of the ``bounds`` to the next. A list's entry is an example and, from bit `shift` on, which level it is. Only one
+        part's terms are held beside the lists."""
+        self.key, self.label, self.n, self.times = np.array(keys, np.int64), np.array(labels, float), len(lengths), 1 / lengths
         self.rank = np.empty(self.n, np.int64)
         self.rank[np.argsort(self.key, kind="stable")] = np.arange(self.n)
-        doc = np.repeat(np.arange(self.n, dtype=np.min_scalar_type(self.n)), sizes)
-        held = np.bincount(term, minlength=len(self.vocab))
-        self.slot = np.full(len(self.vocab), -1, np.int32)  # of frequent terms
-        often = np.flatnonzero(held > FREQUENT * self.n)
-        self.slot[often] = np.arange(len(often))
-        # frequent terms: the largest weight of each block, and lists by example
-        there = np.flatnonzero(self.slot[term] >= 0)
-        self.own_term, self.own_level = self.slot[term[there]], np.ones(len(there))
-        at = np.searchsorted(there, more)
-        known = np.flatnonzero(there[np.minimum(at, len(there) - 1)] == more) if len(there) else at[:0]
-        self.own_level[at[known]] = level[known]
-        weight = self.own_level * self.idf[term[there]] * self.times[doc[there]]
-        self.block_max = np.zeros((len(often), -(-self.n // BLOCK)))
-        np.maximum.at(self.block_max, (self.own_term, doc[there] // BLOCK), weight)
-        self.own_first = np.searchsorted(doc[there], np.arange(self.n + 1))
-        self.own_norm = np.sqrt(np.bincount(doc[there], weight**2, minlength=self.n))
-        # rare terms: lists by term, of all examples and of the levels over 1
-        often = self.slot >= 0
-        rare = more[~often[term[more]]]
-        by_term = np.argsort(term[rare], kind="stable")
-        self.more_first, self.more_doc = self.starts(term[rare]), doc[rare][by_term]
-        self.more_level = level[~often[term[more]]][by_term] - 1
-        rare = ~often[term]
-        term, doc = term[rare], doc[rare]
-        self.first = self.starts(term)
-        self.doc = doc[np.argsort(term, kind="stable")]
-
-    def starts(self, term: np.ndarray) -> np.ndarray:
-        return np.append(0, np.cumsum(np.bincount(term, minlength=len(self.vocab))))
+        self.levels, self.shift = np.append(1.0, levels), max(1, self.n).bit_length()
+        # a cluster's frequent terms: lists by example; its other terms: lists by term
+        self.bounds, self.rows = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), [0]
+        self.slot = np.full((len(self.bounds), len(self.vocab)), -1, np.int16)
+        held, n_own = np.zeros(len(self.vocab), np.int64), 0
+        for slots, (lo, hi) in zip(self.slot, self.bounds, strict=True):
+            here = np.zeros(len(held), np.int64)
+            for _, term, _, _ in parts(lo, hi):
+                here += np.bincount(term, minlength=len(held))
+            often = np.flatnonzero(here > FREQUENT * (hi - lo))
+            often = np.sort(often[np.argsort(-here[often], kind="stable")[:MATRIX_ROWS]])
+            slots[often] = self.rows[-1] + np.arange(len(often))
+            self.rows.append(self.rows[-1] + len(often))
+            n_own += int(here[often].sum())
+            here[often] = 0
+            held += here
+        level_type = np.min_scalar_type(len(levels))
+        self.first = np.append(0, np.cumsum(held))
+        self.entry = np.empty(self.first[-1], np.uint32 if len(levels) >> (32 - self.shift) == 0 else np.uint64)
+        self.own_term, self.own_level = np.empty(n_own, np.int16), np.empty(n_own, level_type)
+        to, own, sizes = self.first[:-1].copy(), 0, [np.zeros(0, np.int64)]
+        for slots, (lo, hi) in zip(self.slot, self.bounds, strict=True):
+            for size, term, more, level in parts(lo, hi):
+                doc, slot, levels_ = np.repeat(np.arange(lo, lo + len(size)), size), slots[term], np.zeros(len(term), np.int64)
+                levels_[more] = level + 1
+                at = np.flatnonzero(slot < 0)
+                order, where = self.places(to, term[at])
+                self.entry[where] = (doc[at] | levels_[at] << self.shift)[order]
+                at = np.flatnonzero(slot >= 0)
+                self.own_term[own : own + len(at)], self.own_level[own : own + len(at)] = slot[at], levels_[at]
+                sizes.append(np.bincount(doc[at] - lo, minlength=len(size)))
+                lo, own = lo + len(size), own + len(at)
+        self.own_first = np.append(0, np.cumsum(np.concatenate(sizes)))
+
+    @staticmethod
+    def places(to: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of entries by term and their places, from ``to`` of the term on, which moves behind them."""
+        order = np.argsort(term, kind="stable")
+        term = term[order]
+        start = np.flatnonzero(np.diff(term, prepend=-1))
+        size = np.diff(np.append(start, len(term)))
+        where = to[term] + np.arange(len(term)) - np.repeat(start, size)
+        to[term[start]] += size
+        return order, where
 
     def exact(self, which: np.ndarray, part: np.ndarray, query: np.ndarray) -> np.ndarray:
         """Cosines of some examples: what the rare terms gave, and the frequent ones."""
-        at, of = spans(self.own_first[which], self.own_first[which + 1])
-        return part[which] + self.times[which] * np.bincount(of, query[self.own_term[at]] * self.own_level[at], minlength=len(which))
-
-    def read(self, first: np.ndarray, doc: np.ndarray, rare: np.ndarray, times: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
-        """For each example the sum of ``times``, by the levels if given, over the rare terms in whose lists it is."""
-        start, end = first[rare], first[rare + 1]
-        size = int((end - start).sum())
-        if not size:
-            return np.zeros(self.n)
-        if size > len(self.room):  # kept for the next texts
-            self.room = np.empty(size, np.int64)
-        lists, at = list(zip(start.tolist(), end.tolist(), strict=True)), self.room[:size]
-        np.concatenate([doc[i:j] for i, j in lists], out=at)
-        by = np.repeat(times, end - start)
-        if level is not None:
-            by *= np.concatenate([level[i:j] for i, j in lists])
-        return np.bincount(at, by, minlength=self.n)
+        start, end = self.own_first[which], self.own_first[which + 1]
+        own = [slice(i, j) for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+        some = np.flatnonzero(end > start)
+        sums = np.zeros(len(which))
+        if len(some):
+            each = query[np.concatenate([self.own_term[x] for x in own])] * self.levels[np.concatenate([self.own_level[x] for x in own])]
+            sums[some] = np.add.reduceat(each, (np.cumsum(end - start) - (end - start))[some])
+        return self.times[which] * (part[which] + sums)
+
+    def read(self, rare: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """For each example the sum of ``times``, by its levels, over the terms in whose lists it is."""
+        start, end = self.first[rare], self.first[rare + 1]
+        order = np.argsort(end - start >= SHORT, kind="stable")
+        start, end = start[order], end[order]
+        size = end - start
+        n_short = np.count_nonzero(size < SHORT)
+        entry = np.concatenate([self.entry[spans(start[:n_short], end[:n_short])[0]], *(self.entry[i:j] for i, j in zip(start[n_short:].tolist(), end[n_short:].tolist(), strict=True))])
+        by = np.repeat(times[order], size)
+        more = np.flatnonzero(entry >> self.shift)
+        by[more] *= self.levels[entry[more] >> self.shift]
+        return np.bincount((entry & ((1 << self.shift) - 1)).astype(np.int64), by, minlength=self.n)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples and their cosines, all that share a term if there are fewer; none of key ``without``."""
+        return self.nearest_of([(t, w, without)])[0]
+
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray, int | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """`nearest` of each text."""
         if not self.n:
-            return np.zeros(0, np.int64), np.zeros(0)
-        often = self.slot[t] >= 0
-        rare, times = t[~often], w[~often] * self.idf[t[~often]]
-        part = self.read(self.first, self.doc, rare, times)
-        if len(self.more_doc):
-            part = part + self.read(self.more_first, self.more_doc, rare, times, self.more_level)
-        part = part * self.times
-        slot, query = self.slot[t[often]], np.zeros(len(self.block_max))
-        query[slot] = w[often] * self.idf[t[often]]
-        most = np.repeat(w[often] @ self.block_max[slot], BLOCK)[: self.n]
-        bound = part + np.minimum(most, self.own_norm * np.sqrt((w[often] ** 2).sum()))
-        if without is not None:
-            bound[self.key == without] = 0
-        kth = 0.0
-        if self.n > 2 * NEIGHBOURS:  # the likeliest ones first: what the others have to reach
-            first = np.argpartition(bound, -2 * NEIGHBOURS)[-2 * NEIGHBOURS :]
-            first = first[bound[first] > 0]
-            sims = self.exact(first, part, query)
-            kth = np.partition(sims, -NEIGHBOURS)[-NEIGHBOURS] if len(sims) >= NEIGHBOURS else 0.0
-        docs = np.flatnonzero((bound > 0) & (bound >= kth - 1e-9))
-        sims = self.exact(docs, part, query)
-        docs, sims = docs[sims > 0], sims[sims > 0]
-        best = np.lexsort((self.rank[docs], -np.round(sims, 12)))[:NEIGHBOURS]
-        return docs[best], sims[best]
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in texts]
+        if not self.matrices:
+            for lo, hi, low, high in zip(*zip(*self.bounds, strict=True), self.rows, self.rows[1:], strict=False):
+                own = slice(self.own_first[lo], self.own_first[hi])
+                doc = np.repeat(np.arange(hi - lo), np.diff(self.own_first[lo : hi + 1]))
+                self.matrices.append(np.zeros((high - low, hi - lo), np.float32))
+                self.matrices[-1][self.own_term[own] - low, doc] = self.levels[self.own_level[own]] * self.times[lo + doc]
+        queries, rares = np.zeros((len(texts), self.rows[-1])), []
+        for query, (t, w, _) in zip(queries, texts, strict=True):
+            by = w * self.idf[t]
+            slot = self.slot[:, t]
+            _, at = np.nonzero(slot >= 0)
+            query[slot[slot >= 0]] = by[at]
+            listed = self.first[t + 1] > self.first[t]
+            rares.append((t[listed], by[listed]))
+        sums, single = np.zeros((len(texts), self.n), np.float32), queries.astype(np.float32)
+        for matrix, (lo, hi), low, high in zip(self.matrices, self.bounds, self.rows, self.rows[1:], strict=False):
+            part = single[:, low:high]
+            many = np.count_nonzero(part, axis=1) > DENSE * (high - low)
+            sums[many, lo:hi] = part[many] @ matrix
+            for i in np.flatnonzero(~many & part.any(axis=1)).tolist():
+                at = np.flatnonzero(part[i])
+                sums[i, lo:hi] = part[i, at] @ matrix[at]
+        wrong = (max(len(m) for m in self.matrices) + 8) * 2.0**-23  # at most this share of a sum, as nothing is under 0
+        out = []
+        for near, query, rare, (_, _, without) in zip(sums, queries, rares, texts, strict=True):
+            part = self.read(*rare)
+            near += part * self.times  # also in single precision
+            if without is not None:
+                near[self.key == without] = 0
+            kth = float(np.partition(near, -NEIGHBOURS)[-NEIGHBOURS]) if self.n > NEIGHBOURS else 0.0
+            docs = np.flatnonzero(near >= max(kth * (1 - 2 * wrong) - 1e-9, 1e-30))
+            sims = self.exact(docs, part, query)
+            best = np.lexsort((self.rank[docs], -np.round(sims, 12)))[:NEIGHBOURS]
+            out.append((docs[best], sims[best]))
+        return out
 
     def raw(self, docs: np.ndarray, sims: np.ndarray) -> float:
         v = np.minimum(sims, NEAR_ENOUGH) ** NEAR_POWER
@@ -274,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) ->
     if not positive or not len(vocab):
         return spark.sparkContext.broadcast(Index(np.zeros(0, U64), np.zeros(0), total, base)), Scores(None, base)
     index = Index(vocab, df, total, base, lift(df, pos, base))
-    del vocab, df, pos
+    del vocab, pos
     words_only = spark.sparkContext.broadcast(index)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,28 +378,38 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) ->
     rows = made.toArrow()  # the bounded sample's vectors
     key_, label_, top, lengths = (np.asarray(rows.column(c).combine_chunks()) for c in ("key", "label", "top", "length"))
     order = np.lexsort((key_, top))  # like examples lie together
-
-    def end_to_end(column: str) -> tuple[np.ndarray, np.ndarray]:
-        cells = [x.as_buffer() for x in rows.column(column)]
-        return np.frombuffer(b"".join(cells[i] for i in order), np.int32), np.array([len(cells[i]) // 4 for i in order], np.int64)
-
-    (term, sizes), (more, n_more), (tf, _) = (end_to_end(c) for c in ("terms", "more", "tf"))
-    del rows
-    more = more + np.repeat(np.cumsum(sizes) - sizes, n_more)
-    index.fill(key_[order], label_[order], sizes, lengths[order], term, more, 1 + np.log(tf))
-    del term, more, tf
+    cells = [[x.as_buffer() for x in rows.column(c)] for c in ("terms", "more", "tf")]
+    known = np.unique(np.concatenate([np.zeros(0, np.int32), *(np.unique(np.frombuffer(x, np.int32)) for x in cells[2])]))
+
+    def parts(start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for a in range(start, end, TAKEN):
+            t, more, tf = ([np.frombuffer(column[i], np.int32) for i in order[a : min(a + TAKEN, end)]] for column in cells)
+            size = np.array([len(x) for x in t], np.int64)
+            shift = np.repeat(np.cumsum(size) - size, [len(x) for x in more])
+            yield size, np.concatenate(t), np.concatenate(more) + shift, np.searchsorted(known, np.concatenate(tf))
+
+    if len(order):
+        cluster = index.alike(df, len(order), parts)
+        order = order[np.argsort(cluster, kind="stable")]
+        bounds = np.append(0, np.cumsum(np.bincount(cluster)))
+        index.fill(key_[order], label_[order], lengths[order], 1 + np.log(known), bounds[np.append(True, np.diff(bounds) > 0)], parts)
+    del rows, cells
     shared = spark.sparkContext.broadcast(index)  # about FIT_ROWS vectors
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = shared.value
         for batch in batches:
             raws = []
-            for k, *cells in zip(batch.column(0).to_pylist(), *(batch.column(c) for c in ("terms", "more", "tf")), strict=True):
-                t, more, tf = (np.frombuffer(c.as_buffer(), np.int32) for c in cells)
-                counts = np.ones(len(t))
-                counts[more] = tf
-                raws.append(near.raw(*near.nearest(t, near.weigh(t, counts)[0], k)))
+            for rows in groups(zip(batch.column(0).to_pylist(), *(batch.column(c) for c in ("terms", "more", "tf")), strict=True), TOGETHER):
+                texts = []
+                for k, *cells in rows:
+                    t, more, tf = (np.frombuffer(c.as_buffer(), np.int32) for c in cells)
+                    counts = np.ones(len(t))
+                    counts[more] = tf
+                    texts.append((t, near.weigh(t, counts)[0], k))
+                raws += [near.raw(*found) for found in near.nearest_of(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(raws, pa.float64()), batch.column(1)], names=["raw", "label"])
+        near.matrices.clear()  # a worker outlives its tasks
 
     loo = made.select("key", "label", "terms", "more", "tf").mapInArrow(others, "raw double, label bigint").toArrow()
     raw, y = (np.asarray(loo.column(c).combine_chunks()) for c in ("raw", "label"))
@@ -337,10 +428,10 @@ def learn(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, m
 def score_batch(index: Index, scores: Scores, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
     """Scores from 0 to 1, and the keys of the nearest examples."""
     s, why = np.full(len(texts), scores.no_term), [[]] * len(texts)
-    for i, t, w in index.vectors(texts):
-        found, sims = index.nearest(t, w)
-        if len(found):
-            s[i], why[i] = scores.of(index.raw(found, sims)), index.key[found].tolist()
+    for some in groups(index.vectors(texts), TOGETHER):
+        for (i, _, _), (found, sims) in zip(some, index.nearest_of([(t, w, None) for _, t, w in some]), strict=True):
+            if len(found):
+                s[i], why[i] = scores.of(index.raw(found, sims)), index.key[found].tolist()
     return np.clip(s, 0, 1), why
 
 
@@ -354,6 +445,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             s, why = score_batch(shared.value, scores, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, pa.list_(pa.int64()))], names=[key, "held_out", "score", "predicted", "evidence"])
+        shared.value.matrices.clear()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int, evidence array<bigint>")
 
@@ -365,5 +457,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(score_batch(shared.value, scores, batch.column(text))[0] < threshold))
+        shared.value.matrices.clear()
 
     return docs.mapInArrow(run, docs.schema)

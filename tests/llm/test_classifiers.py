@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -108,6 +109,66 @@ def test_block_max_search_is_exact():
         assert docs_.tolist() == want and np.allclose(got, sims[want])
 
 
+@pytest.mark.parametrize(("frequent", "matrix_rows", "dense"), [(0.05, 1 << 9, 0.0), (0.2, 8, 1.0), (1.0, 8, 0.5)])
+def test_clusters_change_nothing(monkeypatch, frequent, matrix_rows, dense):
+    """The examples in clusters, in parts, with levels: the same neighbours as brute force, for many texts at once."""
+    monkeypatch.setattr(tox, "FREQUENT", frequent)
+    monkeypatch.setattr(tox, "MATRIX_ROWS", matrix_rows)
+    monkeypatch.setattr(tox, "DENSE", dense)
+    monkeypatch.setattr(tox, "SHORT", 6)
+    rng = np.random.default_rng(6)
+    n, m = 600, 240
+    tongue = rng.integers(0, 3, n)  # terms of three languages, some in all
+    tf = np.where(rng.random((n, m)) < np.where((np.arange(m) % 4 == tongue[:, None]) | (np.arange(m) % 4 == 3), 0.25, 0.01), rng.integers(1, 5, (n, m)), 0)
+    tf[:5] = tf[5:10]  # equal cosines
+    tf = tf[tf.any(axis=1)]
+    n = len(tf)
+    index = tox.Index(np.arange(m, dtype=np.uint64), (tf > 0).sum(axis=0).astype(float), n, 0.1)
+    weights = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0) * index.idf
+    lengths = np.linalg.norm(weights, axis=1)
+    dense_rows = weights / lengths[:, None]
+    order = np.arange(n)
+
+    def parts(start, end):
+        for a in range(start, end, 70):
+            rows = [tf[i] for i in order[a : min(a + 70, end)]]
+            term = [np.flatnonzero(r) for r in rows]
+            count = np.concatenate([r[t] for r, t in zip(rows, term, strict=True)])
+            more = np.flatnonzero(count > 1)
+            yield np.array([len(t) for t in term]), np.concatenate(term), more, count[more] - 2
+
+    cluster = index.alike((tf > 0).sum(axis=0).astype(float), n, parts)
+    assert len(cluster) == n and len(set(cluster.tolist())) > 1
+    order = np.argsort(cluster, kind="stable")
+    bounds = np.unique(np.append(0, np.cumsum(np.bincount(cluster))))
+    index.fill(order, np.zeros(n), lengths[order], 1 + np.log(np.arange(2, 5)), bounds, parts)
+    texts = [(np.flatnonzero(r), r[np.flatnonzero(r)], i if i % 2 else None) for i, r in enumerate(dense_rows)]
+    for (i, sims), (found, got) in zip(enumerate(dense_rows @ dense_rows.T), index.nearest_of(texts), strict=True):
+        want = [j for j in np.lexsort((np.arange(n), -np.round(sims, 12))) if sims[j] > 0 and not (i % 2 and j == i)][: tox.NEIGHBOURS]
+        assert index.key[found].tolist() == want and np.allclose(got, sims[want])
+
+
+def test_index_is_made_within_little_memory():
+    """The lists are filled part by part: nothing as long as all the examples' terms is held beside them."""
+    rng = np.random.default_rng(7)
+    n, m, size = 6000, 50_000, 300
+    rows = [np.sort(rng.choice(m, size, replace=False)).astype(np.int32) for _ in range(50)]
+    none = np.zeros(0, np.int64)
+
+    def parts(start, end):
+        for a in range(start, end, tox.TAKEN):
+            some = [rows[i % 50] for i in range(a, min(a + tox.TAKEN, end))]
+            yield np.full(len(some), size), np.concatenate(some), none, none
+
+    index = tox.Index(np.arange(m, dtype=np.uint64), np.full(m, 9.0), n, 0.1)
+    tracemalloc.start()
+    index.fill(np.arange(n), np.zeros(n), np.ones(n), np.zeros(0), np.array([0, n]), parts)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(index.entry) + len(index.own_term) == n * size
+    assert most < held + 8 * n * size, (held, most)
+
+
 def test_terms_see_beginnings():
     (_, _, h, d), = tox.terms(pa.array(["Loweix", None, "loweiyy"]))
     assert len(set(h[d == 0]) & set(h[d == 2])) == 2
