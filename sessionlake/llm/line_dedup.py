@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm import linking
 from sessionlake.llm.exact_dedup import fresh
-from sessionlake.llm.text import BASE, U64, minhash, mix, powers, runs, utf8
+from sessionlake.llm.text import BASE, U64, keep_room, minhash, mix, powers, runs, utf8
+
+keep_room()
 
 Q, PERCENT, MIN_CHARS = 8, 75, 1
 BANDS, ROWS, CUT = 14, 3, 20

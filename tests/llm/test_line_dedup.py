@@ -1,6 +1,9 @@
 """Operator 1 against brute force over all pairs of lines."""
 
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -164,3 +167,21 @@ def test_a_members_set_is_read_once_for_all_its_nodes(monkeypatch):
                     if a < b and a % 4 % 3 != b % 4 % 3 and alike(a, b) and joined.join(a % 4 % 3, b % 4 % 3):
                         want.append((b, a))
         assert want and got == want
+
+
+def test_lines_are_read_in_memory_that_stays():
+    """Once some texts are read, the next ones need few new pages of the system, in a fresh process as in a worker."""
+    code = """
+import resource
+import pyarrow as pa
+from sessionlake.llm import line_dedup
+texts = pa.array(["\\n".join(f"line {i} of text {j} with some words" for i in range(60)) for j in range(1500)])
+faults = []
+for _ in range(4):
+    for _ in line_dedup.line_runs(texts):
+        pass
+    faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt)
+print(faults[-1] - faults[-2])
+"""
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(linking.__file__).parents[2])
+    assert int(found.stdout) < 5000  # 4 KB each; the texts are 3 MB, their arrays over 100 MB
