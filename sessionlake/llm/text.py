@@ -34,6 +34,16 @@ def keep_room(large: int = 32 << 20, kept: int = 64 << 20) -> None:
     _malloc(large, kept)
 
 
+def give_back() -> None:
+    """Return all free memory to the system, at the end of a task whose arrays `keep_room` kept for the next texts."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 pa.set_memory_pool(pa.system_memory_pool())
 _malloc(2 << 20, 128 << 10)  # a Python worker outlives its tasks
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.config import storage_root
 from sessionlake.llm.lang_centroids import held_out
-from sessionlake.llm.text import LOWER, U64, keep_room, prefix_hash, range_hash, runs, utf8, words
+from sessionlake.llm.text import LOWER, U64, give_back, keep_room, prefix_hash, range_hash, runs, utf8, words
 
 keep_room()
 
@@ -47,9 +47,9 @@ CLUSTERS, SEEN, MADE_FROM, ROUNDS = 8, 512, 2000, 8
 #: Terms in more than this share of a cluster are frequent there, and rows of its matrix: the most frequent ones, if there are more than it holds.
 FREQUENT, MATRIX_ROWS = 1 / 12, 3 << 9
 #: Lists of fewer examples are read together.
-SHORT = 256
+SHORT = 192
 #: A text with fewer than this share of a matrix's terms reads only their rows.
-DENSE = 1 / 12
+DENSE = 1 / 24
 #: Texts that the matrix is multiplied with at once, and examples that are put into lists at once.
 TOGETHER, TAKEN = 128, 512
 #: Byte lengths of the word beginnings that are terms beside the words themselves.
@@ -113,11 +113,11 @@ def lift(df: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
     return 1 + LIFT * np.maximum(0, low - base)
 
 
-def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The positions of ranges [start, end) one after another, and the range that each is in."""
-    size = end - start
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(which)) + np.repeat(start - (np.cumsum(size) - size), size), which
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions of ranges one after another."""
+    out = np.repeat(start - (np.cumsum(size) - size), size)
+    out += np.arange(len(out))
+    return out
 
 
 def groups(items: Iterator, size: int) -> Iterator[list]:
@@ -135,19 +135,30 @@ class Index:
 
     def __init__(self, vocab: np.ndarray, df: np.ndarray, n_examples: int, base: float, factor: np.ndarray | float = 1.0):
         self.vocab, self.base = vocab, base
+        bits = len(vocab).bit_length()
+        self.cut = U64(64 - max(1, bits))
+        self.begin = np.minimum(np.searchsorted(vocab, np.arange(1 << max(1, bits), dtype=U64) << self.cut), max(0, len(vocab) - 1)).astype(np.int32)
         self.idf = np.log((1 + n_examples) / (0.5 + df)) * factor  # over 0 for every term
         self.n, self.label, self.key = 0, np.zeros(0), np.zeros(0, np.int64)
         self.matrices: list[np.ndarray] = []  # made where they are used
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        """Where each hash is in the vocabulary, if it is there: from where its first bits begin, on past the smaller ones."""
+        at = self.begin.take((h >> self.cut).astype(np.int64)).astype(np.int64)
+        late = np.flatnonzero(self.vocab.take(at) < h)
+        while len(late):
+            at[late] += 1
+            late = late[at[late] < len(self.vocab)]
+            late = late[self.vocab.take(at[late]) < h[late]]
+        return np.minimum(at, len(self.vocab) - 1)
+
     def counts(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(document, terms, their counts) of the documents that have a term."""
         if not len(self.vocab):
             return
         for a, _, h, d in terms(texts):
-            h, back = np.unique(h, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-            at = np.where(self.vocab[at] == h, at, -1)[back]
-            sure = np.flatnonzero(at >= 0)
+            at = self.place(h)
+            sure = np.flatnonzero(self.vocab.take(at) == h)
             cell, tf = np.unique(d[sure].astype(np.int64) * len(self.vocab) + at[sure], return_counts=True)
             doc, term = np.divmod(cell, len(self.vocab))
             edge = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
@@ -196,41 +207,50 @@ class Index:
 
     def fill(self, keys: np.ndarray, labels: np.ndarray, lengths: np.ndarray, levels: np.ndarray, bounds: np.ndarray, parts: Parts) -> None:
         """`build` with a weight as the term's idf, over the vector's length, times one of the ``levels``, and clusters of the examples
-        from one of the ``bounds`` to the next. A list's entry is an example and, from bit `shift` on, which level it is. Only one
+        from one of the ``bounds`` to the next. A term has two lists: the examples where its level is 1, and the others with theirs. Only one
         part's terms are held beside the lists."""
         self.key, self.label, self.n, self.times = np.array(keys, np.int64), np.array(labels, float), len(lengths), 1 / lengths
         self.rank = np.empty(self.n, np.int64)
         self.rank[np.argsort(self.key, kind="stable")] = np.arange(self.n)
-        self.levels, self.shift = np.append(1.0, levels), max(1, self.n).bit_length()
+        self.levels = np.append(1.0, levels)
         # a cluster's frequent terms: lists by example; its other terms: lists by term
         self.bounds, self.rows = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), [0]
-        self.slot = np.full((len(self.bounds), len(self.vocab)), -1, np.int16)
-        held, n_own = np.zeros(len(self.vocab), np.int64), 0
-        for slots, (lo, hi) in zip(self.slot, self.bounds, strict=True):
-            here = np.zeros(len(held), np.int64)
-            for _, term, _, _ in parts(lo, hi):
-                here += np.bincount(term, minlength=len(held))
-            often = np.flatnonzero(here > FREQUENT * (hi - lo))
-            often = np.sort(often[np.argsort(-here[often], kind="stable")[:MATRIX_ROWS]])
+        slot = np.full((len(self.bounds), len(self.vocab)), -1, np.int16)
+        held, n_own = np.zeros((2, len(self.vocab)), np.int64), 0
+        for slots, (lo, hi) in zip(slot, self.bounds, strict=True):
+            here = np.zeros_like(held)
+            for _, term, more, _ in parts(lo, hi):
+                there = np.bincount(term[more], minlength=here.shape[1])
+                here += np.stack([np.bincount(term, minlength=here.shape[1]) - there, there])
+            both = here.sum(axis=0)
+            often = np.flatnonzero(both > FREQUENT * (hi - lo))
+            often = np.sort(often[np.argsort(-both[often], kind="stable")[:MATRIX_ROWS]])
             slots[often] = self.rows[-1] + np.arange(len(often))
             self.rows.append(self.rows[-1] + len(often))
-            n_own += int(here[often].sum())
-            here[often] = 0
+            n_own += int(both[often].sum())
+            here[:, often] = 0
             held += here
-        level_type = np.min_scalar_type(len(levels))
-        self.first = np.append(0, np.cumsum(held))
-        self.entry = np.empty(self.first[-1], np.uint32 if len(levels) >> (32 - self.shift) == 0 else np.uint64)
+        level_type, doc_type = np.min_scalar_type(len(levels)), np.min_scalar_type(max(1, self.n))
+        self.slot_held = (slot >= 0).sum(axis=0, dtype=np.int32)
+        self.slot_first, self.slot_of = np.cumsum(self.slot_held, dtype=np.int32) - self.slot_held, slot.T[slot.T >= 0]
+        self.first, self.more_first = (np.append(0, np.cumsum(x)) for x in held)
+        self.held, self.more_held = held.astype(np.int32)
+        self.entry, self.more_entry = (np.empty(x[-1], doc_type) for x in (self.first, self.more_first))
+        self.more_level = np.empty(len(self.more_entry), level_type)
         self.own_term, self.own_level = np.empty(n_own, np.int16), np.empty(n_own, level_type)
-        to, own, sizes = self.first[:-1].copy(), 0, [np.zeros(0, np.int64)]
-        for slots, (lo, hi) in zip(self.slot, self.bounds, strict=True):
+        to, more_to, own, sizes = self.first[:-1].copy(), self.more_first[:-1].copy(), 0, [np.zeros(0, np.int64)]
+        for slots, (lo, hi) in zip(slot, self.bounds, strict=True):
             for size, term, more, level in parts(lo, hi):
-                doc, slot, levels_ = np.repeat(np.arange(lo, lo + len(size)), size), slots[term], np.zeros(len(term), np.int64)
+                doc, row, levels_ = np.repeat(np.arange(lo, lo + len(size)), size), slots[term], np.zeros(len(term), np.int64)
                 levels_[more] = level + 1
-                at = np.flatnonzero(slot < 0)
+                at = np.flatnonzero((row < 0) & (levels_ == 0))
                 order, where = self.places(to, term[at])
-                self.entry[where] = (doc[at] | levels_[at] << self.shift)[order]
-                at = np.flatnonzero(slot >= 0)
-                self.own_term[own : own + len(at)], self.own_level[own : own + len(at)] = slot[at], levels_[at]
+                self.entry[where] = doc[at][order]
+                at = np.flatnonzero((row < 0) & (levels_ > 0))
+                order, where = self.places(more_to, term[at])
+                self.more_entry[where], self.more_level[where] = doc[at][order], levels_[at][order]
+                at = np.flatnonzero(row >= 0)
+                self.own_term[own : own + len(at)], self.own_level[own : own + len(at)] = row[at], levels_[at]
                 sizes.append(np.bincount(doc[at] - lo, minlength=len(size)))
                 lo, own = lo + len(size), own + len(at)
         self.own_first = np.append(0, np.cumsum(np.concatenate(sizes)))
@@ -253,22 +273,21 @@ class Index:
         some = np.flatnonzero(end > start)
         sums = np.zeros(len(which))
         if len(some):
-            each = query[np.concatenate([self.own_term[x] for x in own])] * self.levels[np.concatenate([self.own_level[x] for x in own])]
+            each = query.take(np.concatenate([self.own_term[x] for x in own], dtype=np.int64))
+            each *= self.levels.take(np.concatenate([self.own_level[x] for x in own], dtype=np.int64))
             sums[some] = np.add.reduceat(each, (np.cumsum(end - start) - (end - start))[some])
         return self.times[which] * (part[which] + sums)
 
     def read(self, rare: np.ndarray, times: np.ndarray) -> np.ndarray:
         """For each example the sum of ``times``, by its levels, over the terms in whose lists it is."""
-        start, end = self.first[rare], self.first[rare + 1]
-        order = np.argsort(end - start >= SHORT, kind="stable")
-        start, end = start[order], end[order]
-        size = end - start
-        n_short = np.count_nonzero(size < SHORT)
-        entry = np.concatenate([self.entry[spans(start[:n_short], end[:n_short])[0]], *(self.entry[i:j] for i, j in zip(start[n_short:].tolist(), end[n_short:].tolist(), strict=True))])
-        by = np.repeat(times[order], size)
-        more = np.flatnonzero(entry >> self.shift)
-        by[more] *= self.levels[entry[more] >> self.shift]
-        return np.bincount((entry & ((1 << self.shift) - 1)).astype(np.int64), by, minlength=self.n)
+        start, size, more = self.first.take(rare), self.held.take(rare), self.more_held.take(rare)
+        short, long, more_ = np.flatnonzero((size > 0) & (size < SHORT)), np.flatnonzero(size >= SHORT), np.flatnonzero(more)
+        at, more_at = ranges(start[short], size[short]), ranges(self.more_first.take(rare[more_]), more[more_])
+        starts, sizes = start[long], size[long]
+        docs = [self.entry.take(at), *(self.entry[i:j] for i, j in zip(starts.tolist(), (starts + sizes).tolist(), strict=True)), self.more_entry.take(more_at)]
+        by = np.repeat(times[np.concatenate([short, long, more_])], np.concatenate([size[short], sizes, more[more_]]))
+        by[len(by) - len(more_at) :] *= self.levels.take(self.more_level.take(more_at))
+        return np.bincount(np.concatenate(docs, dtype=np.int64), by, minlength=self.n)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The nearest examples and their cosines, all that share a term if there are fewer; none of key ``without``."""
@@ -280,18 +299,19 @@ class Index:
             return [(np.zeros(0, np.int64), np.zeros(0)) for _ in texts]
         if not self.matrices:
             for lo, hi, low, high in zip(*zip(*self.bounds, strict=True), self.rows, self.rows[1:], strict=False):
-                own = slice(self.own_first[lo], self.own_first[hi])
-                doc = np.repeat(np.arange(hi - lo), np.diff(self.own_first[lo : hi + 1]))
                 self.matrices.append(np.zeros((high - low, hi - lo), np.float32))
-                self.matrices[-1][self.own_term[own] - low, doc] = self.levels[self.own_level[own]] * self.times[lo + doc]
+                for i in range(lo, hi, TAKEN):
+                    j = min(i + TAKEN, hi)
+                    own = slice(self.own_first[i], self.own_first[j])
+                    doc = np.repeat(np.arange(i, j), np.diff(self.own_first[i : j + 1]))
+                    self.matrices[-1][self.own_term[own] - low, doc - lo] = self.levels[self.own_level[own]] * self.times[doc]
         queries, rares = np.zeros((len(texts), self.rows[-1])), []
         for query, (t, w, _) in zip(queries, texts, strict=True):
             by = w * self.idf[t]
-            slot = self.slot[:, t]
-            _, at = np.nonzero(slot >= 0)
-            query[slot[slot >= 0]] = by[at]
-            listed = self.first[t + 1] > self.first[t]
-            rares.append((t[listed], by[listed]))
+            many = self.slot_held.take(t)
+            often = np.flatnonzero(many)
+            query[self.slot_of.take(ranges(self.slot_first.take(t[often]), many[often]))] = np.repeat(by[often], many[often])
+            rares.append((t, by))
         sums, single = np.zeros((len(texts), self.n), np.float32), queries.astype(np.float32)
         for matrix, (lo, hi), low, high in zip(self.matrices, self.bounds, self.rows, self.rows[1:], strict=False):
             part = single[:, low:high]
@@ -410,6 +430,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) ->
                 raws += [near.raw(*found) for found in near.nearest_of(texts)]
             yield pa.RecordBatch.from_arrays([pa.array(raws, pa.float64()), batch.column(1)], names=["raw", "label"])
         near.matrices.clear()  # a worker outlives its tasks
+        give_back()
 
     loo = made.select("key", "label", "terms", "more", "tf").mapInArrow(others, "raw double, label bigint").toArrow()
     raw, y = (np.asarray(loo.column(c).combine_chunks()) for c in ("raw", "label"))
@@ -446,6 +467,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             s, why = score_batch(shared.value, scores, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(why, pa.list_(pa.int64()))], names=[key, "held_out", "score", "predicted", "evidence"])
         shared.value.matrices.clear()
+        give_back()
 
     return rows.mapInArrow(run, f"`{key}` {kind}, held_out boolean, score double, predicted int, evidence array<bigint>")
 
@@ -458,5 +480,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         for batch in batches:
             yield batch.filter(pa.array(score_batch(shared.value, scores, batch.column(text))[0] < threshold))
         shared.value.matrices.clear()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

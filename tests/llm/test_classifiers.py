@@ -169,6 +169,29 @@ def test_index_is_made_within_little_memory():
     assert most < held + 8 * n * size, (held, most)
 
 
+def test_lists_hold_repeated_terms_apart():
+    """Most of a list has the level 1, so it is read without levels; before, each entry held its level."""
+    rng = np.random.default_rng(4)
+    n, m = 300, 2000
+    tf = np.where(rng.random((n, m)) < 0.02, rng.integers(1, 4, (n, m)), 0)
+    tf[:, 0] = 2  # in the matrix
+    vocab = np.sort(rng.integers(0, 1 << 63, m)).astype(np.uint64) * np.uint64(2)
+    index = tox.Index(vocab, np.full(m, 5.0), n, 0.1)
+    assert (index.place(vocab) == np.arange(m)).all() and not np.isin(vocab[index.place(vocab + np.uint64(1))], vocab + np.uint64(1)).any()
+
+    def parts(start, end):
+        term = [np.flatnonzero(r) for r in tf[start:end]]
+        count = np.concatenate([r[r > 0] for r in tf[start:end]])
+        yield np.array([len(t) for t in term]), np.concatenate(term), np.flatnonzero(count > 1), count[count > 1] - 2
+
+    index.fill(np.arange(n), np.zeros(n), np.ones(n), 1 + np.log(np.arange(2, 4)), np.array([0, n]), parts)
+    assert len(index.entry) == (tf[:, 1:] == 1).sum() and len(index.more_entry) == (tf[:, 1:] > 1).sum()
+    some, times = np.arange(0, m, 3), rng.random(len(range(0, m, 3)))
+    level = np.where(tf > 0, 1 + np.log(np.maximum(tf, 1)), 0)
+    level[:, 0] = 0
+    assert np.allclose(index.read(some, times), level[:, some] @ times)
+
+
 def test_terms_see_beginnings():
     (_, _, h, d), = tox.terms(pa.array(["Loweix", None, "loweiyy"]))
     assert len(set(h[d == 0]) & set(h[d == 2])) == 2

@@ -185,3 +185,20 @@ print(faults[-1] - faults[-2])
 """
     found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(linking.__file__).parents[2])
     assert int(found.stdout) < 5000  # 4 KB each; the texts are 3 MB, their arrays over 100 MB
+
+
+def test_free_memory_goes_back_at_a_tasks_end():
+    """A worker of the pipeline runs other stages' tasks next, so what was kept for the next texts must not stay."""
+    code = """
+import numpy as np
+from sessionlake.llm.text import give_back, keep_room
+keep_room()
+held = lambda: int(open("/proc/self/statm").read().split()[1]) >> 8
+rows = [np.ones(1 << 17) for _ in range(200)]
+rows = rows[::20]
+before = held()
+give_back()
+print(before - held())
+"""
+    found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(linking.__file__).parents[2])
+    assert int(found.stdout) > 100  # of 190 MB
