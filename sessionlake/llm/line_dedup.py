@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.llm import linking
 from sessionlake.llm.exact_dedup import fresh
-from sessionlake.llm.text import BASE, U64, keep_room, minhash, mix, powers, runs, utf8
+from sessionlake.llm.text import BASE, U64, give_back, keep_room, minhash, mix, powers, runs, utf8
 
 keep_room()
 
@@ -40,6 +41,8 @@ BANDS, ROWS, CUT = 14, 3, 20
 VALUES = BANDS * ROWS
 SEED = 1
 
+#: Bytes of texts whose lines are read at once: their arrays fit a processor's cache.
+RUN_BYTES = 1 << 18
 #: A 64-bit key for every code point; A-Z take those of a-z.
 CHAR_KEYS = mix(np.arange(1, 0x110001, dtype=U64))
 CHAR_KEYS[65:91] = CHAR_KEYS[97:123]
@@ -51,22 +54,25 @@ class Lines:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        lead = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-        first = lead[offsets]  # offsets in code points
+        first = offsets if len(chars) == len(data) else np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]  # in code points
         brk = chars == NEWLINE
-        space = (chars == 32) | ((chars >= 9) & (chars <= 13) & ~brk)
-        chars = np.where(space, np.uint32(32), chars)
+        other = (chars - np.uint32(9) <= 4) & ~brk  # white space that is no space
+        if other.any():
+            chars = np.where(other, np.uint32(32), chars)
+        space = chars == 32
         for after in (True, False):  # drop spaces after a space or a break, then those before a break
-            edge = brk | space
             bounds = np.zeros(len(chars) + 1, bool)
             bounds[first] = True
             drop = space.copy()
             if after:
-                drop[1:] &= edge[:-1] | bounds[1:-1]
+                drop[1:] &= brk[:-1] | space[:-1] | bounds[1:-1]
             else:
                 drop[:-1] &= brk[1:] | bounds[1:-1]
-            first = np.append(0, np.cumsum(~drop))[first]
-            chars, brk, space = chars[~drop], brk[~drop], space[~drop]
+            gone = np.flatnonzero(drop)
+            if len(gone):
+                first = first - np.searchsorted(gone, first)
+                keep = ~drop
+                chars, brk, space = chars[keep], brk[keep], space[keep]
         self.chars = chars
         at = np.flatnonzero(brk)
         doc_of_break = np.searchsorted(first, at, side="right") - 1
@@ -110,7 +116,7 @@ class Lines:
 def line_runs(texts: pa.Array, least: int = MIN_CHARS) -> Iterator[tuple[int, Lines, np.ndarray, np.ndarray]]:
     """(first document, lines, which have ``least`` characters, ids of these) of run after run of documents."""
     data, offsets = utf8(texts)
-    for a, b in runs(offsets, 1 << 20):
+    for a, b in runs(offsets, RUN_BYTES):
         lines = Lines(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         which = np.flatnonzero(lines.end - lines.start >= least)
         yield a, lines, which, lines.ids()[which]
@@ -137,21 +143,6 @@ def read_set(data: bytes) -> np.ndarray:
     return out[np.append(True, out[1:] != out[:-1])] if len(out) else out  # np.unique's table takes longer
 
 
-def bands(texts: DataFrame) -> DataFrame:
-    """(node, id): a row for each band of each line that may have near copies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, lines, which, ids in line_runs(batch.column(0), Q):
-                ids, first = np.unique(ids, return_index=True)
-                sig = signature(lines, which[first])
-                for k in range(BANDS):
-                    node = linking.fold(np.full(len(ids), k), *(sig[:, k * ROWS + r] for r in range(ROWS)))
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(ids)], names=["node", "id"])
-
-    return texts.mapInArrow(run, "node bigint, id bigint")
-
-
 def chosen_paths(rows: DataFrame, level: int) -> DataFrame:
     """(node, id): two children of each row of a large node, by minwise values that the node chooses."""
 
@@ -169,15 +160,34 @@ def chosen_paths(rows: DataFrame, level: int) -> DataFrame:
 
 
 def places(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, place, pos, id): where each line that takes part stands."""
+    """(doc_id, place, pos, id, nodes): where each line that takes part stands, and the nodes of its bands as 64-bit
+    numbers. A line that can't have near copies has none, nor has one that stands before in the same run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             keys, place = np.asarray(batch.column(0)), np.asarray(batch.column(2))
             for a, lines, which, ids in line_runs(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a + lines.doc[which]]), pa.array(place[a + lines.doc[which]]), pa.array(lines.pos[which].astype(np.int32)), pa.array(ids)], names=["doc_id", "place", "pos", "id"])
+                long = np.flatnonzero(lines.end[which] - lines.start[which] >= Q)
+                banded = np.sort(long[np.unique(ids[long], return_index=True)[1]])
+                sig = signature(lines, which[banded])
+                nodes = np.stack([linking.fold(np.full(len(banded), k), *(sig[:, k * ROWS + r] for r in range(ROWS))) for k in range(BANDS)], axis=1)
+                size = np.zeros(len(which) + 1, np.int32)
+                size[banded + 1] = 8 * BANDS
+                cells = pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(np.cumsum(size, dtype=np.int32)), pa.py_buffer(nodes.tobytes())])
+                doc = a + lines.doc[which]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(place[doc]), pa.array(lines.pos[which].astype(np.int32)), pa.array(ids), cells], names=["doc_id", "place", "pos", "id", "nodes"])
+        give_back()
+
+    rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("place"))
+    return rows.mapInArrow(run, "doc_id bigint, place bigint, pos int, id bigint, nodes binary")
+
 
-    return docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("place")).mapInArrow(run, "doc_id bigint, place bigint, pos int, id bigint")
+def banded(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a batch of `places` and the id of each."""
+    lines, column = np.asarray(batch.column("id")), batch.column("nodes")
+    size = np.asarray(pc.binary_length(column)) // 8
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64), np.repeat(lines, size)
 
 
 def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
@@ -188,6 +198,7 @@ def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
             for _, lines, which, found in line_runs(batch.column(0), Q):
                 found, first = np.unique(found, return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([lines.text(i) for i in which[first]], pa.binary())], names=["id", "data"])
+        give_back()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,6 +213,7 @@ def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
                 at = np.arange(first[-1]) + np.repeat(np.append(0, ends)[:-1] - first[:-1], n_sh)
                 sig = minhash(mix((sums[at + Q] - sums[at]) * down[at]), first[:-1], VALUES, SEED)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sig], pa.binary()), batch.column(1)], names=["id", "sig", "data"])
+        give_back()
 
     made = docs.select(text).mapInArrow(run, "id bigint, data binary")
     return made.join(linking.small_side(ids, n), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sign, "id bigint, sig binary, data binary")
@@ -210,13 +222,14 @@ def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
 def line_classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Places (doc_id, place, pos, id) of lines, and (id, component) of lines that have near copies."""
     docs = docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
-    nodes = linking.stored(linking.shared_nodes(bands(docs.select(text))), "line-nodes")
+    at = linking.stored(places(docs, key, text), "line-places")
+    nodes = linking.shared_packed(at.select("id", "nodes"), banded, BANDS * at.count())
     ids = linking.stored(nodes.select("id").distinct(), "line-ids")
     lines = linking.stored(candidates(docs, text, ids, ids.count()), "lines")
     sets = lambda few, n: lines.select("id", "data").join(linking.small_side(few, n), "id", "left_semi")
     items = linking.Items(lines.select("id", "sig"), sets, read_signatures, read_set, CUT, PERCENT)
     _, comp = linking.resolve(nodes, items, chosen_paths)
-    return linking.stored(places(docs, key, text), "line-places"), comp
+    return at.drop("nodes"), comp
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

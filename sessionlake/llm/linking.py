@@ -42,6 +42,8 @@ BROADCAST_ROWS = 1_000_000
 MEMO_HASHES = 4_000_000
 #: Members of a node times distinct elements of their sets up to which all pairs are counted by one product.
 CELLS = 4_000_000
+#: Pairs of a node and an id in a part of the nodes, and pairs that a task packs or holds at once.
+PART_PAIRS, PACKED = 1 << 18, 1 << 20
 #: Edges that one task contracts.
 PART_EDGES = 500_000
 
@@ -163,6 +165,85 @@ def shared_nodes(rows: DataFrame) -> DataFrame:
     return sorted_rows.mapInArrow(run, "node bigint, id bigint")
 
 
+def _dealt(read: Callable, parts: int) -> Callable:
+    """(part, nodes, ids): the pairs of batches, `PACKED` or so at a time, as numbers by the part of their node."""
+
+    def deal(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        node, ids = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        part = ((node.view(U64) >> U64(32)) % U64(parts)).astype(np.min_scalar_type(parts))
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.diff(part.astype(np.int64), prepend=-1))
+        ends = pa.py_buffer((8 * np.append(first, len(part))).astype(np.int32))
+        cells = [pa.Array.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x[order].tobytes())]) for x in (node, ids)]
+        return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), *cells], names=["part", "nodes", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(read(batch))
+            n += len(held[-1][0])
+            if n > PACKED:
+                yield deal(held)
+                held, n = [], 0
+        if n:
+            yield deal(held)
+
+    return run
+
+
+def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, in order."""
+    node, ids = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+    order = np.lexsort((ids, node))
+    node, ids = node[order], ids[order]
+    new = np.ones(len(node), bool)
+    new[1:] = (node[1:] != node[:-1]) | (ids[1:] != ids[:-1])
+    return node[new], ids[new]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, id, open) of rows sorted by part: the distinct pairs of nodes with two ids or more; of a part with more than `PACKED`
+    distinct pairs all that are left are open, with repeats."""
+
+    def out(node: np.ndarray, ids: np.ndarray, is_open: bool) -> pa.RecordBatch:
+        if not is_open:
+            same = node[1:] == node[:-1]
+            keep = np.append(False, same) | np.append(same, False) if len(node) else np.zeros(0, bool)
+            node, ids = node[keep], ids[keep]
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(ids), pa.array(np.full(len(node), is_open))], names=["node", "id", "open"])
+
+    own, held, n, is_open = None, [], 0, False
+    for batch in batches:
+        for part, nodes, ids in zip(*(batch.column(c) for c in ("part", "nodes", "ids")), strict=True):
+            if part.as_py() != own:
+                if held:
+                    yield out(*_distinct(held), is_open)
+                own, held, n, is_open = part.as_py(), [], 0, False
+            held.append(tuple(np.frombuffer(x.as_buffer(), np.int64) for x in (nodes, ids)))
+            n += len(held[-1][0])
+            if n > 2 * PACKED:
+                held = [_distinct(held)]
+                n = len(held[0][0])
+                if is_open or n > PACKED:
+                    yield out(*held[0], True)
+                    held, n, is_open = [], 0, True
+    if held:
+        yield out(*_distinct(held), is_open)
+
+
+def shared_packed(rows: DataFrame, read: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], n: int) -> DataFrame:
+    """`shared_nodes`, stored, of the pairs (nodes, ids) that ``read`` finds in batches of rows, about ``n`` in all.
+
+    Pairs travel packed by parts of the nodes, about `PART_PAIRS` in each, as a row for each costs more than the work on it.
+    A part with very many pairs of its own (of a large node, say) goes the way of single rows.
+    """
+    dealt = rows.mapInArrow(_dealt(read, max(1, -(-n // PART_PAIRS))), "part bigint, nodes binary, ids binary")
+    found = stored(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_shared, "node bigint, id bigint, open boolean"), "shared")
+    nodes, rest = found.filter("not open").select("node", "id"), found.filter("open")
+    return nodes if rest.isEmpty() else stored(nodes.unionByName(shared_nodes(rest)), "shared")
+
+
 # -- candidates and links ---------------------------------------------------------
 
 
@@ -549,6 +630,10 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         rows = labelled(rows, comp).select("node", "id", "sig", "comp").repartition("node").sortWithinPartitions("node", "id")
         rows = stored(rows.mapInArrow(_partners(items.read_signatures, items.cut), "node bigint, id bigint, comp bigint"), "partners")
         if not rows.isEmpty():
+            # the same partners met in several nodes need one comparison
+            one = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
+            one = stored(one.groupBy("n", "h").agg(F.min("node").alias("node")).select("node"), "partner-nodes")
+            rows = rows.join(small_side(one, one.count()), "node", "left_semi")
             rows = with_sets(rows, items).select("node", "id", "comp", "data").repartition("node").sortWithinPartitions("node", "id")
             found = found.unionByName(rows.mapInArrow(_exact_links(items.read_set, items.percent), PAIRS))
     for rows in waiting:

@@ -202,3 +202,23 @@ print(before - held())
 """
     found = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(linking.__file__).parents[2])
     assert int(found.stdout) > 100  # of 190 MB
+
+
+def test_packed_pairs_give_the_nodes_of_single_rows(spark, monkeypatch):
+    """Pairs travel packed; before, each was a row. A part with too many pairs goes on as single rows."""
+    rng = np.random.default_rng(5)
+    node, ids = rng.integers(0, 1 << 62, 700)[rng.integers(0, 700, 3000)], rng.integers(0, 300, 3000)
+    node[:900], node[900:905] = 5, -5  # a large node, part of it repeated
+    pairs = spark.createDataFrame(list(zip(node.tolist(), ids.tolist(), strict=True)), "node bigint, id bigint").repartition(3)
+    read = lambda batch: (np.asarray(batch.column(0)), np.asarray(batch.column(1)))
+    want = sorted(map(tuple, linking.shared_nodes(pairs).collect()))
+    for part_pairs, packed in ((1 << 18, 1 << 20), (100, 1 << 20), (100, 50), (5000, 200)):
+        monkeypatch.setattr(linking, "PART_PAIRS", part_pairs)
+        monkeypatch.setattr(linking, "PACKED", packed)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 97)
+        try:
+            got = sorted(map(tuple, linking.shared_packed(pairs, read, 3000).collect()))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert want and got == want
+    assert linking.shared_packed(pairs.limit(0), read, 0).collect() == []
