@@ -34,7 +34,7 @@ from sessionlake.llm import linking
 from sessionlake.llm.exact_dedup import fresh
 from sessionlake.llm.text import BASE, U64, give_back, keep_room, minhash, mix, powers, runs, utf8
 
-keep_room()
+keep_room(8 << 20)  # larger arrays are those of many lines
 
 Q, PERCENT, MIN_CHARS = 8, 75, 1
 BANDS, ROWS, CUT = 14, 3, 20
@@ -138,9 +138,12 @@ def read_set(data: bytes) -> np.ndarray:
     """The distinct shingles of a normalised line."""
     chars = code_points(data)
     up, down = powers(len(chars) + 1)
-    sums = np.append(U64(0), np.cumsum(CHAR_KEYS[chars] * up[:-1]))
-    out = np.sort((sums[Q:] - sums[:-Q]) * down[: len(chars) - Q + 1])
-    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out  # np.unique's table takes longer
+    sums = np.zeros(len(chars) + 1, U64)
+    np.cumsum(CHAR_KEYS.take(chars) * up[:-1], out=sums[1:])
+    out = (sums[Q:] - sums[:-Q]) * down[: len(chars) - Q + 1]
+    out.sort()
+    new = out[1:] != out[:-1]  # np.unique's table takes longer
+    return out if new.all() else out[np.append(True, new)]
 
 
 def chosen_paths(rows: DataFrame, level: int) -> DataFrame:

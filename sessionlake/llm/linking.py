@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionlake.config import storage_root
-from sessionlake.llm.text import U64, mix
+from sessionlake.llm.text import U64, give_back, mix
 
 #: Members of a node that are compared exhaustively, and pivots of a larger one.
 SMALL, PIVOTS = 2048, 8
@@ -43,7 +43,7 @@ MEMO_HASHES = 4_000_000
 #: Members of a node times distinct elements of their sets up to which all pairs are counted by one product.
 CELLS = 4_000_000
 #: Pairs of a node and an id in a part of the nodes, and pairs that a task packs or holds at once.
-PART_PAIRS, PACKED = 1 << 18, 1 << 20
+PART_PAIRS, PACKED = 1 << 17, 1 << 18
 #: Edges that one task contracts.
 PART_EDGES = 500_000
 
@@ -188,6 +188,7 @@ def _dealt(read: Callable, parts: int) -> Callable:
                 held, n = [], 0
         if n:
             yield deal(held)
+        give_back()
 
     return run
 
@@ -230,6 +231,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held, n, is_open = [], 0, True
     if held:
         yield out(*_distinct(held), is_open)
+    give_back()
 
 
 def shared_packed(rows: DataFrame, read: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], n: int) -> DataFrame:
@@ -371,10 +373,15 @@ class _Postings:
 def _links_of(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of sets x < y that share enough, in order."""
     size = np.array([len(s) for s in sets], np.int64)
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    if len(sets) * len(values) <= CELLS:  # all counts at once, by a product of 0/1 rows
-        held = np.zeros((len(sets), len(values)), np.float32)
-        held[np.repeat(np.arange(len(sets)), size), at] = 1
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")  # which merges the sorted sets
+    flat = flat[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    n = np.count_nonzero(new)
+    if len(sets) * n <= CELLS:  # all counts at once, by a product of 0/1 rows
+        held = np.zeros((len(sets), n), np.float32)
+        held[np.repeat(np.arange(len(sets)), size)[order], np.cumsum(new) - 1] = 1
         shared = (held @ held.T).astype(np.int64)
         return np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size - shared), 1))
     postings, x, y = _Postings(sets), [], []
@@ -412,6 +419,8 @@ def _exact_links(read_set: Callable, percent: int) -> Callable:
             x, y = x[apart], y[apart]
             keep = _forest_of(node, comp, x, y)
             yield _pairs_batch(ids[x[keep]], ids[y[keep]])
+        memo.clear()
+        give_back()
 
     return run
 
@@ -630,10 +639,6 @@ def resolve(nodes: DataFrame, items: Items, branch: Callable[[DataFrame, int], D
         rows = labelled(rows, comp).select("node", "id", "sig", "comp").repartition("node").sortWithinPartitions("node", "id")
         rows = stored(rows.mapInArrow(_partners(items.read_signatures, items.cut), "node bigint, id bigint, comp bigint"), "partners")
         if not rows.isEmpty():
-            # the same partners met in several nodes need one comparison
-            one = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
-            one = stored(one.groupBy("n", "h").agg(F.min("node").alias("node")).select("node"), "partner-nodes")
-            rows = rows.join(small_side(one, one.count()), "node", "left_semi")
             rows = with_sets(rows, items).select("node", "id", "comp", "data").repartition("node").sortWithinPartitions("node", "id")
             found = found.unionByName(rows.mapInArrow(_exact_links(items.read_set, items.percent), PAIRS))
     for rows in waiting:
