@@ -109,6 +109,14 @@ class Lines:
         _, down = powers(len(self.sums))
         return mix((self.sums[at + Q] - self.sums[at]) * down[at]), first[:-1]
 
+    def texts(self, which: np.ndarray) -> list[bytes]:
+        data = self.chars.tobytes().decode("utf-32-le").encode()
+        start, end = self.start[which], self.end[which]
+        if len(data) > len(self.chars):  # from code points to bytes
+            at = np.append(0, np.cumsum(1 + (self.chars > 0x7F) + (self.chars > 0x7FF) + (self.chars > 0xFFFF)))
+            start, end = at[start], at[end]
+        return [data[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+
     def text(self, i: int) -> bytes:
         return self.chars[self.start[i] : self.end[i]].tobytes().decode("utf-32-le").encode()
 
@@ -200,7 +208,7 @@ def candidates(docs: DataFrame, text: str, ids: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for _, lines, which, found in line_runs(batch.column(0), Q):
                 found, first = np.unique(found, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array([lines.text(i) for i in which[first]], pa.binary())], names=["id", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(lines.texts(which[first]), pa.binary())], names=["id", "data"])
         give_back()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -276,11 +276,11 @@ def _candidates(node: np.ndarray, comp: np.ndarray, sig: np.ndarray, cut: int) -
     while len(at):
         for part in np.array_split(at, -(-len(at) // 65536)):
             part = part[comp[part] != comp[part + step]]
-            n = (sig[part] == sig[part + step]).sum(axis=1)
-            ok = n >= cut
+            n = (sig[part] == sig[part + step]).sum(axis=1, dtype=np.uint16)
+            ok = np.flatnonzero(n >= cut)
             x.append(part[ok])
             y.append(part[ok] + step)
-            equal.append(n[ok])
+            equal.append(n[ok].astype(np.int64))
         step += 1
         at = at[left[at] >= step]
     return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (x, y, equal))

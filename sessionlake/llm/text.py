@@ -66,9 +66,19 @@ _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (so equal stays equal, distinct stays distinct)."""
     x = np.asarray(x, U64)
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    if x.ndim == 0:
+        x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
+        return x ^ (x >> U64(31))
+    out = x >> U64(30)  # in two arrays, as new ones cost more than the work on them
+    out ^= x
+    out *= U64(0xBF58476D1CE4E5B9)
+    other = out >> U64(27)
+    out ^= other
+    out *= U64(0x94D049BB133111EB)
+    np.right_shift(out, U64(31), out=other)
+    out ^= other
+    return out
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
