@@ -183,3 +183,81 @@ def test_the_streams_input_has_a_file_per_producer_and_slice(spark, tmp_path):
     catalog._write_stream_input(spark, str(tmp_path), f"{tmp_path}/input")
     folders = list(pathlib.Path(f"{tmp_path}/input").glob("producer=*/slice=*"))
     assert len(folders) > 4 and all(len(list(d.glob("*.parquet"))) == 1 for d in folders)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_streams_of_a_group_get_their_machines_sessions(seed, monkeypatch):
+    rng = random.Random(seed)
+    if seed % 2:
+        monkeypatch.setattr(SX, "RUN_ROWS", 4)
+        monkeypatch.setattr(SX, "ENTRY_ROWS", 10)
+    cfg, users = SessionConfig(rng.choice([7, 15, 59]), rng.choice([0, 20]), ()), ["", "-1", "7", str(2**60 + 1), "11"]
+    kinds = ["focus", "focus", "idle_on", "idle_off", "workspace"]
+    events = sorted((rng.randrange(3000) * 1_000_000 + rng.randrange(10**6), i, rng.choice(kinds), rng.choice(users)) for i in range(240))
+    events = [(ts, i, kind, rng.choice(["a", "b"]) if kind == "focus" else None, 1 if kind == "workspace" else None, user) for ts, i, kind, user in events]
+    want = {}
+    for user in users:
+        machine = SessionMachine(cfg.flush_interval, cfg.min_session_duration)
+        for ts, _, kind, app, ws, _ in (e for e in events if e[-1] == user):
+            machine.event_with_ticks(kind, ts // 1_000_000, app, ws)
+        machine.ticks_through(3600)
+        want |= {(user, n): (start, end, st[1]) for n, start, end, st in machine.take_all()}
+    batches, at = [], 0
+    while at < len(events):
+        n = rng.randint(1, 40)
+        part, at = events[at : at + n], at + n
+        rng.shuffle(part)
+        batches.append((part, min(r[0] for r in events[at:] or [(3000 * 10**6,)]) // 1_000_000))
+    handle = Handle()
+    got = drive_group(handle, cfg, [*batches, ([], 3000), ([], 10_000)], 3600)
+    assert got == want and not handle.map and not handle.timers
+
+
+def drive_group(handle, cfg, batches, horizon, bucket=60):
+    p = SX.SessionProcessor(cfg, horizon, bucket)
+    p.init(handle)
+    now, out = [0], {}
+    values = types.SimpleNamespace(getCurrentWatermarkInMs=lambda: now[0])
+    for new, watermark in batches:
+        if new:
+            assert not list(p.handleInputRows((1,), iter([pd.DataFrame(new, columns=["ts_us", "seq", "kind", "app_id", "workspace", "stream_key"])]), values))
+            assert max(len(v[0]) for v in handle.map.values()) <= max(SX.ENTRY_ROWS, SX.RUN_ROWS)
+        now[0] = watermark * 1000
+        while due := sorted(t for t in handle.timers if t <= now[0]):
+            handle.timers.remove(due[0])
+            for df in p.handleExpiredTimer((1,), values, None):
+                out |= {("" if pd.isna(r.stream_key) else str(r.stream_key), r.session_seq): (r.start, r.end, r.app_id) for r in df.itertuples()}
+    return out
+
+
+def test_state_calls_do_not_grow_with_the_streams():
+    def calls(users):
+        handle, made = Handle(), []
+        for name in ("getValueState", "getMapState"):
+            state = getattr(handle, name)()
+            counted = {k: (lambda *a, f=f: made.append(1) or f(*a)) for k, f in vars(state).items()}
+            setattr(handle, name, lambda *_, c=counted: types.SimpleNamespace(**c))
+        handle.registerTimer = lambda ms: made.append(1) or handle.timers.add(ms)
+        batch = [(k * 10_000_000, k, "focus", "ab"[k % 2], None, str(u)) for k in range(6) for u in range(users)]
+        out = drive_group(handle, SessionConfig(15, 0, ()), [(batch, 0), ([], 60), ([], 10_000)], 3600)
+        assert {name for name, _ in out} == {str(u) for u in range(users)}
+        return len(made)
+
+    assert calls(500) <= calls(5) + 5
+
+
+def test_a_flush_at_the_end_of_a_bucket_leaves_its_timer():
+    handle, cfg = Handle(), SessionConfig(119, 0, ())
+    batches = [([(0, 0, "focus", "a", None)], 60), ([(100_000_000, 1, "focus", "b", None)], 60), ([], 10_000)]
+    out, _ = drive(handle, cfg, batches, 3600)
+    assert not handle.map and out == {1: (100, 3570, "b")}  # the row of second 100 is applied before the flush at 119
+
+
+def test_streams_share_groups_and_a_null_key_is_one(spark, tmp_path):
+    d, data = str(tmp_path), [r for key in (None, -1, 2**60 + 1, *range(40)) for r in rows(key)]
+    land(spark, f"{d}/in", data, 1_000_300)
+    events = spark.readStream.schema(SCHEMA).parquet(f"{d}/in")
+    SX.run_to_completion(spark, SX.sessionize_stream(events, CFG, horizon=1_000_300, groups=3), f"{d}/out", f"{d}/cp")
+    got = {tuple(r) for r in SX.read_compacted(spark, f"{d}/out").collect()}
+    assert got == {tuple(r) for r in sessionize(spark.createDataFrame(data, SCHEMA), CFG, 1_000_300).collect()}
+    assert {r[0] for r in got} == {None, -1, 2**60 + 1, *range(40)}
